@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import bpe_documents
 from .exact_dedup import exact_dedup
 from .mixing import cube_mix
+from .near_dedup import near_dedup
 from .quality_rules import fit_field, quality_rules
+from .token_files import token_files
 from .toxicity import fit_grammar, toxicity
 
+TOKEN_FILE_VOCABULARY = "word_bpe_49k.json"
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,6 +31,22 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKEN_FILE_VOCABULARY))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,7 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op8_exact_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op5_token_files, op6_byte_bpe, op7_near_dedup, op8_exact_dedup, op10_quality_rules)}
 
 
 OP8_SQL = r"""
