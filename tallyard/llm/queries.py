@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import bpe_documents
+from .chunk_dedup import repeated_spans
 from .exact_dedup import exact_dedup
+from .gated_lm import lm_scores
+from .html_text import extract_pages
 from .mixing import cube_mix
 from .near_dedup import near_dedup
 from .quality_rules import fit_field, quality_rules
@@ -31,6 +34,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages")).drop("html")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,13 +62,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules(docs, fit_field(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op5_token_files, op6_byte_bpe, op7_near_dedup, op8_exact_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_chunk_dedup, op4_html_text, op5_token_files, op6_byte_bpe, op7_near_dedup, op8_exact_dedup, op9_gated_lm, op10_quality_rules)}
 
 
 OP8_SQL = r"""
