@@ -19,6 +19,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices
 
@@ -265,4 +266,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield batch.append_column("text", pa.array([html_to_text(h) for h in batch.column("html").to_pylist()], pa.string()))
 
     rows = pages.select(*keep).withColumn("html", F.col("html").cast("string"))
-    return rows.mapInArrow(run, rows.schema.add("text", "string"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))
