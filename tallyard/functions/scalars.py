@@ -78,15 +78,17 @@ def fit_length(col, n: int, fill) -> Column:
     return F.slice(F.concat(_c(col), F.array_repeat(F.lit(fill), n)), 1, n)
 
 
-def array_mean(col) -> Column:
-    return F.aggregate(_c(col), F.lit(0.0), lambda a, x: a + x) / F.size(_c(col))
+def _let(value, body) -> Column:
+    """body of a value that is computed once per row, not once per use."""
+    return F.transform(F.array(value), body)[0]
 
 
 def zscore_array(col, eps: float = 1e-8) -> Column:
     """(x - mean) / (population deviation + eps) inside each array."""
-    m = array_mean(col)
-    sd = F.sqrt(F.aggregate(_c(col), F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(_c(col)))
-    return F.transform(_c(col), lambda x: (x - m) / (sd + F.lit(eps)))
+    v = _c(col)
+    total = lambda f: F.aggregate(v, F.lit(0.0), lambda a, x: a + f(x)) / F.size(v)
+    scaled = lambda m, sd: F.transform(v, lambda x: (x - m) / (sd + F.lit(eps)))
+    return _let(total(lambda x: x), lambda m: _let(F.sqrt(total(lambda x: (x - m) * (x - m))), lambda sd: scaled(m, sd)))
 
 
 def even_starts(col, k: int) -> Column:
