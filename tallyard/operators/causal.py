@@ -53,10 +53,10 @@ def boot_r2(df: DataFrame, cluster: str, y: str, yhat: str, reps: int, seed="boo
 
 def boot_auc(df: DataFrame, cluster: str, score: str, label: str, reps: int, seed="boot") -> DataFrame:
     """The AUC's percentile interval: the weighted rank form per draw."""
-    cells = df.groupBy(cluster, score).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("q"))
-    w = weighted_draws(df, cluster, reps, seed).join(cells, cluster).groupBy("rep", score).agg(F.sum(F.col("weight") * F.col("p")).alias("p"), F.sum(F.col("weight") * F.col("q")).alias("q"))
-    below = F.sum("q").over(Window.partitionBy("rep").orderBy(score)) - F.col("q") / 2
-    a = w.withColumn("_w", F.col("p") * below).groupBy("rep").agg(F.try_divide(F.sum("_w"), F.sum("p") * F.sum("q")).alias("auc"))
+    cells = df.groupBy(cluster, score).agg(F.sum(label).cast("double").alias("_p"), F.sum(1 - F.col(label)).cast("double").alias("_q"))
+    w = weighted_draws(df, cluster, reps, seed).join(cells, cluster).groupBy("rep", score).agg(F.sum(F.col("weight") * F.col("_p")).alias("_p"), F.sum(F.col("weight") * F.col("_q")).alias("_q"))
+    below = F.sum("_q").over(Window.partitionBy("rep").orderBy(score)) - F.col("_q") / 2
+    a = w.withColumn("_w", F.col("_p") * below).groupBy("rep").agg(F.try_divide(F.sum("_w"), F.sum("_p") * F.sum("_q")).alias("auc"))
     return a.agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"))
 
 
@@ -92,26 +92,42 @@ def one_way_slope(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     return within_slope(df, group, x, y, 1)
 
 
-def fe_slope(df: DataFrame, groups: list[str], x: str, y: str, rounds: int = 50, tol: float = 1e-9, every: int = 5) -> DataFrame:
+def fe_slope(df: DataFrame, groups: list[str], x: str, y: str, rounds: int = 50, tol: float = 1e-6) -> DataFrame:
     """The slope after the means of several groupings are taken out in turn (alternating projection).
 
-    Each round joins group means back; the lineage is cut by checkpoint() every few rounds.
+    Rows are summed once to cells of the groupings, which hold all that the means and the slope need.  Each
+    round gives every grouping new effects from the cells and the others' effects; each is written as a table in the
+    shared folder, so plans stay short.
     """
-    spark = df.sparkSession
-    cut = bool(spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None)
-    rows = df.select(*groups, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    last = None
-    for k in range(1, rounds + 1):
+    from tallyard.sources.readers import stored
+
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    rows = df.filter(a.isNotNull() & b.isNotNull())
+    cells = stored(rows.groupBy(*groups).agg(F.count("*").alias("_n"), F.sum(a).alias("_sx"), F.sum(b).alias("_sy"), F.sum(a * a).alias("_sxx"), F.sum(a * b).alias("_sxy")), "fe-cells")
+    effects: dict[str, DataFrame] = {}
+
+    def shifted(without: str | None = None) -> DataFrame:
+        out, c, d = cells, F.lit(0.0), F.lit(0.0)
+        for g, e in effects.items():
+            if g != without:
+                out = out.join(e, g)
+                c, d = c + F.col(f"_x_{g}"), d + F.col(f"_y_{g}")
+        return out.withColumn("_c", c).withColumn("_d", d)
+
+    slope = None
+    for _ in range(rounds):
         for g in groups:
-            m = rows.groupBy(g).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
-            rows = rows.join(m, g).select(*groups, (F.col("_x") - F.col("_mx")).alias("_x"), (F.col("_y") - F.col("_my")).alias("_y"))
-        if k % every == 0 or k == rounds:
-            rows = rows.checkpoint() if cut else rows.cache()
-            now = rows.agg(F.try_divide(F.sum(F.col("_x") * F.col("_y")), F.sum(F.col("_x") * F.col("_x"))).alias("s")).first()["s"]
-            if now is None or (last is not None and abs(now - last) < tol):
-                break
-            last = now
-    return rows.agg(F.count("*").alias("n_rows"), F.try_divide(F.sum(F.col("_x") * F.col("_y")), F.sum(F.col("_x") * F.col("_x"))).alias("slope"))
+            mean = lambda s, c: (F.sum(F.col(s) - F.col("_n") * F.col(c)) / F.sum("_n"))
+            effects[g] = stored(shifted(g).groupBy(g).agg(mean("_sx", "_c").alias(f"_x_{g}"), mean("_sy", "_d").alias(f"_y_{g}")), "fe-effects")
+        n, c, d = F.col("_n"), F.col("_c"), F.col("_d")
+        num = F.sum(F.col("_sxy") - c * F.col("_sy") - d * F.col("_sx") + n * c * d)
+        den = F.sum(F.col("_sxx") - 2 * c * F.col("_sx") + n * c * c)
+        out = shifted().agg(F.sum("_n").alias("n_rows"), F.try_divide(num, den).alias("slope"))
+        now = out.first()["slope"]
+        if now is None or (slope is not None and abs(now - slope) <= tol * max(1.0, abs(now))):
+            break
+        slope = now
+    return out
 
 
 def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:

@@ -94,13 +94,13 @@ def beta_interval(df: DataFrame, wins: str, n: str, level: float = 0.95) -> Data
             out.append(np.sin(np.interp(q, edge, np.arange(4001) / 4000 * (np.pi / 2))) ** 2)
         return pd.Series(out, dtype=float)
 
-    def low(w: pd.Series, m: pd.Series) -> pd.Series:
+    def low(w, m):
         return inverse(w + 0.5, m - w + 0.5, (1 - level) / 2)
 
-    def high(w: pd.Series, m: pd.Series) -> pd.Series:
+    def high(w, m):
         return inverse(w + 0.5, m - w + 0.5, (1 + level) / 2)
 
-    lower, upper = (F.pandas_udf(f, T.DoubleType()) for f in (low, high))
+    lower, upper = (F.pandas_udf(f, T.DoubleType(), F.PandasUDFType.SCALAR) for f in (low, high))
     return df.withColumn("low", lower(F.col(wins).cast("double"), F.col(n).cast("double"))).withColumn("high", upper(F.col(wins).cast("double"), F.col(n).cast("double")))
 
 

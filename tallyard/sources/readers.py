@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,22 @@ TIMELINE_SCHEMA = """metadata struct<matchId:string>, info struct<frames:array<s
  xp:int, minionsKilled:int, jungleMinionsKilled:int>>>>>"""
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the folder of spark.checkpoint.dir; under a temporary one where the setting is absent (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read back: its lineage ends there, and lost executors cost nothing."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csvs(spark: SparkSession, paths: list[str] | str, schema: str) -> DataFrame:
     """Several CSV files with a header and one schema."""
     return spark.read.schema(schema).option("header", True).csv(paths)
