@@ -32,24 +32,14 @@ def taken_at(events: DataFrame, bans: DataFrame, contest: str, slot: str, item:
     return picked.unionByName(banned).distinct()
 
 
-def running_weight(df: DataFrame, keys: list[str], at: str, week: str, gamma: float) -> DataFrame:
-    """(keys, at, w): the decay-free weight sum(gamma^-week) of the key over all rows before each of its own moments.
+def known_before(points: DataFrame, cells: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """points with the sum of the cells' g over strictly earlier seq of the same keys (0 where there is none).
 
-    In a share the factor gamma^now cancels, so shares are ratios of these sums.  Weeks count from the first of the
-    data, which bounds the exponent.
+    Points and cells stand in one window with a range frame that ends one before the present seq.
     """
-    cells = df.groupBy(*keys, at).agg(F.sum(F.pow(F.lit(1 / gamma), F.col(week))).alias("_g"))
-    w = Window.partitionBy(*keys).orderBy(at)
-    return cells.withColumn("w", F.sum("_g").over(w)).select(*keys, F.col(at).alias("since"), "w")
-
-
-def as_of(points: DataFrame, states: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """points with the last state strictly before them: w, null where there is none."""
-    p = points.withColumn("_kind", F.lit(0)).withColumn("_at", F.col(at)).withColumn("_w", F.lit(None).cast("double"))
-    s = states.withColumn("_kind", F.lit(1)).withColumn("_at", F.col("since")).withColumn("_w", F.col("w"))
-    both = p.unionByName(s.select(*keys, "_kind", "_at", "_w"), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("w", F.last("_w", ignorenulls=True).over(w)).filter("_kind = 0").drop("_kind", "_at", "_w")
+    rows = points.withColumn("_point", F.lit(True)).withColumn("g", F.lit(0.0)).unionByName(cells.select(*keys, "seq", "g"), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(name, F.coalesce(F.sum("g").over(w), F.lit(0.0))).filter("_point").drop("_point", "g")
 
 
 def contest_order(df: DataFrame, contest: str, time: str) -> DataFrame:
@@ -66,27 +56,18 @@ def candidate_shares(picks: DataFrame, role: str, item: str, entity: str, gamma:
     picks: contest, seq, slot, week, entity, role, item.  Candidates are the top items of the role at the pick's day and
     the entity's own items, less those taken by earlier slots of the contest.
     """
-    role_cells = picks.groupBy(role, item, "seq").agg(F.sum(F.pow(F.lit(1 / gamma), F.col("week"))).alias("g"))
-    own_cells = picks.groupBy(entity, item, "seq").agg(F.sum(F.pow(F.lit(1 / gamma), F.col("week"))).alias("g"))
-
-    points = picks.select("contest", "seq", "slot", entity, role, F.col(item).alias("true_item"))
-    items = picks.select(role, item).distinct()  # a role has a few items
-    grid = points.join(items, role)
-    r = as_of(grid, running(role_cells, [role, item]), [role, item], "seq").withColumnRenamed("w", "rw")
+    weight = F.sum(F.pow(F.lit(1 / gamma), F.col("week"))).alias("g")  # gamma^now cancels in a share
     w = Window.partitionBy("contest", "slot")
-    r = r.withColumn("role_share", F.try_divide(F.coalesce("rw", F.lit(0.0)), F.sum(F.coalesce("rw", F.lit(0.0))).over(w)))
-    r = r.withColumn("_rank", F.row_number().over(w.orderBy(F.desc(F.round(F.coalesce("role_share", F.lit(0.0)), 9)), item)))
-    o = as_of(r, running(own_cells, [entity, item]), [entity, item], "seq").withColumnRenamed("w", "ow")
-    o = o.withColumn("own_share", F.try_divide(F.coalesce("ow", F.lit(0.0)), F.sum(F.coalesce("ow", F.lit(0.0))).over(w)))
-    keep = o.filter((F.col("_rank") <= top) | (F.coalesce("ow", F.lit(0.0)) > 0))
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.sum(c).over(w)), F.lit(0.0))
+    points = picks.select("contest", "seq", "slot", entity, role, F.col(item).alias("true_item"))
+    grid = points.join(picks.select(role, item).distinct(), role)  # a role has a few items
+    r = known_before(grid, picks.groupBy(role, item, "seq").agg(weight), [role, item], "_rw").withColumn("role_share", share("_rw"))
+    r = r.withColumn("_rank", F.row_number().over(w.orderBy(F.desc(F.round("role_share", 9)), item)))
+    o = known_before(r, picks.groupBy(entity, item, "seq").agg(weight), [entity, item], "_ow").withColumn("own_share", share("_ow"))
+    keep = o.filter((F.col("_rank") <= top) | (F.col("_ow") > 0))
     gone = picks.select(F.col("contest").alias("_c"), F.col("slot").alias("_s"), F.col(item).alias("_i"))
     free = keep.join(gone, (F.col("contest") == F.col("_c")) & (F.col(item) == F.col("_i")) & (F.col("_s") < F.col("slot")), "left_anti")
-    return free.select("contest", "seq", "slot", entity, role, item, (F.col(item) == F.col("true_item")).cast("int").alias("is_true"), F.coalesce("role_share", F.lit(0.0)).alias("role_share"), F.coalesce("own_share", F.lit(0.0)).alias("own_share"))
-
-
-def running(cells: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("seq")
-    return cells.withColumn("w", F.sum("g").over(w)).select(*keys, F.col("seq").alias("since"), "w")
+    return free.select("contest", "seq", "slot", entity, role, item, (F.col(item) == F.col("true_item")).cast("int").alias("is_true"), "role_share", "own_share")
 
 
 def score_candidates(shares: DataFrame, alphas: list[float]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("scalar_queries", "source_queries", "join_queries", "stat_queries", "metric_queries", "window_queries", "causal_queries")
+MODULES = ("scalar_queries", "source_queries", "join_queries", "stat_queries", "metric_queries", "window_queries", "causal_queries", "draft_queries")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
