@@ -96,13 +96,13 @@ def repeated_spans(docs: DataFrame, least_bytes: int = SPAN) -> DataFrame:
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with the spans cut out of their texts; other columns stay as they are."""
-    cuts = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    joined = docs.join(cuts, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    cuts = spans.groupBy(F.col("doc_id").alias("__cut_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
+    joined = docs.join(cuts, F.col("doc_id") == F.col("__cut_id"), "left").drop("__cut_id")
 
     def run(batches):
         for batch in slices(batches):
             out = []
-            for text, cut in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_cuts").to_pylist()):
+            for text, cut in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__cuts").to_pylist()):
                 if cut and text:
                     kept, at = [], 0
                     for c in cut:
@@ -111,6 +111,6 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     text = b"".join([*kept, text[at:]])
                 out.append(text.decode("utf-8", "ignore") if text is not None else None)
             where = batch.schema.names.index("text")
-            yield batch.set_column(where, "text", pa.array(out, pa.string())).drop_columns(["_cuts"])
+            yield batch.set_column(where, "text", pa.array(out, pa.string())).drop_columns(["__cuts"])
 
     return joined.mapInArrow(run, docs.schema)

@@ -177,6 +177,7 @@ def exact_dedup(docs: DataFrame, memory: int = 48 << 20) -> DataFrame:
 
 def deduplicate(docs: DataFrame, memory: int = 48 << 20) -> DataFrame:
     """The rows of docs that stay, with their columns; of rows with a null id the verdict goes by content."""
-    keep = exact_groups(docs, memory).select(F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha", content_sha256(F.col("text")))
-    return marked.join(keep, (marked["_sha"] == keep["_sha"]) & marked["doc_id"].eqNullSafe(keep["_keep"]), "left_semi").select(*docs.columns)
+    keep = exact_groups(docs, memory).select(F.col("keep_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha256"))
+    marked = docs.withColumn("__sha256", content_sha256(F.col("text")))
+    same = (F.col("__sha256") == F.col("__keep_sha256")) & F.col("doc_id").eqNullSafe(F.col("__keep_id"))
+    return marked.join(keep, same, "left_semi").select(*docs.columns)

@@ -155,7 +155,8 @@ def cube_mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    copies = cube_mix(docs).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).filter("_copies > 0")
-    taken = docs.join(copies, F.col("doc_id") == F.col("_id"))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """The rows of docs, each as often as the mix takes it; rows that repeat a doc_id go by the most copies of
+    any of them, rows without a doc_id are not taken."""
+    copies = cube_mix(docs).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("copies").alias("__mix_copies")).filter("__mix_copies > 0")
+    taken = docs.join(copies, F.col("doc_id") == F.col("__mix_id"))
+    return taken.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*docs.columns)
