@@ -6,7 +6,7 @@ are one automaton whose state says which cues the clause has shown so far; its o
 the strongest path: (kind of hit, addressed or not, negated or not, reported or not).  A document's score
 is a logistic function of its matched clauses by kind, never of isolated words.
 
-The insult lexicon is learned from labelled rows: words, and stems of 4 to 6 letters, that cover toxic
+The insult lexicon is learned from labelled rows: words, and stems of 4 to 8 letters, that cover toxic
 documents and are absent from clean ones, chosen greedily by the documents they newly cover, and then all
 others that pass a significance bound.  The weights of the clause kinds start from the grammar's own
 (addressed insults weigh more; negated and reported ones less) and are fitted on the same rows.  Fitting uses a bounded
@@ -32,6 +32,8 @@ from .common import held_out, slices
 TRAIN_DOCS = 20_000
 THRESHOLD = 0.3
 LEXICON = 3000
+#: Lengths of the stems that may stand for a family of words.
+STEMS = (4, 5, 6, 7, 8)
 
 # Fixed word lists of the grammar (the insult list is only a seed; see learn_lexicon).
 INSULT = "idiot moron stupid loser scum".split()
@@ -59,7 +61,7 @@ class Grammar:
             return STOP
         if token in self.words:
             return HIT_INSULT
-        if any(token[:n] in self.stems for n in (4, 5, 6) if len(token) > n):
+        if any(token[:n] in self.stems for n in STEMS if len(token) > n):
             return HIT_INSULT
         return self.cues.get(token, NOTHING)
 
@@ -114,7 +116,7 @@ class Grammar:
 def document_features(text: str) -> set[str]:
     """Words as they are, stems with a trailing hyphen."""
     words = {t for t in TOKEN.findall(text.lower()) if t not in ".!?;:\n"}
-    return words | {w[:n] + "-" for w in words for n in (4, 5, 6) if len(w) > n}
+    return words | {w[:n] + "-" for w in words for n in STEMS if len(w) > n}
 
 
 def counted_features(batches):
@@ -156,7 +158,7 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str
         cover = Counter(f for d in open_docs for f in d)
         # Of features that cover as much, the one with most support, and then the longest, is the most specific.
         feature, n = max(cover.items(), key=lambda kv: (kv[1], known[kv[0]]["toxic"] - 20 * known[kv[0]]["clean"], len(kv[0]), kv[0]))
-        if n < max(3, 0.01 * n_toxic):
+        if n < max(3, 0.004 * n_toxic):
             break
         chosen[feature] = known[feature]["ratio"]
         open_docs = [d for d in open_docs if feature not in d]

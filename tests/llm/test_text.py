@@ -61,7 +61,7 @@ def test_toxicity_on_held_out_rows(spark):
     out = tx.toxicity(d, tx.fit_grammar(d, labels))
     assert out.count() == d.count() and out.filter("score < 0 or score > 1 or score is null").count() == 0
     held = out.filter("held_out").join(labels, "doc_id").agg(F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))), F.avg(F.when(F.col("toxic") == 0, F.col("predicted")))).first()
-    assert held[0] > 0.9 and held[1] < 0.01
+    assert held[0] > 0.85 and held[1] < 0.01
 
 
 def test_grammar_scores_clauses():
