@@ -168,8 +168,8 @@ def forward_test(df: DataFrame, event: str, time: str, cols: list[str], y: str,
     w = Window.orderBy("_d")
     run = daily.select("_d", F.sum("_n").over(w).alias("_n"), *[F.sum(f"_h{i}").over(w).alias(f"_h{i}") for i in range(len(cols))])
     starts = df.groupBy(event).agg(F.min(time).alias("_start"))
-    state = starts.join(run, F.col("_d") < F.col("_start")).groupBy(event).agg(F.max_by(F.struct("_n", *[f"_h{i}" for i in range(len(cols))]), "_d").alias("s"))
-    ws = [F.greatest(F.col(f"s._h{i}") / F.col("s._n") - 0.5, F.lit(0.0)) for i in range(len(cols))]
+    state = starts.join(run, F.col("_d") < F.col("_start")).groupBy(event).agg(F.max_by(F.struct("_n", *[f"_h{i}" for i in range(len(cols))]), "_d").alias("_state"))
+    ws = [F.greatest(F.col(f"_state._h{i}") / F.col("_state._n") - 0.5, F.lit(0.0)) for i in range(len(cols))]
     total = sum(ws, F.lit(0.0))
     rows = df.join(state, event)
     mix = F.when(total > 0, sum((wi * F.col(c) for wi, c in zip(ws, cols)), F.lit(0.0)) / total).otherwise(sum((F.col(c) for c in cols), F.lit(0.0)) / len(cols))

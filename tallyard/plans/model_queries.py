@@ -23,7 +23,7 @@ def pair_ridge(spark, d):
 
 @query("E6_backfit")
 def backfit(spark, d):
-    return m.backfit(pairs(spark, d), "item", "opp_item", "entity", "diff", 25.0, 20.0)[1].select("entity", r("effect", 4))
+    return m.backfit(pairs(spark, d), "item", "opp_item", "sk", "diff", 25.0, 20.0)[1].select("sk", r("effect", 4))
 
 
 LADDER = PANEL + """, tr AS (SELECT * FROM panel WHERE period < 1997), te AS (SELECT * FROM panel WHERE period >= 1997), m0 AS (SELECT avg(y) AS m0 FROM tr), m1 AS (SELECT item, avg(y) AS m1 FROM tr GROUP BY 1), m2 AS (SELECT entity, sum(y - m1) / (count(*) + 20) AS e FROM tr JOIN m1 USING (item) GROUP BY 1),
