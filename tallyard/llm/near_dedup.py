@@ -11,10 +11,10 @@ Two documents are linked when 100 |A and B| >= 75 |A or B|.
    group is large and no list of all pairs is ever written.  There, signatures are compared batch by batch:
    after n hashes with m agreements the posterior probability of a similarity of 0.75 or more (uniform prior:
    a binomial tail) is compared with MISS, and the pair is dropped below it.  What survives is joined into
-   families by a spanning forest of each group: every surviving pair has both ends in one family.
+   trees in each group, and the trees into families: every surviving pair has both ends in one family.
 4. The families' documents are read once more, and each family is cut into pairs of blocks the same way. A pair
    that passes the Bayesian bound and is not linked already in its group is verified exactly on the full sets;
-   the links of each group's spanning forest are kept.
+   the trees that the links form are kept.
 5. Components of the links give the classes; component_id is the smallest doc_id.
 
 Shingles are 64-bit hashes built from the words' 64-bit hashes, so sets are exact but for collisions of 2^-64.
@@ -132,6 +132,15 @@ class Forest:
             x = up[x]
         return x
 
+    def stars(self, names: np.ndarray) -> list[tuple[int, int]]:
+        """Each member that is joined, with the smallest name of its tree: groups that overlap repeat these edges,
+        so far fewer distinct ones leave than tree edges would."""
+        least: dict[int, int] = {}
+        roots = [self.find(x) for x in range(len(self.up))]
+        for r, name in zip(roots, names.tolist()):
+            least[r] = min(name, least.get(r, name))
+        return [(name, least[r]) for r, name in zip(roots, names.tolist()) if name != least[r]]
+
     def join(self, x: int, y: int) -> bool:
         x, y = self.find(x), self.find(y)
         if x != y:
@@ -206,7 +215,7 @@ def band_keys(batches):
 
 
 def bucket_forest(batches):
-    """Spanning forests of the surviving pairs of each block pair of a bucket."""
+    """The trees of the surviving pairs of each block pair of a bucket, as stars."""
     bounds, out = least_agreements(), []
     for (_, i, j), parts in grouped(batches, ("bucket", "i", "j")):
         reps, sig, blocks = numbers(parts, "rep"), fixed(parts, "sig", np.uint16), numbers(parts, "block")
@@ -215,8 +224,8 @@ def bucket_forest(batches):
         for at in range(0, len(a), 8192):
             x, y = a[at : at + 8192], b[at : at + 8192]
             for k in survivors(sig[x], sig[y], bounds).tolist():
-                if forest.join(int(x[k]), int(y[k])):
-                    out.append((int(reps[x[k]]), int(reps[y[k]])))
+                forest.join(int(x[k]), int(y[k]))
+        out += forest.stars(reps)
         if len(out) > 4096:
             yield edge_batch(out)
     yield edge_batch(out)
@@ -237,7 +246,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def family_links(batches):
-    """Spanning forests of the links, verified on the full sets, of each block pair of a family."""
+    """The trees of the links, verified on the full sets, of each block pair of a family, as stars."""
     bounds, out = least_agreements(), []
     for (_, i, j), parts in grouped(batches, ("family", "i", "j")):
         reps, sig, blocks = numbers(parts, "rep"), fixed(parts, "sig", np.uint16), numbers(parts, "block")
@@ -250,7 +259,7 @@ def family_links(batches):
         for x, y in zip(a[order].tolist(), b[order].tolist()):
             if forest.find(x) != forest.find(y) and linked(sets[x], sets[y]):
                 forest.join(x, y)
-                out.append((int(reps[x]), int(reps[y])))
+        out += forest.stars(reps)
         if len(out) > 4096:
             yield edge_batch(out)
     yield edge_batch(out)
