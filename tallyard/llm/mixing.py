@@ -7,7 +7,7 @@ inclusion probability frac(r).
 
 The fractional probabilities move through the null space of the two balancing constraints (document total
 and word total): with three fractional documents of sizes a, b, c the direction (b-c, c-a, a-b) leaves both
-totals as they are, and a step along it brings one document to 0 or 1; large documents move first.  Blocks of a few hundred documents
+totals as they are, and a step along it brings one document to 0 or 1; the order is a hash.  Blocks of a few hundred documents
 of one source do so side by side (a hot source is many blocks); the few documents that each block
 leaves fractional meet in larger blocks, until at most LANDING remain per source.  Those are landed
 together by the subset whose words come nearest the target.
@@ -34,7 +34,7 @@ SHARE = 1.5
 MOST = 2.0
 BLOCK = 512
 LANDING = 12
-#: Documents that a block may leave fractional; the large ones move first, so these are small.
+#: Documents that a block may leave fractional: enough for a fine choice at the landing.
 LEAVE = 4
 
 
@@ -113,7 +113,7 @@ def land(p: list[float], s: list[int]) -> None:
 
 def one_block(last: bool):
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (-r["size"], xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["doc_id"] or 0))
+        rows = sorted(table.to_pylist(), key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["doc_id"] or 0, r["size"]))
         p, s = [r["p"] for r in rows], [r["size"] for r in rows]
         seed = f"{rows[0]['source']}|{rows[0]['block']}"
         flight(p, s, seed, LANDING if last else LEAVE)
