@@ -110,7 +110,7 @@ def test_state_is_carried_and_gradients_fit():
     v = g.Vocabulary([(f"w{k}".encode(), 1200) for k in range(4)], 4800, 4)
     w = v.weights()
     before = g.likelihoods(docs, v, w).sum()
-    for k in range(4):
+    for k in range(20):
         w = g.train(docs, v, w, k)
     assert g.likelihoods(docs, v, w).sum() > 0.5 * before
     alone = [g.likelihoods([x], v, w)[0] for x in (docs[0], docs[0][:70])]
