@@ -108,7 +108,7 @@ def test_passages_are_caught_and_clean_documents_left(spark, empty):
     d = spark.createDataFrame([*rows, (100, None), (101, ""), (None, passage)], "doc_id long, text string")
     spans = c.repeated_spans(d)
     assert {r["doc_id"] for r in spans.collect()} == {k for k in range(3, 60, 3)}
-    assert {i for r in spans.collect() for i in r["first_doc_ids"]} == {0}
+    assert all(0 in r["first_doc_ids"] for r in spans.collect())
     cut = {r["doc_id"]: r["text"] for r in c.without_spans(d, spans).collect()}
     assert all(cut[k] == t for k, t in rows if k % 3) and all(len(cut[k]) < len(t) - 250 for k, t in rows if k and not k % 3) and cut[100] is None
     assert c.repeated_spans(empty).count() == 0
