@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import slices, stored, texts
 
 LEAST, MOST, MASK_BITS = 24, 256, 5
 SPAN = 120
@@ -87,7 +87,9 @@ def chunks(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, least_bytes: int = SPAN) -> DataFrame:
     """One row per repeated span: doc_id, start, end (bytes of the UTF-8 text), n_chunks, first_doc_ids (who keeps its chunks)."""
     rows = chunks(docs)
+    # As a table of its own, the owners meet the chunks in a join of two plain shuffles, which Spark can split.
     owners = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).filter("first_doc_id < last_doc_id").drop("last_doc_id")
+    owners = stored(owners, "chunk-owners")
     repeats = rows.join(owners, ["d1", "d2"]).filter("doc_id > first_doc_id").select("doc_id", "k", "start", "end", "first_doc_id").dropDuplicates(["doc_id", "k", "start", "end"])
     run = repeats.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy("doc_id").orderBy("k")))
     spans = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
