@@ -16,47 +16,40 @@ from tallyard.functions.scalars import hash_uniform
 from .metrics import auc, binary_metrics, regression_metrics
 
 
+def solve_pairs(cells: list, lam: float) -> dict[str, float]:
+    """theta from cells (a, b, n, s): the counts and sums of y of each ordered pair of items."""
+    items = sorted({c[0] for c in cells} | {c[1] for c in cells})
+    at = {x: i for i, x in enumerate(items)}
+    m, v = lam * np.eye(len(items)), np.zeros(len(items))
+    for a, b, n, s in cells:
+        i, j = at[a], at[b]
+        m[i, i] += n
+        m[j, j] += n
+        m[i, j] -= n
+        m[j, i] -= n
+        v[i] += s or 0.0
+        v[j] -= s or 0.0
+    return dict(zip(items, np.linalg.solve(m, v).tolist())) if items else {}
+
+
 def fit_pair_ridge(df: DataFrame, a: str, b: str, y: str, lam: float) -> dict[str, float]:
     """theta of the ridge fit y = theta[a] - theta[b].
 
     Spark aggregates the normal equations to one row per pair of items; the driver solves items x items.
     """
     cells = df.groupBy(a, b).agg(F.count(y).alias("n"), F.sum(y).alias("s")).collect()
-    items = sorted({r[a] for r in cells} | {r[b] for r in cells})
-    at = {x: i for i, x in enumerate(items)}
-    m, v = lam * np.eye(len(items)), np.zeros(len(items))
-    for r in cells:
-        i, j = at[r[a]], at[r[b]]
-        m[i, i] += r["n"]
-        m[j, j] += r["n"]
-        m[i, j] -= r["n"]
-        m[j, i] -= r["n"]
-        v[i] += r["s"] or 0
-        v[j] -= r["s"] or 0
-    return dict(zip(items, np.linalg.solve(m, v).tolist())) if items else {}
+    return solve_pairs([tuple(c) for c in cells], lam)
 
 
 def pair_ridge(df: DataFrame, a: str, b: str, y: str, lam: float, by: str) -> DataFrame:
     """(by, item, theta): one fit per group of by; all groups come from one aggregate."""
-    cells = df.groupBy(by, a, b).agg(F.count(y).alias("n"), F.sum(y).alias("s")).cache()
-    rows = [(g, item, theta) for (g,) in sorted(tuple(r) for r in cells.select(by).distinct().collect()) for item, theta in fit_counted(cells.filter(F.col(by) == g), a, b, lam).items()]
+    groups: dict = {}
+    for c in df.groupBy(by, a, b).agg(F.count(y).alias("n"), F.sum(y).alias("s")).collect():
+        groups.setdefault(c[0], []).append(tuple(c)[1:])
+    rows = [(g, item, theta) for g in sorted(groups, key=str) for item, theta in solve_pairs(groups[g], lam).items()]
     return df.sparkSession.createDataFrame(rows, f"{by} {dict(df.dtypes)[by]}, item string, theta double")
 
 
-def fit_counted(cells: DataFrame, a: str, b: str, lam: float) -> dict[str, float]:
-    rows = cells.select(a, b, "n", "s").collect()
-    items = sorted({r[a] for r in rows} | {r[b] for r in rows})
-    at = {x: i for i, x in enumerate(items)}
-    m, v = lam * np.eye(len(items)), np.zeros(len(items))
-    for r in rows:
-        i, j, d = at[r[a]], at[r[b]], r["s"] or 0.0
-        m[[i, j], [i, j]] += r["n"]
-        m[[i, j], [j, i]] -= r["n"]
-        v[i] += d
-        v[j] -= d
-    return dict(zip(items, np.linalg.solve(m, v).tolist()))
-
-
 def theta_column(theta: dict[str, float], col: str):
     """theta of an item as an expression; unseen items are 0."""
     if not theta:

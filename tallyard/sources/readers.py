@@ -72,9 +72,11 @@ def parse_event_text(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.withColumn("seconds", F.split(F.trim(value), r"\s+")[0].try_cast("double")).filter(F.col("seconds").isNotNull())
 
 
-def read_event_text(spark: SparkSession, glob: str) -> DataFrame:
-    """(track, seconds) from annotation files; the track is the file name without its prefix and extension."""
-    lines = spark.read.text(glob).select(F.regexp_replace(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""), "^gtzan_", "").alias("track"), "value")
+def read_event_text(spark: SparkSession, glob: str, prefix: str = "") -> DataFrame:
+    """(track, seconds) from annotation files; the track is the file name without a prefix and its extension."""
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    track = F.when(name.startswith(prefix), F.substr(name, F.lit(len(prefix) + 1))).otherwise(name)
+    lines = spark.read.text(glob).select(track.alias("track"), "value")
     return parse_event_text(lines).select("track", "seconds")
 
 

@@ -114,9 +114,9 @@ def test_candidates_leave_out_taken_items(spark):
 
 def test_sources(spark, tmp_path):
     (tmp_path / "x" / "y").mkdir(parents=True)
-    (tmp_path / "x" / "gtzan_a.beats").write_text("0.5 1\n1.0 2\nbad\n")
+    (tmp_path / "x" / "set_a.beats").write_text("0.5 1\n1.0 2\nbad\n")
     (tmp_path / "x" / "y" / "jazz.001.wav").write_bytes(b"12345")
-    assert rows(readers.read_event_text(spark, f"{tmp_path}/x/*.beats")) == [("a", 0.5), ("a", 1.0)]
+    assert rows(readers.read_event_text(spark, f"{tmp_path}/x/*.beats", "set_")) == [("a", 0.5), ("a", 1.0)]
     assert rows(readers.list_media(spark, str(tmp_path)).select("track", "length")) == [("jazz_001", 5)]
     df = spark.range(3)
     readers.materialize(df, f"file://{tmp_path}/m", {"k": 1})
