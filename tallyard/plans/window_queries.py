@@ -11,7 +11,7 @@ from .panel import PANEL, PICKS, panel, picks, table
 from .registry import query
 from .scalar_queries import HOURS, frames
 
-KEY = ["contest", F.col("ln").alias("line"), "pk", "sk"]
+KEY = ["contest", "ln AS line", "pk", "sk"]
 LINE = "contest, panel.ln AS line, pk, sk"
 
 
@@ -21,7 +21,7 @@ def r(c, n=6):
 
 @query("W1_rank_split", f"WITH {PANEL} SELECT {LINE}, row_number() OVER (ORDER BY t, contest, panel.ln, pk, sk) > floor((SELECT count(*) FROM panel) * (1 - 0.3::DOUBLE)) AS test FROM panel")
 def rank_split(spark, d):
-    return w.rank_split(panel(spark, d), "t", 0.3, ["contest", "ln", "pk", "sk"]).select(*KEY, "test")
+    return w.rank_split(panel(spark, d), "t", 0.3, ["contest", "ln", "pk", "sk"]).selectExpr(*KEY, "test")
 
 
 @query("W2_date_split", f"""WITH {PANEL}, g AS (SELECT DISTINCT contest, t FROM panel), k AS (SELECT t, row_number() OVER (ORDER BY t, contest) - 1 AS i FROM g)
@@ -32,7 +32,7 @@ def date_split(spark, d):
 
 @query("W3_phase_in_group", f"WITH {PANEL} SELECT {LINE}, round(row_number() OVER (PARTITION BY role, period ORDER BY t, contest, panel.ln, pk, sk) / count(*) OVER (PARTITION BY role, period), 9) AS phase FROM panel")
 def phase_in_group(spark, d):
-    return w.phase_in_group(panel(spark, d), ["role", "period"], ["t", "contest", "ln", "pk", "sk"]).select(*KEY, r("phase", 9))
+    return w.phase_in_group(panel(spark, d), ["role", "period"], ["t", "contest", "ln", "pk", "sk"]).withColumn("phase", F.round("phase", 9)).selectExpr(*KEY, "phase")
 
 
 @query("W4_half_delta", f"""WITH {PANEL}, x AS (SELECT entity, item, y, row_number() OVER (PARTITION BY entity, item ORDER BY t, contest, panel.ln, pk, sk) AS k, count(*) OVER (PARTITION BY entity, item) AS n FROM panel)
@@ -102,4 +102,4 @@ def top_report(spark, d):
 
 @query("W14_random_split", f"WITH {PANEL} SELECT {LINE}, {uniform_sql('split', 'contest')} < 0.2 AS test FROM panel")
 def random_split(spark, d):
-    return w.random_split(panel(spark, d), "contest", 0.2, "split").select(*KEY, "test")
+    return w.random_split(panel(spark, d), "contest", 0.2, "split").selectExpr(*KEY, "test")

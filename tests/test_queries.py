@@ -1,6 +1,9 @@
 """Every registered query with SQL gives the SQL's rows on the smallest tables."""
 
 import math
+import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -26,6 +29,13 @@ def shown(v):
     return v
 
 
+def test_entry_needs_no_session():
+    """The driver lists queries and SQL before it starts Spark."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=here, check=True)
+
+
 def test_every_query_is_registered():
     assert len(QUERIES) > 140 and set(SQL) <= set(QUERIES)
 
