@@ -28,7 +28,6 @@ DEPTH = 256
 # Fixed element lists of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style template noscript title object iframe canvas audio video svg math datalist select textarea".split())
-RAW = frozenset("script style".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCK = SPACED | frozenset("html body address article aside center dd details dialog div dt figcaption footer form header hgroup legend li main menu nav option section summary caption tr thead tbody tfoot td th".split())
 #: A start tag of the key closes open elements of the value, up to the element after the bar.
@@ -44,7 +43,7 @@ IMPLIED = {
     "tfoot": ("td th tr thead tbody tfoot caption colgroup", "table"),
     "option": ("option", "select"),
 }
-IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
+IMPLIED = {k: (frozenset(closed.split()), frozenset(stop.split())) for k, (closed, stop) in IMPLIED.items()}
 CLOSE_P = BLOCK - frozenset("html body td th tr thead tbody tfoot caption option legend".split())
 STOP_P = frozenset("table td th caption li button object".split())
 NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -221,26 +220,40 @@ def rendered(node: Node) -> list[str]:
 
 
 def table_lines(table: Node) -> list[str]:
-    """Caption, then the rows with cells padded to their columns; a spanning cell fills its columns."""
-    captions, rows = [], []
-    todo = [table]
-    while todo:
-        for child in reversed(todo.pop().children):
-            if isinstance(child, str) or not visible(child):
+    """Captions and what stands outside the cells, then the rows in document order with cells padded to their columns.
+
+    A spanning cell fills its columns.
+    """
+    captions, rows, stray = [], [], Node("div", {})
+
+    def gather(node: Node) -> None:
+        for child in node.children:
+            if isinstance(child, str) or child.tag not in ("thead", "tbody", "tfoot", "tr", "caption", "col", "colgroup"):
+                stray.children.append(child)
+            elif not visible(child):
                 continue
-            todo.append(child) if child.tag in ("thead", "tbody", "tfoot") else rows.append(child) if child.tag == "tr" else captions.append(child) if child.tag == "caption" else None
+            elif child.tag == "tr":
+                rows.append(child)
+            elif child.tag == "caption":
+                captions.append(child)
+            elif child.tag not in ("col", "colgroup"):
+                gather(child)
+
+    gather(table)
     grid = []
-    for row in reversed(rows):
+    for row in rows:
         cells = []
         for cell in row.children:
-            if not isinstance(cell, str) and cell.tag in ("td", "th") and visible(cell):
+            if isinstance(cell, str) or cell.tag not in ("td", "th"):
+                stray.children.append(cell)
+            elif visible(cell):
                 span = cell.attrs.get("colspan", "")
                 wide = min(int(span), 100) if re.fullmatch(r"[1-9]\d{0,3}", span) else 1
                 cells += [" ".join(x.strip() for x in rendered(cell) if x.strip()), *[""] * (wide - 1)]
         if any(cells):
             grid.append(cells)
     widths = [max((len(r[k]) for r in grid if k < len(r)), default=0) for k in range(max(map(len, grid), default=0))]
-    out = [x for c in reversed(captions) for x in rendered(c)]
+    out = [x for c in captions for x in rendered(c)] + rendered(stray)
     return out + ["  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in grid]
 
 

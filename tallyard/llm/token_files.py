@@ -23,6 +23,7 @@ follow each other, ordered by their text; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -30,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts, worker_cache
+from .common import LOWER, slices, stored, texts, worker_cache
 
 BLOCK = 128
 PERCENTILE = 0.95
 SEGMENT = 1 << 17
 END_ID = 2
-CACHE = 300_000
+CACHE = 800_000
 MAGIC = 0x31524650
 
 
@@ -110,6 +111,7 @@ def unpack_segment(image: bytes) -> np.ndarray:
     if not blocks:
         return np.zeros(0, np.uint32)
     raw = np.frombuffer(image, np.uint8)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     starts = np.frombuffer(image, "<u4", blocks, 12).astype(np.int64)
     low = raw[starts[:, None] + np.arange(4)].copy().view("<u4")[:, 0]
     width, exceptions = raw[starts + 4], raw[starts + 5]
@@ -118,11 +120,14 @@ def unpack_segment(image: bytes) -> np.ndarray:
         at = np.flatnonzero(width == w)
         size = -(-block * int(w) // 8)
         if w:
-            data = raw[starts[at, None] + 6 + np.arange(size)]
-            bits = np.unpackbits(data, axis=1, bitorder="little", count=block * int(w)).reshape(len(at), block, int(w))
-            whole = np.zeros((len(at), block, 32), np.uint8)
-            whole[:, :, : int(w)] = bits
-            out[at] = np.packbits(whole, axis=2, bitorder="little").view("<u4")[:, :, 0]
+            # Each value lies in the four bytes from its first bit's byte (five for the widest).
+            bit = np.arange(block) * int(w)
+            first, shift = bit >> 3, (bit & 7).astype(np.uint64)
+            place = starts[at, None] + 6 + first
+            v = np.zeros((len(at), block), np.uint64 if w > 24 else np.uint32)
+            for k in range((int(w) + 14) // 8):
+                v |= padded[place + k].astype(v.dtype) << v.dtype.type(8 * k)
+            out[at] = (v >> shift.astype(v.dtype)) & v.dtype.type((1 << int(w)) - 1)
         for i in at[exceptions[at] > 0].tolist():
             e, place = int(exceptions[i]), int(starts[i]) + 6 + size
             where = np.frombuffer(image, np.uint8, e, place)
@@ -130,29 +135,69 @@ def unpack_segment(image: bytes) -> np.ndarray:
     return (out + low[:, None]).reshape(-1)[:n]
 
 
+#: Words of ASCII and Latin-1 letters without an apostrophe: no pre-token of theirs mixes the kinds that PIECE splits.
+PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PIECE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]|[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
 class WordEncoder:
-    """The ids of a tokenizer whose pre-tokens never cross white space, remembered word by word."""
+    """The ids of a lower-casing tokenizer whose pre-tokens never cross white space, remembered word by word.
+
+    A new word is put together from its runs of letters, digits and other signs where these are pre-tokens of their
+    own, so a word costs the library one call however it is punctuated.  Full memories take no more entries; the
+    frequent words are in them by then.
+    """
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.cache = cache
 
+    def library(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that are one pre-token each, many in one call; the last id of each ends a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(pieces):  # a piece that normalises to several pre-tokens
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *last.tolist()], last.tolist())]
+
     def encode(self, many: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in many]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > self.cache:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, x in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(x.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        known, pieces = self.known, self.pieces
+        split = [t.translate(LOWER).split() for t in many]
+        found = [list(map(known.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}
+        parts, odd, fresh = {}, [], {}
+        for w in new:
+            text = w.decode()
+            if PLAIN.fullmatch(text):
+                parts[w] = PIECE.findall(text)
+                for p in parts[w]:
+                    if p not in pieces:
+                        fresh[p] = None
+            else:
+                odd.append(w)
+        order = list(fresh)
+        for at in range(0, len(order), 512):
+            fresh.update(zip(order[at : at + 512], self.library(order[at : at + 512])))
+        if len(pieces) < self.cache:
+            pieces.update(fresh)
+            fresh = pieces
+        coded = {w: b"".join([fresh[p] if p in fresh else pieces[p] for p in ps]) for w, ps in parts.items()}
+        for at in range(0, len(odd), 4096):
+            for w, x in zip(odd[at : at + 4096], self.tokenizer.encode_batch([w.decode() for w in odd[at : at + 4096]], add_special_tokens=False)):
+                coded[w] = np.array(x.ids, "<u4").tobytes()
+        if len(known) < self.cache:
+            known.update(coded)
+        return [b"".join(ids) if None not in ids else b"".join([coded[w] if x is None else x for w, x in zip(words, ids)]) for words, ids in zip(split, found)]
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -180,7 +225,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([start], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(x) // 4 for x in held]], pa.list_(pa.int32())), pa.array([pack_segment(ids)], pa.binary())], names=["shard", "segment", "start", "n_ids", "doc_ids", "lengths", "image"])
 
         size = 0
-        for batch in slices(batches, 64):
+        for batch in slices(batches, 128):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts(batch))):
                 doc_ids.append(doc_id)
                 held.append(ids + end)

@@ -119,6 +119,11 @@ def test_html_layout():
     assert h.html_to_text(page) == "Head\n\nOne bold, two\n\nthree\nfour\n\n- a\n- b\n  3. x\n  4. y\n- c\n\nCap\nName  N\nab    1\n\n  a\n   b\n\ntail & end"
 
 
+def test_tables_keep_their_order_and_stray_text():
+    page = "<table>stray<thead><tr><th>A<th>Bee<tbody><tr><td>1<td>2<tr><td colspan=2>wide<tfoot><tr><td>x<td><table><tr><td>in</table></table>end"
+    assert h.html_to_text(page) == "stray\nA     Bee\n1     2\nwide\nx     in\n\nend"
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a</b></i>b", "ab"), ("</td><td>x", "x"), ("<div>" * 5000 + "deep", "deep"), ("<ul><li>", "-"), ("<table></table>x", "x")])
 def test_html_edge_cases(page, text):
     assert h.html_to_text(page) == text
