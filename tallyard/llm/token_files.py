@@ -140,6 +140,15 @@ PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 PIECE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]|[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
+def gaps_of(found: list) -> list[int]:
+    """Where a list holds None."""
+    out, at = [], -1
+    for _ in range(found.count(None)):
+        at = found.index(None, at + 1)
+        out.append(at)
+    return out
+
+
 class WordEncoder:
     """The ids of a lower-casing tokenizer whose pre-tokens never cross white space, remembered word by word.
 
@@ -174,7 +183,8 @@ class WordEncoder:
         known, pieces = self.known, self.pieces
         split = [t.translate(LOWER).split() for t in many]
         found = [list(map(known.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}
+        gaps = [gaps_of(ids) for ids in found]
+        new = {words[i] for words, gap in zip(split, gaps) for i in gap}
         parts, odd, fresh = {}, [], {}
         for w in new:
             text = w.decode()
@@ -197,7 +207,10 @@ class WordEncoder:
                 coded[w] = np.array(x.ids, "<u4").tobytes()
         if len(known) < self.cache:
             known.update(coded)
-        return [b"".join(ids) if None not in ids else b"".join([coded[w] if x is None else x for w, x in zip(words, ids)]) for words, ids in zip(split, found)]
+        for words, ids, gap in zip(split, found, gaps):
+            for i in gap:
+                ids[i] = coded[words[i]]
+        return list(map(b"".join, found))
 
 
 def word_encoder(path: str) -> WordEncoder:
