@@ -1,4 +1,4 @@
-"""Every registered query with SQL gives the SQL's rows on the smallest tables."""
+"""Every registered query with SQL gives the SQL's rows; on smaller tables some groups that they need are empty."""
 
 import math
 import os
@@ -10,7 +10,7 @@ import pytest
 
 import tallyard.plans.registry as registry
 
-SF = "/root/testdata/sf0.001"
+SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
@@ -56,4 +56,4 @@ def test_against_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SMALL).count() > 0
