@@ -1,17 +1,21 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
-The gear hash of a position is the sum of GEAR[byte] << age over the last 32 bytes.  A chunk ends where its
-low MASK_BITS bits are all zero, at least LEAST and at most MOST bytes after the last end, so boundaries
-depend on content alone and find their places again after an insertion.  Chunks are compared by 128-bit
-digests: of equal chunks in different documents the one in the smallest doc_id stays; the others are
-repeats.  Neighbouring repeats form a span, and spans of SPAN bytes or more are reported (and removed by
-``without_spans``).  A passage of over 50 words holds several whole chunks wherever it stands.
+The gear hash of a position is the sum of GEAR[byte] << age over the last 32 bytes; its low 24 bits hang on the
+last 24 bytes alone.  Of every MOST neighbouring positions the one with the least such value is a cut, so cuts
+depend on content alone, find their places again after an insertion and are never more than MOST bytes apart.
+A chunk is the SPAN bytes after a cut (or after the start, or before the end of a text); chunks overlap.  Chunks
+are compared by 128-bit digests: of equal chunks in different documents the one in the smallest doc_id stays; the
+others are repeats.  Repeats that overlap or touch form a span, which is reported (and removed by ``without_spans``).
+
+A passage of 23 + MOST + SPAN = 191 bytes or more (51 words of 3 letters) holds a whole chunk wherever it stands, and
+every span stands byte for byte in earlier documents.  Up to 23 + MOST bytes at its start and MOST at its end may stay.
 
 Only aggregates and equi-joins by digest are used: a chunk that a third of all documents share is one partial
 sum per task and one hot key of a join that Spark splits.
 
-Defined cases: null and empty texts have no chunks; repeats inside one document alone are left; rows with a null
-doc_id are ignored (nothing to name); rows that repeat a doc_id are one document; an empty table gives no rows.
+Defined cases: null and empty texts and those under SPAN bytes have no chunks; repeats inside one document alone are
+left; rows with a null doc_id are ignored (nothing to name); rows that repeat a doc_id are one document; where a text
+repeats with a period under SHORT, cuts stand one period or more apart but no more than MOST; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored, texts
 
-LEAST, MOST, MASK_BITS = 24, 256, 5
+LEAST, MOST = 1, 48
+SHORT = 8
 SPAN = 120
+BLOCK = 1 << 20
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=2024) for b in range(256)], np.uint32)
 
 
@@ -39,49 +45,64 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(text: bytes, least: int = LEAST, most: int = MOST, bits: int = MASK_BITS) -> list[int]:
-    """Where the chunks of a text end; the last is its length."""
+def least_positions(values: np.ndarray, width: int) -> np.ndarray:
+    """Where each window of so many values has its least one (the last of equal ones), without repeats."""
+    n, found = len(values), []
+    for at in range(0, n - width + 1, BLOCK):
+        part = values[at : at + BLOCK + width - 1]
+        low = part.astype(np.uint64) << np.uint64(32) | np.arange(len(part) - 1, -1, -1, dtype=np.uint64)
+        k = 1
+        while k < width:
+            step = min(k, width - k)
+            low = np.minimum(low[:-step], low[step:])
+            k += step
+        found.append(at + len(part) - 1 - (low & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def chunk_ends(text: bytes, most: int = MOST) -> list[int]:
+    """Where the cuts of a text are; the last is its length."""
     n = len(text)
     if not n:
         return []
-    # The top bits depend on all 32 bytes of the window.
-    marks = np.flatnonzero(gear_hashes(np.frombuffer(text, np.uint8)) >> np.uint32(32 - bits) == 0) + 1
+    values = gear_hashes(np.frombuffer(text, np.uint8)) & np.uint32(0xFFFFFF)
+    at = least_positions(values, most)
+    again = np.zeros(len(at), bool)
+    for k in range(1, SHORT):
+        again |= (at >= k) & (values[at - k] == values[at])
+    marks = (at + 1).tolist()
     out, last = [], 0
-    for m in marks.tolist():
-        while m - last > most:
-            last += most
-            out.append(last)
-        if m - last >= least:
+    for m, after, same in zip(marks, [*marks[1:], n], again.tolist()):
+        if not same or after - last > most:
             out.append(m)
             last = m
-    while n - last > most:
-        last += most
-        out.append(last)
     if last < n:
         out.append(n)
     return out
 
 
+def chunk_starts(text: bytes) -> list[int]:
+    """Where the chunks of a text start: at 0, at its cuts and SPAN before its end."""
+    n = len(text) - SPAN
+    return [] if n < 0 else sorted({0, n, *(x for x in chunk_ends(text) if x < n)})
+
+
 def chunked(batches):
     for batch in slices(batches):
-        doc_ids, numbers, starts, ends, digests = [], [], [], [], []
+        doc_ids, starts, digests = [], [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-            at = 0
-            for k, end in enumerate(chunk_ends(text)):
-                doc_ids.append(doc_id)
-                numbers.append(k)
-                starts.append(at)
-                ends.append(end)
-                digests.append(xxhash.xxh3_128_digest(text[at:end]))
-                at = end
+            at = chunk_starts(text)
+            doc_ids += [doc_id] * len(at)
+            starts += at
+            digests += [xxhash.xxh3_128_digest(text[x : x + SPAN]) for x in at]
         both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "k", "start", "end", "d1", "d2"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "start", "d1", "d2"])
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """One row per chunk: doc_id, k, start, end (bytes), d1, d2 (digest)."""
+    """One row per chunk: doc_id, start (byte), d1, d2 (digest)."""
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(chunked, "doc_id long, k int, start int, end int, d1 long, d2 long")
+    return rows.mapInArrow(chunked, "doc_id long, start int, d1 long, d2 long")
 
 
 def repeated_spans(docs: DataFrame, least_bytes: int = SPAN) -> DataFrame:
@@ -90,9 +111,11 @@ def repeated_spans(docs: DataFrame, least_bytes: int = SPAN) -> DataFrame:
     # As a table of its own, the owners meet the chunks in a join of two plain shuffles, which Spark can split.
     owners = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).filter("first_doc_id < last_doc_id").drop("last_doc_id")
     owners = stored(owners, "chunk-owners")
-    repeats = rows.join(owners, ["d1", "d2"]).filter("doc_id > first_doc_id").select("doc_id", "k", "start", "end", "first_doc_id").dropDuplicates(["doc_id", "k", "start", "end"])
-    run = repeats.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy("doc_id").orderBy("k")))
-    spans = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
+    repeats = rows.join(owners, ["d1", "d2"]).filter("doc_id > first_doc_id").select("doc_id", "start", "first_doc_id").dropDuplicates(["doc_id", "start"])
+    w = Window.partitionBy("doc_id").orderBy("start")
+    apart = F.when(F.col("start") > F.lag("start").over(w) + SPAN, 1).otherwise(0)
+    run = repeats.withColumn("apart", apart).withColumn("run", F.sum("apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max("start") + SPAN).alias("end"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
     return spans.filter(F.col("end") - F.col("start") >= least_bytes).drop("run")
 
 

@@ -114,6 +114,23 @@ def test_passages_are_caught_and_clean_documents_left(spark, empty):
     assert c.repeated_spans(empty).count() == 0
 
 
+@pytest.mark.parametrize("letters", [3, 4, 5])
+def test_passages_of_51_short_words_are_caught_at_every_offset(spark, letters):
+    rng = np.random.default_rng(letters)
+    prose = lambda n, k=4: " ".join("".join(rng.choice(list("abcdefghijkl"), k)) for _ in range(n))
+    passages, rows = [prose(51, letters) for _ in range(100)], []
+    for k, passage in enumerate(passages):
+        for _ in range(2):
+            rows.append((len(rows), prose(30)[: int(rng.integers(150))] + "|" + passage + "|" + prose(40)))
+    rows += [(len(rows) + k, "twin " + "xyz"[k % 3] * 3 + "a" * 115) for k in range(6)]
+    spans = c.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in spans} == {*range(1, 200, 2), 203, 204, 205}
+    text = {k: t.encode() for k, t in rows}
+    for r in spans:
+        lot, owners = text[r["doc_id"]], [text[o] for o in r["first_doc_ids"]]
+        assert all(any(lot[a : a + c.SPAN] in o for o in owners) for a in range(r["start"], r["end"] - c.SPAN + 1))
+
+
 def test_html_layout():
     page = "<title>no</title><h1>Head</h1><p>One <b>bold</b>,\n two<p>three<br>four<ul><li>a<li>b<ol start=3><li>x<li>y</ol><li>c</ul><table><caption>Cap<tr><th>Name<th>N<tr><td>ab<td>1</table><pre>  a\n   b</pre><div hidden>no</div><div style='display: none'>no</div><script>no</script>tail &amp; end"
     assert h.html_to_text(page) == "Head\n\nOne bold, two\n\nthree\nfour\n\n- a\n- b\n  3. x\n  4. y\n- c\n\nCap\nName  N\nab    1\n\n  a\n   b\n\ntail & end"
