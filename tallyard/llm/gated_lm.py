@@ -10,10 +10,9 @@ and the last class holds all rarer tokens and the unknown one, by count plus one
 unit that reads a document from its start, window by window, the state carried over, so a document's score is
 the log-likelihood of its complete text.
 
-Training: truncated backpropagation in numpy (Adam) on the training documents chosen by a hash: the larger of
-a TRAIN_SHARE of them and TRAIN_TOKENS tokens.  They are dealt to shards of about SHARD_TOKENS tokens; in
-each of ROUNDS rounds every shard trains from the common weights, and the weights are averaged by tokens in
-a tree of groups.
+Training: truncated backpropagation in numpy (Adam) on all training documents.  They are dealt by a hash of id and
+text to shards of about SHARD_TOKENS tokens; in each of ROUNDS rounds every shard trains from the common
+weights, and the weights are averaged by tokens in a tree of groups.
 
 Defined cases: a null or empty text is the end token alone; rows with a null doc_id train and are not held out;
 repeated rows get equal scores; an empty table gives no rows.  Unknown tokens count as count 0.
@@ -38,10 +37,9 @@ NEURAL, PER_CLASS, CLASSES = 512, 64, 32
 INPUTS = 2048
 HIDDEN = 16
 WINDOW = 16
-STREAMS = 64
-TRAIN_SHARE = 1 / 64
-TRAIN_TOKENS = 1_500_000
-SHARD_TOKENS = 400_000
+#: Parallel streams of a shard: so many that each is about STREAM_TOKENS long, between these bounds.
+STREAMS, MOST_STREAMS, STREAM_TOKENS = 64, 512, 6_250
+SHARD_TOKENS = 3_200_000
 ROUNDS = 2
 RATE = 0.01
 SCORE_TOKENS = 3_000_000
@@ -149,30 +147,34 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: list[np.ndarray], vocabulary: Vocabulary, w: dict[str, np.ndarray], seed: int) -> dict[str, np.ndarray]:
-    """One pass over the documents (ids with the end token) in parallel streams, windows of WINDOW steps."""
+    """One pass over the documents (ids with the end token) in parallel streams, windows of WINDOW steps.
+
+    The last stream goes on with the first tokens, so that all have one length.
+    """
     whole = np.concatenate(docs)
-    streams = min(STREAMS, max(1, len(whole) // WINDOW))
-    steps = len(whole) // streams
+    streams = min(MOST_STREAMS, max(STREAMS, len(whole) // STREAM_TOKENS), max(1, len(whole) // WINDOW))
+    steps = -(-len(whole) // streams)
     if not steps:
         return w
-    ids = whole[: streams * steps].reshape(streams, steps)
+    ids = np.resize(whole, (streams, steps))
     ends = vocabulary.rank.get(END, -1)
     state = np.zeros((streams, HIDDEN), np.float32)
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
     H, k = HIDDEN, 0
-    for at in range(0, steps - WINDOW + 1, WINDOW):
+    for at in range(0, steps, WINDOW):
         part = ids[:, at : at + WINDOW]
+        wide = part.shape[1]
         inputs, classes = vocabulary.inputs[part], vocabulary.classes[part]
         before, kept = [], []
-        for t in range(WINDOW):
+        for t in range(wide):
             before.append(state)
             state, more = advance(w, w["gates"][inputs[:, t]], state)
             goes_on = (part[:, t] != ends)[:, None]
             state = state * goes_on
             kept.append((*more, goes_on))
         hs = np.stack(before, 1).reshape(-1, H)
-        target, n = classes.reshape(-1), streams * WINDOW
+        target, n = classes.reshape(-1), streams * wide
         g = {key: np.zeros_like(v) for key, v in w.items()}
         d = np.exp(log_softmax(hs @ w["class_w"] + w["class_b"]))
         d[np.arange(n), target] -= 1
@@ -186,18 +188,21 @@ def train(docs: list[np.ndarray], vocabulary: Vocabulary, w: dict[str, np.ndarra
             d[np.arange(len(rows)), flat[rows] % PER_CLASS] -= 1
             g["member_w"][c], g["member_b"][c] = hs[rows].T @ d, d.sum(0)
             dh[rows] += d @ w["member_w"][c].T
-        dh = dh.reshape(streams, WINDOW, H)
-        carry = np.zeros((streams, H), np.float32)
-        for t in range(WINDOW - 1, -1, -1):
+        dh = dh.reshape(streams, wide, H)
+        carry, into = np.zeros((streams, H), np.float32), []
+        for t in range(wide - 1, -1, -1):
             z, r, m, am, goes_on = kept[t]
             carry = carry * goes_on
             dm = carry * (1 - z) * (1 - m * m)
             dz = carry * (before[t] - m) * z * (1 - z)
             dr = dm * am * r * (1 - r)
             da = np.concatenate([dz, dr, dm * r], 1)
-            np.add.at(g["gates"], inputs[:, t], np.concatenate([dz, dr, dm], 1))
+            into.append(np.concatenate([dz, dr, dm], 1))
             g["turn"] += before[t].T @ da
             carry = carry * z + da @ w["turn"].T + dh[:, t]
+        by_input = np.argsort(inputs[:, ::-1].T.reshape(-1), kind="stable")
+        some, at_input = np.unique(inputs[:, ::-1].T.reshape(-1)[by_input], return_index=True)
+        g["gates"][some] = np.add.reduceat(np.concatenate(into)[by_input], at_input)
         k += 1
         for key in w:
             grad = np.clip(g[key] / n * 16, -1, 1)
@@ -296,20 +301,29 @@ def score_rows(vocabulary: Vocabulary, w: dict[str, np.ndarray]):
     return run
 
 
+def dealt_rows(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Every row as shard, doc_id and ids (int32 of all its tokens); the shard by a hash of id and text."""
+    shards = max(1, math.ceil(vocabulary.total / SHARD_TOKENS))
+
+    def run(batches):
+        for batch in slices(batches):
+            ids = [vocabulary.ids(words(t)).tobytes() for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
+
+    return docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))).mapInArrow(run, "shard long, doc_id long, ids binary")
+
+
 def learn(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     """The trained weights; docs: training rows with doc_id and text."""
     w = vocabulary.weights()
     if not vocabulary.total:
         return w
-    share = max(TRAIN_SHARE, min(1.0, TRAIN_TOKENS / vocabulary.total))
-    shards = max(1, math.ceil(share * vocabulary.total / SHARD_TOKENS))
-    chosen = docs.filter(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(1 << 20)) < int(share * (1 << 20)))
-    dealt = stored(chosen.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards))), "lm-train")
+    dealt = stored(dealt_rows(docs, vocabulary), "lm-train")
 
     for turn in range(ROUNDS):
         def one(table: pa.Table) -> pa.Table:
-            rows = sorted(zip(table["doc_id"].to_pylist(), (texts(b)[0] for b in slices(table.select(["text"]).to_batches(), 1))), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-            ids = [vocabulary.ids(words(t)) for _, t in rows]
+            rows = sorted(zip(table["doc_id"].to_pylist(), table["ids"].to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+            ids = [np.frombuffer(x, np.int32) for _, x in rows]
             order = np.random.default_rng(turn).permutation(len(ids))
             got = train([ids[i] for i in order], vocabulary, {k: v.copy() for k, v in w.items()}, turn)
             return pa.table({"shard": table["shard"][:1], "tokens": pa.array([float(sum(map(len, ids)))]), "weights": pa.array([pack(got)], pa.binary())})
@@ -321,7 +335,7 @@ def learn(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
 
         schema = "shard long, tokens double, weights binary"
         rows = dealt.groupBy("shard").applyInArrow(one, schema)
-        n = shards
+        n = max(1, math.ceil(vocabulary.total / SHARD_TOKENS))
         while n > 1:
             n = -(-n // 32)
             rows = rows.withColumn("shard", F.pmod("shard", F.lit(n))).groupBy("shard").applyInArrow(mean, schema)

@@ -117,5 +117,25 @@ def test_state_is_carried_and_gradients_fit():
     assert np.allclose(g.likelihoods([docs[0][:70], docs[0]], v, w), alone[::-1], rtol=1e-5)
 
 
+def test_every_training_document_is_learned(spark):
+    """However large the corpus: the vocabulary says that it has a thousand million tokens."""
+    top = [(f"w{k}".encode(), 10**7) for k in range(100)]
+    v = g.Vocabulary(top, 10**9, 100)
+    text = lambda k: " ".join(f"w{(k * 7 + i * i) % 100}" for i in range(60))
+    rows = [(k if k % 3 else None, text(k)) for k in range(30)]
+    frame = lambda some: spark.createDataFrame(some, "doc_id long, text string")
+    whole = g.pack(g.learn(frame(rows), v))
+    assert all(g.pack(g.learn(frame(rows[:k] + rows[k + 1 :]), v)) != whole for k in (0, 1, 29))
+    dealt = g.dealt_rows(frame(rows), v).collect()
+    assert sorted((r["doc_id"] or 0, bytes(r["ids"])) for r in dealt) == sorted((k or 0, v.ids(g.words(t.encode())).tobytes()) for k, t in rows)
+    assert len({r["shard"] for r in dealt if r["doc_id"] is None}) > 5
+
+
+def test_no_token_is_left_at_the_end():
+    v = g.Vocabulary([(b"a", 10), (b"b", 10)], 20, 2)
+    a, b = (g.train([np.array([0] * 1500 + [k], np.int32)], v, v.weights(), 0) for k in (0, 1))
+    assert any((a[k] != b[k]).any() for k in a)
+
+
 def test_lm_edge_cases(empty):
     assert g.lm_scores(empty).count() == 0
