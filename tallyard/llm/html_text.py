@@ -1,11 +1,13 @@
 """HTML extraction by layout-aware rendering.
 
 A tokeniser feeds a tree builder that opens and closes what HTML implies (paragraphs, list items, table rows
-and cells, options, definition terms), flattens what is nested deeper than DEPTH and drops what is not
-shown: head, script, style, template and the like, the hidden attribute, display:none and
-visibility:hidden, hidden inputs.  The renderer then writes all visible text: white space collapses outside pre,
+and cells, options, definition terms; head, whose end tag may be missing, needs no element, as all that may stand in
+it is unseen by itself), flattens what is nested deeper than DEPTH and drops what is not shown: title, script, style,
+template and the like, the hidden attribute, display:none and visibility:hidden, hidden inputs, options that are
+not selected in a drop-down list, all of svg but its texts and foreign objects.  The renderer then writes all visible text: white space collapses outside pre,
 blocks stand on lines of their own, headings, paragraphs, lists and tables with a blank line around them, list
-items with a bullet or number and an indent per level, table cells padded to the width of their column.
+items with a bullet or number and an indent per level, table cells padded to the width of their column, below cells
+that span rows too.
 
 Defined cases: a null or empty page gives an empty text; text without tags is rendered as it is; unclosed and
 misnested tags never fail; repeated rows give equal texts; an empty table gives no rows.
@@ -27,7 +29,11 @@ DEPTH = 256
 
 # Fixed element lists of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title object iframe canvas audio video svg math datalist select textarea".split())
+UNSEEN = frozenset("script style template noscript title object iframe canvas audio video datalist".split())
+SVG_UNSEEN = frozenset("defs symbol clippath mask pattern marker desc metadata lineargradient radialgradient filter".split())
+#: HTML start tags that end an open svg or math, unless one of INSIDE is open in it.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCK = SPACED | frozenset("html body address article aside center dd details dialog div dt figcaption footer form header hgroup legend li main menu nav option section summary caption tr thead tbody tfoot td th".split())
 #: A start tag of the key closes open elements of the value, up to the element after the bar.
@@ -42,6 +48,7 @@ IMPLIED = {
     "tbody": ("td th tr thead tbody tfoot caption colgroup", "table"),
     "tfoot": ("td th tr thead tbody tfoot caption colgroup", "table"),
     "option": ("option", "select"),
+    "optgroup": ("option optgroup", "select"),
 }
 IMPLIED = {k: (frozenset(closed.split()), frozenset(stop.split())) for k, (closed, stop) in IMPLIED.items()}
 CLOSE_P = BLOCK - frozenset("html body td th tr thead tbody tfoot caption option legend".split())
@@ -62,6 +69,17 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.foreign = False  # whether the page has an svg or math
+
+    def foreign_at(self) -> int:
+        """Where the innermost open svg or math is whose content is not HTML again; 0 if there is none."""
+        if self.foreign:
+            for k in range(len(self.open) - 1, 0, -1):
+                if self.open[k].tag in ("svg", "math"):
+                    return k
+                if self.open[k].tag in INSIDE:
+                    break
+        return 0
 
     def close_implied(self, tag: str) -> None:
         if tag in CLOSE_P:
@@ -85,18 +103,24 @@ class TreeBuilder(HTMLParser):
                 del self.open[low:]
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body"):
+        if self.foreign and tag in BREAKOUT and (k := self.foreign_at()):
+            del self.open[k:]
+        if tag in ("html", "head", "body"):
             return
+        self.foreign |= tag in ("svg", "math")
         self.close_implied(tag)
         if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self.handle_starttag("tr", [])
-        node = Node(tag, {k: v or "" for k, v in attrs if k in ("hidden", "style", "type", "start", "value", "colspan")})
+        node = Node(tag, {k: v or "" for k, v in attrs if k in ("hidden", "style", "type", "start", "value", "colspan", "rowspan", "selected", "disabled", "multiple", "size", "label", "display", "visibility")})
         self.open[-1].children.append(node)
         if tag not in VOID and len(self.open) < DEPTH:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if tag in ("svg", "math") or self.foreign_at():
+            if self.open[-1].tag == tag and not self.open[-1].children:
+                self.open.pop()
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -190,6 +214,16 @@ class Renderer:
             elif tag == "input":
                 if child.attrs.get("type", "").lower() in ("submit", "button", "reset"):
                     self.text(f" {child.attrs.get('value', '')} ", False)
+            elif tag == "textarea":
+                self.line += " " if self.line and not self.line.endswith(" ") else ""
+                self.text(re.sub(r"^\r?\n", "", "".join(raw_text(child))), True)
+                self.space = True
+            elif tag == "select":
+                self.options(child)
+            elif tag == "svg":
+                self.drawing(child)
+            elif node.tag == "semantics" and tag in ("annotation", "annotation-xml"):
+                continue
             elif tag == "li":
                 value = child.attrs.get("value", "")
                 number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else number + 1
@@ -213,6 +247,55 @@ class Renderer:
                 self.children(child, pre)
 
 
+    def options(self, node: Node) -> None:
+        """A list box shows all options and group labels, a drop-down list the one selected (the first if none is)."""
+        found = []
+
+        def gather(part: Node) -> None:
+            for child in part.children:
+                if isinstance(child, str) or not visible(child):
+                    continue
+                if child.tag == "option":
+                    found.append((child, child.attrs.get("label") or " ".join(SPACE.split("".join(raw_text(child)).strip()))))
+                else:
+                    if child.tag == "optgroup":
+                        found.append((child, child.attrs.get("label", "")))
+                    gather(child)
+
+        gather(node)
+        size = node.attrs.get("size", "")
+        if "multiple" in node.attrs or (re.fullmatch(r"\d{1,9}", size) and int(size) > 1):
+            self.newline()
+            for _, label in found:
+                self.text(label, False)
+                self.newline()
+            return
+        some = [x for x in found if x[0].tag == "option"]
+        chosen = [x for x in some if "selected" in x[0].attrs][-1:] or [x for x in some if "disabled" not in x[0].attrs][:1]
+        for _, label in chosen:
+            self.text(f" {label} ", False)
+
+    def drawing(self, node: Node) -> None:
+        for child in node.children:
+            if isinstance(child, str) or not visible(child) or child.tag in SVG_UNSEEN or child.attrs.get("display") == "none" or child.attrs.get("visibility") in ("hidden", "collapse"):
+                continue
+            if child.tag in ("text", "foreignobject"):
+                self.text(" ", False)
+                self.children(child)
+                self.text(" ", False)
+            else:
+                self.drawing(child)
+
+
+def raw_text(node: Node):
+    """The texts of a node and of the visible nodes in it."""
+    for child in node.children:
+        if isinstance(child, str):
+            yield child
+        elif visible(child):
+            yield from raw_text(child)
+
+
 def rendered(node: Node) -> list[str]:
     r = Renderer()
     r.children(node)
@@ -222,7 +305,7 @@ def rendered(node: Node) -> list[str]:
 def table_lines(table: Node) -> list[str]:
     """Captions and what stands outside the cells, then the rows in document order with cells padded to their columns.
 
-    A spanning cell fills its columns.
+    A spanning cell fills its columns, and keeps them free in the further rows that it spans, up to the end of its section.
     """
     captions, rows, stray = [], [], Node("div", {})
 
@@ -233,23 +316,32 @@ def table_lines(table: Node) -> list[str]:
             elif not visible(child):
                 continue
             elif child.tag == "tr":
-                rows.append(child)
+                rows.append((node, child))
             elif child.tag == "caption":
                 captions.append(child)
             elif child.tag not in ("col", "colgroup"):
                 gather(child)
 
     gather(table)
-    grid = []
-    for row in rows:
-        cells = []
+    grid, section, taken = [], None, {}  # taken: rows that a column is still spanned for
+    for of, row in rows:
+        if of is not section:
+            section, taken = of, {}
+        cells, held = [], {k: n - 1 for k, n in taken.items() if n > 1}
         for cell in row.children:
             if isinstance(cell, str) or cell.tag not in ("td", "th"):
                 stray.children.append(cell)
             elif visible(cell):
                 span = cell.attrs.get("colspan", "")
                 wide = min(int(span), 100) if re.fullmatch(r"[1-9]\d{0,3}", span) else 1
+                span = cell.attrs.get("rowspan", "")
+                high = (int(span) or 65534) if re.fullmatch(r"\d{1,5}", span) else 1
+                while len(cells) in taken:
+                    cells.append("")
+                if high > 1:
+                    held |= dict.fromkeys(range(len(cells), len(cells) + wide), high - 1)
                 cells += [" ".join(x.strip() for x in rendered(cell) if x.strip()), *[""] * (wide - 1)]
+        taken = held
         if any(cells):
             grid.append(cells)
     widths = [max((len(r[k]) for r in grid if k < len(r)), default=0) for k in range(max(map(len, grid), default=0))]

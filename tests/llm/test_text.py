@@ -146,6 +146,39 @@ def test_html_edge_cases(page, text):
     assert h.html_to_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<!DOCTYPE html><html><head><title>t</title><meta charset=utf-8><body><p>a<div>b</div>", "a\n\nb"),
+    ("<html><head><title>t</title><link rel=x><script>s</script><p>a", "a"),
+    ("<head><style>s</style>a<b>b</b>", "ab"),
+    ("<p>a<head><title>t</title></head>b", "ab"),
+])
+def test_head_needs_no_end_tag(page, text):
+    assert h.html_to_text(page) == text
+
+
+@pytest.mark.parametrize("page, text", [
+    ("a<textarea>\nb  c\nd</textarea>e", "a b  c\nd e"),
+    ("in <select><option>a<option selected>b  c<option>d</select>end", "in b c end"),
+    ("in <select><option disabled>a<optgroup label=g><option>b</select>end", "in b end"),
+    ("in <select multiple><option>a<optgroup label=g><option label=l>b</optgroup></select>end", "in\na\ng\nl\nend"),
+    ("<svg><title>t</title><defs><text>d</text></defs><path d='M0'/><g><text>a <tspan>b</tspan></text></g>x<text>c</text></svg>end", "a b c end"),
+    ("<svg><defs/><text>a</text><foreignObject><p>b</p></foreignObject></svg>", "a\n\nb"),
+    ("<svg><path><p>a<svg/>b", "ab"),
+    ("<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>tex</annotation></semantics></math> is", "x=1 is"),
+])
+def test_controls_and_drawings_show_their_text(page, text):
+    assert h.html_to_text(page) == text
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<table><tr><td rowspan=2>aa<td>b<tr><td>c<tr><td>d<td>e</table>", "aa  b\n    c\nd   e"),
+    ("<table><tr><td>a<td rowspan=0 colspan=2>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g</table>", "a  b    c\nd       e\nf  g"),
+    ("<table><thead><tr><th rowspan=9>h<th>i<tbody><tr><td>a<td>b</table>", "h  i\na  b"),
+])
+def test_cells_that_span_rows(page, text):
+    assert h.html_to_text(page) == text
+
+
 def test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     out = h.extract_pages(pages)
