@@ -74,15 +74,18 @@ def cemgil(truth: DataFrame, pred: DataFrame, key: str, at: str, sigma: float =
     return out.select(key, "n_true", "n_pred", (F.col("_s") / ((F.col("n_true") + F.col("n_pred")) / 2)).alias("cemgil"))
 
 
-def p_score(truth: DataFrame, pred: DataFrame, key: str, at: str, widest: float) -> DataFrame:
+def p_score(truth: DataFrame, pred: DataFrame, key: str, at: str) -> DataFrame:
     """Pairs within 20% of the key's median true interval, over the larger count.
 
-    widest bounds that distance and is the bucket width of the range join.
+    That distance (a little more, against rounding) is the width of the key's own buckets in the range join.
     """
     step = truth.withColumn("_d", F.col(at) - F.lag(at).over(Window.partitionBy(key).orderBy(at)))
     reach = step.groupBy(key).agg((0.2 * F.percentile("_d", F.lit(0.5))).alias("reach"), F.count("*").alias("n_true"))
-    pairs = near_pairs(truth.select(key, at), pred.select(key, at), key, at, widest).join(reach, key)
-    hits = pairs.filter(F.abs(F.col(at) - F.col(f"other_{at}")) <= F.least("reach", F.lit(widest))).groupBy(key).agg(F.count("*").alias("hits"))
+    wide = reach.filter("reach is not null").select(key, "reach", F.when(F.col("reach") > 0, F.col("reach") * 1.001).otherwise(1.0).alias("_w"))
+    bucket = F.floor(F.col(at) / F.col("_w"))
+    left = truth.select(key, at).join(wide, key).withColumn("_b", bucket)
+    right = pred.select(key, at).join(wide.drop("reach"), key).withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1))).select(key, "_b", F.col(at).alias("_other"))
+    hits = left.join(right, [key, "_b"]).filter(F.abs(F.col(at) - F.col("_other")) <= F.col("reach")).groupBy(key).agg(F.count("*").alias("hits"))
     n = pred.groupBy(key).agg(F.count("*").alias("n_pred"))
     out = reach.join(n, key, "left").join(hits, key, "left")
     return out.select(key, "n_true", F.coalesce("n_pred", F.lit(0)).alias("n_pred"), (F.coalesce("hits", F.lit(0)) / F.greatest("n_true", F.coalesce("n_pred", F.lit(0)))).alias("p_score"))

@@ -47,7 +47,7 @@ def cemgil(spark, d):
  n AS (SELECT track, count(*) AS n_pred FROM pr GROUP BY 1), h AS (SELECT tr.track, count(*) AS hits FROM tr JOIN pr ON tr.track = pr.track JOIN re ON re.track = tr.track WHERE abs(tr.sec - pr.sec) <= least(reach, 43200) GROUP BY 1)
  SELECT re.track, n_true, coalesce(n_pred, 0) AS n_pred, round(coalesce(hits, 0) / greatest(n_true, coalesce(n_pred, 0)), 6) AS p_score FROM re LEFT JOIN n USING (track) LEFT JOIN h USING (track)""")
 def p_score(spark, d):
-    return e.p_score(event_times(spark, d, "click"), event_times(spark, d, "view"), "track", "sec", 43200.0).select("track", "n_true", "n_pred", r("p_score"))
+    return e.p_score(event_times(spark, d, "click"), event_times(spark, d, "view"), "track", "sec").select("track", "n_true", "n_pred", r("p_score"))
 
 
 GRID = "gr AS (SELECT user_id, user_id % 10 AS genre, CAST(k AS INT) AS k, CAST(k * 5 AS DOUBLE) AS cut, 1 - abs(value - k * 5) / (value + k * 5 + 1) AS score FROM events, (SELECT unnest(range(1, 7)) AS k))"

@@ -76,6 +76,32 @@ def test_event_matching(spark):
     assert abs(events.cemgil(b, b, "k", "t").filter("k = 't'").first()["cemgil"] - 1) < 1e-9
 
 
+def test_p_score_reaches_as_far_as_the_track(spark):
+    """At any scale of time; one track is slow, one has equal times, one a single event, one no prediction."""
+    times = {"a": [0.0, 1e6, 2e6, 3.5e6], "b": [5.0, 5.0, 5.0], "c": [1.0], "d": [0.0, 3.0]}
+    found = {"a": [2e5, 2.1e5, 1.15e6, 1.8e6, 2.2e6, 3e6], "b": [5.0, 5.5], "c": [1.0], "e": [2.0]}
+    frame = lambda some: spark.createDataFrame([(k, t) for k, ts in some.items() for t in ts], "k string, t double")
+    got = {r.k: (r.n_true, r.n_pred, r.p_score) for r in events.p_score(frame(times), frame(found), "k", "t").collect()}
+    assert got == {"a": (4, 6, 4 / 6), "b": (3, 2, 1.0), "c": (1, 1, 0.0), "d": (2, 0, 0.0)}
+
+
+def test_p_score_query_has_no_cap(spark):
+    import statistics
+
+    from tallyard.plans import registry
+    from tallyard.plans.panel import event_times
+
+    d = "/root/testdata/sf0.01"
+    by = lambda kind: {r.track: sorted(r.secs) for r in event_times(spark, d, kind).groupBy("track").agg(F.collect_list("sec").alias("secs")).collect()}
+    true, pred, far = by("click"), by("view"), 0
+    for r in registry.queries()["A38_p_score"](spark, d).collect():
+        t, p = true.pop(r.track), pred.get(r.track, [])
+        reach = 0.2 * statistics.median([y - x for x, y in zip(t, t[1:])]) if len(t) > 1 else -1
+        far += reach > 43200
+        assert abs(r.p_score - sum(abs(x - y) <= reach for x in t for y in p) / max(len(t), len(p))) < 2e-6
+    assert not true and far == 21
+
+
 def test_plateau_and_gap(spark):
     v = [0, 1, 5, 5, 5, 1, 4, 0, 9, 0]
     df = spark.createDataFrame([("s", i, float(x)) for i, x in enumerate(v)], "s string, f int, v double")
