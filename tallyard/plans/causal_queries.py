@@ -13,6 +13,7 @@ from .panel import PANEL, panel
 from .registry import query
 
 REPS = 200
+DRAWS_OF_MEANS = 1000
 
 
 def r(c, n=6):
@@ -27,7 +28,7 @@ def boot_sql(parts: str, num: str, den: str, reps: int, seed: str, low: float, h
 
 @query("R2_boot_ratio", f"WITH {PANEL}, pa AS (SELECT row_number() OVER (ORDER BY entity) - 1 AS k, sum(win) AS a, sum(1.0::DOUBLE) AS n FROM panel GROUP BY entity), {boot_sql('pa', 'a', 'n', REPS, 'r2', 0.025, 0.975)} SELECT round((SELECT sum(a) / sum(n) FROM pa), 6) AS estimate, (SELECT count(*) FROM pa) AS n_clusters, round(low, 6) AS low, round(high, 6) AS high FROM ci")
 def boot_ratio(spark, d):
-    return c.boot_ratio(panel(spark, d).withColumn("one", F.lit(1.0)), "entity", "win", "one", REPS, "r2").select(r("estimate"), "n_clusters", r("low"), r("high"))
+    return c.boot_ratio(panel(spark, d).withColumn("one", F.lit(1.0)), "entity", "win", "one", DRAWS_OF_MEANS, "r2").select(r("estimate"), "n_clusters", r("low"), r("high"))
 
 
 DELTAS = PANEL + """, cc AS (SELECT entity, item, count(*) AS n FROM panel GROUP BY 1, 2), tt AS (SELECT entity, sum(n) AS a FROM cc GROUP BY 1), fm AS (SELECT entity, item, n / a AS f FROM cc JOIN tt USING (entity)),
@@ -41,7 +42,7 @@ def deltas(spark, d):
 
 @query("R3_boot_mean", f"WITH {DELTAS}, pa AS (SELECT row_number() OVER (ORDER BY entity) - 1 AS k, delta, 1.0::DOUBLE AS n FROM dd), {boot_sql('pa', 'delta', 'n', REPS, 'r3', 0.025, 0.975)} SELECT round((SELECT avg(delta) FROM pa), 6) AS estimate, (SELECT count(*) FROM pa) AS n_clusters, round(low, 6) AS low, round(high, 6) AS high FROM ci")
 def boot_mean(spark, d):
-    return c.boot_mean(deltas(spark, d), "entity", "delta", REPS, "r3").select(r("estimate"), "n_clusters", r("low"), r("high"))
+    return c.boot_mean(deltas(spark, d), "entity", "delta", DRAWS_OF_MEANS, "r3").select(r("estimate"), "n_clusters", r("low"), r("high"))
 
 
 DRAWS = f"""nm AS (SELECT contest, row_number() OVER (ORDER BY contest) - 1 AS k FROM (SELECT DISTINCT contest FROM panel WHERE period = 1998)), mm AS (SELECT count(*) AS m FROM nm),

@@ -51,6 +51,25 @@ def test_bootstrap_of_a_constant(spark):
     assert (r["estimate"], r["low"], r["high"], r["n_clusters"]) == (2.0, 2.0, 2.0, 20)
 
 
+def test_intervals_of_means_take_a_thousand_draws(spark):
+    """Each draw takes as many clusters as there are, by the hashed uniform of draw and slot."""
+    import numpy as np
+
+    from tallyard.plans import causal_queries as q
+    from tallyard.plans.panel import panel
+
+    d = "/root/testdata/sf0.001"
+    parts = {"r2": panel(spark, d).groupBy("entity").agg(F.sum("win").alias("a"), F.count("*").alias("n")), "r3": q.deltas(spark, d).select("entity", F.col("delta").alias("a"), F.lit(1).alias("n"))}
+    for seed, query in (("r2", q.boot_ratio), ("r3", q.boot_mean)):
+        a, n = np.array([(r.a, r.n) for r in parts[seed].orderBy("entity").collect()], float).T
+        u = spark.range(1000).select(F.col("id").alias("rep")).crossJoin(spark.range(len(a)).select(F.col("id").alias("slot"))).select("rep", s.hash_uniform(seed, "rep", "slot").alias("u")).toArrow()
+        k = np.floor(u["u"].to_numpy() * len(a)).astype(int)
+        means = np.bincount(u["rep"].to_numpy(), a[k]) / np.bincount(u["rep"].to_numpy(), n[k])
+        got = query(spark, d).first()
+        assert got.n_clusters == len(a) and abs(got.estimate - a.sum() / n.sum()) < 2e-6
+        assert np.allclose([got.low, got.high], np.quantile(means, [0.025, 0.975]), atol=2e-6)
+
+
 def test_pair_ridge_normal_equations(spark):
     data = [("a", "b", 3.0), ("b", "a", -2.5), ("a", "c", 1.0), ("c", "b", 0.5), ("b", "c", -1.0)]
     theta = models.fit_pair_ridge(spark.createDataFrame(data, "a string, b string, y double"), "a", "b", "y", 2.0)
