@@ -7,34 +7,48 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: A node with more than one in HOT of all edges is a hub; there are at most 2 HOT of them, so they are broadcast.
+HOT = 2000
 
-def large_star(edges: DataFrame) -> DataFrame:
+
+def with_least(edges: DataFrame, keyed: DataFrame, total: int) -> DataFrame:
+    """keyed (u, v) with m, the least neighbour of u among edges (u, v).
+
+    The minima of hubs are broadcast (2 HOT rows at most, by the sum of the degrees), so that a hub's edges stay where they
+    are; the others meet theirs in a join in which no key has more than total / HOT rows.
+    """
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("k"), "m", (F.col("n") > total / HOT).alias("hub")), "least")
+    hubs = F.broadcast(least.filter("hub").select(F.col("k").alias("hub"), F.col("m").alias("hub_m")))
+    marked = keyed.join(hubs, F.col("u") == F.col("hub"), "left")
+    light = marked.filter("hub is null").select("u", "v").join(least.filter("not hub").select("k", "m"), F.col("u") == F.col("k")).select("u", "v", "m")
+    return marked.filter("hub is not null").select("u", "v", F.col("hub_m").alias("m")).unionByName(light)
+
+
+def large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node's larger neighbours are linked to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return with_least(both, both.filter("v > u"), 2 * total).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node and its smaller neighbours are linked to the smallest of them.  edges: u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-    moved = edges.join(least, F.col("u") == F.col("k"))
-    return moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
+    moved = with_least(edges, edges, total)
+    return moved.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of the (u, v) edges; component is the smallest node reachable.
 
-    Each round is written to the shared folder; rounds grow with the logarithm of the longest path.  Hub nodes are minima
-    of a partial aggregate and one side of a join that Spark splits.
+    Each step is written to the shared folder; rounds grow with the logarithm of the longest path.
     """
-    edges = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     mark = None
+    edges = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     while True:
-        edges = stored(small_star(large_star(edges)).distinct(), name)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == mark:
             break
         mark = now
+        edges = stored(large_star(edges, now["n"]).distinct(), name)
+        edges = stored(small_star(edges, now["n"]).distinct(), name)
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

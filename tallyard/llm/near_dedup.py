@@ -3,24 +3,28 @@
 A document is the set of its distinct five-word shingles (A-Z lower-cased; a shorter text is one shingle).
 Two documents are linked when 100 |A and B| >= 75 |A or B|.
 
-1. Each text gives a 128-bit digest of its set and PERMUTATIONS minimum hashes.  Equal sets collapse to
-   one representative (the smallest doc_id), however many copies there are.
-2. BANDS bands of ROWS hashes propose candidates: representatives that agree on a band share a bucket.
+1. Each text gives a 128-bit digest of its set and PERMUTATIONS minimum hashes.  Equal sets are one class, whose
+   node is its smallest doc_id, however many copies there are.
+2. BANDS bands of ROWS hashes propose candidates: classes that agree on a band share a bucket.
    A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
-3. A bucket is cut into blocks of BLOCK members, and each pair of blocks is one small task group, so no
-   group is large and no list of all pairs is ever written.  There, signatures are compared batch by batch:
-   after n hashes with m agreements the posterior probability of a similarity of 0.75 or more (uniform prior:
-   a binomial tail) is compared with MISS, and the pair is dropped below it.  What survives is joined into
-   trees in each group, and the trees into families: every surviving pair has both ends in one family.
-4. The families' documents are read once more, and each family is cut into pairs of blocks the same way. A pair
-   that passes the Bayesian bound and is not linked already in its group is verified exactly on the full sets;
-   the trees that the links form are kept.
-5. Components of the links give the classes; component_id is the smallest doc_id.
+3. In each bucket signatures are compared batch by batch: after n hashes with m agreements the posterior
+   probability of a similarity of 0.75 or more (uniform prior: a binomial tail) is compared with MISS, and the pair is
+   dropped below it.  The surviving pairs join the classes into families.
+4. The families' documents are read once more; pairs in a family that pass the Bayesian bound are verified exactly on the
+   full sets.
+5. Components of the links give component_id, the smallest doc_id.
+
+Steps 3 and 4 share one scheme (``settle``).  A group of at most a block is compared in one place.  Of a larger one, every member
+is first compared with HUBS members drawn by hash, block by block, so that each is sent once; components of what that
+joins then say which members still have to meet: pairs of blocks that hold different components.  Copies of one template are
+joined by the hubs, and the few strays that no hub joins are sent to the others' blocks, so no pair is left out and a
+group of n near copies costs n rows.  Only members that are candidates of each other but not linked meet pairwise.
 
 Shingles are 64-bit hashes built from the words' 64-bit hashes, so sets are exact but for collisions of 2^-64.
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; a null doc_id is linked with nothing
-(component_id null, kept); rows that repeat a doc_id are one node; an empty table gives no rows.
+(component_id null, kept); rows that repeat a doc_id are one node and link all that any of their texts is
+linked with; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +45,7 @@ PERMUTATIONS = 128
 BANDS, ROWS = 32, 4
 BLOCK = 256
 FAMILY_BLOCK = 64
+HUBS = 6
 BATCH = 16
 MISS = 1e-7
 LEAST, OF = 75, 100
@@ -148,12 +153,23 @@ class Forest:
         return x != y
 
 
-def block_pairs(blocks: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of a group: within block i if i = j, else of block i with block j."""
-    if i == j:
-        return np.triu_indices(len(blocks), 1)
-    a, b = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
-    return np.repeat(a, len(b)), np.tile(b, len(a))
+WHOLE, HUB, MEMBER, LEFT, RIGHT = range(5)
+
+
+def pairs(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs that a task group compares, by the roles of its rows: all of WHOLE, hubs with each other and
+    with members, left with right; only those of different components, where these are known (known)."""
+    role, comp, known = numbers(parts, "role"), numbers(parts, "comp"), numbers(parts, "known")
+    some = np.flatnonzero(role <= HUB)
+    i, j = np.triu_indices(len(some), 1)
+    a, b = [some[i]], [some[j]]
+    for one, other in ((HUB, MEMBER), (LEFT, RIGHT)):
+        x, y = np.flatnonzero(role == one), np.flatnonzero(role == other)
+        a.append(np.repeat(x, len(y)))
+        b.append(np.tile(y, len(x)))
+    a, b = np.concatenate(a), np.concatenate(b)
+    apart = (comp[a] != comp[b]) | ~known[a]
+    return a[apart], b[apart]
 
 
 def grouped(batches, keys: tuple[str, ...]):
@@ -211,15 +227,15 @@ def band_keys(batches):
     for batch in slices(batches, 2048):
         sig = fixed([batch], "sig", np.uint16) if batch.num_rows else np.zeros((0, PERMUTATIONS), np.uint16)
         keys = mix(np.ascontiguousarray(sig).view(np.uint64).reshape(len(sig), BANDS) + mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(7))[None])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), BANDS)), pa.array(keys.reshape(-1).view(np.int64))], names=["rep", "bucket"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), BANDS)), pa.array(keys.reshape(-1).view(np.int64))], names=["rep", "grp"])
 
 
 def bucket_forest(batches):
-    """The trees of the surviving pairs of each block pair of a bucket, as stars."""
+    """The trees of the surviving pairs of each task group, as stars."""
     bounds, out = least_agreements(), []
-    for (_, i, j), parts in grouped(batches, ("bucket", "i", "j")):
-        reps, sig, blocks = numbers(parts, "rep"), fixed(parts, "sig", np.uint16), numbers(parts, "block")
-        a, b = block_pairs(blocks, i, j)
+    for _, parts in grouped(batches, KEYS):
+        reps, sig = numbers(parts, "rep"), fixed(parts, "sig", np.uint16)
+        a, b = pairs(parts)
         forest = Forest(len(reps))
         for at in range(0, len(a), 8192):
             x, y = a[at : at + 8192], b[at : at + 8192]
@@ -235,7 +251,9 @@ def family_sets(batches):
     known = worker_cache("shingle_words")
     for batch in slices(batches):
         sets = [shingles(t, known) for t in texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("family"), batch.column("blocks"), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.large_binary())], names=["rep", "family", "blocks", "sig", "shingles"])
+        raw = [s.tobytes() for s in sets]
+        digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw)), "<i8").reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("rep"), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array(raw, pa.large_binary()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], names=["grp", "rep", "sig", "shingles", "d1", "d2"])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -246,12 +264,12 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def family_links(batches):
-    """The trees of the links, verified on the full sets, of each block pair of a family, as stars."""
+    """The trees of the links, verified on the full sets, of each task group, as stars."""
     bounds, out = least_agreements(), []
-    for (_, i, j), parts in grouped(batches, ("family", "i", "j")):
-        reps, sig, blocks = numbers(parts, "rep"), fixed(parts, "sig", np.uint16), numbers(parts, "block")
+    for _, parts in grouped(batches, KEYS):
+        reps, sig = numbers(parts, "rep"), fixed(parts, "sig", np.uint16)
         sets = [np.frombuffer(x, np.uint64) for p in parts for x in p.column("shingles").to_pylist()]
-        a, b = block_pairs(blocks, i, j)
+        a, b = pairs(parts)
         keep = survivors(sig[a], sig[b], bounds)
         a, b = a[keep], b[keep]
         order = np.argsort(-(sig[a] == sig[b]).sum(1), kind="stable")  # the likeliest links first
@@ -265,11 +283,66 @@ def family_links(batches):
     yield edge_batch(out)
 
 
-def by_block_pairs(rows: DataFrame, key: str, count: str) -> DataFrame:
-    """Each row once for every pair of blocks that its own block is in: columns i <= j and block."""
-    block = F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
-    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", count)
+KEYS = ("grp", "i", "j")
+EDGES = "u long, v long"
+
+
+def placed(rows: DataFrame, role, i=0, j=0, comp=None) -> DataFrame:
+    """rows with the columns that say where and how they are compared."""
+    at = {"i": i, "j": j, "role": role}
+    rows = rows.withColumns({k: v if not isinstance(v, int) else F.lit(v) for k, v in at.items()})
+    rows = rows.withColumns({"i": F.col("i").cast("long"), "j": F.col("j").cast("long"), "known": F.lit(comp is not None)})
+    return rows.withColumn("comp", F.lit(0).cast("long") if comp is None else comp)
+
+
+def settle(members: DataFrame, sizes: DataFrame, block: int, compare, name: str) -> DataFrame:
+    """Components (node, component) of the pairs that compare joins in the groups of members (grp, rep and more).
+
+    sizes: grp and members (their number) of the groups with two members or more.
+    """
+    columns = [*members.columns, "i", "j", "role", "known", "comp"]
+    run = lambda rows: rows.select(*columns).repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(compare, EDGES)
+    in_one = placed(members.join(sizes.filter(f"members <= {block}").select("grp"), "grp"), WHOLE)
+    large = stored(sizes.filter(f"members > {block}").select("grp", F.ceil(F.col("members") / block).cast("long").alias("blocks")), name + "-large")
+    if large.isEmpty():
+        return components(run(in_one), name)
+
+    held = stored(members.join(large, "grp"), name + "-held")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    draws = F.array(*(F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(HUBS)))
+    hubs = stored(held.groupBy("grp").agg(F.array_distinct(draws).alias("rep")).select("grp", F.explode("rep").alias("rep")), name + "-hubs")
+    of_hub = held.join(hubs, ["grp", "rep"]).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    star = placed(of_hub, HUB, F.col("at")).select(*columns).unionByName(placed(held.join(hubs, ["grp", "rep"], "left_anti"), MEMBER, own).select(*columns))
+    edges = stored(run(in_one.select(*columns).unionByName(star)).distinct(), name + "-stars")
+    found = components(edges, name).select(F.col("node").alias("rep"), "component")
+
+    # What is left: pairs of different components.  A component of more than a block has blocks of its own (big is its name),
+    # the other members of a group share blocks by hash (big is null).
+    marked = stored(held.drop("blocks").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), name + "-marked")
+    parts = stored(marked.groupBy("grp", "component").agg(F.count("*").alias("n")), name + "-parts")
+    big = F.when(F.col("n") > block, F.col("component"))
+    lots = parts.groupBy("grp", big.alias("big")).agg(F.ceil(F.sum("n") / block).cast("long").alias("blocks"), F.count("*").alias("comps"))
+    lots = lots.withColumn("big_key", F.xxhash64("grp", F.coalesce(F.col("big").cast("string"), F.lit("-"))))
+    several = lots.groupBy("grp").agg(F.sum("comps").alias("comps"), F.collect_list(F.struct("big", "big_key", "blocks")).alias("lot")).filter("comps > 1")
+    lot = F.expr("flatten(transform(lot, x -> transform(sequence(0L, x.blocks - 1), k -> struct(x.big as big, x.big_key as big_key, x.blocks as blocks, k as k))))")
+    listed = several.select("grp", lot.alias("lot")).withColumn("mine", F.explode("lot"))
+    meeting = listed.withColumn("other", F.explode(F.expr("filter(lot, x -> x.big is null or not x.big <=> mine.big)")))
+    first = F.struct("mine.big_key", "mine.k") <= F.struct("other.big_key", "other.k")
+    same = (F.col("mine.big_key") == F.col("other.big_key")) & (F.col("mine.k") == F.col("other.k"))
+    meeting = meeting.select(
+        "grp", F.col("mine.big_key").alias("big_key"), F.col("mine.k").alias("k"),
+        F.when(same, WHOLE).when(first, LEFT).otherwise(RIGHT).alias("as"),
+        F.xxhash64(F.when(first, F.col("mine.big_key")).otherwise(F.col("other.big_key")), F.when(first, F.col("mine.k")).otherwise(F.col("other.k"))).alias("one"),
+        F.xxhash64(F.when(first, F.col("other.big_key")).otherwise(F.col("mine.big_key")), F.when(first, F.col("other.k")).otherwise(F.col("mine.k"))).alias("two"),
+    )
+    meeting = stored(meeting, name + "-meeting")
+    if meeting.isEmpty():
+        return components(edges, name)
+    places = parts.withColumn("big_key", F.xxhash64("grp", F.coalesce(big.cast("string"), F.lit("-")))).join(lots.select("big_key", "blocks"), "big_key").select("grp", "component", "big_key", "blocks")
+    left = marked.join(stored(places, name + "-places"), ["grp", "component"]).withColumn("k", own)
+    left = left.join(meeting, ["grp", "big_key", "k"])
+    more = run(placed(left, F.col("as"), F.col("one"), F.col("two"), F.col("component")))
+    return components(edges.unionByName(more), name)
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -279,25 +352,30 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     real = sets.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "near-classes")
-    reps = real.join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"])
-    reps = stored(reps, "near-reps")
-
-    bands = reps.mapInArrow(band_keys, "rep long, bucket long")
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = bands.join(shared, "bucket").select("bucket", "rep", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    placed = by_block_pairs(members.join(reps, "rep"), "bucket", "blocks")
-    maybe = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(bucket_forest, "u long, v long")
-    families = stored(components(maybe.distinct(), "near-families").select(F.col("node").alias("rep"), F.col("component").alias("family")), "near-families")
-
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
-    wanted = families.join(sizes, "family")
-    held = rows.join(wanted, rows["doc_id"] == wanted["rep"]).select("rep", "family", "blocks", "text")
-    placed = by_block_pairs(held.mapInArrow(family_sets, "rep long, family long, blocks int, sig binary, shingles binary").dropDuplicates(["rep"]), "family", "blocks")
-    links = placed.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(family_links, "u long, v long")
-
-    # A document in several classes (a repeated doc_id) links them.
-    repeated = real.join(classes, ["d1", "d2"]).filter("doc_id <> rep").select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u <> v").select("u", "v")
-    found = stored(components(links.unionByName(repeated), "near-links"), "near-components")
+    reps = real.join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["d1", "d2", "doc_id"])
+    reps = stored(reps.select(F.col("doc_id").alias("rep"), "sig"), "near-reps")
+
+    bands = reps.mapInArrow(band_keys, "rep long, grp long")
+    shared = stored(bands.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1"), "near-buckets")
+    members = bands.join(shared, "grp", "left_semi").join(reps, "rep").select("grp", "rep", "sig")
+    families = stored(settle(members, shared, BLOCK, bucket_forest, "near-families").select(F.col("node").alias("rep"), F.col("component").alias("grp")), "near-families")
+
+    sizes = stored(families.groupBy("grp").agg(F.count("*").alias("members")), "near-sizes")
+    held = rows.join(families, rows["doc_id"] == families["rep"]).select("grp", "rep", "text")
+    held = held.mapInArrow(family_sets, "grp long, rep long, sig binary, shingles binary, d1 long, d2 long")
+    held = stored(held.dropDuplicates(["rep", "d1", "d2"]).drop("d1", "d2"), "near-held")
+    links = settle(held, sizes, FAMILY_BLOCK, family_links, "near-links")
+
+    # A document in several classes (a repeated doc_id) is one node: their smallest ids are linked.
+    of_doc = real.join(classes, ["d1", "d2"]).filter("doc_id <> rep").select("doc_id", "rep")
+    several = of_doc.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("most")).filter("v <> most").select("doc_id", "v")
+    repeated = of_doc.join(several, "doc_id").filter("rep <> v").select(F.col("rep").alias("u"), "v")
+    own = real.join(classes, ["d1", "d2"]).filter("doc_id = rep").select("doc_id").distinct()
+    repeated = repeated.unionByName(of_doc.join(own, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    repeated = stored(repeated.distinct(), "near-repeated")
+    if not repeated.isEmpty():
+        links = components(links.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(repeated), "near-all")
+    found = stored(links, "near-components")
     verdicts = classes.join(found, classes["rep"] == found["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(verdicts, ["d1", "d2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
@@ -305,6 +383,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate_near(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose document is the smallest id of its component, with their columns."""
-    gone = near_dedup(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs whose document is the smallest id of its component, with their columns; of rows that repeat
+    that id one stays, and all rows without an id."""
+    found = near_dedup(docs)
+    gone = found.filter("not kept").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = stored(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "near-again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))

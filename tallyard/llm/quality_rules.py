@@ -1,11 +1,14 @@
 """Quality rules: a linear-chain conditional random field labels the lines of a text as content or
 boilerplate (Viterbi decoding); the share of words on content lines decides whether the text stays.
 
-The field is trained here, in numpy, on the lines of a bounded sample of labelled documents (TRAIN_DOCS):
-every line of a document carries the document's quality label as a weak label, so features that mark
-junk weigh against content and plain lines inside junk stay content.  The cut-off on the content share is
-the one that serves those documents best.  Without labels (or with one class only) every text that
-passes the base rules stays.
+The field is trained here, in numpy, on windows of WINDOW lines of a bounded sample of labelled documents (TRAIN_DOCS
+documents, TRAIN_WINDOWS windows).  Labels are known for documents only, so the labels of lines are latent: a good document may
+hold boilerplate and a bad one content.  Expectation-maximisation finds them: a logistic model of single lines is
+fitted to the lines' posteriors, which start from the document's label (PRIOR) and are tilted by it each round.  The
+field is then fitted to these windows and to as many composed ones, in which runs of boilerplate lines of some
+documents stand between content lines of others and the other way round, so that it learns where labels change.  The cut-off on the
+content share is the one that serves the sampled documents best.  Without labels (or with one class only) every
+text that passes the base rules stays.
 
 Base rules: fewer than 50 words, or over half of the words in 3-word windows that occur twice.
 
@@ -15,6 +18,7 @@ scored like any other; repeated rows get equal verdicts; an empty table gives no
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -25,6 +29,9 @@ from pyspark.sql import functions as F
 from .common import WHITE, slices
 
 TRAIN_DOCS = 4000
+WINDOW, TRAIN_WINDOWS = 64, 8000
+#: Chance that a line is boilerplate, before it is seen, in a good and in a bad document.
+PRIOR = (0.02, 0.7)
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50
@@ -156,10 +163,25 @@ def log_add(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
-def train_field(sample: list[tuple[list[list[int]], int]], rounds: int = 120, rate: float = 0.15, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood by Adam; the sequences are padded to groups of like length."""
+def chain_marginals(score: np.ndarray, move: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over padded chains: P(label) of each line and P(label, next label) of each step."""
+    n, longest, _ = score.shape
+    ahead = np.zeros((n, longest, 2))
+    ahead[:, 0] = score[:, 0]
+    for t in range(1, longest):
+        ahead[:, t] = log_add(ahead[:, t - 1][:, :, None] + move[None], 1) + score[:, t]
+    norm = log_add(ahead[np.arange(n), real.sum(1) - 1], 1)
+    behind = np.zeros((n, longest, 2))
+    for t in range(longest - 2, -1, -1):
+        behind[:, t] = np.where(real[:, t + 1][:, None], log_add(move[None] + (score[:, t + 1] + behind[:, t + 1])[:, None, :], 2), 0)
+    one = np.exp(ahead + behind - norm[:, None, None]) * real[:, :, None]
+    both = np.exp(ahead[:, :-1, :, None] + move[None, None] + (score[:, 1:] + behind[:, 1:])[:, :, None, :] - norm[:, None, None, None]) * real[:, 1:, None, None]
+    return one, both
+
+
+def padded(sample: list[tuple[list[list[int]], list[int]]]):
+    """(features, which lines are real, labels) of groups of sequences of like length."""
     sample = sorted((s for s in sample if s[0]), key=lambda s: len(s[0]))
-    groups = []
     at = 0
     while at < len(sample):
         end = at
@@ -167,38 +189,32 @@ def train_field(sample: list[tuple[list[list[int]], int]], rounds: int = 120, ra
             end += 1
         part, longest = sample[at:end], len(sample[end - 1][0])
         x = np.zeros((len(part), longest, WIDTH), np.float32)
-        real = np.zeros((len(part), longest), bool)
-        for i, (rows, _) in enumerate(part):
+        real, labels = np.zeros((len(part), longest), bool), np.zeros((len(part), longest), np.int64)
+        for i, (rows, ys) in enumerate(part):
             real[i, : len(rows)] = True
+            labels[i, : len(rows)] = ys
             for t, on in enumerate(rows):
                 x[i, t, on] = 1
-        groups.append((x, real, np.array([y for _, y in part])))
+        yield x, real, labels
         at = end
-    total = sum(g[1].sum() for g in groups)
+
+
+def train_field(sample: list[tuple[list[list[int]], list[int]]], rounds: int = 120, rate: float = 0.15, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood by Adam of label sequences given their lines' features."""
+    groups = list(padded(sample))
+    total = sum(real.sum() for _, real, _ in groups)
     emit, move = np.zeros((WIDTH, 2)), np.zeros((2, 2))
     state = [[np.zeros_like(w), np.zeros_like(w)] for w in (emit, move)]
     for k in range(1, rounds + 1):
         grads = [l2 * emit, l2 * move]
-        for x, real, y in groups:
-            score = x @ emit
-            n, longest, _ = score.shape
-            ahead = np.zeros((n, longest, 2))
-            ahead[:, 0] = score[:, 0]
-            for t in range(1, longest):
-                ahead[:, t] = log_add(ahead[:, t - 1][:, :, None] + move[None], 1) + score[:, t]
-            last = real.sum(1) - 1
-            norm = log_add(ahead[np.arange(n), last], 1)
-            behind = np.zeros((n, longest, 2))
-            for t in range(longest - 2, -1, -1):
-                behind[:, t] = np.where(real[:, t + 1][:, None], log_add(move[None] + (score[:, t + 1] + behind[:, t + 1])[:, None, :], 2), 0)
-            p = np.exp(ahead + behind - norm[:, None, None]) * real[:, :, None]
-            p[np.arange(n)[:, None], np.arange(longest)[None], y[:, None]] -= real
-            grads[0] = grads[0] + np.einsum("ntf,nty->fy", x, p, optimize=True) / total
-            if longest > 1:
-                both = np.exp(ahead[:, :-1, :, None] + move[None, None] + (score[:, 1:] + behind[:, 1:])[:, :, None, :] - norm[:, None, None, None]) * real[:, 1:, None, None]
-                gold = np.zeros((2, 2))
-                np.add.at(gold, (y, y), real[:, 1:].sum(1))
-                grads[1] = grads[1] + (both.sum((0, 1)) - gold) / total
+        for x, real, labels in groups:
+            p, both = chain_marginals(x @ emit, move, real)
+            n, longest = labels.shape
+            p[np.arange(n)[:, None], np.arange(longest)[None], labels] -= real
+            grads[0] = grads[0] + (x.reshape(-1, WIDTH).T @ p.reshape(-1, 2)) / total
+            gold = np.zeros((2, 2))
+            np.add.at(gold, (labels[:, :-1], labels[:, 1:]), real[:, 1:])
+            grads[1] = grads[1] + (both.sum((0, 1)) - gold) / total
         for w, g, (m, v) in zip((emit, move), grads, state):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -206,8 +222,54 @@ def train_field(sample: list[tuple[list[list[int]], int]], rounds: int = 120, ra
     return emit, move
 
 
-def fit_field(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field | None:
-    """Fits on a sample of about train_docs labelled documents, chosen by a hash of the id."""
+def line_labels(windows: list[list[list[int]]], bad: list[int], rounds: int = 6) -> list[list[int]]:
+    """Labels of single lines from those of documents, by expectation-maximisation with a logistic model of a line."""
+    x = np.zeros((sum(map(len, windows)), WIDTH), np.float32)
+    for i, on in enumerate(on for lines in windows for on in lines):
+        x[i, on] = 1
+    of_bad = np.repeat(np.array(bad, bool), [len(w) for w in windows])
+    prior = np.where(of_bad, PRIOR[1], PRIOR[0])
+    posterior = prior.copy()
+    weights = np.zeros(WIDTH)
+    for _ in range(rounds):
+        for _ in range(8):  # Newton steps of the logistic model towards the posteriors
+            p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(WIDTH), x.T @ (p - posterior) + weights)
+            weights = weights - step
+        base = min(max(posterior.mean(), 1e-3), 1 - 1e-3)
+        odds = np.clip(x @ weights, -30, 30) + np.log(prior / (1 - prior)) - np.log(base / (1 - base))
+        posterior = 1 / (1 + np.exp(-odds))
+    flat, out = (posterior > 0.5).astype(int).tolist(), []
+    for w in windows:
+        out.append(flat[: len(w)])
+        del flat[: len(w)]
+    return out
+
+
+def composed(sample: list[tuple[list[list[int]], list[int]]], seed: int = 11) -> list[tuple[list[list[int]], list[int]]]:
+    """As many windows again, each with a run of up to four lines of the other label, from another window, put in."""
+    rng = np.random.default_rng(seed)
+    runs: tuple[list, list] = ([], [])
+    for lines, ys in sample:
+        at = 0
+        for y, group in itertools.groupby(ys):
+            n = len(list(group))
+            runs[y].append(lines[at : at + n])
+            at += n
+    out = []
+    for lines, ys in sample:
+        y = 1 - int(2 * sum(ys) > len(ys))
+        if not runs[y] or not lines:
+            continue
+        run = runs[y][rng.integers(len(runs[y]))]
+        at, n = int(rng.integers(len(run))), int(rng.integers(1, 5))
+        run, to = run[at : at + n], int(rng.integers(len(lines) + 1))
+        out.append((lines[:to] + run + lines[to:], ys[:to] + [y] * len(run) + ys[to:]))
+    return out
+
+
+def fit_field(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: int = TRAIN_WINDOWS) -> Field | None:
+    """Fits on a sample of about train_docs labelled documents, chosen by a hash of the id, and no more than train_windows of their windows."""
     known = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     n = known.count()
     if not n:
@@ -217,15 +279,22 @@ def fit_field(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS)
 
     def features(batches):
         for batch in slices(batches):
-            found = [text_features((t or "").encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array([f for f, _ in found], pa.list_(pa.list_(pa.int16()))), pa.array([w for _, w in found], pa.list_(pa.int32()))], names=["quality", "features", "words"])
-
-    got = rows.mapInArrow(features, "quality int, features array<array<smallint>>, words array<int>").toArrow().to_pylist()
+            found = []
+            for quality, text in zip(batch.column("quality").to_pylist(), batch.column("text").to_pylist()):
+                lines, words = text_features((text or "").encode())
+                for at in range(0, len(lines), WINDOW):
+                    found.append((quality, lines[at : at + WINDOW], words[at : at + WINDOW]))
+            quality, lines, words = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(quality, pa.int32()), pa.array(lines, pa.list_(pa.list_(pa.int16()))), pa.array(words, pa.list_(pa.int32()))], names=["quality", "features", "words"])
+
+    windows = rows.mapInArrow(features, "quality int, features array<array<smallint>>, words array<int>")
+    got = windows.orderBy(F.xxhash64("features", "words"), "quality").limit(train_windows).toArrow().to_pylist()
     if len({r["quality"] for r in got}) < 2:
         return None
     got.sort(key=lambda r: (len(r["features"]), r["quality"], r["features"]))
-    emit, move = train_field([(r["features"], 1 - r["quality"]) for r in got])
-    field = Field(emit, move, 0.5)
+    found = line_labels([r["features"] for r in got], [1 - r["quality"] for r in got])
+    sample = [(r["features"], ys) for r, ys in zip(got, found)]
+    field = Field(*train_field(sample + composed(sample)), 0.5)
     shares = [(sum(n for n, y in zip(r["words"], field.lines(r["features"])) if not y) / sum(r["words"]), r["quality"]) for r in got if sum(r["words"]) >= MIN_WORDS]
     cuts = [0.05 * k for k in range(1, 20)]
     best = [sum((s >= c) == bool(q) for s, q in shares) for c in cuts]

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import random
 import re
 from collections import defaultdict
 
@@ -43,25 +44,22 @@ def test_deduplicate_keeps_columns(docs, rows, empty):
     assert x.exact_dedup(empty).count() == 0 and x.deduplicate(empty).count() == 0
 
 
-def brute_sets(rows):
-    out = {}
-    for r in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or ""))
-        s = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-        out.setdefault(r[0], s)
-    return out
+def shingle_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset({tuple(w)} if w else ())
 
 
-def brute_components(sets):
-    up = {d: d for d in sets if d is not None}
+def brute_components(rows):
+    """doc_id -> smallest doc_id reachable; rows that repeat an id are one node with the links of all their texts."""
+    sets = sorted({(r[0], shingle_set(r[1])) for r in rows if r[0] is not None}, key=lambda x: (x[0], sorted(x[1])))
+    up = {d: d for d, _ in sets}
 
     def find(a):
         while up[a] != a:
             a = up[a]
         return a
 
-    for a, b in itertools.combinations(sorted(up), 2):
-        s, t = sets[a], sets[b]
+    for (a, s), (b, t) in itertools.combinations(sets, 2):
         if s and t and 100 * len(s & t) >= 75 * len(s | t):
             p, q = sorted((find(a), find(b)))
             up[q] = p
@@ -69,21 +67,54 @@ def brute_components(sets):
 
 
 def test_near_against_brute_force(docs, rows):
-    sets = brute_sets(rows)
-    comp = brute_components(sets)
+    sizes = defaultdict(set)
+    for r in rows:
+        sizes[r[0]].add(len(shingle_set(r[1])))
+    comp = brute_components(rows)
     for r in nd.near_dedup(docs).collect():
-        assert r["n_shingles"] == len(sets[r["doc_id"]])
+        assert r["n_shingles"] in sizes[r["doc_id"]]
         assert r["component_id"] == comp.get(r["doc_id"]) and r["kept"] == (r["component_id"] == r["doc_id"])
     assert len(set(comp.values())) < len(comp) - 10
 
 
 def test_near_on_real_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = [(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()]
-    comp = brute_components(brute_sets(rows))
+    comp = brute_components([(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()])
     assert {r["doc_id"]: r["component_id"] for r in nd.near_dedup(d).collect()} == comp
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_near_keeps_all_links_of_repeated_ids(spark, order):
+    text = lambda k, n=60: " ".join(f"{k}w{i}" for i in range(n))
+    rows = [(5, text("a")), (5, text("b")), (7, text("b") + " x"), (9, text("a") + " y"), (3, text("c")), (9, text("c")), (8, text("d")), (8, text("e")), (6, text("e")), (6, text("d") + " z"), (5, text("a"))]
+    rows += [(10 + k, text("f")) for k in range(3)] + [(12, text("g")), (11, text("h")), (20, text("h")), (2, text("g") + " q")]
+    got = nd.near_dedup(spark.createDataFrame(rows[::order], "doc_id long, text string").coalesce(1)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows)
+    assert len(got) == len(rows)
+    kept = nd.deduplicate_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(brute_components(rows).values()))
+
+
+def test_large_groups_lose_no_link(spark, monkeypatch):
+    """Blocks of few members, so that hubs, blocks of one component and shared blocks all occur."""
+    rng = random.Random(4)
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    monkeypatch.setattr(nd, "FAMILY_BLOCK", 6)
+    monkeypatch.setattr(nd, "HUBS", 2)
+    rows = []
+    for family in range(4):
+        base = [f"{family}w{i}" for i in range(80)]
+        for _ in range(60):
+            words = base[:]
+            for _ in range(rng.choice((0, 1, 2, 3, 4))):
+                words[rng.randrange(80)] = f"e{rng.randrange(6)}"
+            rows.append((len(rows) * 7 % 251, " ".join(words)))
+    comp = brute_components(rows)
+    assert 4 < len(set(comp.values())) < 200
+    got = {r["doc_id"]: r["component_id"] for r in nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == comp
+
+
 def test_near_families_larger_than_a_block(spark):
     base = [f"w{k}" for k in range(90)]
     texts = [" ".join(base[:k % 80] + [f"e{k}"] + base[k % 80 + 1 :]) for k in range(600)]
