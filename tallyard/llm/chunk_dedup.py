@@ -4,17 +4,18 @@ The gear hash of a position is the sum of GEAR[byte] << age over the last 32 byt
 last 24 bytes alone.  Of every MOST neighbouring positions the one with the least such value is a cut, so cuts
 depend on content alone, find their places again after an insertion and are never more than MOST bytes apart.
 A chunk is the SPAN bytes after a cut (or after the start, or before the end of a text); chunks overlap.  Chunks
-are compared by 128-bit digests: of equal chunks in different documents the one in the smallest doc_id stays; the
-others are repeats.  Repeats that overlap or touch form a span, which is reported (and removed by ``without_spans``).
+are compared by 128-bit digests: of equal chunks the first one in the smallest doc_id stays; the others are repeats, but for those
+that overlap the one that stays.  Repeats that overlap or touch form a span, which is reported (and removed by ``without_spans``).
 
 A passage of 23 + MOST + SPAN = 191 bytes or more (51 words of 3 letters) holds a whole chunk wherever it stands, and
-every span stands byte for byte in earlier documents.  Up to 23 + MOST bytes at its start and MOST at its end may stay.
+every span stands byte for byte in earlier documents or further up in its own.  Up to 23 + MOST bytes at its start and MOST at its end may stay.
 
 Only aggregates and equi-joins by digest are used: a chunk that a third of all documents share is one partial
 sum per task and one hot key of a join that Spark splits.
 
-Defined cases: null and empty texts and those under SPAN bytes have no chunks; repeats inside one document alone are
-left; rows with a null doc_id are ignored (nothing to name); rows that repeat a doc_id are one document; where a text
+Defined cases: null and empty texts and those under SPAN bytes have no chunks; repeats inside one document are
+spans too; rows with a null doc_id are ignored (nothing to name); rows that repeat a doc_id are documents of their own, told
+apart by text_hash, in its order, and rows that repeat the text as well are one; where a text
 repeats with a period under SHORT, cuts stand one period or more apart but no more than MOST; an empty table gives no rows.
 """
 
@@ -89,40 +90,51 @@ def chunk_starts(text: bytes) -> list[int]:
 
 def chunked(batches):
     for batch in slices(batches):
-        doc_ids, starts, digests = [], [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
+        doc_ids, hashes, starts, digests = [], [], [], []
+        for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), texts(batch)):
             at = chunk_starts(text)
             doc_ids += [doc_id] * len(at)
+            hashes += [text_hash] * len(at)
             starts += at
             digests += [xxhash.xxh3_128_digest(text[x : x + SPAN]) for x in at]
         both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "start", "d1", "d2"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(starts, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "text_hash", "start", "d1", "d2"])
+
+
+def text_hash():
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """One row per chunk: doc_id, start (byte), d1, d2 (digest)."""
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(chunked, "doc_id long, start int, d1 long, d2 long")
+    """One row per chunk: doc_id, text_hash, start (byte), d1, d2 (digest)."""
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(chunked, "doc_id long, text_hash long, start int, d1 long, d2 long")
 
 
 def repeated_spans(docs: DataFrame, least_bytes: int = SPAN) -> DataFrame:
-    """One row per repeated span: doc_id, start, end (bytes of the UTF-8 text), n_chunks, first_doc_ids (who keeps its chunks)."""
+    """One row per repeated span: doc_id, text_hash, start, end (bytes of the UTF-8 text), n_chunks, first_doc_ids (who keeps its chunks)."""
     rows = chunks(docs)
     # As a table of its own, the owners meet the chunks in a join of two plain shuffles, which Spark can split.
-    owners = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).filter("first_doc_id < last_doc_id").drop("last_doc_id")
+    owners = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     owners = stored(owners, "chunk-owners")
-    repeats = rows.join(owners, ["d1", "d2"]).filter("doc_id > first_doc_id").select("doc_id", "start", "first_doc_id").dropDuplicates(["doc_id", "start"])
-    w = Window.partitionBy("doc_id").orderBy("start")
+    shared = stored(rows.join(owners, ["d1", "d2"]), "chunk-shared")
+    inside = shared.filter("doc_id = first_doc_id")
+    # Which of the chunks in the first doc_id comes first; most are alone there.
+    first = inside.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("text_hash", "start")).alias("first")).filter("n > 1").drop("n")
+    later = (F.col("text_hash") > F.col("first.text_hash")) | ((F.col("text_hash") == F.col("first.text_hash")) & (F.col("start") >= F.col("first.start") + SPAN))
+    again = inside.join(stored(first, "chunk-first"), ["d1", "d2"]).filter(later).drop("first")
+    repeats = shared.filter("doc_id > first_doc_id").unionByName(again).select("doc_id", "text_hash", "start", "first_doc_id").dropDuplicates(["doc_id", "text_hash", "start"])
+    w = Window.partitionBy("doc_id", "text_hash").orderBy("start")
     apart = F.when(F.col("start") > F.lag("start").over(w) + SPAN, 1).otherwise(0)
     run = repeats.withColumn("apart", apart).withColumn("run", F.sum("apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max("start") + SPAN).alias("end"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
+    spans = run.groupBy("doc_id", "text_hash", "run").agg(F.min("start").alias("start"), (F.max("start") + SPAN).alias("end"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
     return spans.filter(F.col("end") - F.col("start") >= least_bytes).drop("run")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with the spans cut out of their texts; other columns stay as they are."""
-    cuts = spans.groupBy(F.col("doc_id").alias("__cut_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
-    joined = docs.join(cuts, F.col("doc_id") == F.col("__cut_id"), "left").drop("__cut_id")
+    cuts = spans.groupBy(F.col("doc_id").alias("__cut_id"), F.col("text_hash").alias("__cut_hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
+    joined = docs.join(cuts, (F.col("doc_id") == F.col("__cut_id")) & (text_hash() == F.col("__cut_hash")), "left").drop("__cut_id", "__cut_hash")
 
     def run(batches):
         for batch in slices(batches):

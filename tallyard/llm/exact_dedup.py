@@ -8,8 +8,8 @@ again, until the table holds it; the table compares complete contents.  The verd
 by a join on the SHA-256 of the content, which Spark's skew handling splits for hot groups.
 
 Defined cases: a null text counts as empty, and all empty texts are equal.  Of equal texts the one with
-the most code points stays, then the smallest doc_id (a null id comes last).  Rows that repeat a doc_id
-share one fate.  Other columns are passed through by ``deduplicate``.  An empty table gives no rows.
+the most code points stays, then the smallest doc_id (a null id comes last).  ``exact_dedup`` marks
+each row by its doc_id, so rows that repeat the id that stays are all marked as kept; ``deduplicate`` keeps one of them, with its other columns.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -137,18 +137,19 @@ def merged_in_bucket(memory: int):
             for batch in slices(batches):
                 yield from zip(*(batch.column(c).to_pylist() for c in ("content", "n_rows", "length", "doc_id")))
 
-        seen: dict[str, list] = {"text_sha256": [], "keep_id": [], "group_size": []}
+        seen: dict[str, list] = {"text_sha256": [], "keep_id": [], "keep_length": [], "group_size": []}
 
         def batch():
-            out = pa.RecordBatch.from_arrays([pa.array(seen["text_sha256"], pa.string()), pa.array(seen["keep_id"], pa.int64()), pa.array(seen["group_size"], pa.int64())], names=list(seen))
+            out = pa.RecordBatch.from_arrays([pa.array(seen["text_sha256"], pa.string()), pa.array(seen["keep_id"], pa.int64()), pa.array(seen["keep_length"], pa.int64()), pa.array(seen["group_size"], pa.int64())], names=list(seen))
             for v in seen.values():
                 v.clear()
             return out
 
         with tempfile.TemporaryDirectory() as folder:
-            for content, rows, _, doc_id in grace(records(), memory, folder):
+            for content, rows, length, doc_id in grace(records(), memory, folder):
                 seen["text_sha256"].append(hashlib.sha256(content).hexdigest())
                 seen["keep_id"].append(doc_id)
+                seen["keep_length"].append(length)
                 seen["group_size"].append(rows)
                 if len(seen["keep_id"]) >= 8192:
                     yield batch()
@@ -158,10 +159,10 @@ def merged_in_bucket(memory: int):
 
 
 def exact_groups(docs: DataFrame, memory: int = 48 << 20) -> DataFrame:
-    """One row per distinct content: text_sha256, keep_id, group_size.  memory: bytes of content a task holds."""
+    """One row per distinct content: text_sha256, keep_id, keep_length (code points), group_size.  memory: bytes of content a task holds."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("length"), F.col("text").cast("string").alias("text"))
     local = rows.mapInArrow(merged_in_partition(memory), "bucket long, content binary, n_rows long, length long, doc_id long")
-    return local.repartition("bucket").mapInArrow(merged_in_bucket(memory), "text_sha256 string, keep_id long, group_size long")
+    return local.repartition("bucket").mapInArrow(merged_in_bucket(memory), "text_sha256 string, keep_id long, keep_length long, group_size long")
 
 
 def content_sha256(text):
@@ -176,8 +177,9 @@ def exact_dedup(docs: DataFrame, memory: int = 48 << 20) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, memory: int = 48 << 20) -> DataFrame:
-    """The rows of docs that stay, with their columns; of rows with a null id the verdict goes by content."""
-    keep = exact_groups(docs, memory).select(F.col("keep_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha256"))
-    marked = docs.withColumn("__sha256", content_sha256(F.col("text")))
-    same = (F.col("__sha256") == F.col("__keep_sha256")) & F.col("doc_id").eqNullSafe(F.col("__keep_id"))
-    return marked.join(keep, same, "left_semi").select(*docs.columns)
+    """One row of docs for each content, with its columns: the row that stays; of rows that repeat its id and content, one."""
+    key = lambda sha, doc_id, length: F.concat_ws(" ", sha, F.coalesce(doc_id.cast("string"), F.lit("-")), length)
+    keep = exact_groups(docs, memory).select(key(F.col("text_sha256"), F.col("keep_id"), F.col("keep_length")).alias("__key"))
+    marked = docs.withColumn("__key", key(content_sha256(F.col("text")), F.col("doc_id").cast("long"), F.coalesce(F.length(F.col("text").cast("string")), F.lit(0))))
+    # The join deals the rows by __key, so no further shuffle drops the repeats.
+    return marked.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

@@ -25,10 +25,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, held_out, slices, stored, texts
+from .common import LOWER, held_out, slices, stored
 
 TOP = 1 << 18
 #: Tokens that are rarer in training are no top tokens, so that the last class is trained on what unknown tokens are like.
@@ -50,6 +51,16 @@ def words(text: bytes) -> list[bytes]:
     return [*text.translate(LOWER).split(), END]
 
 
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of some texts, all at once: how many each text has, the number of each word, and the words by number."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    flat = lists.flatten()
+    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    return np.diff(offsets), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary()).to_pylist()
+
+
 def counted(batches):
     """(token, count) of a partition, merged in bounded memory."""
     counts: Counter = Counter()
@@ -60,8 +71,10 @@ def counted(batches):
         return out
 
     for batch in slices(batches):
-        for text in texts(batch):
-            counts.update(words(text))
+        _, numbers, names = tokens_of(batch.column("text"))
+        for name, n in zip(names, np.bincount(numbers, minlength=len(names)).tolist()):
+            counts[name] += n
+        counts[END] += batch.num_rows
         if len(counts) > 600_000:
             yield flush()
     yield flush()
@@ -101,6 +114,26 @@ class Vocabulary:
         get = self.rank.get
         return np.fromiter((get(t, k) for t in tokens), np.int32, len(tokens))
 
+    def coded(self, texts: pa.Array) -> tuple[list[np.ndarray], pa.Array]:
+        """The ids of each text with its end token, and its tokens outside the top with their numbers."""
+        lengths, numbers, names = tokens_of(texts)
+        k, docs = len(self.rank), len(lengths)
+        ids = self.ids(names)[numbers] if len(names) else np.zeros(0, np.int32)
+        last = np.cumsum(lengths + 1) - 1
+        whole = np.full(len(ids) + docs, self.rank.get(END, k), np.int32)
+        inside = np.ones(len(whole), bool)
+        inside[last] = False
+        whole[inside] = ids
+        rare = ids == k
+        keys, times = np.unique(np.repeat(np.arange(docs), lengths)[rare] * max(1, len(names)) + numbers[rare], return_counts=True)
+        owner, name = keys // max(1, len(names)), keys % max(1, len(names))
+        if END not in self.rank:  # then the end token is rare itself
+            owner, name, times = np.concatenate([owner, np.arange(docs)]), np.concatenate([name, np.full(docs, len(names))]), np.concatenate([times, np.ones(docs, np.int64)])
+            order = np.argsort(owner, kind="stable")
+            owner, name, times, names = owner[order], name[order], times[order], [*names, END]
+        pairs = pa.StructArray.from_arrays([pa.array(names, pa.binary()).take(pa.array(name, pa.int64())), pa.array(times, pa.int32())], names=["token", "n"])
+        return np.split(whole, last[:-1] + 1), pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(docs + 1)), pa.int32()), pairs)
+
     def weights(self) -> dict[str, np.ndarray]:
         """The network before training: it scores like the counts."""
         rng = np.random.default_rng(7)
@@ -141,9 +174,82 @@ def advance(w: dict, x: np.ndarray, h: np.ndarray):
     return n + z * (h - n), (z, r, n, a[:, 2 * HIDDEN :])
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax of the rows, in place, and the logarithm of each row's sum of exponentials."""
+    top = x.max(initial=-np.inf)
+    x -= top
+    far = None
+    if len(x) and x.min() < -60:  # rows that lie far below the others by themselves
+        far = x.max(1, keepdims=True)
+        x -= far
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    x /= total[:, None]
+    return x, np.log(total) + (top if far is None else top + far[:, 0])
+
+
+def gradients(part: np.ndarray, state: np.ndarray, vocabulary: Vocabulary, w: dict[str, np.ndarray]):
+    """A window of parallel streams (steps x streams ids) after state: loss in nats, gradients, the state after it."""
+    wide, streams = part.shape
+    H, n = HIDDEN, part.size
+    ends = vocabulary.rank.get(END, -1)
+    flat = part.reshape(-1)
+    inputs, target = vocabulary.inputs[flat], vocabulary.classes[flat]
+    x = w["gates"][inputs]
+    before, kept = [], []
+    for t in range(wide):
+        before.append(state)
+        state, more = advance(w, x[t * streams : (t + 1) * streams], state)
+        goes_on = (part[t] != ends)[:, None]
+        state = state * goes_on
+        kept.append((*more, goes_on))
+    hs = np.concatenate(before)
+    g = {}
+    d = hs @ w["class_w"] + w["class_b"]
+    rows = np.arange(n)
+    loss = -float(d[rows, target].sum(dtype=np.float64))
+    d, norm = softmax(d)
+    loss += float(norm.sum(dtype=np.float64))
+    d[rows, target] -= 1
+    g["class_w"], g["class_b"] = hs.T @ d, d.sum(0)
+    dh = d @ w["class_w"].T
+    inner = np.flatnonzero(flat < vocabulary.neural)
+    inner = inner[np.argsort(target[inner], kind="stable")]
+    of_class, member = hs[inner], flat[inner] % PER_CLASS
+    back = np.empty_like(of_class)
+    g["member_w"], g["member_b"] = np.zeros_like(w["member_w"]), np.zeros_like(w["member_b"])
+    bounds = np.searchsorted(target[inner], np.arange(NEURAL // PER_CLASS + 1))
+    for c, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        if a < b:
+            d = of_class[a:b] @ w["member_w"][c] + w["member_b"][c]
+            rows = np.arange(b - a)
+            loss -= float(d[rows, member[a:b]].sum(dtype=np.float64))
+            d, norm = softmax(d)
+            loss += float(norm.sum(dtype=np.float64))
+            d[rows, member[a:b]] -= 1
+            g["member_w"][c], g["member_b"][c] = of_class[a:b].T @ d, d.sum(0)
+            back[a:b] = d @ w["member_w"][c].T
+    dh[inner] += back
+    carry = np.zeros_like(state)
+    into, turned = np.empty((n, 3 * H), dh.dtype), np.empty((n, 3 * H), dh.dtype)
+    turn = w["turn"].T.copy()
+    for t in range(wide - 1, -1, -1):
+        z, r, m, am, goes_on = kept[t]
+        at = slice(t * streams, (t + 1) * streams)
+        carry = carry * goes_on
+        keep = carry * z
+        dm = (carry - keep) * (1 - m * m)
+        dz = (before[t] - m) * keep * (1 - z)
+        dmr = dm * r
+        dr = dmr * am * (1 - r)
+        into[at, :H], into[at, H : 2 * H], into[at, 2 * H :] = dz, dr, dm
+        da = turned[at]
+        da[:, :H], da[:, H : 2 * H], da[:, 2 * H :] = dz, dr, dmr
+        carry = keep + da @ turn + dh[at]
+    g["turn"] = hs.T @ turned
+    columns = np.ascontiguousarray(into.T)
+    g["gates"] = np.stack([np.bincount(inputs, column, len(w["gates"])) for column in columns], 1).astype(dh.dtype)
+    return loss, g, state
 
 
 def train(docs: list[np.ndarray], vocabulary: Vocabulary, w: dict[str, np.ndarray], seed: int) -> dict[str, np.ndarray]:
@@ -156,56 +262,15 @@ def train(docs: list[np.ndarray], vocabulary: Vocabulary, w: dict[str, np.ndarra
     steps = -(-len(whole) // streams)
     if not steps:
         return w
-    ids = np.resize(whole, (streams, steps))
-    ends = vocabulary.rank.get(END, -1)
+    ids = np.ascontiguousarray(np.resize(whole, (streams, steps)).T)
     state = np.zeros((streams, HIDDEN), np.float32)
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
-    H, k = HIDDEN, 0
-    for at in range(0, steps, WINDOW):
-        part = ids[:, at : at + WINDOW]
-        wide = part.shape[1]
-        inputs, classes = vocabulary.inputs[part], vocabulary.classes[part]
-        before, kept = [], []
-        for t in range(wide):
-            before.append(state)
-            state, more = advance(w, w["gates"][inputs[:, t]], state)
-            goes_on = (part[:, t] != ends)[:, None]
-            state = state * goes_on
-            kept.append((*more, goes_on))
-        hs = np.stack(before, 1).reshape(-1, H)
-        target, n = classes.reshape(-1), streams * wide
-        g = {key: np.zeros_like(v) for key, v in w.items()}
-        d = np.exp(log_softmax(hs @ w["class_w"] + w["class_b"]))
-        d[np.arange(n), target] -= 1
-        g["class_w"], g["class_b"] = hs.T @ d, d.sum(0)
-        dh = d @ w["class_w"].T
-        flat = part.reshape(-1)
-        inner = flat < vocabulary.neural
-        for c in np.unique(target[inner]):
-            rows = np.flatnonzero(inner & (target == c))
-            d = np.exp(log_softmax(hs[rows] @ w["member_w"][c] + w["member_b"][c]))
-            d[np.arange(len(rows)), flat[rows] % PER_CLASS] -= 1
-            g["member_w"][c], g["member_b"][c] = hs[rows].T @ d, d.sum(0)
-            dh[rows] += d @ w["member_w"][c].T
-        dh = dh.reshape(streams, wide, H)
-        carry, into = np.zeros((streams, H), np.float32), []
-        for t in range(wide - 1, -1, -1):
-            z, r, m, am, goes_on = kept[t]
-            carry = carry * goes_on
-            dm = carry * (1 - z) * (1 - m * m)
-            dz = carry * (before[t] - m) * z * (1 - z)
-            dr = dm * am * r * (1 - r)
-            da = np.concatenate([dz, dr, dm * r], 1)
-            into.append(np.concatenate([dz, dr, dm], 1))
-            g["turn"] += before[t].T @ da
-            carry = carry * z + da @ w["turn"].T + dh[:, t]
-        by_input = np.argsort(inputs[:, ::-1].T.reshape(-1), kind="stable")
-        some, at_input = np.unique(inputs[:, ::-1].T.reshape(-1)[by_input], return_index=True)
-        g["gates"][some] = np.add.reduceat(np.concatenate(into)[by_input], at_input)
-        k += 1
+    for k, at in enumerate(range(0, steps, WINDOW), 1):
+        part = ids[at : at + WINDOW]
+        _, g, state = gradients(part, state, vocabulary, w)
         for key in w:
-            grad = np.clip(g[key] / n * 16, -1, 1)
+            grad = np.clip(g[key] / part.size * 16, -1, 1)
             first[key] += 0.1 * (grad - first[key])
             second[key] += 0.01 * (grad * grad - second[key])
             w[key] -= RATE / (1 + k / 400) * (first[key] / (1 - 0.9**k)) / (np.sqrt(second[key] / (1 - 0.99**k)) + 1e-6)
@@ -242,8 +307,8 @@ def likelihoods(docs: list[np.ndarray], vocabulary: Vocabulary, w: dict[str, np.
         found = np.empty(len(flat))
         for a in range(0, len(flat), 16384):
             s = hs[a : a + 16384] @ w["class_w"] + w["class_b"]
-            top = s.max(1)
-            found[a : a + 16384] = s[np.arange(len(s)), classes[a : a + 16384]] - top - np.log(np.exp(s - top[:, None]).sum(1))
+            own = s[np.arange(len(s)), classes[a : a + 16384]]
+            found[a : a + 16384] = own - softmax(s)[1]
         found += vocabulary.share[flat]
         inner = np.flatnonzero(flat < vocabulary.neural)
         if len(inner):
@@ -253,8 +318,8 @@ def likelihoods(docs: list[np.ndarray], vocabulary: Vocabulary, w: dict[str, np.
                 for a in range(bounds[c], bounds[c + 1], 16384):
                     some = inner[a : min(a + 16384, bounds[c + 1])]
                     s = hs[some] @ w["member_w"][c] + w["member_b"][c]
-                    top = s.max(1)
-                    found[some] += s[np.arange(len(s)), flat[some] % PER_CLASS] - top - np.log(np.exp(s - top[:, None]).sum(1))
+                    own = s[np.arange(len(s)), flat[some] % PER_CLASS]
+                    found[some] += own - softmax(s)[1]
         total[:active] += np.bincount(rows, found, active)
         at += window
     out = np.empty(len(docs))
@@ -270,32 +335,32 @@ def score_rows(vocabulary: Vocabulary, w: dict[str, np.ndarray]):
         from pyspark import TaskContext
 
         key = TaskContext.get().partitionId() << 33
-        rank, k = vocabulary.rank, len(vocabulary.rank)
-        held, size = [], 0
+        k = len(vocabulary.rank)
+        held, docs, size = [], [], 0
 
         def flush():
             nonlocal key
-            found = likelihoods([h[1] for h in held], vocabulary, w)
-            for at in range(0, len(held), 512):
-                part = held[at : at + 512]
-                tops = [ids[ids < k] for _, ids, _ in part]
-                keys = [key + i + 1 for i in range(len(part))]
-                key += len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array([h[0] for h in part], pa.int64()), pa.array([len(h[1]) for h in part], pa.int64()), pa.array([len(t) for t in tops], pa.int64()), pa.array([float(vocabulary.log_count[t].sum()) for t in tops], pa.float64()), pa.array(found[at : at + 512]), pa.array([[{"token": t, "n": n} for t, n in h[2].items()] for h in part], pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())])))],
-                    names=["doc_key", "doc_id", "n_tokens", "n_top", "log_top", "log_model", "rare"],
-                )
+            found, at = likelihoods(docs, vocabulary, w), 0
+            for doc_ids, rare in held:
+                n = len(doc_ids)
+                part = docs[at : at + n]
+                tops = [ids[ids < k] for ids in part]
+                columns = [np.arange(key + 1, key + n + 1), doc_ids, [len(x) for x in part], [len(t) for t in tops], [float(vocabulary.log_count[t].sum()) for t in tops], found[at : at + n], rare]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare.type]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types)], names=["doc_key", "doc_id", "n_tokens", "n_top", "log_top", "log_model", "rare"])
+                at, key = at + n, key + n
+            held.clear()
+            docs.clear()
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-                tokens = words(text)
-                ids = vocabulary.ids(tokens)
-                rare = Counter([tokens[i] for i in np.flatnonzero(ids == k).tolist()])
-                held.append((doc_id, ids, rare))
-                size += len(ids)
+            if batch.num_rows:
+                ids, rare = vocabulary.coded(batch.column("text"))
+                held.append((batch.column("doc_id"), rare))
+                docs += ids
+                size += sum(map(len, ids))
             if size > SCORE_TOKENS:
                 yield from flush()
-                held, size = [], 0
+                size = 0
         yield from flush()
 
     return run
@@ -307,7 +372,7 @@ def dealt_rows(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            ids = [vocabulary.ids(words(t)).tobytes() for t in texts(batch)]
+            ids = [x.tobytes() for x in vocabulary.coded(batch.column("text"))[0]] if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
 
     return docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))).mapInArrow(run, "shard long, doc_id long, ids binary")

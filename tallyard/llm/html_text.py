@@ -2,15 +2,17 @@
 
 A tokeniser feeds a tree builder that opens and closes what HTML implies (paragraphs, list items, table rows
 and cells, options, definition terms; head, whose end tag may be missing, needs no element, as all that may stand in
-it is unseen by itself), flattens what is nested deeper than DEPTH and drops what is not shown: title, script, style,
-template and the like, the hidden attribute, display:none and visibility:hidden, hidden inputs, options that are
-not selected in a drop-down list, all of svg but its texts and foreign objects.  The renderer then writes all visible text: white space collapses outside pre,
+it is unseen by itself), flattens what is nested deeper than DEPTH (what hides there stays hidden) and drops what is not shown: title,
+script, style, template and the like, the hidden attribute, display:none and visibility:hidden (but for visible parts inside), by the
+style attribute or by rules of style elements for a tag, class or id, hidden inputs, options that are
+not selected in a drop-down list, all of svg but its texts and foreign objects.  Scripts do not run, so noscript shows.  The renderer then writes all visible text: white space collapses outside pre,
 blocks stand on lines of their own, headings, paragraphs, lists and tables with a blank line around them, list
 items with a bullet or number and an indent per level, table cells padded to the width of their column, below cells
 that span rows too.
 
 Defined cases: a null or empty page gives an empty text; text without tags is rendered as it is; unclosed and
-misnested tags never fail; repeated rows give equal texts; an empty table gives no rows.
+misnested tags never fail; repeated rows give equal texts; an input column named text gives way to the result; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ DEPTH = 256
 
 # Fixed element lists of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style template noscript title object iframe canvas audio video datalist".split())
+UNSEEN = frozenset("script style template title iframe canvas audio video datalist".split())
 SVG_UNSEEN = frozenset("defs symbol clippath mask pattern marker desc metadata lineargradient radialgradient filter".split())
 #: HTML start tags that end an open svg or math, unless one of INSIDE is open in it.
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
@@ -53,7 +55,11 @@ IMPLIED = {
 IMPLIED = {k: (frozenset(closed.split()), frozenset(stop.split())) for k, (closed, stop) in IMPLIED.items()}
 CLOSE_P = BLOCK - frozenset("html body td th tr thead tbody tfoot caption option legend".split())
 STOP_P = frozenset("table td th caption li button object".split())
-NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: The most columns and rows that a cell may span.
+COLSPAN, ROWSPAN = 1000, 65534
+NONE = re.compile(r"(?:^|[;\s])display\s*:\s*(\w+)", re.I)
+VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(\w+)", re.I)
+SIMPLE = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -69,6 +75,8 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.deep: list[tuple[str, int]] = []  # open elements past DEPTH, and how many up to each hide their content
+        self.styles: list[str] = []
         self.foreign = False  # whether the page has an svg or math
 
     def foreign_at(self) -> int:
@@ -108,13 +116,20 @@ class TreeBuilder(HTMLParser):
         if tag in ("html", "head", "body"):
             return
         self.foreign |= tag in ("svg", "math")
-        self.close_implied(tag)
-        if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
+        if not self.deep:
+            self.close_implied(tag)
+        if not self.deep and tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self.handle_starttag("tr", [])
-        node = Node(tag, {k: v or "" for k, v in attrs if k in ("hidden", "style", "type", "start", "value", "colspan", "rowspan", "selected", "disabled", "multiple", "size", "label", "display", "visibility")})
-        self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEPTH:
+        node = Node(tag, {k: v or "" for k, v in attrs if k in KEPT})
+        if tag in VOID:
+            if not (self.deep and self.deep[-1][1]):
+                self.open[-1].children.append(node)
+        elif len(self.open) < DEPTH:
+            self.open[-1].children.append(node)
             self.open.append(node)
+        else:
+            hides = tag in UNSEEN or hidden_here(node, []) or "hidden" in VISIBILITY.findall(node.attrs.get("style", "").lower())
+            self.deep.append((tag, hides + (self.deep[-1][1] if self.deep else 0)))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -126,55 +141,123 @@ class TreeBuilder(HTMLParser):
         if tag == "br":
             self.handle_starttag("br", [])
             return
+        for k in range(len(self.deep) - 1, -1, -1):
+            if self.deep[k][0] == tag:
+                del self.deep[k:]
+                return
         for k in range(len(self.open) - 1, 0, -1):
             name = self.open[k].tag
             if name == tag:
                 del self.open[k:]
+                self.deep.clear()
                 return
             if name in ("td", "th", "table") and tag not in ("table", "tr", "thead", "tbody", "tfoot"):
                 return
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
-
-
-def visible(node: Node) -> bool:
+        if self.open[-1].tag == "style":
+            self.styles.append(data)
+        elif not (self.deep and self.deep[-1][1]):
+            self.open[-1].children.append(data)
+
+
+KEPT = frozenset("hidden style type start value colspan rowspan selected disabled multiple size label display visibility class id".split())
+
+
+def style_rules(styles: list[str]) -> list[tuple[str, frozenset, str, str]]:
+    """(tag or "", classes and ids with their sign, property, value) of the rules that hide or show; not those inside @ blocks."""
+    rules = []
+    for sheet in styles:
+        sheet, at, depth, head, start = re.sub(r"/\*.*?\*/", "", sheet, flags=re.S), 0, 0, "", 0
+        for m in re.finditer(r"[{}]", sheet):
+            if m[0] == "{":
+                if not depth:
+                    head, start = sheet[at : m.start()].strip(), m.end()
+                depth += 1
+            elif depth:
+                depth -= 1
+                if not depth:
+                    at = m.end()
+                    body = sheet[start : m.start()]
+                    found = [("display", x.lower()) for x in NONE.findall(body)] + [("visibility", x.lower()) for x in VISIBILITY.findall(body)]
+                    for selector in head.split(",") if found and not head.startswith("@") else ():
+                        part = SIMPLE.fullmatch(selector.strip())
+                        if part and selector.strip():
+                            tag = (part[1] or "").lower().replace("*", "")
+                            rules += [(tag, frozenset(re.findall(r"[.#][\w-]+", part[2])), k, v) for k, v in found]
+    return rules
+
+
+def style_of(node: Node, rules: list) -> tuple[str, str]:
+    """display and visibility as the rules, then the style attribute, give them; empty where nothing does."""
     a = node.attrs
-    return node.tag not in UNSEEN and "hidden" not in a and not (a and NONE.search(a.get("style", "")))
+    found = {"display": "", "visibility": ""}
+    if rules:
+        names = {"." + x for x in a.get("class", "").split()} | ({"#" + a["id"]} if "id" in a else set())
+        for tag, wanted, key, value in rules:
+            if (not tag or tag == node.tag) and wanted <= names:
+                found[key] = value
+    style = a.get("style")
+    if style:
+        found["display"] = (NONE.findall(style) or [found["display"]])[-1].lower()
+        found["visibility"] = (VISIBILITY.findall(style) or [found["visibility"]])[-1].lower()
+    return found["display"], found["visibility"]
+
+
+def hidden_here(node: Node, rules: list) -> bool:
+    """Whether the node and all in it are taken out of the page."""
+    if node.tag in UNSEEN or "hidden" in node.attrs:
+        return True
+    return bool(node.attrs or rules) and style_of(node, rules)[0] == "none"
 
 
 class Renderer:
     """Lines of a block context; nested contexts (items, cells) are rendered apart and placed."""
 
-    def __init__(self):
+    def __init__(self, rules: list = (), shown: bool = True):
+        self.rules, self.shown = rules, shown
         self.lines: list[str] = []
-        self.line = ""
+        self.parts: list[str] = []  # of the line that is being written
+        self.last = ""  # its last character
         self.space = False
 
+    def visible(self, node: Node) -> bool:
+        return not hidden_here(node, self.rules)
+
+    def write(self, data: str) -> None:
+        if data and self.shown:
+            self.parts.append(data)
+            self.last = data[-1]
+
+    def end_line(self, keep_empty: bool) -> None:
+        line = "".join(self.parts).rstrip()
+        if line.strip() or keep_empty:
+            self.lines.append(line)
+        self.parts, self.last = [], ""
+
     def text(self, data: str, pre: bool) -> None:
         if pre:
             first, *rest = data.split("\n")
-            self.line += first
+            self.write(first)
             for x in rest:
-                self.lines.append(self.line.rstrip())
-                self.line = x
+                self.end_line(self.shown)
+                self.write(x)
             return
         parts = SPACE.split(data)
         if not parts[0]:
             self.space = True
         for k, word in enumerate(parts):
             if word:
-                if (self.space or k) and self.line and not self.line.endswith((" ", "\n")):
-                    self.line += " "
-                self.line += word
+                if (self.space or k) and self.last not in ("", " ", "\n"):
+                    self.write(" ")
+                self.write(word)
                 self.space = False
         if len(parts) > 1 and not parts[-1]:
             self.space = True
 
     def newline(self) -> None:
-        if self.line.strip():
-            self.lines.append(self.line.rstrip())
-        self.line, self.space = "", False
+        self.end_line(False)
+        self.space = False
 
     def blank(self) -> None:
         self.newline()
@@ -202,37 +285,39 @@ class Renderer:
             if isinstance(child, str):
                 self.text(child, pre)
                 continue
-            if not visible(child):
+            if not self.visible(child):
                 continue
-            tag = child.tag
+            tag, outside = child.tag, self.shown
+            visibility = style_of(child, self.rules)[1] if child.attrs or self.rules else ""
+            self.shown = outside if visibility in ("", "inherit") else visibility == "visible"
             if tag == "br":
-                self.lines.append(self.line.rstrip())
-                self.line, self.space = "", False
+                self.end_line(self.shown)
+                self.space = False
             elif tag == "hr":
                 self.blank()
-                self.lines += ["---", ""]
+                self.lines += ["---", ""] if self.shown else []
             elif tag == "input":
                 if child.attrs.get("type", "").lower() in ("submit", "button", "reset"):
                     self.text(f" {child.attrs.get('value', '')} ", False)
             elif tag == "textarea":
-                self.line += " " if self.line and not self.line.endswith(" ") else ""
-                self.text(re.sub(r"^\r?\n", "", "".join(raw_text(child))), True)
+                self.write(" " if self.last not in ("", " ") else "")
+                self.text(re.sub(r"^\r?\n", "", "".join(raw_text(child, self.rules))), True)
                 self.space = True
             elif tag == "select":
                 self.options(child)
             elif tag == "svg":
                 self.drawing(child)
             elif node.tag == "semantics" and tag in ("annotation", "annotation-xml"):
-                continue
+                pass
             elif tag == "li":
                 value = child.attrs.get("value", "")
                 number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else number + 1
-                self.place(rendered(child), f"{number}. " if node.tag == "ol" else "- ")
+                self.place(self.apart(child), (f"{number}. " if node.tag == "ol" else "- ") if self.shown else "")
             elif tag == "dd":
-                self.place(rendered(child), "    ")
+                self.place(self.apart(child), "    ")
             elif tag == "table":
                 self.blank()
-                self.lines += table_lines(child)
+                self.lines += table_lines(child, self)
                 self.blank()
             elif tag in SPACED:
                 nested = tag in ("ul", "ol") and node.tag == "li"
@@ -245,7 +330,13 @@ class Renderer:
                 self.newline()
             else:
                 self.children(child, pre)
+            self.shown = outside
 
+    def apart(self, node: Node) -> list[str]:
+        """The lines of a nested context."""
+        r = Renderer(self.rules, self.shown)
+        r.children(node)
+        return r.finish()
 
     def options(self, node: Node) -> None:
         """A list box shows all options and group labels, a drop-down list the one selected (the first if none is)."""
@@ -253,10 +344,10 @@ class Renderer:
 
         def gather(part: Node) -> None:
             for child in part.children:
-                if isinstance(child, str) or not visible(child):
+                if isinstance(child, str) or not self.visible(child):
                     continue
                 if child.tag == "option":
-                    found.append((child, child.attrs.get("label") or " ".join(SPACE.split("".join(raw_text(child)).strip()))))
+                    found.append((child, child.attrs.get("label") or " ".join(SPACE.split("".join(raw_text(child, self.rules)).strip()))))
                 else:
                     if child.tag == "optgroup":
                         found.append((child, child.attrs.get("label", "")))
@@ -277,7 +368,7 @@ class Renderer:
 
     def drawing(self, node: Node) -> None:
         for child in node.children:
-            if isinstance(child, str) or not visible(child) or child.tag in SVG_UNSEEN or child.attrs.get("display") == "none" or child.attrs.get("visibility") in ("hidden", "collapse"):
+            if isinstance(child, str) or not self.visible(child) or child.tag in SVG_UNSEEN or child.attrs.get("display") == "none" or child.attrs.get("visibility") in ("hidden", "collapse"):
                 continue
             if child.tag in ("text", "foreignobject"):
                 self.text(" ", False)
@@ -287,26 +378,32 @@ class Renderer:
                 self.drawing(child)
 
 
-def raw_text(node: Node):
-    """The texts of a node and of the visible nodes in it."""
+def raw_text(node: Node, rules: list):
+    """The texts of a node and of the nodes in it that are not taken out."""
     for child in node.children:
         if isinstance(child, str):
             yield child
-        elif visible(child):
-            yield from raw_text(child)
+        elif not hidden_here(child, rules):
+            yield from raw_text(child, rules)
 
 
-def rendered(node: Node) -> list[str]:
-    r = Renderer()
-    r.children(node)
-    return r.finish()
-
-
-def table_lines(table: Node) -> list[str]:
+def table_lines(table: Node, at: Renderer) -> list[str]:
     """Captions and what stands outside the cells, then the rows in document order with cells padded to their columns.
 
     A spanning cell fills its columns, and keeps them free in the further rows that it spans, up to the end of its section.
     """
+    visible = at.visible
+
+    def rendered(node: Node, *around: Node) -> list[str]:
+        """Lines of a node, as visible as the nodes around it and it make it."""
+        shown = at.shown
+        for x in (*around, node):
+            v = style_of(x, at.rules)[1] if x.attrs or at.rules else ""
+            shown = shown if v in ("", "inherit") else v == "visible"
+        r = Renderer(at.rules, shown)
+        r.children(node)
+        return r.finish()
+
     captions, rows, stray = [], [], Node("div", {})
 
     def gather(node: Node) -> None:
@@ -333,14 +430,14 @@ def table_lines(table: Node) -> list[str]:
                 stray.children.append(cell)
             elif visible(cell):
                 span = cell.attrs.get("colspan", "")
-                wide = min(int(span), 100) if re.fullmatch(r"[1-9]\d{0,3}", span) else 1
+                wide = min(int(span), COLSPAN) if re.fullmatch(r"[1-9]\d{0,8}", span) else 1
                 span = cell.attrs.get("rowspan", "")
-                high = (int(span) or 65534) if re.fullmatch(r"\d{1,5}", span) else 1
+                high = min(int(span) or ROWSPAN, ROWSPAN) if re.fullmatch(r"\d{1,9}", span) else 1
                 while len(cells) in taken:
                     cells.append("")
                 if high > 1:
                     held |= dict.fromkeys(range(len(cells), len(cells) + wide), high - 1)
-                cells += [" ".join(x.strip() for x in rendered(cell) if x.strip()), *[""] * (wide - 1)]
+                cells += [" ".join(x.strip() for x in rendered(cell, of, row) if x.strip()), *[""] * (wide - 1)]
         taken = held
         if any(cells):
             grid.append(cells)
@@ -356,7 +453,9 @@ def html_to_text(html: str | None) -> str:
     builder.feed(html)
     builder.close()
     lines: list[str] = []
-    for x in rendered(builder.root):
+    top = Renderer(style_rules(builder.styles))
+    top.children(builder.root)
+    for x in top.finish():
         if x or (lines and lines[-1]):
             lines.append(x)
     return "\n".join(lines)

@@ -31,7 +31,7 @@ from .common import WHITE, slices
 TRAIN_DOCS = 4000
 WINDOW, TRAIN_WINDOWS = 64, 8000
 #: Chance that a line is boilerplate, before it is seen, in a good and in a bad document.
-PRIOR = (0.02, 0.7)
+PRIOR = (0.1, 0.7)
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50
@@ -222,7 +222,7 @@ def train_field(sample: list[tuple[list[list[int]], list[int]]], rounds: int = 1
     return emit, move
 
 
-def line_labels(windows: list[list[list[int]]], bad: list[int], rounds: int = 6) -> list[list[int]]:
+def line_labels(windows: list[list[list[int]]], bad: list[int], rounds: int = 10) -> list[list[int]]:
     """Labels of single lines from those of documents, by expectation-maximisation with a logistic model of a line."""
     x = np.zeros((sum(map(len, windows)), WIDTH), np.float32)
     for i, on in enumerate(on for lines in windows for on in lines):

@@ -17,7 +17,7 @@ the ids before it in its segment, plus those before the segment in its shard, pl
 shards (one number a shard).
 
 Defined cases: a null or empty text has only the end id; a null doc_id comes first; rows that repeat a doc_id
-follow each other, ordered by their text; an empty table gives no rows.
+follow each other, ordered by their text, over as many shards as their number needs; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -154,7 +154,8 @@ class WordEncoder:
 
     A new word is put together from its runs of letters, digits and other signs where these are pre-tokens of their
     own, so a word costs the library one call however it is punctuated.  Full memories take no more entries; the
-    frequent words are in them by then.
+    frequent words are in them by then.  A text that holds the string of an added token of the tokenizer, in whatever case, goes to
+    the library as a whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -165,6 +166,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.added = [t.content.encode().translate(LOWER) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.cache = cache
@@ -181,7 +183,11 @@ class WordEncoder:
     def encode(self, many: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         known, pieces = self.known, self.pieces
-        split = [t.translate(LOWER).split() for t in many]
+        lower = [t.translate(LOWER) for t in many]
+        whole = [i for i, t in enumerate(lower) if any(a in t for a in self.added)]
+        for i in whole:
+            lower[i] = b""
+        split = [t.split() for t in lower]
         found = [list(map(known.get, words)) for words in split]
         gaps = [gaps_of(ids) for ids in found]
         new = {words[i] for words, gap in zip(split, gaps) for i in gap}
@@ -210,7 +216,10 @@ class WordEncoder:
         for words, ids, gap in zip(split, found, gaps):
             for i in gap:
                 ids[i] = coded[words[i]]
-        return list(map(b"".join, found))
+        out = list(map(b"".join, found))
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(many[i].decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -250,7 +259,8 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return stored(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENTS), "token-segments")
+    start = F.substring("text", 1, 32)  # parts rows that share an id; in the order of the texts
+    return stored(rows.repartitionByRange("doc_id", start).sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENTS), "token-segments")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:

@@ -40,10 +40,16 @@ def test_one_content_larger_than_memory(tmp_path):
 def test_deduplicate_keeps_columns(docs, rows, empty):
     kept = x.deduplicate(docs, memory=10_000)
     assert kept.columns == docs.columns
-    assert kept.select("doc_id").distinct().count() == len({WS.sub("", r[1] or "") for r in rows})
+    assert kept.count() == len({WS.sub("", r[1] or "") for r in rows})
     assert x.exact_dedup(empty).count() == 0 and x.deduplicate(empty).count() == 0
 
 
+def test_deduplicate_leaves_one_row_of_each_content(spark):
+    rows = [(5, "t"), (5, "t"), (None, "x"), (None, "x "), (None, "x"), (6, "t"), (7, None), (7, ""), (8, " y"), (8, "y")]
+    kept = x.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 4 and (5, "t") in kept and (None, "x ") in kept
+
+
 def shingle_set(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset({tuple(w)} if w else ())

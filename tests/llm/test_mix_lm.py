@@ -49,6 +49,25 @@ def test_hot_source_in_many_blocks(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string, source string"), 0.002)
 
 
+def test_repeated_and_null_ids_are_spread_and_taken_to_target(spark):
+    rows = [(None, "w " * (1 + k % 50), "hot") for k in range(3000)] + [(9, "q " * (k % 40), "hot") for k in range(2000)] + [(4, "same text", "b")] * 1500 + [(k, "z " * 30, "c") for k in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = m.cube_mix(d).collect()
+    assert len(out) == len(rows)
+    target = {r["source_size"]: r["target"] for r in out}
+    taken = Counter()
+    for r in out:
+        taken[r["source_size"]] += r["taken"]
+    assert all(abs(taken[k] - t) <= 0.01 * t for k, t in target.items())
+    copies = Counter(m.mixed(d).select("source").toPandas()["source"])
+    words = Counter()
+    for r in m.mixed(d).collect():
+        words[r["source"]] += len((r["text"] or "").split())
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "hot b c".split()}
+    want = brute_targets(sizes)
+    assert all(abs(words[s] - want[s]) <= 0.01 * want[s] for s in want) and sum(copies.values()) > 0
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(1)
     s = rng.integers(1, 1000, 400).tolist()
@@ -105,7 +124,48 @@ def test_probabilities_sum_to_one():
     assert abs(sum(p) - 1) < 1e-3  # the last is the whole mass of the tokens outside the top
 
 
-def test_state_is_carried_and_gradients_fit():
+def test_gradients_are_finite_differences():
+    rng = np.random.default_rng(3)
+    top = [(f"w{k}".encode(), 900 - k) for k in range(700)] + [(g.END, 100)]
+    v = g.Vocabulary(top, sum(n for _, n in top) + 300, 900)
+    w = {k: x.astype(np.float64) for k, x in v.weights().items()}
+    for k in ("class_w", "member_w"):
+        w[k] = rng.normal(0, 0.5, w[k].shape)
+    part = rng.integers(0, 702, (6, 9))
+    part[2, ::3] = 700  # an end token: the state starts anew
+    state = rng.normal(size=(9, g.HIDDEN))
+    loss, grads, _ = g.gradients(part, state, v, w)
+    for key, grad in grads.items():
+        for at in map(tuple, np.argwhere(np.abs(grad) > 1e-3)[:: max(1, (np.abs(grad) > 1e-3).sum() // 12)]):
+            sides = []
+            for step in (1e-5, -1e-5):
+                moved = {k: x.copy() for k, x in w.items()}
+                moved[key][at] += step
+                sides.append(g.gradients(part, state, v, moved)[0])
+            assert math.isclose((sides[0] - sides[1]) / 2e-5, grad[at], rel_tol=1e-4, abs_tol=1e-6), (key, at)
+
+
+def test_softmax_of_rows_far_apart():
+    x = np.array([[0.0, 1.0], [-500.0, -501.0], [300.0, 0.0]])
+    want = np.exp(x - np.logaddexp.reduce(x, 1)[:, None])
+    p, norm = g.softmax(x.copy())
+    assert np.allclose(p, want) and np.allclose(norm, np.logaddexp.reduce(x, 1))
+
+
+def test_tokens_are_the_words():
+    import pyarrow as pa
+
+    texts = ["A b\x0bc  É\u00a0x", None, "", " \t\n", "b B b zz"]
+    for top in ([(b"b", 9)], [(b"b", 9), (g.END, 5)]):
+        v = g.Vocabulary(top, 30, 8)
+        ids, rare = v.coded(pa.array(texts))
+        for text, x, r in zip(texts, ids, rare.to_pylist()):
+            words = g.words((text or "").encode())
+            assert x.tolist() == v.ids(words).tolist()
+            assert {p["token"]: p["n"] for p in r} == Counter(w for w in words if w not in v.rank)
+
+
+def test_state_is_carried():
     docs = [np.array([0, 1, 2, 3] * 200, np.int32) for _ in range(6)]
     v = g.Vocabulary([(f"w{k}".encode(), 1200) for k in range(4)], 4800, 4)
     w = v.weights()

@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import numpy as np
@@ -50,6 +51,53 @@ def test_field_learns_and_keeps_clean_documents(spark):
     assert kept.columns == d.columns and kept.count() == q.quality_rules(d, field).filter("kept").count()
 
 
+def test_forward_backward_against_all_labellings():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5):
+        score, move = rng.normal(size=(1, n, 2)), rng.normal(size=(2, 2))
+        one, both = q.chain_marginals(score, move, np.ones((1, n), bool))
+        ways = {ys: np.exp(sum(score[0, t, y] for t, y in enumerate(ys)) + sum(move[a, b] for a, b in zip(ys, ys[1:]))) for ys in itertools.product((0, 1), repeat=n)}
+        total = sum(ways.values())
+        for t in range(n):
+            assert abs(one[0, t, 1] - sum(w for ys, w in ways.items() if ys[t]) / total) < 1e-9
+        for t in range(n - 1):
+            assert abs(both[0, t, 1, 0] - sum(w for ys, w in ways.items() if ys[t] and not ys[t + 1]) / total) < 1e-9
+
+
+def test_labels_change_inside_composed_texts(spark):
+    """Boilerplate lines of bad documents are found where they stand among the lines of good ones, and the other way round."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    field = q.fit_field(d, labels)
+    rows = d.join(labels, "doc_id").filter("text is not null").orderBy("doc_id").select("text", "quality").collect()
+    good = [[x for x in r["text"].split("\n") if x.split()] for r in rows if r["quality"]]
+    junk = [x for r in rows if not r["quality"] for x in r["text"].split("\n") if x.count(" | ") > 3 or x.count("%%%") > 3]
+    rng = np.random.default_rng(1)
+    right = marked = put = 0
+    for lines in good[:120]:
+        at = sorted(rng.choice(len(lines) + 1, min(2, len(lines)), replace=False).tolist(), reverse=True)
+        gold = [0] * len(lines)
+        lines = lines[:]
+        for k in at:
+            lines.insert(k, junk[rng.integers(len(junk))])
+            gold.insert(k, 1)
+        text = "\n".join(lines).encode()
+        found = field.lines(q.text_features(text)[0])
+        right += sum(a and b for a, b in zip(found, gold))
+        marked, put = marked + sum(found), put + sum(gold)
+        assert 0 < field.content_share(text) < 1
+    assert len(junk) > 20 and right > 0.9 * marked and right > 0.9 * put
+    shares = {r[0] for r in q.quality_rules(d, field).select("content_share").collect()}
+    assert any(0 < s < 1 for s in shares)
+
+
+def test_lines_of_a_sample_are_latent():
+    """A good document keeps a boilerplate line as such, and a bad one a content line."""
+    plain, bars = [0, 3], [0, 2]
+    windows = [[plain] * 6, [plain] * 5 + [bars]] * 20 + [[bars] * 6, [bars] * 5 + [plain]] * 20
+    found = q.line_labels(windows, [0] * 40 + [1] * 40)
+    assert found[1] == [0] * 5 + [1] and found[-1] == [1] * 5 + [0] and found[0] == [0] * 6
+
+
 def test_quality_edge_cases(docs, empty, labels):
     assert q.fit_field(empty, labels.limit(0)) is None
     assert q.quality_rules(empty, None).count() == 0 and q.keep_quality(empty, None).columns == empty.columns
@@ -64,23 +112,74 @@ def test_toxicity_on_held_out_rows(spark):
     assert held[0] > 0.85 and held[1] < 0.01
 
 
-def test_grammar_scores_clauses():
-    g = tx.Grammar({"idiot": 1.0}, {"vequ": 1.0})
-    kinds = lambda text: g.clauses(text, {})
-    assert kinds("An idiot walks.")[0] == 1 and kinds("You idiot!")[1] == 1
-    assert kinds("He is not an idiot.")[2] == 1 and kinds("She said he is an idiot.")[3] == 1
-    assert kinds("I will kill you.")[5] == 1 and kinds("vequmo la.")[0] == 1
-    assert not any(kinds("you and not said. nothing here")) and not any(kinds(""))
-    scores = [g.score(kinds(t)) for t in ("", "She said idiot.", "An idiot.", "You idiot.")]
-    assert scores == sorted(scores) and len(set(scores)) == 4
-
-
 def test_toxicity_edge_cases(docs, empty, labels):
     g = tx.fit_grammar(docs, labels)
     assert tx.toxicity(docs, g).count() == docs.count() and tx.toxicity(empty, g).count() == 0
     assert tx.fit_grammar(empty, labels.limit(0)).words
 
 
+def test_each_transducer_changes_the_score():
+    """Kinds of clauses, best paths and their order of scores."""
+    g = tx.Grammar({"idiot": 1.0}, {"vequ": 1.0})
+    used = lambda text: dict(zip((*tx.FEATURES, "clauses"), g.clauses(text, {})))
+    on = lambda text: {k for k, v in used(text).items() if v} - {"clauses"}
+    assert on("An idiot walks.") == {"insult"} and on("You idiot!") == on("idiot, you") == {"insult", "addressed insult"}
+    assert on("You see a tree and a cloud and an idiot") == {"insult"}
+    assert on("He is not an idiot.") == {"insult", "negated"} and on("not one two three four idiot") == {"insult"}
+    assert on("She said he is an idiot.") == on("idiot, he said") == {"insult", "reported"} and on("she said. idiot") == {"insult"}
+    assert on("I will kill you") == {"threat", "addressed threat"} and on("they kill time") == {"threat"} and on("vequmo la.") == {"insult"}
+    assert used("you idiot, idiot. A vequmo! said nothing") == {"insult": 3, "threat": 0, "addressed insult": 2, "addressed threat": 0, "negated": 0, "reported": 0, "clauses": 2}
+    assert not on("you and not said. nothing here") and not on("")
+    score = lambda text: g.score(g.clauses(text, {}))
+    for weak, strong in (("", "a idiot"), ("not idiot", "a idiot"), ("said idiot", "a idiot"), ("a idiot", "you idiot"), ("a kill", "you kill"), ("said not idiot", "said idiot"), ("", "not idiot")):
+        assert score(weak) < score(strong)
+
+
+def test_best_paths_against_all_paths():
+    rng = np.random.default_rng(8)
+    g = tx.Grammar({}, {}, np.array([-4.0, 2.5, 3.0, 1.0, 1.5, -2.0, -1.5]))
+    gain = dict(enumerate(g.weights[1:]))
+
+    def paths(state, clause):
+        if not clause:
+            if tx.AUTOMATON.accepts(state):
+                yield ()
+            return
+        for symbol in clause[0]:
+            for _, features, after in tx.AUTOMATON.arcs.get(state, {}).get(symbol, ()):
+                for rest in paths(after, clause[1:]):
+                    yield features + rest
+
+    weight = lambda used: sum(gain[f] for f in used)
+    for _ in range(150):
+        clause = tuple(rng.choice(["W", "I", "T", "Y", "N", "R", "IY", "W"]) for _ in range(rng.integers(1, 8)))
+        best = max(map(weight, paths(0, clause)))
+        got = g.best_path(clause)
+        assert abs(sum(n * gain[f] for f, n in enumerate(got)) - best) < 1e-9
+
+
+def test_composition_is_the_cascade():
+    """The composed automaton and its parts, run one after the other, read random clauses alike."""
+    marked = [h + a for h in tx.HITS for a in ("", "-")]
+    quoted = [h + a for h in marked for a in ("", '"')]
+    parts = [tx.negation(), tx.reported(marked), tx.target(quoted)]
+    whole = tx.compose(tx.compose(parts[0], parts[1]), parts[2])
+
+    def runs(t, symbols):
+        front = {(0, ())}
+        for x in symbols:
+            front = {(after, (*out, o)) for state, out in front for o, _, after in t.arcs.get(state, {}).get(x, ())}
+        return {out for state, out in front if t.accepts(state)}
+
+    rng = np.random.default_rng(9)
+    for _ in range(100):
+        clause = tuple(rng.choice(["W", "I", "T", "Y", "N", "R"], rng.integers(1, 7)))
+        step = {clause}
+        for t in parts:
+            step = set().union(*(runs(t, x) for x in step))
+        assert runs(whole, clause) == step
+
+
 def test_chunks_resist_insertions():
     rng = np.random.default_rng(0)
     text = bytes(rng.integers(97, 123, 20_000, dtype=np.uint8))
@@ -100,6 +199,25 @@ def test_gear_window():
         assert int(h[i]) == want
 
 
+def test_repeats_in_one_document_and_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(n))
+    s, u, p = prose(90), prose(90), prose(70)
+    four = " ".join([prose(20), p, prose(30), p, prose(20), p, p])
+    rows = [(1, s, "x"), (2, s, "x"), (2, u, "y"), (2, u, "y"), (3, four, "z"), (4, "a" * 1000, "z"), (5, None, "q")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, start string")
+    spans = c.repeated_spans(d).collect()
+    by_doc = {k: [r for r in spans if r["doc_id"] == k] for k in range(1, 6)}
+    assert not by_doc[1] and not by_doc[5] and len(by_doc[2]) == 1 and by_doc[2][0]["end"] > len(s) - 80
+    covered = sum(r["end"] - r["start"] for r in by_doc[3])
+    assert 3 * (len(p) - 130) < covered <= 3 * (len(p) + 2) and all(r["first_doc_ids"] == [3] for r in by_doc[3])
+    assert [(r["start"] >= c.SPAN, r["end"]) for r in by_doc[4]] == [(True, 1000)]
+    cut = c.without_spans(d, c.repeated_spans(d))
+    assert cut.columns == d.columns
+    texts = sorted((r["doc_id"], r["text"]) for r in cut.collect() if r["text"] is not None)
+    assert [t for k, t in texts if k == 2].count(u) == 2 and (1, s) in texts and any(k == 2 and len(t) < 160 for k, t in texts)
+
+
 def test_passages_are_caught_and_clean_documents_left(spark, empty):
     rng = np.random.default_rng(2)
     prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(n))
@@ -179,6 +297,36 @@ def test_cells_that_span_rows(page, text):
     assert h.html_to_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div>" * 300 + "<div hidden>secret</div><p style='display:none'>x<b>y</b></p>seen" + "</div>" * 300 + "<p>end", "seen\n\nend"),
+    ("<div>" * 300 + "a<br>b<div hidden>" + "<div>" * 300 + "secret", "a\nb"),
+    ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no<ul><li>no</ul></div>end", "yes\n\nend"),
+    ("<style>.x, p.y {display: none} /* .z{display:none} */ #i{visibility:hidden} @media print{.z{display:none}}</style><p class='a x'>no<p class=y>no</p><b id=i>no</b><i class=y>yes</i><b class=z> z</b>", "yes z"),
+    ("a<noscript>b</noscript><object>c</object><iframe>d</iframe>", "abc"),
+    ("<table><tr style='visibility:hidden'><td>no<td style='visibility:visible'>yes<tr><td>a<td>b</table>", "   yes\na  b"),
+    ("<table><tr><td colspan=150>a<td>b</table>", "a" + "  " * 150 + "b"),
+])
+def test_visibility_rules(page, text):
+    assert h.html_to_text(page) == text
+
+
+def test_long_lines_take_linear_time(spark):
+    import time
+
+    taken = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        assert len(h.html_to_text("<p>" + "<b>word</b> " * n)) == 5 * n - 1
+        taken.append(time.process_time() - began)
+    assert taken[1] < 8 * taken[0]
+
+
+def test_page_columns_that_clash(spark):
+    pages = spark.createDataFrame([(1, "<p>a", "old", 7), (1, "<p>a", "old", 7), (None, None, None, None)], "page_id long, html string, text string, keep int")
+    out = h.extract_pages(pages)
+    assert out.columns == ["page_id", "html", "keep", "text"] and sorted(r["text"] for r in out.collect()) == ["", "a", "a"]
+
+
 def test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     out = h.extract_pages(pages)

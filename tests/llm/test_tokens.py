@@ -48,6 +48,24 @@ def test_token_files_against_the_library(docs, rows):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_texts_with_added_tokens_against_the_library():
+    lib, own = Tokenizer.from_file(WORDS), t.WordEncoder(WORDS)
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext|", "a", " ", "  ", "Don't", "<|", "|>", "é", "12", "\n", "İ", "!!", "日本"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    for at in range(0, len(texts), 50):
+        some = texts[at : at + 50]
+        want = [np.array(lib.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in some]
+        assert own.encode([x.encode() for x in some]) == want
+
+
+def test_many_rows_of_one_id_take_their_places_in_order(spark):
+    rows = [(7, f"w{k} x") for k in range(300)] + [(None, f"n{k}") for k in range(100)] + [(3, "a")] * 5
+    got = sorted(t.token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), WORDS).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 100 + [3] * 5 + [7] * 300
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 127, 128, 129, 5000):
