@@ -366,12 +366,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     held = stored(held.dropDuplicates(["rep", "d1", "d2"]).drop("d1", "d2"), "near-held")
     links = settle(held, sizes, FAMILY_BLOCK, family_links, "near-links")
 
-    # A document in several classes (a repeated doc_id) is one node: their smallest ids are linked.
-    of_doc = real.join(classes, ["d1", "d2"]).filter("doc_id <> rep").select("doc_id", "rep")
-    several = of_doc.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("most")).filter("v <> most").select("doc_id", "v")
-    repeated = of_doc.join(several, "doc_id").filter("rep <> v").select(F.col("rep").alias("u"), "v")
-    own = real.join(classes, ["d1", "d2"]).filter("doc_id = rep").select("doc_id").distinct()
-    repeated = repeated.unionByName(of_doc.join(own, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    # A document in several classes (a repeated doc_id) is one node: the smallest ids of its classes are linked with it.
+    many = real.groupBy("doc_id").agg(F.min(F.xxhash64("d1", "d2")).alias("a"), F.max(F.xxhash64("d1", "d2")).alias("b")).filter("a <> b").select("doc_id")
+    of_doc = real.join(stored(many, "near-many"), "doc_id", "left_semi").select("doc_id", "d1", "d2").distinct().join(classes, ["d1", "d2"])
+    least = of_doc.groupBy("doc_id").agg(F.min("rep").alias("v"))
+    repeated = of_doc.join(least, "doc_id").filter("rep <> v").select(F.col("rep").alias("u"), "v")
     repeated = stored(repeated.distinct(), "near-repeated")
     if not repeated.isEmpty():
         links = components(links.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(repeated), "near-all")
