@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,6 +109,36 @@ def uniform_sql(seed, *keys: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::UBIGINT / 4294967296.0::DOUBLE)"
 
 
+#: A prime under 2^31; x -> x^5 permutes the numbers below it.
+PRIME = 2147483647
+#: Cumulative chances of a Poisson number with mean 1: it is k or less with chance POISSON[k].
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12))
+
+
+def seed_pair(seed, key) -> tuple[Column, Column]:
+    """Two numbers below PRIME from an MD5 of a seed and a key."""
+    text = F.md5(F.concat_ws("|", F.lit(str(seed)), _c(key).cast("string")))
+    return tuple(F.conv(F.substring(text, at, 8), 16, 10).cast("long") % PRIME for at in (1, 9))
+
+
+def poisson_weight(a, b, rep) -> Column:
+    """How often draw rep takes what the pair (a, b) stands for: a Poisson number of mean 1, by integer arithmetic alone."""
+    def fifth(x):
+        square = x * x % PRIME
+        return square * square % PRIME * x % PRIME
+
+    x = fifth((_c(a) + _c(rep) * 1000003) % PRIME)
+    x = fifth((x + _c(b)) % PRIME)
+    return sum((F.when(x >= int(c * PRIME), 1).otherwise(0) for c in POISSON), F.lit(0)).cast("double")
+
+
+def poisson_sql(a: str, b: str, rep: str) -> tuple[str, str, str]:
+    """poisson_weight in three steps: y, x from y, and the weight from x."""
+    fifth = lambda x: f"(({x} * {x} % {PRIME}) * ({x} * {x} % {PRIME}) % {PRIME} * {x} % {PRIME})"
+    first = f"(({a} + CAST({rep} AS BIGINT) * 1000003) % {PRIME})"
+    return fifth(first), fifth(f"((y + {b}) % {PRIME})"), " + ".join(f"(x >= {int(c * PRIME)})::INT" for c in POISSON)
+
+
 def index_categories(df: DataFrame, col: str) -> DataFrame:
     """(col, index): dense numbers from 0 in sorted order of the distinct values.
 

@@ -8,24 +8,33 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyard.functions.scalars import hash_uniform
+from tallyard.functions.scalars import poisson_weight, seed_pair
 
 
-def boot_ratio(df: DataFrame, cluster: str, a: str, b: str, reps: int = 1000, seed="boot", low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """One row: estimate sum(a) / sum(b), and its percentile interval over draws of clusters with replacement.
+def resampled(per: DataFrame, cluster: str, values: list[str], reps: int, seed, by: list[str] = ()) -> DataFrame:
+    """(rep, by, values): the sums of each draw, in which every cluster weighs a Poisson number of mean 1.
 
-    Clusters are numbered densely after they are summed; each draw names a number by a hash and joins on it, so
-    the work is reps x clusters and never copies rows.
+    per: rows summed beforehand (a row or a few for each cluster).  A row meets its draws in a generator and its weights
+    come from a hash, so there is no join and no numbering of clusters; tasks fold their rows into one row per draw before
+    the shuffle.
     """
-    parts = df.groupBy(cluster).agg(F.sum(a).alias("_a"), F.sum(b).alias("_b"))
-    numbered = parts.withColumn("_k", (F.row_number().over(Window.orderBy(cluster)) - 1).cast("long")).withColumn("_m", F.count("*").over(Window.partitionBy()))
-    spark = df.sparkSession
-    draws = numbered.select(F.col("_k").alias("_slot"), "_m").crossJoin(spark.range(reps).select(F.col("id").alias("rep")))
-    draws = draws.withColumn("_k", F.floor(hash_uniform(seed, "rep", "_slot") * F.col("_m")).cast("long")).groupBy("rep", "_k").agg(F.count("*").alias("_w"))
-    sums = draws.join(numbered.select("_k", "_a", "_b"), "_k").groupBy("rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_a")), F.sum(F.col("_w") * F.col("_b"))).alias("_r"))
-    ci = sums.agg(F.percentile("_r", F.lit(low)).alias("low"), F.percentile("_r", F.lit(high)).alias("high"))
-    est = parts.agg(F.try_divide(F.sum("_a"), F.sum("_b")).alias("estimate"), F.count("*").alias("n_clusters"))
-    return est.crossJoin(ci)
+    a, b = seed_pair(seed, cluster)
+    rows = per.select(*by, a.alias("_a"), b.alias("_b"), *[F.col(v).cast("double").alias(v) for v in values])
+    rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
+    weighed = rows.withColumn("_w", poisson_weight("_a", "_b", "rep")).filter("_w > 0")
+    return weighed.groupBy("rep", *by).agg(*[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values])
+
+
+def interval(draws: DataFrame, value, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """The percentiles of a value over the draws (some thousand rows)."""
+    return draws.select(value.alias("_v")).agg(F.percentile("_v", F.lit(low)).alias("low"), F.percentile("_v", F.lit(high)).alias("high"))
+
+
+def boot_ratio(df: DataFrame, cluster: str, a: str, b: str, reps: int = 1000, seed="boot", low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """One row: estimate sum(a) / sum(b), and its percentile interval over Poisson draws of clusters."""
+    parts = df.groupBy(cluster).agg(F.sum(a).alias("_x"), F.sum(b).alias("_y"))
+    est = parts.agg(F.try_divide(F.sum("_x"), F.sum("_y")).alias("estimate"), F.count("*").alias("n_clusters"))
+    return est.crossJoin(F.broadcast(interval(resampled(parts, cluster, ["_x", "_y"], reps, seed), F.try_divide("_x", "_y"), low, high)))
 
 
 def boot_mean(df: DataFrame, cluster: str, v: str, reps: int = 1000, seed="boot", low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -33,31 +42,20 @@ def boot_mean(df: DataFrame, cluster: str, v: str, reps: int = 1000, seed="boot"
     return boot_ratio(df.filter(F.col(v).isNotNull()).withColumn("_one", F.lit(1.0)), cluster, v, "_one", reps, seed, low, high)
 
 
-def weighted_draws(df: DataFrame, cluster: str, reps: int, seed="boot") -> DataFrame:
-    """(rep, cluster, weight): how often each draw takes each cluster."""
-    names = df.select(cluster).distinct().withColumn("_k", (F.row_number().over(Window.orderBy(cluster)) - 1).cast("long")).withColumn("_m", F.count("*").over(Window.partitionBy()))
-    draws = names.select(F.col("_k").alias("_slot"), "_m").crossJoin(df.sparkSession.range(reps).select(F.col("id").alias("rep")))
-    drawn = draws.withColumn("_k", F.floor(hash_uniform(seed, "rep", "_slot") * F.col("_m")).cast("long")).groupBy("rep", "_k").agg(F.count("*").alias("weight"))
-    return drawn.join(names.select("_k", cluster), "_k").select("rep", cluster, "weight")
-
-
 def boot_r2(df: DataFrame, cluster: str, y: str, yhat: str, reps: int, seed="boot") -> DataFrame:
     """R2 per draw from weighted sums per cluster: 1 - SSE / (sum y^2 - (sum y)^2 / n)."""
     e = F.col(y) - F.col(yhat)
     per = df.groupBy(cluster).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("q"), F.sum(e * e).alias("e"))
-    w = weighted_draws(per, cluster, reps, seed).join(per, cluster)
-    sums = w.groupBy("rep").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in "nsqe"])
-    r2 = 1 - F.try_divide(F.col("e"), F.col("q") - F.col("s") * F.col("s") / F.col("n"))
-    return sums.select(r2.alias("r2")).agg(F.percentile("r2", F.lit(0.025)).alias("low"), F.percentile("r2", F.lit(0.975)).alias("high"))
+    return interval(resampled(per, cluster, ["n", "s", "q", "e"], reps, seed), 1 - F.try_divide(F.col("e"), F.col("q") - F.col("s") * F.col("s") / F.col("n")))
 
 
 def boot_auc(df: DataFrame, cluster: str, score: str, label: str, reps: int, seed="boot") -> DataFrame:
-    """The AUC's percentile interval: the weighted rank form per draw."""
-    cells = df.groupBy(cluster, score).agg(F.sum(label).cast("double").alias("_p"), F.sum(1 - F.col(label)).cast("double").alias("_q"))
-    w = weighted_draws(df, cluster, reps, seed).join(cells, cluster).groupBy("rep", score).agg(F.sum(F.col("weight") * F.col("_p")).alias("_p"), F.sum(F.col("weight") * F.col("_q")).alias("_q"))
+    """The AUC's percentile interval: the weighted rank form per draw, on sums by draw and score."""
+    cells = df.groupBy(cluster, score).agg(F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_q"))
+    w = resampled(cells, cluster, ["_p", "_q"], reps, seed, [score])
     below = F.sum("_q").over(Window.partitionBy("rep").orderBy(score)) - F.col("_q") / 2
-    a = w.withColumn("_w", F.col("_p") * below).groupBy("rep").agg(F.try_divide(F.sum("_w"), F.sum("_p") * F.sum("_q")).alias("auc"))
-    return a.agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"))
+    draws = w.withColumn("_w", F.col("_p") * below).groupBy("rep").agg(F.try_divide(F.sum("_w"), F.sum("_p") * F.sum("_q")).alias("auc"))
+    return interval(draws, F.col("auc"))
 
 
 def within_parts(df: DataFrame, entity: str, x: str, y: str, min_rows: int) -> DataFrame:

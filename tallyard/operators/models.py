@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tallyard.functions.scalars import hash_uniform
 
+from tallyard.sources.readers import stored
+
 from .metrics import auc, binary_metrics, regression_metrics
 
 
@@ -50,22 +52,23 @@ def pair_ridge(df: DataFrame, a: str, b: str, y: str, lam: float, by: str) -> Da
     return df.sparkSession.createDataFrame(rows, f"{by} {dict(df.dtypes)[by]}, item string, theta double")
 
 
-def theta_column(theta: dict[str, float], col: str):
-    """theta of an item as an expression; unseen items are 0."""
-    if not theta:
-        return F.lit(0.0)
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in theta.items() for x in kv]), F.col(col)), F.lit(0.0))
-
+def backfit(df: DataFrame, a: str, b: str, entity: str, opp_entity: str, y: str, lam: float, K: float, passes: int = 3) -> tuple[dict[str, float], DataFrame]:
+    """y = theta[a] - theta[b] + effect[entity] - effect[opp_entity]: (theta, (entity, effect)).
 
-def backfit(df: DataFrame, a: str, b: str, entity: str, y: str, lam: float, K: float, passes: int = 3) -> tuple[dict[str, float], DataFrame]:
-    """Alternates the pair ridge on y less entity means with shrunk entity means of the residual; (theta, entity effects)."""
-    rows = df.select(a, b, entity, y)
-    effects, theta = None, {}
+    theta is the pair ridge; in each pass the effects are the shrunk means of what theta leaves (by own entity), and theta is
+    fitted again to what both effects leave.  An entity or item that was not seen counts 0.
+    """
+    spark = df.sparkSession
+    rows = df.select(a, b, entity, opp_entity, y)
+    theta, effects = fit_pair_ridge(rows, a, b, y, lam), None
     for _ in range(passes):
-        left = rows.join(effects, entity, "left").withColumn("_t", F.col(y) - F.coalesce("effect", F.lit(0.0))) if effects is not None else rows.withColumn("_t", F.col(y))
-        theta = fit_pair_ridge(left, a, b, "_t", lam)
-        rest = rows.withColumn("_r", F.col(y) - theta_column(theta, a) + theta_column(theta, b))
-        effects = rest.groupBy(entity).agg((F.sum("_r") / (F.count("_r") + K)).alias("effect"))
+        items = spark.createDataFrame([(str(k), v) for k, v in theta.items()], "_i string, _t double")
+        own, other = items.toDF("_a", "_ta"), items.toDF("_b", "_tb")
+        left = rows.join(own, F.col(a) == F.col("_a"), "left").join(other, F.col(b) == F.col("_b"), "left").withColumn("_r", F.col(y) - F.coalesce("_ta", F.lit(0.0)) + F.coalesce("_tb", F.lit(0.0)))
+        effects = stored(left.groupBy(entity).agg((F.sum("_r") / (F.count("_r") + K)).alias("effect")), "effects")
+        mine, theirs = effects.toDF("_e", "_me"), effects.toDF("_o", "_oe")
+        rest = rows.join(mine, F.col(entity) == F.col("_e"), "left").join(theirs, F.col(opp_entity) == F.col("_o"), "left")
+        theta = fit_pair_ridge(rest.withColumn("_y", F.col(y) - F.coalesce("_me", F.lit(0.0)) + F.coalesce("_oe", F.lit(0.0))), a, b, "_y", lam)
     return theta, effects
 
 
@@ -74,11 +77,12 @@ def gbt_sweep(df: DataFrame, train, categories: list[str], numbers: list[str], y
     index = StringIndexer(inputCols=categories, outputCols=[f"{c}_i" for c in categories], handleInvalid="keep", stringOrderType="alphabetAsc")
     gather = VectorAssembler(inputCols=[*[f"{c}_i" for c in categories], *numbers], outputCol="_f")
     n = max(df.agg(*[F.countDistinct(c) for c in categories]).first()) + 2
-    ready = Pipeline(stages=[index, gather, VectorIndexer(inputCol="_f", outputCol="features", maxCategories=n, handleInvalid="keep")]).fit(df.filter(train)).transform(df).cache()
+    ready = Pipeline(stages=[index, gather, VectorIndexer(inputCol="_f", outputCol="features", maxCategories=n, handleInvalid="keep")]).fit(df.filter(train)).transform(df)
+    ready = stored(ready.withColumn("_train", train).select("features", y, "_train"), "gbt-rows")
     out = None
     for k, setting in enumerate(grid):
-        model = GBTRegressor(labelCol=y, maxBins=max(32, n), seed=7, **setting).fit(ready.filter(train))
-        scored = regression_metrics(model.transform(ready.filter(~train)), y, "prediction").withColumn("setting", F.lit(k)).withColumn("params", F.lit(str(setting)))
+        model = GBTRegressor(labelCol=y, maxBins=max(32, n), seed=7, **setting).fit(ready.filter("_train"))
+        scored = regression_metrics(model.transform(ready.filter("not _train")), y, "prediction").withColumn("setting", F.lit(k)).withColumn("params", F.lit(str(setting)))
         out = scored if out is None else out.unionByName(scored)
     return out
 
@@ -120,15 +124,36 @@ def multinomial_ranks(df: DataFrame, train, tokens: str, label: str, C: float =
     return out.select(F.col(label).alias("true"), (F.size(F.filter("_p", lambda x: x > own)) + 1).alias("rank"))
 
 
-def lr_select(df: DataFrame, train, valid, xs: list[str], y: str, grid: list[float]) -> DataFrame:
-    """(reg, log_loss) of each penalty on the validation rows, the best marked."""
-    gather = VectorAssembler(inputCols=xs, outputCol="features")
-    ready, out = gather.transform(df).cache(), None
-    for reg in grid:
-        model = LogisticRegression(labelCol=y, regParam=reg).fit(ready.filter(train))
-        m = binary_metrics(model.transform(ready.filter(valid)).withColumn("_p", F.element_at(vector_to_array("probability"), 2)), y, "_p").select(F.lit(float(reg)).alias("reg"), "log_loss", "accuracy")
-        out = m if out is None else out.unionByName(m)
-    return out.withColumn("best", F.col("reg") == F.min_by("reg", F.struct("log_loss", "reg")).over(Window.partitionBy()))
+def single_auc(df: DataFrame, xs: list[str], y: str) -> DataFrame:
+    """(term, auc): how well each column alone ranks the label."""
+    return auc(df.select(y, *[F.col(x).cast("double").alias(x) for x in xs]).unpivot([y], xs, "term", "_x"), "_x", y, ["term"])
+
+
+def identity_features(df: DataFrame, contest: str, item: str, side: str, own) -> tuple[DataFrame, list[str]]:
+    """One row per contest with a column for each item (as many as the catalogue has): its count on the own side less the other."""
+    from tallyard.functions.scalars import signed_features
+
+    items = [r[0] for r in df.select(item).filter(F.col(item).isNotNull()).distinct().orderBy(item).collect()]
+    wide = signed_features(df, contest, item, side, own).groupBy(contest).pivot(item, items).agg(F.sum("sign"))
+    names = [f"x{k}" for k in range(len(items))]
+    return wide.select(contest, *[F.coalesce(F.col(f"`{i}`").cast("double"), F.lit(0.0)).alias(n) for i, n in zip(items, names)]), names
+
+
+def lr_select(df: DataFrame, train, valid, test, xs: list[str], y: str, grid: list[float]) -> DataFrame:
+    """(reg, log_loss, accuracy) of each penalty on the validation rows; the best is fitted again on training and validation
+    rows, and its row has the test rows' test_n, test_accuracy, test_log_loss and test_brier."""
+    rows = VectorAssembler(inputCols=xs, outputCol="features").transform(df.withColumn("_part", F.when(train, 0).when(valid, 1).when(test, 2)))
+    ready = stored(rows.filter("_part is not null").select("features", y, "_part"), "lr-rows")
+
+    def scores(reg: float, fit: str, on: str) -> DataFrame:
+        model = LogisticRegression(labelCol=y, regParam=reg).fit(ready.filter(fit))
+        return binary_metrics(model.transform(ready.filter(on)).withColumn("_p", F.element_at(vector_to_array("probability"), 2)), y, "_p")
+
+    tried = [(reg, *scores(reg, "_part = 0", "_part = 1").select("log_loss", "accuracy").first()) for reg in grid]
+    best = min(tried, key=lambda t: (t[1] is None, t[1] or 0.0, t[0]))[0]
+    found = scores(best, "_part < 2", "_part = 2").select("n", "accuracy", "log_loss", "brier").first()
+    out = [(*map(float, t), t[0] == best, *(found if t[0] == best else (None,) * 4)) for t in tried]
+    return df.sparkSession.createDataFrame(out, "reg double, log_loss double, accuracy double, best boolean, test_n long, test_accuracy double, test_log_loss double, test_brier double")
 
 
 def nested_lr(df: DataFrame, train, models: dict[str, list[str]], y: str) -> DataFrame:

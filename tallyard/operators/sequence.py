@@ -53,8 +53,9 @@ def contest_order(df: DataFrame, contest: str, time: str) -> DataFrame:
 def candidate_shares(picks: DataFrame, role: str, item: str, entity: str, gamma: float, top: int) -> DataFrame:
     """(contest, slot, item, is_true, role_share, own_share): the candidates of each pick and what earlier contests say.
 
-    picks: contest, seq, slot, week, entity, role, item.  Candidates are the top items of the role at the pick's day and
-    the entity's own items, less those taken by earlier slots of the contest.
+    picks: contest, seq, slot, week, entity, role, item.  Candidates are the top items that earlier contests have shown in the role
+    and the entity's own items, less those taken by earlier slots of the contest; a pick without any has its true item
+    as the only one.
     """
     weight = F.sum(F.pow(F.lit(1 / gamma), F.col("week"))).alias("g")  # gamma^now cancels in a share
     w = Window.partitionBy("contest", "slot")
@@ -64,10 +65,13 @@ def candidate_shares(picks: DataFrame, role: str, item: str, entity: str, gamma:
     r = known_before(grid, picks.groupBy(role, item, "seq").agg(weight), [role, item], "_rw").withColumn("role_share", share("_rw"))
     r = r.withColumn("_rank", F.row_number().over(w.orderBy(F.desc(F.round("role_share", 9)), item)))
     o = known_before(r, picks.groupBy(entity, item, "seq").agg(weight), [entity, item], "_ow").withColumn("own_share", share("_ow"))
-    keep = o.filter((F.col("_rank") <= top) | (F.col("_ow") > 0))
+    keep = o.filter(((F.col("_rank") <= top) & (F.col("_rw") > 0)) | (F.col("_ow") > 0))
     gone = picks.select(F.col("contest").alias("_c"), F.col("slot").alias("_s"), F.col(item).alias("_i"))
     free = keep.join(gone, (F.col("contest") == F.col("_c")) & (F.col(item) == F.col("_i")) & (F.col("_s") < F.col("slot")), "left_anti")
-    return free.select("contest", "seq", "slot", entity, role, item, (F.col(item) == F.col("true_item")).cast("int").alias("is_true"), "role_share", "own_share")
+    free = free.select("contest", "slot", F.col(item).alias("_free"), "role_share", "own_share")
+    every = points.join(free, ["contest", "slot"], "left").withColumn(item, F.coalesce("_free", "true_item"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return every.select("contest", "seq", "slot", entity, role, item, (F.col(item) == F.col("true_item")).cast("int").alias("is_true"), zero("role_share"), zero("own_share"))
 
 
 def score_candidates(shares: DataFrame, alphas: list[float]) -> DataFrame:

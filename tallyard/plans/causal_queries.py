@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyard.functions.scalars import uniform_sql
+from tallyard.functions.scalars import PRIME, poisson_sql
 from tallyard.operators import causal as c
 from tallyard.operators import resample as rs
 from tallyard.operators import stats as s
@@ -12,23 +12,29 @@ from tallyard.operators import stats as s
 from .panel import PANEL, panel
 from .registry import query
 
-REPS = 200
-DRAWS_OF_MEANS = 1000
+REPS = 1000
 
 
 def r(c, n=6):
     return F.round(c, n).alias(c)
 
 
-def boot_sql(parts: str, num: str, den: str, reps: int, seed: str, low: float, high: float) -> str:
-    """The bootstrap of sum(num) / sum(den) over the rows of parts(k, num, den), k numbered from 0."""
-    return f"""m AS (SELECT count(*) AS m FROM {parts}), dr AS (SELECT rep, CAST(floor({uniform_sql(seed, 'rep', 'k')} * m) AS BIGINT) AS k FROM {parts}, m, (SELECT unnest(range({reps})) AS rep)),
- b AS (SELECT rep, sum({num}) / sum({den}) AS r FROM dr JOIN {parts} USING (k) GROUP BY 1), ci AS (SELECT quantile_cont(r, {low}) AS low, quantile_cont(r, {high}) AS high FROM b)"""
+def draws_sql(parts: str, key: str, sums: str, seed: str, by: str = "") -> str:
+    """b: sums over the Poisson draws (weight w) of the rows of parts, which key names; by: further keys of the sums."""
+    y, x, w = poisson_sql("s1", "s2", "rep")
+    part = lambda at: f"('0x' || substr(h, {at}, 8))::UBIGINT::BIGINT % {PRIME}"
+    return f"""hs AS (SELECT *, md5('{seed}|' || CAST({key} AS VARCHAR)) AS h FROM {parts}), sd AS (SELECT *, {part(1)} AS s1, {part(9)} AS s2 FROM hs), ys AS (SELECT *, {y} AS y FROM sd, (SELECT unnest(range({REPS})) AS rep)), xs AS (SELECT *, {x} AS x FROM ys),
+ wt AS (SELECT *, {w} AS w FROM xs), b AS (SELECT rep{by}, {sums} FROM wt WHERE w > 0 GROUP BY rep{by})"""
 
 
-@query("R2_boot_ratio", f"WITH {PANEL}, pa AS (SELECT row_number() OVER (ORDER BY entity) - 1 AS k, sum(win) AS a, sum(1.0::DOUBLE) AS n FROM panel GROUP BY entity), {boot_sql('pa', 'a', 'n', REPS, 'r2', 0.025, 0.975)} SELECT round((SELECT sum(a) / sum(n) FROM pa), 6) AS estimate, (SELECT count(*) FROM pa) AS n_clusters, round(low, 6) AS low, round(high, 6) AS high FROM ci")
+def boot_sql(parts: str, key: str, num: str, den: str, seed: str, low: float, high: float) -> str:
+    """The bootstrap of sum(num) / sum(den) over the rows of parts."""
+    return f"{draws_sql(parts, key, f'sum(w * {num}) / sum(w * {den}) AS r', seed)}, ci AS (SELECT quantile_cont(r, {low}) AS low, quantile_cont(r, {high}) AS high FROM b)"
+
+
+@query("R2_boot_ratio", f"WITH {PANEL}, pa AS (SELECT entity, sum(win) AS a, sum(1.0::DOUBLE) AS n FROM panel GROUP BY entity), {boot_sql('pa', 'entity', 'a', 'n', 'r2', 0.025, 0.975)} SELECT round((SELECT sum(a) / sum(n) FROM pa), 6) AS estimate, (SELECT count(*) FROM pa) AS n_clusters, round(low, 6) AS low, round(high, 6) AS high FROM ci")
 def boot_ratio(spark, d):
-    return c.boot_ratio(panel(spark, d).withColumn("one", F.lit(1.0)), "entity", "win", "one", DRAWS_OF_MEANS, "r2").select(r("estimate"), "n_clusters", r("low"), r("high"))
+    return c.boot_ratio(panel(spark, d).withColumn("one", F.lit(1.0)), "entity", "win", "one", REPS, "r2").select(r("estimate"), "n_clusters", r("low"), r("high"))
 
 
 DELTAS = PANEL + """, cc AS (SELECT entity, item, count(*) AS n FROM panel GROUP BY 1, 2), tt AS (SELECT entity, sum(n) AS a FROM cc GROUP BY 1), fm AS (SELECT entity, item, n / a AS f FROM cc JOIN tt USING (entity)),
@@ -40,39 +46,38 @@ def deltas(spark, d):
     return c.entity_deltas(f, "entity", "win", F.col("familiarity") >= 0.1, F.col("familiarity") <= 0.03)
 
 
-@query("R3_boot_mean", f"WITH {DELTAS}, pa AS (SELECT row_number() OVER (ORDER BY entity) - 1 AS k, delta, 1.0::DOUBLE AS n FROM dd), {boot_sql('pa', 'delta', 'n', REPS, 'r3', 0.025, 0.975)} SELECT round((SELECT avg(delta) FROM pa), 6) AS estimate, (SELECT count(*) FROM pa) AS n_clusters, round(low, 6) AS low, round(high, 6) AS high FROM ci")
+@query("R3_boot_mean", f"WITH {DELTAS}, pa AS (SELECT entity, delta, 1.0::DOUBLE AS n FROM dd), {boot_sql('pa', 'entity', 'delta', 'n', 'r3', 0.025, 0.975)} SELECT round((SELECT avg(delta) FROM pa), 6) AS estimate, (SELECT count(*) FROM pa) AS n_clusters, round(low, 6) AS low, round(high, 6) AS high FROM ci")
 def boot_mean(spark, d):
-    return c.boot_mean(deltas(spark, d), "entity", "delta", DRAWS_OF_MEANS, "r3").select(r("estimate"), "n_clusters", r("low"), r("high"))
+    return c.boot_mean(deltas(spark, d), "entity", "delta", REPS, "r3").select(r("estimate"), "n_clusters", r("low"), r("high"))
 
 
-DRAWS = f"""nm AS (SELECT contest, row_number() OVER (ORDER BY contest) - 1 AS k FROM (SELECT DISTINCT contest FROM panel WHERE period = 1998)), mm AS (SELECT count(*) AS m FROM nm),
- dr AS (SELECT rep, CAST(floor({uniform_sql('r4', 'rep', 'k')} * m) AS BIGINT) AS k, count(*) AS weight FROM nm, mm, (SELECT unnest(range(50)) AS rep) GROUP BY 1, 2), wt AS (SELECT rep, contest, weight FROM dr JOIN nm USING (k))"""
+R4_SUMS = "sum(w * n) AS n, sum(w * s) AS s, sum(w * q) AS q, sum(w * e) AS e"
 
 
-@query("R4_boot_r2", f"""WITH {PANEL}, {DRAWS}, e AS (SELECT contest, y, avg(y) OVER (PARTITION BY role) AS yhat FROM panel WHERE period = 1998),
- pr AS (SELECT contest, count(*) AS n, sum(y) AS s, sum(y * y) AS q, sum((y - yhat) * (y - yhat)) AS e FROM e GROUP BY 1), su AS (SELECT rep, sum(weight * n) AS n, sum(weight * s) AS s, sum(weight * q) AS q, sum(weight * e) AS e FROM wt JOIN pr USING (contest) GROUP BY 1)
- SELECT round(quantile_cont(1 - e / (q - s * s / n), 0.025), 6) AS low, round(quantile_cont(1 - e / (q - s * s / n), 0.975), 6) AS high FROM su""")
+@query("R4_boot_r2", f"""WITH {PANEL}, ev AS (SELECT contest, y AS v, avg(y) OVER (PARTITION BY role) AS yhat FROM panel),
+ pr AS (SELECT contest, count(*) AS n, sum(v) AS s, sum(v * v) AS q, sum((v - yhat) * (v - yhat)) AS e FROM ev GROUP BY 1), {draws_sql('pr', 'contest', R4_SUMS, 'r4')}
+ SELECT round(quantile_cont(1 - e / (q - s * s / n), 0.025), 6) AS low, round(quantile_cont(1 - e / (q - s * s / n), 0.975), 6) AS high FROM b""")
 def boot_r2(spark, d):
-    p = panel(spark, d).filter("period = 1998")
+    p = panel(spark, d)
     p = p.join(p.groupBy("role").agg(F.avg("y").alias("yhat")), "role")
-    return c.boot_r2(p, "contest", "y", "yhat", 50, "r4").select(r("low"), r("high"))
+    return c.boot_r2(p, "contest", "y", "yhat", REPS, "r4").select(r("low"), r("high"))
 
 
-@query("R4_boot_auc", f"""WITH {PANEL}, {DRAWS}, g AS (SELECT rep, p, sum(weight * win) AS a, sum(weight * (1 - win)) AS b FROM panel JOIN wt USING (contest) WHERE period = 1998 GROUP BY 1, 2), x AS (SELECT *, sum(b) OVER (PARTITION BY rep ORDER BY p) - b / 2.0 AS below FROM g),
- u AS (SELECT rep, sum(a * below) / (sum(a) * sum(b)) AS auc FROM x GROUP BY 1) SELECT round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high FROM u""")
+@query("R4_boot_auc", f"""WITH {PANEL}, ce AS (SELECT contest, p, sum(win) AS pos, sum(1 - win) AS neg FROM panel GROUP BY 1, 2), {draws_sql('ce', 'contest', 'sum(w * pos) AS pos, sum(w * neg) AS neg', 'r4', ', p')}, z AS (SELECT *, sum(neg) OVER (PARTITION BY rep ORDER BY p) - neg / 2.0 AS below FROM b),
+ u AS (SELECT rep, sum(pos * below) / (sum(pos) * sum(neg)) AS auc FROM z GROUP BY 1) SELECT round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high FROM u""")
 def boot_auc(spark, d):
-    return c.boot_auc(panel(spark, d).filter("period = 1998"), "contest", "p", "win", 50, "r4").select(r("low"), r("high"))
+    return c.boot_auc(panel(spark, d), "contest", "p", "win", REPS, "r4").select(r("low"), r("high"))
 
 
-@query("R5_metric_interval", f"WITH {PANEL}, pa AS (SELECT row_number() OVER (ORDER BY contest) - 1 AS k, avg(win) AS v, 1.0::DOUBLE AS n FROM panel WHERE period = 1998 GROUP BY contest), {boot_sql('pa', 'v', 'n', REPS, 'r5', 0.05, 0.95)} SELECT round((SELECT avg(v) FROM pa), 6) AS estimate, (SELECT count(*) FROM pa) AS n_clusters, round(low, 6) AS low, round(high, 6) AS high, low <= 0.5 AND high >= 0.5 AS inside FROM ci")
+@query("R5_metric_interval", f"WITH {PANEL}, pa AS (SELECT contest, avg(win) AS v, 1.0::DOUBLE AS n FROM panel GROUP BY contest), {boot_sql('pa', 'contest', 'v', 'n', 'r5', 0.05, 0.95)} SELECT round((SELECT avg(v) FROM pa), 6) AS estimate, (SELECT count(*) FROM pa) AS n_clusters, round(low, 6) AS low, round(high, 6) AS high, low <= 0.5 AND high >= 0.5 AS inside FROM ci")
 def metric_interval(spark, d):
-    return rs.metric_interval(panel(spark, d).filter("period = 1998"), "contest", "win", REPS, "r5").select(r("estimate"), "n_clusters", r("low"), r("high"), "inside")
+    return rs.metric_interval(panel(spark, d), "contest", "win", REPS, "r5").select(r("estimate"), "n_clusters", r("low"), r("high"), "inside")
 
 
-@query("R6_row_interval", f"WITH {PANEL}, pa AS (SELECT row_number() OVER (ORDER BY contest || '|' || panel.ln || '|' || pk || '|' || sk) - 1 AS k, win AS v, 1.0::DOUBLE AS n FROM panel WHERE period = 1998 AND role = 'SMALL'), {boot_sql('pa', 'v', 'n', 100, 'r6', 0.025, 0.975)} SELECT round((SELECT avg(v) FROM pa), 6) AS estimate, (SELECT count(*) FROM pa) AS n_clusters, round(low, 6) AS low, round(high, 6) AS high FROM ci")
+@query("R6_row_interval", f"WITH {PANEL}, pa AS (SELECT contest || '|' || panel.ln || '|' || pk || '|' || sk AS id, sum(win) AS v, sum(1.0::DOUBLE) AS n FROM panel GROUP BY 1), {boot_sql('pa', 'id', 'v', 'n', 'r6', 0.025, 0.975)} SELECT round((SELECT sum(v) / sum(n) FROM pa), 6) AS estimate, (SELECT count(*) FROM pa) AS n_clusters, round(low, 6) AS low, round(high, 6) AS high FROM ci")
 def row_interval(spark, d):
-    p = panel(spark, d).filter("period = 1998 and role = 'SMALL'").withColumn("row", F.concat_ws("|", *[F.col(k).cast("string") for k in ("contest", "ln", "pk", "sk")]))
-    return rs.row_interval(p, "row", "win", 100, "r6").select(r("estimate"), "n_clusters", r("low"), r("high"))
+    p = panel(spark, d).withColumn("row", F.concat_ws("|", *[F.col(k).cast("string") for k in ("contest", "ln", "pk", "sk")]))
+    return rs.row_interval(p, "row", "win", REPS, "r6").select(r("estimate"), "n_clusters", r("low"), r("high"))
 
 
 WITHIN = PANEL + """, ps AS (SELECT entity, count(*) AS rows, count(p) AS n, sum(p) AS sx, sum(y) AS sy, sum(p * y) AS sxy, sum(p * p) AS sxx FROM panel GROUP BY 1), pt AS (SELECT n, sxy - sx * sy / n AS num, sxx - sx * sx / n AS den FROM ps WHERE rows >= 10 AND n >= 2)"""
@@ -95,7 +100,7 @@ def one_way_slope(spark, d):
 
 @query("E3_two_way_slope")
 def two_way_slope(spark, d):
-    return c.fe_slope(panel(spark, d), ["entity", "item"], "p", "y", rounds=10).select("n_rows", r("slope", 4))
+    return c.fe_slope(panel(spark, d), ["entity", "item"], "p", "y", rounds=50).select("n_rows", r("slope", 4))
 
 
 @query("E4_ols", f"""WITH {PANEL}, x AS (SELECT y, p AS a, (sum(win) OVER (PARTITION BY entity) - win) / greatest(count(win) OVER (PARTITION BY entity) - 1, 1) AS b FROM panel), s AS (SELECT covar_samp(a, y) AS ay, covar_samp(b, y) AS by_, var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(a, b) AS ab, avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM x),

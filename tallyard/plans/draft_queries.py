@@ -58,10 +58,11 @@ def shares_sql(entity: str) -> str:
     return PICKS + f""", gm AS (SELECT contest, row_number() OVER (ORDER BY t, contest) AS seq FROM (SELECT DISTINCT contest, t FROM picks)), pk AS (SELECT p.contest, slot, week, {entity} AS entity, role, item, seq, pow(1.25::DOUBLE, week) AS g FROM picks p JOIN gm USING (contest)),
  it AS (SELECT DISTINCT role, item FROM pk), gr AS (SELECT pk.contest, seq, slot, entity, pk.role, it.item, pk.item AS true_item, 0.0::DOUBLE AS g FROM pk JOIN it USING (role)),
  ru AS (SELECT *, coalesce(sum(g) OVER (PARTITION BY role, item ORDER BY seq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rw FROM (SELECT * FROM gr UNION ALL SELECT NULL, seq, NULL, NULL, role, item, NULL, sum(g) FROM pk GROUP BY role, item, seq)),
- rs AS (SELECT contest, seq, slot, entity, role, item, true_item, coalesce(rw / nullif(sum(rw) OVER (PARTITION BY contest, slot), 0), 0) AS role_share FROM ru WHERE contest IS NOT NULL), rk AS (SELECT *, row_number() OVER (PARTITION BY contest, slot ORDER BY round(role_share, 9) DESC, item) AS rank, 0.0::DOUBLE AS g FROM rs),
- ow AS (SELECT *, coalesce(sum(g) OVER (PARTITION BY entity, item ORDER BY seq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ow FROM (SELECT * FROM rk UNION ALL SELECT NULL, seq, NULL, entity, NULL, item, NULL, NULL, NULL, sum(g) FROM pk GROUP BY entity, item, seq)),
- os AS (SELECT contest, seq, slot, entity, role, item, true_item, role_share, rank, ow, coalesce(ow / nullif(sum(ow) OVER (PARTITION BY contest, slot), 0), 0) AS own_share FROM ow WHERE contest IS NOT NULL),
- cd AS (SELECT contest, seq, slot, entity, role, item, CAST(item = true_item AS INT) AS is_true, role_share, own_share FROM os WHERE (rank <= {TOP} OR ow > 0) AND NOT EXISTS (SELECT 1 FROM pk WHERE pk.contest = os.contest AND pk.item = os.item AND pk.slot < os.slot))"""
+ rs AS (SELECT contest, seq, slot, entity, role, item, true_item, rw, coalesce(rw / nullif(sum(rw) OVER (PARTITION BY contest, slot), 0), 0) AS role_share FROM ru WHERE contest IS NOT NULL), rk AS (SELECT *, row_number() OVER (PARTITION BY contest, slot ORDER BY round(role_share, 9) DESC, item) AS rank, 0.0::DOUBLE AS g FROM rs),
+ ow AS (SELECT *, coalesce(sum(g) OVER (PARTITION BY entity, item ORDER BY seq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ow FROM (SELECT * FROM rk UNION ALL SELECT NULL, seq, NULL, entity, NULL, item, NULL, NULL, NULL, NULL, sum(g) FROM pk GROUP BY entity, item, seq)),
+ os AS (SELECT contest, seq, slot, entity, role, item, true_item, role_share, rw, rank, ow, coalesce(ow / nullif(sum(ow) OVER (PARTITION BY contest, slot), 0), 0) AS own_share FROM ow WHERE contest IS NOT NULL),
+ fr AS (SELECT contest, slot, item, role_share, own_share FROM os WHERE ((rank <= {TOP} AND rw > 0) OR ow > 0) AND NOT EXISTS (SELECT 1 FROM pk WHERE pk.contest = os.contest AND pk.item = os.item AND pk.slot < os.slot)),
+ cd AS (SELECT pk.contest, seq, pk.slot, entity, role, coalesce(fr.item, pk.item) AS item, CAST(coalesce(fr.item, pk.item) = pk.item AS INT) AS is_true, coalesce(role_share, 0) AS role_share, coalesce(own_share, 0) AS own_share FROM pk LEFT JOIN fr ON fr.contest = pk.contest AND fr.slot = pk.slot)"""
 
 
 def scored_sql(entity: str, alphas: str) -> str:

@@ -44,7 +44,7 @@ def cemgil(spark, d):
 
 
 @query("A38_p_score", f"""WITH {times_sql('tr', 'click')}, {times_sql('pr', 'view')}, st AS (SELECT track, sec - lag(sec) OVER (PARTITION BY track ORDER BY sec) AS d FROM tr), re AS (SELECT track, 0.2 * median(d) AS reach, count(*) AS n_true FROM st GROUP BY 1),
- n AS (SELECT track, count(*) AS n_pred FROM pr GROUP BY 1), h AS (SELECT tr.track, count(*) AS hits FROM tr JOIN pr ON tr.track = pr.track JOIN re ON re.track = tr.track WHERE abs(tr.sec - pr.sec) <= least(reach, 43200) GROUP BY 1)
+ n AS (SELECT track, count(*) AS n_pred FROM pr GROUP BY 1), h AS (SELECT tr.track, count(*) AS hits FROM tr JOIN pr ON tr.track = pr.track JOIN re ON re.track = tr.track WHERE abs(tr.sec - pr.sec) <= reach GROUP BY 1)
  SELECT re.track, n_true, coalesce(n_pred, 0) AS n_pred, round(coalesce(hits, 0) / greatest(n_true, coalesce(n_pred, 0)), 6) AS p_score FROM re LEFT JOIN n USING (track) LEFT JOIN h USING (track)""")
 def p_score(spark, d):
     return e.p_score(event_times(spark, d, "click"), event_times(spark, d, "view"), "track", "sec").select("track", "n_true", "n_pred", r("p_score"))

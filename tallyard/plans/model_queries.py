@@ -23,7 +23,7 @@ def pair_ridge(spark, d):
 
 @query("E6_backfit")
 def backfit(spark, d):
-    return m.backfit(pairs(spark, d), "item", "opp_item", "sk", "diff", 25.0, 20.0)[1].select("sk", r("effect", 4))
+    return m.backfit(pairs(spark, d), "item", "opp_item", "entity", "opp_entity", "diff", 25.0, 20.0)[1].select("entity", r("effect", 4))
 
 
 LADDER = PANEL + """, tr AS (SELECT * FROM panel WHERE period < 1997), te AS (SELECT * FROM panel WHERE period >= 1997), m0 AS (SELECT avg(y) AS m0 FROM tr), m1 AS (SELECT item, avg(y) AS m1 FROM tr GROUP BY 1), m2 AS (SELECT entity, sum(y - m1) / (count(*) + 20) AS e FROM tr JOIN m1 USING (item) GROUP BY 1),
@@ -41,10 +41,22 @@ def accuracy_ladder(spark, d):
     return mt.regression_metrics(long, "y", "yhat", ["model"]).select("model", "n", r("r2"), r("mae", 4))
 
 
+#: Four settings from supple to stiff; trees are 20 each, as Spark's trainer takes a job for each level.
+TREES = [
+    {"maxIter": 20, "stepSize": 0.05, "maxDepth": 6, "minInstancesPerNode": 50},
+    {"maxIter": 20, "stepSize": 0.03, "maxDepth": 4, "minInstancesPerNode": 300},
+    {"maxIter": 20, "stepSize": 0.02, "maxDepth": 3, "minInstancesPerNode": 1000},
+    {"maxIter": 20, "stepSize": 0.05, "maxDepth": 3, "minInstancesPerNode": 500},
+]
+
+
 @query("E8_gbt_sweep")
 def gbt_sweep(spark, d):
-    p = panel(spark, d).select("item", "role", "p", "win", "y", "period")
-    return m.gbt_sweep(p, F.col("period") < 1997, ["item", "role"], ["p", "win"], "y", [{"maxIter": 5, "maxDepth": 3}, {"maxIter": 5, "maxDepth": 5}]).select("params", "n", r("r2"), r("mae", 3))
+    p = pairs(spark, d)
+    skill = p.filter("period < 1997").groupBy("entity").agg((F.sum("diff") / (F.count("*") + 20)).alias("skill"))
+    theirs = skill.select(F.col("entity").alias("opp_entity"), F.col("skill").alias("opp_skill"))
+    rows = p.join(skill, "entity", "left").join(theirs, "opp_entity", "left").fillna(0.0, ["skill", "opp_skill"])
+    return m.gbt_sweep(rows, F.col("period") < 1997, ["item", "opp_item", "role"], ["period", "skill", "opp_skill"], "diff", TREES).select("params", "n", r("r2"), r("mae", 3))
 
 
 def numeric(spark, d):
@@ -53,7 +65,7 @@ def numeric(spark, d):
 
 @query("E9_lr_cv")
 def lr_cv(spark, d):
-    return m.lr_cv(numeric(spark, d), "contest", ["p", "familiarity", "size"], "win", 3).select("n", r("accuracy"), r("log_loss"), r("auc"))
+    return m.lr_cv(numeric(spark, d), "contest", ["p", "familiarity", "size"], "win", 5).select("n", r("accuracy"), r("log_loss"), r("auc"))
 
 
 @query("E9_lr_coefficients")
@@ -61,6 +73,15 @@ def lr_coefficients(spark, d):
     return m.lr_coefficients(numeric(spark, d), ["p", "familiarity", "size"], "win").select("term", r("coefficient", 4))
 
 
+FAMILIAR = PANEL + ", cc AS (SELECT entity, item, count(*) AS n FROM panel GROUP BY 1, 2), fm AS (SELECT entity, item, n / sum(n) OVER (PARTITION BY entity) AS familiarity FROM cc), nu AS (SELECT p, familiarity, y / 10000 AS size, win FROM panel JOIN fm USING (entity, item))"
+
+
+@query("E9_single_auc", f"""WITH {FAMILIAR}, lo AS (UNPIVOT nu ON p, familiarity, size INTO NAME term VALUE v), g AS (SELECT term, v, sum(win) AS a, sum(1 - win) AS b FROM lo GROUP BY 1, 2), x AS (SELECT *, sum(b) OVER (PARTITION BY term ORDER BY v) - b / 2.0 AS below FROM g)
+ SELECT term, round(sum(a * below) / (sum(a) * sum(b)), 5) AS auc FROM x GROUP BY 1""")
+def single_auc(spark, d):
+    return m.single_auc(numeric(spark, d), ["p", "familiarity", "size"], "win").select("term", r("auc", 5))
+
+
 @query("E10_lr_response")
 def lr_response(spark, d):
     return m.lr_response(numeric(spark, d), "size", "win", [1.0, 5.0, 9.0]).select("size", r("p", 4))
@@ -72,13 +93,19 @@ def multinomial_ranks(spark, d):
     from tallyard.functions.scalars import context_features
 
     tokens = context_features(p, "contest", "side", "role", "item", "slot").groupBy("contest", "slot").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    rows = p.join(tokens, ["contest", "slot"]).select("period", "role", "tokens")
-    return mt.hit_at_k(m.multinomial_ranks(rows, F.col("period") < 1997, "tokens", "role"), "rank", [1, 3]).select("n", r("hit1"), r("hit3"))
+    own = F.concat(F.lit("role:"), F.col("role"))
+    rows = p.join(tokens, ["contest", "slot"], "left").select("period", "item", F.concat(F.coalesce("tokens", F.array().cast("array<string>")), F.array(own)).alias("tokens"))
+    return mt.hit_at_k(m.multinomial_ranks(rows, F.col("period") < 1997, "tokens", "item"), "rank", [1, 3]).select("n", r("hit1"), r("hit3"))
 
 
 @query("E12_lr_select")
 def lr_select(spark, d):
-    return m.lr_select(numeric(spark, d), F.col("period") < 1996, F.col("period") == 1996, ["p", "familiarity", "size"], "win", [0.001, 0.01, 0.1]).select("reg", r("log_loss"), r("accuracy"), "best")
+    p = panel(spark, d)
+    wide, names = m.identity_features(p, "contest", "item", "side", "F")
+    won = p.groupBy("contest").agg(F.min("period").alias("period"), (F.sum(F.when(F.col("side") == "F", F.col("y")).otherwise(-F.col("y"))) > 0).cast("int").alias("won"))
+    at = F.col("period")
+    found = m.lr_select(wide.join(won, "contest"), at < 1996, at == 1996, at > 1996, names, "won", [0.001, 0.01, 0.1])
+    return found.select("reg", r("log_loss"), r("accuracy"), "best", "test_n", r("test_accuracy"), r("test_log_loss"), r("test_brier"))
 
 
 @query("E13_nested_lr")

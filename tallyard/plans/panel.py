@@ -41,10 +41,14 @@ PAIRS = SEATS + """, pairs AS (SELECT a.contest, a.role, a.side, a.entity, a.ite
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyard.operators.pairing import pair_opponents
-
-    rows = pair_opponents(seats(panel(spark, sf_dir)), "contest", "side", "role", ["y"], ["entity", "item"])
-    return rows.withColumn("diff", F.col("y_diff")).drop("y_diff")
+    """The strongest rows of both sides of each contest and role, each beside the other: one aggregate, no join of the panel with itself."""
+    rows = panel(spark, sf_dir)
+    order = [F.col("y"), -F.col("ln"), -F.col("pk"), -F.col("sk")]  # the seat of a side is the greatest of these
+    kept = [c for c in rows.columns if c not in ("contest", "role", "side")]
+    seat = F.struct(*[o.alias(f"_{k}") for k, o in enumerate(order)], F.struct(*kept).alias("row"))
+    per = rows.groupBy("contest", "role").agg(*[F.max(F.when(F.col("side") == s, seat)).alias(s) for s in "FO"]).filter("F is not null and O is not null")
+    both = per.withColumn("of", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}.row").alias("own"), F.col(f"{o}.row").alias("opp")) for s, o in ("FO", "OF")])))
+    return both.select("contest", "role", "of.side", "of.own.*", F.col("of.opp.entity").alias("opp_entity"), F.col("of.opp.item").alias("opp_item"), (F.col("of.own.y") - F.col("of.opp.y")).alias("diff"))
 
 
 def picks(df: DataFrame) -> DataFrame:

@@ -93,10 +93,14 @@ def parse_log(spark, d):
     return r.parse_log(table(spark, d, "events").select(line.alias("value"))).withColumn("loss", F.round("loss", 3))
 
 
-@query("S11_list_media")
+@query("S11_list_media", "SELECT event_type AS track, CAST(sum(length(CAST(event_id AS VARCHAR)) + 1) AS BIGINT) AS length, count(*) AS n_marks FROM events GROUP BY 1 HAVING event_type <> 'view'")
 def list_media(spark, d):
-    """The table files under the data folder."""
-    return r.list_media(spark, d, "*.parquet").select("track", "length")
+    """Files of each kind of event, listed by size and joined to the marks of that kind; one kind has no marks."""
+    root, ev = folder(spark, "media"), table(spark, d, "events")
+    ev.select(F.concat(F.lit("type_"), "event_type").alias("kind"), F.col("event_id").cast("string").alias("value")).write.partitionBy("kind").text(root)
+    files = r.list_media(spark, root, "*.txt").withColumn("track", F.regexp_extract("path", "kind=type_([^/]*)/", 1)).groupBy("track").agg(F.sum("length").alias("length"))
+    marks = ev.filter("event_type <> 'view'").groupBy(F.col("event_type").alias("track")).agg(F.count("*").alias("n_marks"))
+    return r.media_with_annotations(files, marks).select("track", "length", "n_marks")
 
 
 @query("S12_materialize", "SELECT l_returnflag, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY 1")

@@ -21,6 +21,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the folder of spark.checkpoint.dir; under a temporary one where the setting is absent (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -137,13 +139,18 @@ def list_media(spark: SparkSession, folder: str, glob: str = "*.wav") -> DataFra
     return files.select(id_from_path("path").alias("track"), "path", "length")
 
 
+def media_with_annotations(media: DataFrame, annotations: DataFrame, track: str = "track") -> DataFrame:
+    """Media files that have annotations, with them; files without any and annotations of missing files are left out."""
+    return media.join(annotations, track)
+
+
 def materialize(df: DataFrame, root: str, params: dict) -> DataFrame:
-    """df stored under a folder named by its parameters, or what an earlier run stored there.
+    """df stored under a folder named by its parameters and its plan (the files it reads included), or what an earlier run stored there.
 
     Spark marks a complete table by its _SUCCESS file, so a half-written one is written anew.
     """
     spark = df.sparkSession
-    path = f"{root.rstrip('/')}/param_hash={hashlib.sha256(json.dumps(params, sort_keys=True).encode()).hexdigest()[:16]}"
+    path = f"{root.rstrip('/')}/param_hash={hashlib.sha256(json.dumps([params, sorted(df.inputFiles()), df.schema.json()], sort_keys=True).encode()).hexdigest()[:16]}"
     jvm = spark.sparkContext._jvm
     mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):

@@ -75,15 +75,3 @@ def current(spark: SparkSession, target: str, schema, keys: list[str], order: st
 
     log = spark.read.schema(schema).parquet(target).select(*schema.fieldNames())
     return log.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("_r = 1").drop("_r")
-
-
-def replay(df: DataFrame, order: str, path: str, parts: int = 4) -> DataFrame:
-    """df as a stream of files in the order of a column, a file or so per micro-batch."""
-    spark = df.sparkSession
-    cuts = [r for r in df.agg(F.percentile_approx(F.col(order).cast("double"), [k / parts for k in range(1, parts)]).alias("c")).first()["c"]]
-    at = F.col(order).cast("double")
-    for k in range(parts):
-        low, high = (cuts[k - 1] if k else None), (cuts[k] if k < parts - 1 else None)
-        part = df.filter((at > low) if low is not None else F.lit(True)).filter((at <= high) if high is not None else F.lit(True))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,23 +52,175 @@ def test_bootstrap_of_a_constant(spark):
     assert (r["estimate"], r["low"], r["high"], r["n_clusters"]) == (2.0, 2.0, 2.0, 20)
 
 
-def test_intervals_of_means_take_a_thousand_draws(spark):
-    """Each draw takes as many clusters as there are, by the hashed uniform of draw and slot."""
-    import numpy as np
-
+def poisson(seed, keys, reps):
+    """The weights of keys in each draw, by Python's own integers."""
+    import hashlib
+
+    fifth = lambda x: pow(x, 5, s.PRIME)
+    out = []
+    for key in keys:
+        h = hashlib.md5(f"{seed}|{key}".encode()).hexdigest()
+        a, b = int(h[:8], 16) % s.PRIME, int(h[8:16], 16) % s.PRIME
+        x = [fifth((fifth((a + r * 1000003) % s.PRIME) + b) % s.PRIME) for r in range(reps)]
+        out.append([sum(v >= int(c * s.PRIME) for c in s.POISSON) for v in x])
+    return np.array(out, float).T
+
+
+def test_poisson_weights_are_poisson():
+    w = poisson("seed", range(300), 400)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.03 and abs((w == 0).mean() - math.exp(-1)) < 0.01
+    assert abs(np.corrcoef(w[:-1].ravel(), w[1:].ravel())[0, 1]) < 0.01 and abs(np.corrcoef(w[:, :-1].ravel(), w[:, 1:].ravel())[0, 1]) < 0.01
+    assert abs(w.mean(1).std() * 300**0.5 - 1) < 0.1
+
+
+def test_bootstraps_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    data = [(int(k), float(rng.integers(0, 5)), float(rng.normal()), float(rng.integers(0, 4)), int(rng.integers(0, 2))) for k in rng.integers(0, 25, 200)]
+    df = spark.createDataFrame(data, "k int, a double, y double, p double, hit int")
+    keys = sorted({r[0] for r in data})
+    w = poisson("boot", keys, 300)[:, [keys.index(r[0]) for r in data]]
+    k, a, y, p, hit = np.array(data).T
+    ends = lambda v: np.quantile(v, [0.025, 0.975])
+    got = causal.boot_ratio(df, "k", "a", "y", 300).first()
+    assert got.n_clusters == len(keys) and abs(got.estimate - a.sum() / y.sum()) < 1e-9 and np.allclose([got.low, got.high], ends((w @ a) / (w @ y)))
+    got = causal.boot_r2(df, "k", "y", "p", 300).first()
+    n, mean = w.sum(1), (w @ y) / w.sum(1)
+    assert np.allclose([got.low, got.high], ends(1 - (w @ (y - p) ** 2) / ((w * (y - mean[:, None]) ** 2).sum(1))))
+    got = causal.boot_auc(df, "k", "p", "hit", 300).first()
+    order = (p[:, None] > p[None]) + 0.5 * (p[:, None] == p[None])
+    wins = [((x * hit) @ order @ (x * (1 - hit))) / ((x * hit).sum() * (x * (1 - hit)).sum()) for x in w]
+    assert np.allclose([got.low, got.high], ends(wins))
+
+
+def test_intervals_take_a_thousand_draws_of_whole_tables():
     from tallyard.plans import causal_queries as q
-    from tallyard.plans.panel import panel
-
-    d = "/root/testdata/sf0.001"
-    parts = {"r2": panel(spark, d).groupBy("entity").agg(F.sum("win").alias("a"), F.count("*").alias("n")), "r3": q.deltas(spark, d).select("entity", F.col("delta").alias("a"), F.lit(1).alias("n"))}
-    for seed, query in (("r2", q.boot_ratio), ("r3", q.boot_mean)):
-        a, n = np.array([(r.a, r.n) for r in parts[seed].orderBy("entity").collect()], float).T
-        u = spark.range(1000).select(F.col("id").alias("rep")).crossJoin(spark.range(len(a)).select(F.col("id").alias("slot"))).select("rep", s.hash_uniform(seed, "rep", "slot").alias("u")).toArrow()
-        k = np.floor(u["u"].to_numpy() * len(a)).astype(int)
-        means = np.bincount(u["rep"].to_numpy(), a[k]) / np.bincount(u["rep"].to_numpy(), n[k])
-        got = query(spark, d).first()
-        assert got.n_clusters == len(a) and abs(got.estimate - a.sum() / n.sum()) < 2e-6
-        assert np.allclose([got.low, got.high], np.quantile(means, [0.025, 0.975]), atol=2e-6)
+
+    assert q.REPS == 1000
+
+
+def backfit_by_hand(rows, lam, K, passes):
+    items, people = sorted({x for r in rows for x in r[:2]}), sorted({r[2] for r in rows})
+    x = np.zeros((len(rows), len(items)))
+    for i, r in enumerate(rows):
+        x[i, items.index(r[0])] += 1
+        x[i, items.index(r[1])] -= 1
+    y = np.array([r[4] for r in rows])
+    ridge = lambda v: np.linalg.solve(x.T @ x + lam * np.eye(len(items)), x.T @ v)
+    theta, phi = ridge(y), {}
+    for _ in range(passes):
+        left = y - x @ theta
+        phi = {e: sum(v for v, r in zip(left, rows) if r[2] == e) / (sum(r[2] == e for r in rows) + K) for e in people}
+        theta = ridge(y - np.array([phi.get(r[2], 0) - phi.get(r[3], 0) for r in rows]))
+    return dict(zip(items, theta)), phi
+
+
+def test_backfit_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"i{rng.integers(6)}", f"i{rng.integers(6)}", int(rng.integers(30)), int(rng.integers(34)), float(rng.normal())) for _ in range(300)]
+    theta, effects = models.backfit(spark.createDataFrame(rows, "a string, b string, e int, o int, y double"), "a", "b", "e", "o", "y", 2.0, 5.0, 3)
+    want, phi = backfit_by_hand(rows, 2.0, 5.0, 3)
+    assert all(abs(theta[k] - v) < 1e-8 for k, v in want.items())
+    got = {r["e"]: r["effect"] for r in effects.collect()}
+    assert got.keys() == phi.keys() and all(abs(got[k] - v) < 1e-8 for k, v in phi.items())
+
+
+def separable(spark, n=600):
+    rng = np.random.default_rng(7)
+    rows = [(i, float(x), float(z), int(rng.random() < 1 / (1 + math.exp(-2 * x))), int(i % 10)) for i, (x, z) in enumerate(rng.normal(size=(n, 2)))]
+    return spark.createDataFrame(rows, "k int, x double, z double, y int, part int")
+
+
+def logistic(x, y, reg=0.0):
+    """Newton's method with Spark's objective: mean log-loss and reg / 2 times the squared standardised coefficients."""
+    scale = np.append(0, x.std(0, ddof=1) ** 2)
+    x = np.column_stack([np.ones(len(x)), x])
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + reg * np.diag(scale), x.T @ (p - y) / len(x) + reg * scale * w)
+    return w
+
+
+def test_logistic_models_against_newton(spark):
+    df = separable(spark)
+    k, x, z, y, part = np.array(df.orderBy("k").collect(), float).T
+    w = logistic(np.column_stack([x, z]), y)
+    got = {r["term"]: r["coefficient"] for r in models.lr_coefficients(df, ["x", "z"], "y").collect()}
+    assert abs(got["x"] - w[1] * x.std(ddof=1)) < 1e-3 and abs(got["z"] - w[2] * z.std(ddof=1)) < 1e-3
+    w = logistic(x[:, None], y)
+    got = [r["p"] for r in models.lr_response(df, "x", "y", [-1.0, 0.0, 2.0]).orderBy("x").collect()]
+    assert np.allclose(got, [1 / (1 + math.exp(-w[0] - w[1] * v)) for v in (-1, 0, 2)], atol=1e-3)
+    rank = lambda v: np.mean([(v[i] > v[j]) + 0.5 * (v[i] == v[j]) for i in np.flatnonzero(y) for j in np.flatnonzero(1 - y)])
+    assert {r["term"]: round(r["auc"], 9) for r in models.single_auc(df, ["x", "part"], "y").collect()} == {"x": round(rank(x), 9), "part": round(rank(part), 9)}
+    nested = {r["model"]: r for r in models.nested_lr(df, F.col("part") < 7, {"one": ["x"], "none": ["z"]}, "y").collect()}
+    w, held = logistic(x[part < 7, None], y[part < 7]), part >= 7
+    p = 1 / (1 + np.exp(-w[0] - w[1] * x[held]))
+    loss = -np.mean(np.where(y[held] == 1, np.log(p), np.log(1 - p)))
+    assert nested["one"]["n"] == held.sum() and abs(nested["one"]["log_loss"] - loss) < 1e-3 < nested["none"]["log_loss"] - loss
+    cv = models.lr_cv(df, "k", ["x"], "y", 5).first()
+    assert cv["n"] == 600 and abs(cv["auc"] - rank(x)) < 0.02 and cv["accuracy"] > 0.75
+
+
+def test_penalty_is_chosen_refitted_and_tested(spark):
+    df = separable(spark)
+    at = F.col("part")
+    rows = models.lr_select(df, at < 5, (at >= 5) & (at < 7), at >= 7, ["x", "z"], "y", [0.01, 10.0]).orderBy("reg").collect()
+    k, x, z, y, part = np.array(df.orderBy("k").collect(), float).T
+    both = np.column_stack([x, z])
+
+    def loss(reg, fit, on):
+        w = logistic(both[fit], y[fit], reg)
+        p = 1 / (1 + np.exp(-w[0] - both[on] @ w[1:]))
+        return -np.mean(np.where(y[on] == 1, np.log(p), np.log(1 - p)))
+
+    assert [r["best"] for r in rows] == [True, False] and rows[1]["test_n"] is None and rows[0]["test_n"] == (part >= 7).sum()
+    assert all(abs(r["log_loss"] - loss(r["reg"], part < 5, (part >= 5) & (part < 7))) < 2e-3 for r in rows)
+    assert abs(rows[0]["test_log_loss"] - loss(0.01, part < 7, part >= 7)) < 2e-3
+
+
+def test_identity_features_are_own_less_other(spark):
+    df = spark.createDataFrame([(1, "b", "F"), (1, "a", "F"), (1, "b", "O"), (2, "a", "O"), (2, "a", "O"), (2, None, "F")], "c int, item string, side string")
+    wide, names = models.identity_features(df, "c", "item", "side", "F")
+    assert len(names) == 2 and sorted(map(tuple, wide.collect())) == [(1, 1.0, 0.0), (2, -2.0, 0.0)]
+
+
+def test_multinomial_ranks_follow_the_context(spark):
+    rows = [(i, [f"t{i % 3}", "common"], f"c{i % 3}" if i % 17 else "c0") for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, tokens array<string>, label string")
+    got = models.multinomial_ranks(df, F.col("k") < 300, "tokens", "label").collect()
+    assert len(got) == 100 and sum(r["rank"] == 1 for r in got) > 90 and {r["true"] for r in got} == {"c0", "c1", "c2"}
+
+
+def test_trees_beat_the_mean_where_there_is_something_to_learn(spark):
+    rows = [(f"a{i % 4}", float(i % 7), float((i % 4) * 10 + (i % 7 > 3) * 5), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "c string, x double, y double, k int")
+    got = models.gbt_sweep(df, F.col("k") < 400, ["c"], ["x"], "y", [{"maxIter": 10, "maxDepth": 4}, {"maxIter": 1, "maxDepth": 1}]).collect()
+    r2 = {r["setting"]: r["r2"] for r in got}
+    assert r2[0] > 0.9 > r2[1] and all(r["n"] == 100 for r in got)
+
+
+def test_segments_vote_for_their_class(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, f"l{k % 2}", float(k % 2 * 4 + rng.normal()), float(rng.normal())) for k in range(60) for _ in range(3)]
+    df = spark.createDataFrame(rows, "k int, label string, x double, z double")
+    got = models.segment_classifier(df, F.col("k") % 5 != 0, ["x", "z"], "label", "k").collect()
+    assert len(got) == 12 and sum(r["label"] == r["voted"] for r in got) >= 11
+
+
+def test_candidates_were_seen_before_and_fall_back(spark):
+    rows = [(1, 1, 1, 1, "e", "r", "a"), (2, 2, 1, 1, "e", "r", "b"), (2, 2, 2, 1, "f", "r", "a"), (3, 3, 1, 2, "g", "r", "a"), (3, 3, 2, 2, "e", "r", "c"), (4, 4, 1, 2, "g", "r", "c")]
+    df = spark.createDataFrame(rows, "contest int, seq int, slot int, week int, entity string, role string, item string")
+    got = {}
+    for r in sequence.candidate_shares(df, "role", "item", "entity", 0.8, 20).collect():
+        got.setdefault((r.contest, r.slot), {})[r.item] = r.is_true
+    assert got == {(1, 1): {"a": 1}, (2, 1): {"a": 0}, (2, 2): {"a": 1}, (3, 1): {"a": 1, "b": 0}, (3, 2): {"b": 0}, (4, 1): {"a": 0, "b": 0, "c": 1}}
+
+
+def test_materialised_tables_belong_to_their_input(spark, tmp_path):
+    for name in "xy":
+        spark.range(3 if name == "x" else 5).write.parquet(f"{tmp_path}/{name}")
+    made = [readers.materialize(spark.read.parquet(f"{tmp_path}/{name}"), f"file://{tmp_path}/made", {"by": 1}).count() for name in "xyx"]
+    assert made == [3, 5, 3]
 
 
 def test_pair_ridge_normal_equations(spark):
