@@ -58,7 +58,10 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     offsets = np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
     coded = flat.filter(pa.array(real)).dictionary_encode()
-    return np.diff(offsets), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary()).to_pylist()
+    names = coded.dictionary
+    raw, bounds = names.buffers()[2], np.frombuffer(names.buffers()[1] or b"", np.int32)[: len(names) + 1].tolist()
+    raw = raw.to_pybytes() if raw else b""
+    return np.diff(offsets), coded.indices.to_numpy(zero_copy_only=False), [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def counted(batches):
@@ -70,7 +73,7 @@ def counted(batches):
         counts.clear()
         return out
 
-    for batch in slices(batches):
+    for batch in slices(batches, 1024):
         _, numbers, names = tokens_of(batch.column("text"))
         for name, n in zip(names, np.bincount(numbers, minlength=len(names)).tolist()):
             counts[name] += n
@@ -327,37 +330,50 @@ def likelihoods(docs: list[np.ndarray], vocabulary: Vocabulary, w: dict[str, np.
     return out
 
 
-SCORED = "doc_key long, doc_id long, n_tokens long, n_top long, log_top double, log_model double, rare array<struct<token:binary,n:int>>"
+CODED = "doc_key long, doc_id long, held_out boolean, shard long, ids binary, rare array<struct<token:binary,n:int>>"
+SCORED = "doc_key long, doc_id long, n_tokens long, n_top long, log_top double, log_model double"
 
 
-def score_rows(vocabulary: Vocabulary, w: dict[str, np.ndarray]):
+def dealt_rows(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Every row coded once, for training and scoring: ids (int32 of all its tokens), its rare tokens, and its shard by a hash of id and text."""
+    shards = max(1, math.ceil(vocabulary.total / SHARD_TOKENS))
+
     def run(batches):
         from pyspark import TaskContext
 
         key = TaskContext.get().partitionId() << 33
+        for batch in slices(batches):
+            if batch.num_rows:
+                ids, rare = vocabulary.coded(batch.column("text"))
+                keys = np.arange(key + 1, key + batch.num_rows + 1)
+                key += batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("doc_id"), batch.column("held_out"), batch.column("shard"), pa.array([x.tobytes() for x in ids], pa.binary()), rare], names=["doc_key", "doc_id", "held_out", "shard", "ids", "rare"])
+
+    rows = docs.select("doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), "text")
+    return rows.mapInArrow(run, CODED)
+
+
+def score_rows(vocabulary: Vocabulary, w: dict[str, np.ndarray]):
+    def run(batches):
         k = len(vocabulary.rank)
         held, docs, size = [], [], 0
 
         def flush():
-            nonlocal key
             found, at = likelihoods(docs, vocabulary, w), 0
-            for doc_ids, rare in held:
+            for keys, doc_ids in held:
                 n = len(doc_ids)
                 part = docs[at : at + n]
                 tops = [ids[ids < k] for ids in part]
-                columns = [np.arange(key + 1, key + n + 1), doc_ids, [len(x) for x in part], [len(t) for t in tops], [float(vocabulary.log_count[t].sum()) for t in tops], found[at : at + n], rare]
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare.type]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types)], names=["doc_key", "doc_id", "n_tokens", "n_top", "log_top", "log_model", "rare"])
-                at, key = at + n, key + n
+                columns = [pa.array([len(x) for x in part], pa.int64()), pa.array([len(t) for t in tops], pa.int64()), pa.array([float(vocabulary.log_count[t].sum()) for t in tops], pa.float64()), pa.array(found[at : at + n])]
+                yield pa.RecordBatch.from_arrays([keys, doc_ids, *columns], names=["doc_key", "doc_id", "n_tokens", "n_top", "log_top", "log_model"])
+                at += n
             held.clear()
             docs.clear()
 
         for batch in slices(batches):
-            if batch.num_rows:
-                ids, rare = vocabulary.coded(batch.column("text"))
-                held.append((batch.column("doc_id"), rare))
-                docs += ids
-                size += sum(map(len, ids))
+            held.append((batch.column("doc_key"), batch.column("doc_id")))
+            docs += [np.frombuffer(x, np.int32) for x in batch.column("ids").to_pylist()]
+            size += sum(map(len, docs[-batch.num_rows :])) if batch.num_rows else 0
             if size > SCORE_TOKENS:
                 yield from flush()
                 size = 0
@@ -366,24 +382,12 @@ def score_rows(vocabulary: Vocabulary, w: dict[str, np.ndarray]):
     return run
 
 
-def dealt_rows(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Every row as shard, doc_id and ids (int32 of all its tokens); the shard by a hash of id and text."""
-    shards = max(1, math.ceil(vocabulary.total / SHARD_TOKENS))
-
-    def run(batches):
-        for batch in slices(batches):
-            ids = [x.tobytes() for x in vocabulary.coded(batch.column("text"))[0]] if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
-
-    return docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))).mapInArrow(run, "shard long, doc_id long, ids binary")
-
-
 def learn(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """The trained weights; docs: training rows with doc_id and text."""
+    """The trained weights; docs: training rows with doc_id and text, or such rows as dealt_rows stored them."""
     w = vocabulary.weights()
     if not vocabulary.total:
         return w
-    dealt = stored(dealt_rows(docs, vocabulary), "lm-train")
+    dealt = (docs if "ids" in docs.columns else stored(dealt_rows(docs, vocabulary), "lm-train")).select("shard", "doc_id", "ids")
 
     for turn in range(ROUNDS):
         def one(table: pa.Table) -> pa.Table:
@@ -418,14 +422,15 @@ def lm_scores(docs: DataFrame, top: int = TOP) -> DataFrame:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     best = [(bytes(r["token"]), r["n"]) for r in counts.filter(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "token").limit(top).toArrow().to_pylist()]
     vocabulary = Vocabulary(best, total, distinct)
-    w = learn(training, vocabulary)
+    coded = stored(dealt_rows(rows, vocabulary), "lm-coded")
+    w = learn(coded.filter("not held_out"), vocabulary)
 
-    scored = stored(rows.mapInArrow(score_rows(vocabulary, w), SCORED), "lm-scored")
-    rare = scored.select("doc_key", F.explode("rare").alias("r")).select("doc_key", "r.token", F.col("r.n").alias("times"))
+    scored = coded.select("doc_key", "doc_id", "ids").mapInArrow(score_rows(vocabulary, w), SCORED)
+    rare = coded.select("doc_key", F.explode("rare").alias("r")).select("doc_key", "r.token", F.col("r.n").alias("times"))
     known = rare.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     by_doc = known.groupBy("doc_key").agg(F.sum("times").alias("n_rare"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_rare_known"), F.sum(F.col("times") * F.log(F.col("n") + 1)).alias("log_rare"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    whole = scored.drop("rare").join(by_doc, "doc_key", "left")
+    whole = scored.join(by_doc, "doc_key", "left")
     counted_log = F.col("log_top") + zero("log_rare")
     base = (counted_log - F.col("n_tokens") * math.log(total + distinct + 1)) / math.log(10)
     score = (F.col("log_model") + zero("log_rare") - zero("n_rare") * math.log(vocabulary.rest)) / math.log(10)
