@@ -121,19 +121,28 @@ def seed_pair(seed, key) -> tuple[Column, Column]:
     return tuple(F.conv(F.substring(text, at, 8), 16, 10).cast("long") % PRIME for at in (1, 9))
 
 
-def poisson_weight(a, b, rep) -> Column:
-    """How often draw rep takes what the pair (a, b) stands for: a Poisson number of mean 1, by integer arithmetic alone."""
-    def fifth(x):
-        square = x * x % PRIME
-        return square * square % PRIME * x % PRIME
+def with_poisson_weight(df, a: str, b: str, rep: str, name: str):
+    """df with how often draw rep takes what the pair (a, b) stands for: a Poisson number of mean 1, by integer arithmetic alone;
+    rows of weight 0 are left out.
 
-    x = fifth((_c(a) + _c(rep) * 1000003) % PRIME)
-    x = fifth((x + _c(b)) % PRIME)
-    return sum((F.when(x >= int(c * PRIME), 1).otherwise(0) for c in POISSON), F.lit(0)).cast("double")
+    Each step stands in a generator of one element: merged into one expression, the steps would be worked out again for
+    every place that names them.
+    """
+    def step(rows, column: str, value):
+        return rows.withColumn(column, F.explode(F.array(value)))
+
+    x, square = F.col("_draw"), F.col("_draw_square")
+    rows = step(df, "_draw", (F.col(a) + F.col(rep) * 1000003) % PRIME)
+    rows = step(rows, "_draw_square", x * x % PRIME)
+    rows = step(rows, "_draw", (square * square % PRIME * x % PRIME + F.col(b)) % PRIME)
+    rows = step(rows, "_draw_square", x * x % PRIME)
+    rows = step(rows, "_draw", square * square % PRIME * x % PRIME).filter(x >= int(POISSON[0] * PRIME))
+    weight = sum((F.when(x >= int(c * PRIME), 1.0).otherwise(0.0) for c in POISSON[1:]), F.lit(1.0))
+    return step(rows, name, weight).drop("_draw", "_draw_square")
 
 
 def poisson_sql(a: str, b: str, rep: str) -> tuple[str, str, str]:
-    """poisson_weight in three steps: y, x from y, and the weight from x."""
+    """with_poisson_weight in three steps: y, x from y, and the weight from x."""
     fifth = lambda x: f"(({x} * {x} % {PRIME}) * ({x} * {x} % {PRIME}) % {PRIME} * {x} % {PRIME})"
     first = f"(({a} + CAST({rep} AS BIGINT) * 1000003) % {PRIME})"
     return fifth(first), fifth(f"((y + {b}) % {PRIME})"), " + ".join(f"(x >= {int(c * PRIME)})::INT" for c in POISSON)

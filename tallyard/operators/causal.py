@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyard.functions.scalars import poisson_weight, seed_pair
+from tallyard.functions.scalars import seed_pair, with_poisson_weight
 
 
 def resampled(per: DataFrame, cluster: str, values: list[str], reps: int, seed, by: list[str] = ()) -> DataFrame:
@@ -21,8 +21,7 @@ def resampled(per: DataFrame, cluster: str, values: list[str], reps: int, seed,
     a, b = seed_pair(seed, cluster)
     rows = per.select(*by, a.alias("_a"), b.alias("_b"), *[F.col(v).cast("double").alias(v) for v in values])
     rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
-    weighed = rows.withColumn("_w", poisson_weight("_a", "_b", "rep")).filter("_w > 0")
-    return weighed.groupBy("rep", *by).agg(*[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values])
+    return with_poisson_weight(rows, "_a", "_b", "rep", "_w").groupBy("rep", *by).agg(*[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values])
 
 
 def interval(draws: DataFrame, value, low: float = 0.025, high: float = 0.975) -> DataFrame:
