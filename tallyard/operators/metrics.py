@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def binary_metrics(df: DataFrame, y: str, p: str, by: list[str] = (), eps: float = 1e-6) -> DataFrame:
@@ -31,16 +32,21 @@ def reliability(df: DataFrame, y: str, p: str, edges: list[float]) -> DataFrame:
     return rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.avg("won").alias("won"))
 
 
-def auc(df: DataFrame, score: str, label: str, by: list[str] = ()) -> DataFrame:
-    """Rank AUC, tied scores averaged; null if a class is empty.
+def auc(df: DataFrame, score: str, label: str, by: list[str] = (), ranges: int = 256) -> DataFrame:
+    """Rank AUC, tied scores averaged; null if a class is empty; null scores rank lowest.
 
-    Rows collapse to distinct scores before the running sum.
+    Rows collapse to distinct scores.  These stand in ranges between approximate quantiles of the distinct scores, so the running
+    sums of a group (or of the whole table) spread over tasks; the few totals by range put them together.
     """
     keys = list(by) or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(1))
     cell = rows.groupBy(*keys, score).agg(F.sum(F.col(label).cast("double")).alias("_p"), F.sum(1 - F.col(label).cast("double")).alias("_q"))
-    below = F.sum("_q").over(Window.partitionBy(*keys).orderBy(score)) - F.col("_q")
-    out = cell.withColumn("_w", F.col("_p") * (below + F.col("_q") / 2)).groupBy(*keys).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_P"), F.sum("_q").alias("_Q"))
+    edges = cell.agg(F.percentile_approx(score, [k / ranges for k in range(1, ranges)]).alias("_e"))
+    placed = cell.crossJoin(F.broadcast(edges)).withColumn("_b", F.coalesce(F.size(F.filter("_e", lambda e: e < F.col(score))), F.lit(0)))
+    below = F.sum("_q").over(Window.partitionBy(*keys, "_b").orderBy(score)) - F.col("_q") / 2
+    part = placed.withColumn("_w", F.col("_p") * below).groupBy(*keys, "_b").agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
+    before = F.sum("_q").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_q")
+    out = part.withColumn("_w", F.col("_w") + F.col("_p") * before).groupBy(*keys).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_P"), F.sum("_q").alias("_Q"))
     return out.select(*by, F.try_divide("_w", F.col("_P") * F.col("_Q")).alias("auc"))
 
 
@@ -78,30 +84,36 @@ def soft_vote(df: DataFrame, key: str, model: str, cls: str, p: str) -> DataFram
     return best.filter("_r = 1").select(key, F.col(cls).alias("voted"), F.col("_p").alias("mean_p"))
 
 
-def beta_interval(df: DataFrame, wins: str, n: str, level: float = 0.95) -> DataFrame:
-    """Adds low and high: the equal-tailed interval of Beta(wins + 1/2, n - wins + 1/2)."""
-    import numpy as np
-    import pandas as pd
+def beta_interval(df: DataFrame, wins: str, n: str, level: float = 0.95, points: int = 4000) -> DataFrame:
+    """Adds low and high: the equal-tailed interval of Beta(wins + 1/2, n - wins + 1/2).
 
-    def inverse(a, b, q):
-        # The CDF by the midpoint rule in the angle (x = sin^2), bisected by interpolation.
-        t = (np.arange(4000) + 0.5) / 4000 * (np.pi / 2)
-        out = []
-        for i, j in zip(a, b):
-            w = (2 * i - 1) * np.log(np.sin(t)) + (2 * j - 1) * np.log(np.cos(t))
-            c = np.cumsum(np.exp(w - w.max()))
-            edge = np.concatenate([[0], c / c[-1]])
-            out.append(np.sin(np.interp(q, edge, np.arange(4001) / 4000 * (np.pi / 2))) ** 2)
-        return pd.Series(out, dtype=float)
-
-    def low(w, m):
-        return inverse(w + 0.5, m - w + 0.5, (1 - level) / 2)
-
-    def high(w, m):
-        return inverse(w + 0.5, m - w + 0.5, (1 + level) / 2)
-
-    lower, upper = (F.pandas_udf(f, T.DoubleType(), F.PandasUDFType.SCALAR) for f in (low, high))
-    return df.withColumn("low", lower(F.col(wins).cast("double"), F.col(n).cast("double"))).withColumn("high", upper(F.col(wins).cast("double"), F.col(n).cast("double")))
+    The CDF by the midpoint rule in the angle (x = sin^2), where the deviation is near 1 / (2 sqrt(n)) for any rate, on points
+    over ten deviations around the mean; both ends come from one pass over blocks of rows.
+    """
+    ends = ((1 - level) / 2, (1 + level) / 2)
+
+    @F.pandas_udf("low double, high double")
+    def bounds(w: pd.Series, m: pd.Series) -> pd.DataFrame:
+        out = np.full((len(w), 2), np.nan)
+        valid = np.flatnonzero((w.notna() & m.notna()).to_numpy())
+        for at in range(0, len(valid), 256):
+            rows = valid[at : at + 256]
+            a, b = w.to_numpy()[rows, None] + 0.5, (m - w).to_numpy()[rows, None] + 0.5
+            centre, reach = np.arcsin(np.sqrt(a / (a + b))), 5 / np.sqrt(a + b)
+            first, last = np.maximum(centre - reach, 0), np.minimum(centre + reach, np.pi / 2)
+            step = (last - first) / points
+            t = first + (np.arange(points) + 0.5) * step
+            log = (2 * a - 1) * np.log(np.sin(t)) + (2 * b - 1) * np.log(np.cos(t))
+            c = np.cumsum(np.exp(log - log.max(1, keepdims=True)), axis=1)
+            edge = np.pad(c / c[:, -1:], ((0, 0), (1, 0)))
+            each = np.arange(len(rows))
+            for side, q in enumerate(ends):
+                k = (edge[:, 1:] < q).sum(1)
+                part = (q - edge[each, k]) / (edge[each, k + 1] - edge[each, k])
+                out[rows, side] = np.sin(first[:, 0] + (k + part) * step[:, 0]) ** 2
+        return pd.DataFrame(out, columns=["low", "high"])
+
+    return df.withColumn("_i", bounds(F.col(wins).cast("double"), F.col(n).cast("double"))).select(*df.columns, "_i.low", "_i.high")
 
 
 def method_table(df: DataFrame, group: str, method: str, score: str) -> DataFrame:

@@ -34,6 +34,21 @@ def test_auc_ties_and_one_class(spark):
     assert metrics.regression_metrics(df.withColumn("z", F.lit(1.0)), "z", "p").first()["r2"] is None
 
 
+def test_auc_over_ranges_against_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    data = [(("a", "b", None)[int(g)], float(p) if k % 9 else None, int(y)) for k, (g, p, y) in enumerate(zip(rng.integers(0, 3, 900), rng.normal(size=900).round(2), rng.integers(0, 2, 900)))]
+    df = spark.createDataFrame(data, "g string, p double, y int")
+
+    def brute(some):
+        up, down = ([-math.inf if p is None else p for _, p, y in some if y == k] for k in (1, 0))
+        return np.mean([(a > b) + 0.5 * (a == b) for a in up for b in down])
+
+    for ranges in (2, 7, 256):
+        assert abs(metrics.auc(df, "p", "y", ranges=ranges).first()[0] - brute(data)) < 1e-9
+        got = {r.g: r.auc for r in metrics.auc(df, "p", "y", ["g"], ranges).collect()}
+        assert got.keys() == {"a", "b", None} and all(abs(got[g] - brute([r for r in data if r[0] == g])) < 1e-9 for g in got)
+
+
 def test_within_slope_needs_variation(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 3.0), ("b", 1.0, 5.0), ("b", 1.0, 6.0), ("c", 1.0, 1.0), ("d", None, 1.0), ("d", 2.0, 1.0)], "g string, x double, y double")
     assert tuple(causal.within_slope(df, "g", "x", "y", 1).first()) == (1, 2, 2.0)
@@ -236,6 +251,10 @@ def test_beta_interval_inverts_the_cdf(spark):
     r = metrics.beta_interval(spark.createDataFrame([(5, 10), (0, 4), (4, 4)], "w int, n int"), "w", "n").collect()
     assert abs(r[0].low - 0.2235) < 2e-3 and abs(r[0].high - 0.7765) < 2e-3  # Jeffreys interval of 5 of 10
     assert r[1].low < 0.001 and abs(r[1].high + r[2].low - 1) < 1e-6 and r[2].high > 0.999
+    r = metrics.beta_interval(spark.createDataFrame([(5 * 10**9, 10**10), (0, 10**7), (None, 3)], "w long, n long"), "w", "n").collect()
+    assert abs(r[0].low - (0.5 - 0.98e-5)) < 1e-8 and abs(r[0].high - (0.5 + 0.98e-5)) < 1e-8
+    assert abs(r[1].high * 2e7 / 5.0239 - 1) < 1e-3  # gamma(1/2) limit: half the 97.5% point of chi-square with one degree
+    assert r[2].low is None or math.isnan(r[2].low)
 
 
 def test_event_matching(spark):
