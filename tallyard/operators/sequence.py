@@ -1,15 +1,21 @@
 """Walk-forward scoring of ordered picks.
 
 Every count a pick may know comes from strictly earlier contests: picks carry the contest's time order, and
-running counts are window sums over aggregated (key, order) cells, so one pass serves all settings.
+running counts are window sums over aggregated (key, order) cells.  A pool's state stands once for each of its keys and
+contests; all pools' states of a pick meet in one row, from which any number of settings is ranked without a further shuffle.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = ["t", "contest"]
+#: Contests of one block of running sums.
+BLOCK = 1 << 14
 
 
 def pick_events(team_rows: DataFrame, contest: str, side: str, picks: list[str], slots: DataFrame) -> DataFrame:
@@ -35,11 +41,17 @@ def taken_at(events: DataFrame, bans: DataFrame, contest: str, slot: str, item:
 def known_before(points: DataFrame, cells: DataFrame, keys: list[str], name: str) -> DataFrame:
     """points with the sum of the cells' g over strictly earlier seq of the same keys (0 where there is none).
 
-    Points and cells stand in one window with a range frame that ends one before the present seq.
+    Two levels, so that a key that holds most cells is no single window: sums inside a block of BLOCK contests from a
+    range frame that ends one before the present seq, and the sums of all earlier blocks, one row a block and key.
     """
     rows = points.withColumn("_point", F.lit(True)).withColumn("g", F.lit(0.0)).unionByName(cells.select(*keys, "seq", "g"), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.coalesce(F.sum("g").over(w), F.lit(0.0))).filter("_point").drop("_point", "g")
+    rows = rows.withColumn("_b", F.floor(F.col("seq") / BLOCK))
+    blocks = rows.groupBy(*keys, "_b").agg(F.sum("g").alias("_g"))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "_b", F.coalesce(F.sum("_g").over(earlier), F.lit(0.0)).alias("_earlier"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.coalesce(F.sum("g").over(inside), F.lit(0.0))).filter("_point")
+    return rows.join(blocks, [*keys, "_b"]).withColumn(name, F.col("_inside") + F.col("_earlier")).drop("_point", "g", "_b", "_inside", "_earlier")
 
 
 def contest_order(df: DataFrame, contest: str, time: str) -> DataFrame:
@@ -50,35 +62,133 @@ def contest_order(df: DataFrame, contest: str, time: str) -> DataFrame:
     return games.join(before, time).withColumn("seq", F.col("_b") + F.row_number().over(Window.partitionBy(time).orderBy(contest))).select(contest, "seq")
 
 
-def candidate_shares(picks: DataFrame, role: str, item: str, entity: str, gamma: float, top: int) -> DataFrame:
-    """(contest, slot, item, is_true, role_share, own_share): the candidates of each pick and what earlier contests say.
+@dataclass(frozen=True)
+class Pool:
+    """What earlier contests say about items under `keys`; its first `top` items are candidates (None: all, 0: none).
+
+    cells: keys, item, seq and the weight g that the contest seq adds.
+    """
+
+    keys: list[str]
+    cells: DataFrame
+    top: int | None
+
+
+@dataclass(frozen=True)
+class Setting:
+    """How candidates of a pick are chosen and scored.
+
+    score = (1 - beta) * base + beta * response where the pool `counter` says something of the enemy shown already, base otherwise;
+    base = alpha * own + (1 - alpha) * ((1 - region) * role + region * regional), own = (1 - team) * entity's + team * team's.
+    """
+
+    name: str
+    pools: tuple[str, ...] = ("role", "own")
+    taken: bool = True
+    series: bool = False
+    alpha: float = 0.5
+    region: float = 0.0
+    team: float = 0.0
+    beta: float = 0.0
+
+
+def decayed_cells(picks: DataFrame, keys: list[str], gamma: float, item: str = "item") -> DataFrame:
+    """Weights that grow by 1 / gamma a week; the decay up to now cancels in a share."""
+    return picks.groupBy(*keys, item, "seq").agg(F.sum(F.pow(F.lit(1 / gamma), F.col("week"))).alias("g"))
+
 
-    picks: contest, seq, slot, week, entity, role, item.  Candidates are the top items that earlier contests have shown in the role
-    and the entity's own items, less those taken by earlier slots of the contest; a pick without any has its true item
-    as the only one.
+def pool_state(points: DataFrame, pool: Pool, item: str = "item") -> DataFrame:
+    """(keys, seq, item, share, rank) for each key and contest of the points: items that strictly earlier contests have shown there.
+
+    One row for each of a key's items at each of its contests, however many picks the contest has.
+    """
+    grid = points.select(*pool.keys, "seq").distinct().join(pool.cells.select(*pool.keys, item).distinct(), pool.keys)
+    known = known_before(grid, pool.cells, [*pool.keys, item], "_w").filter("_w > 0")
+    each = Window.partitionBy(*pool.keys, "seq")
+    shares = known.withColumn("share", F.col("_w") / F.sum("_w").over(each)).drop("_w")
+    return shares.withColumn("rank", F.row_number().over(each.orderBy(F.desc(F.round("share", 9)), item)))
+
+
+def series_used(contests: DataFrame, picks: DataFrame, series: str, item: str = "item") -> DataFrame:
+    """(contest, item): what earlier contests of the same series have used; contests: contest, series and seq of those under the rule."""
+    first = picks.groupBy(series, item).agg(F.min("seq").alias("_first"))
+    return contests.select("contest", series, "seq").distinct().join(first, series).filter(F.col("_first") < F.col("seq")).select("contest", item)
+
+
+def revealed_enemy(picks: DataFrame, item: str = "item") -> DataFrame:
+    """(contest, slot, enemy): the first item that the other side has shown in the pick's role at an earlier slot."""
+    shown = picks.filter(F.col("role").isNotNull()).groupBy("contest", "role", "side").agg(F.min(F.struct("slot", item)).alias("_s"))
+    shown = shown.select("contest", "role", F.col("side").alias("_side"), "_s.slot", F.col(f"_s.{item}").alias("enemy")).withColumnRenamed("slot", "_slot")
+    return picks.join(shown, ["contest", "role"]).filter((F.col("_side") != F.col("side")) & (F.col("_slot") < F.col("slot"))).groupBy("contest", "slot").agg(F.min_by("enemy", "_slot").alias("enemy"))
+
+
+def response_cells(picks: DataFrame, item: str = "item") -> DataFrame:
+    """(role, enemy, item, seq, g): how often the first picks of two sides in a role met, both ways, undecayed."""
+    first = picks.filter(F.col("role").isNotNull()).groupBy("contest", "seq", "role", "side").agg(F.min_by(item, "slot").alias(item))
+    other = first.select("contest", "role", F.col("side").alias("_side"), F.col(item).alias("enemy"))
+    return first.join(other, ["contest", "role"]).filter(F.col("_side") != F.col("side")).groupBy("role", "enemy", item, "seq").agg(F.count("*").cast("double").alias("g"))
+
+
+def walk_forward(picks: DataFrame, pools: dict[str, Pool], bans: DataFrame | None = None, used: DataFrame | None = None, item: str = "item") -> DataFrame:
+    """A row for each pick of a known role with its candidates and what each pool says of them at that moment.
+
+    picks: contest, seq, slot, role, the pools' keys and the item; a pick without a role is not scored but taken.
+    bans, used: (contest, item).  cands: array of (item, is_true, gone, used, and <pool>, <pool>_in of each pool): gone
+    for bans and earlier slots, <pool>_in where the pool makes the item a candidate; <pool>_known: whether the pool says
+    anything of the pick.  The states are joined on (keys, seq) and meet in one shuffle by pick.
+    """
+    scored = picks.filter(F.col("role").isNotNull())
+    parts = [scored.select("contest", "slot", item, F.lit("true").alias("of"), F.lit(0.0).alias("share"), F.lit(False).alias("in"))]
+    for name, pool in pools.items():
+        state = pool_state(scored.dropna(subset=pool.keys), pool, item).withColumn("in", F.lit(True) if pool.top is None else F.col("rank") <= pool.top)
+        mine = scored.select(*dict.fromkeys(["contest", "slot", "seq", *pool.keys]))
+        parts.append(mine.join(state, [*pool.keys, "seq"]).select("contest", "slot", item, F.lit(name).alias("of"), "share", "in"))
+    first = picks.groupBy("contest", item).agg(F.min("slot").alias("_from"))
+    gone = first if bans is None else first.unionByName(bans.select("contest", item, F.lit(0).alias("_from")))
+    slots = scored.select("contest", "slot")
+    parts.append(slots.join(gone, "contest").filter(F.col("_from") < F.col("slot")).select("contest", "slot", item, F.lit("gone").alias("of"), F.lit(0.0).alias("share"), F.lit(False).alias("in")))
+    if used is not None:
+        parts.append(slots.join(used, "contest").select("contest", "slot", item, F.lit("used").alias("of"), F.lit(0.0).alias("share"), F.lit(False).alias("in")))
+    rows = reduce(DataFrame.unionByName, parts).repartition("contest", "slot")
+    at = lambda of: F.col("of") == of
+    flags = [F.max(at(n)).alias(a) for n, a in (("true", "is_true"), ("gone", "gone"), ("used", "used"))]
+    shares = [c for n in pools for c in (F.max(F.when(at(n), F.col("share")).otherwise(0.0)).alias(n), F.max(at(n) & F.col("in")).alias(f"{n}_in"))]
+    per = rows.groupBy("contest", "slot", item).agg(*flags, *shares)
+    kept = F.col("is_true") | reduce(lambda a, b: a | b, [F.col(f"{n}_in") for n in pools])
+    cands = F.collect_list(F.when(kept, F.struct(item, "is_true", "gone", "used", *[c for n in pools for c in (n, f"{n}_in")]))).alias("cands")
+    return scored.join(per.groupBy("contest", "slot").agg(cands, *[F.max(F.col(n) > 0).alias(f"{n}_known") for n in pools]), ["contest", "slot"])
+
+
+def allowed(cands, setting: Setting):
+    """The candidates under a setting."""
+    inside = lambda x: reduce(lambda a, b: a | b, [x[f"{n}_in"] for n in setting.pools])
+    free = lambda x: ~((F.lit(setting.taken) & x["gone"]) | (F.lit(setting.series) & x["used"]))
+    return F.filter(cands, lambda x: inside(x) & free(x))
+
+
+def score(x, setting: Setting, covered=None):
+    """The score of a candidate (a struct of cands) rounded to 9 digits, so that ties are ties on every engine."""
+    role = x["role"] if not setting.region else setting.region * x["region"] + (1 - setting.region) * x["role"]
+    own = None if "own" not in setting.pools else x["own"] if not setting.team else (1 - setting.team) * x["own"] + setting.team * x["team"]
+    base = role if own is None else setting.alpha * own + (1 - setting.alpha) * role
+    if setting.beta:
+        base = F.when(covered, (1 - setting.beta) * base + setting.beta * x["counter"]).otherwise(base)
+    return F.round(base, 9)
+
+
+def rank_settings(walk: DataFrame, settings: list[Setting], item: str = "item") -> DataFrame:
+    """walk without cands, with setting, rank of the true item (null: no candidate) and n_candidates, for every setting in one pass.
+
+    Ties go by item.  A pick without any candidate has its true item as the only one.
     """
-    weight = F.sum(F.pow(F.lit(1 / gamma), F.col("week"))).alias("g")  # gamma^now cancels in a share
-    w = Window.partitionBy("contest", "slot")
-    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.sum(c).over(w)), F.lit(0.0))
-    points = picks.select("contest", "seq", "slot", entity, role, F.col(item).alias("true_item"))
-    grid = points.join(picks.select(role, item).distinct(), role)  # a role has a few items
-    r = known_before(grid, picks.groupBy(role, item, "seq").agg(weight), [role, item], "_rw").withColumn("role_share", share("_rw"))
-    r = r.withColumn("_rank", F.row_number().over(w.orderBy(F.desc(F.round("role_share", 9)), item)))
-    o = known_before(r, picks.groupBy(entity, item, "seq").agg(weight), [entity, item], "_ow").withColumn("own_share", share("_ow"))
-    keep = o.filter(((F.col("_rank") <= top) & (F.col("_rw") > 0)) | (F.col("_ow") > 0))
-    gone = picks.select(F.col("contest").alias("_c"), F.col("slot").alias("_s"), F.col(item).alias("_i"))
-    free = keep.join(gone, (F.col("contest") == F.col("_c")) & (F.col(item) == F.col("_i")) & (F.col("_s") < F.col("slot")), "left_anti")
-    free = free.select("contest", "slot", F.col(item).alias("_free"), "role_share", "own_share")
-    every = points.join(free, ["contest", "slot"], "left").withColumn(item, F.coalesce("_free", "true_item"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    return every.select("contest", "seq", "slot", entity, role, item, (F.col(item) == F.col("true_item")).cast("int").alias("is_true"), zero("role_share"), zero("own_share"))
-
-
-def score_candidates(shares: DataFrame, alphas: list[float]) -> DataFrame:
-    """(contest, slot, alpha, rank of the true item or null): score alpha * own + (1 - alpha) * role, ties by item."""
-    rows = shares.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas]))).withColumn("score", F.round(F.col("alpha") * F.col("own_share") + (1 - F.col("alpha")) * F.col("role_share"), 9))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("contest", "slot", "alpha").orderBy(F.desc("score"), "item")))
-    return ranked.groupBy("contest", "seq", "slot", "entity", "role", "alpha").agg(F.min(F.when(F.col("is_true") == 1, F.col("rank"))).alias("rank"), F.count("*").alias("n_candidates"))
+    found = []
+    for s in settings:
+        covered = F.col("counter_known") if s.beta else None
+        order = F.sort_array(F.transform(allowed(F.col("cands"), s), lambda x: F.struct((F.lit(0.0) - score(x, s, covered)).alias("s"), x[item].alias("i"), x["is_true"].alias("t"))))
+        found.append(F.struct(F.lit(s.name).alias("setting"), F.transform(order, lambda x: x["t"]).alias("order")))
+    rows = walk.withColumn("_s", F.explode(F.array(*found))).drop("cands")
+    rank = F.when(F.size("_s.order") == 0, 1).otherwise(F.nullif(F.array_position("_s.order", True), F.lit(0)))
+    return rows.select("*", "_s.setting", rank.cast("int").alias("rank"), F.greatest(F.size("_s.order"), F.lit(1)).cast("long").alias("n_candidates")).drop("_s")
 
 
 def region_blend(global_shares: DataFrame, region_shares: DataFrame, keys: list[str], weight: float = 0.6) -> DataFrame:

@@ -9,6 +9,7 @@ from tallyard.operators import metrics as m
 from tallyard.operators import sequence as q
 from tallyard.operators import shift
 from tallyard.operators.windows import phase_in_group, trailing_topk
+from tallyard.sources.readers import stored
 
 from .panel import PAIRS, PICKS, panel, pairs, picks, table
 from .registry import query
@@ -20,9 +21,45 @@ def r(c, n=6):
     return F.round(c, n).alias(c)
 
 
+FEARLESS = 1995  # from this year on a series' items are used up
+
+
 def ordered(spark, d):
-    p = picks(panel(spark, d))
-    return p.join(q.contest_order(p, "contest", "t"), "contest")
+    """The ordered picks, stored once for all states of a query."""
+    p = picks(panel(spark, d)).select("contest", "slot", "week", "t", "period", "side", "entity", "role", "item")
+    return stored(p.join(q.contest_order(p, "contest", "t"), "contest"), "picks")
+
+
+def league(spark, d):
+    """As ordered(), with team, the entity's region, the series of a team and week, and the game's number in it."""
+    p = ordered(spark, d)
+    c, n, g = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    regions = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(g, n["n_regionkey"] == g["r_regionkey"]).select(F.col("c_custkey").alias("entity"), F.col("r_name").alias("region"))
+    p = p.join(regions, "entity").withColumn("team", F.col("entity") % 50).withColumn("series", F.concat_ws(":", "team", "week"))
+    games = p.select("series", "contest", "seq").distinct().withColumn("game", F.row_number().over(Window.partitionBy("series").orderBy("seq")))
+    return stored(p.join(games.select("contest", "game"), "contest"), "league")
+
+
+def bans(spark, d):
+    """Two items of each contest."""
+    b = table(spark, d, "orders").select(F.col("o_orderkey").alias("contest"), F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
+    return b.select("contest", F.concat(F.lit("Brand#"), ((F.col("contest") * 7 + F.col("j") * 11) % 25 + 1).cast("string")).alias("item"))
+
+
+def role_pool(p):
+    return q.Pool(["role"], q.decayed_cells(p, ["role"], GAMMA), TOP)
+
+
+def own_pool(p, by="entity"):
+    return q.Pool([by], q.decayed_cells(p, [by], GAMMA), None)
+
+
+def used_up(p):
+    return q.series_used(p.filter(F.col("period") >= FEARLESS), p, "series")
+
+
+def hits(ranked, groups):
+    return m.hit_at_k(ranked, "rank", [1, 5], groups).select(*groups, "n", r("hit1"), r("hit5"))
 
 
 SIDED = PICKS + ", sp AS (SELECT contest, side, item, row_number() OVER (PARTITION BY contest, side ORDER BY picks.ln, pk, sk) AS i FROM picks), ev AS (SELECT contest, side, CASE WHEN side = 'F' THEN 2 * i - 1 ELSE 2 * i END AS slot, item FROM sp WHERE i <= 5)"
@@ -49,9 +86,19 @@ def resolve_picks(spark, d):
 @query("D3_taken_at", f"""WITH {SIDED}, bn AS (SELECT o_orderkey AS contest, 'Brand#' || ((o_orderkey * 7 + j * 11) % 25 + 1) AS item FROM orders, (SELECT unnest([0, 1]) AS j)), sl AS (SELECT DISTINCT contest, slot FROM ev)
  SELECT sl.contest, sl.slot, ev.item FROM sl JOIN ev ON ev.contest = sl.contest AND ev.slot < sl.slot UNION SELECT sl.contest, sl.slot, bn.item FROM sl JOIN bn ON bn.contest = sl.contest""")
 def taken_at(spark, d):
-    bans = table(spark, d, "orders").select(F.col("o_orderkey").alias("contest"), F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
-    bans = bans.select("contest", F.concat(F.lit("Brand#"), ((F.col("contest") * 7 + F.col("j") * 11) % 25 + 1).cast("string")).alias("item"))
-    return q.taken_at(events(spark, d), bans, "contest", "slot", "item")
+    return q.taken_at(events(spark, d), bans(spark, d), "contest", "slot", "item")
+
+
+LEAGUE = PICKS + f""", gm AS (SELECT contest, row_number() OVER (ORDER BY t, contest) AS seq FROM (SELECT DISTINCT contest, t FROM picks)), rg AS (SELECT c_custkey AS entity, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+ pl AS (SELECT contest, slot, week, t, period, side, p.entity, role, item, seq, region, p.entity % 50 AS team, (p.entity % 50) || ':' || week AS series, pow(1.25::DOUBLE, week) AS g FROM picks p JOIN gm USING (contest) JOIN rg USING (entity)),
+ pk AS (SELECT *, dense_rank() OVER (PARTITION BY series ORDER BY seq) AS game FROM pl),
+ bn AS (SELECT o_orderkey AS contest, 'Brand#' || ((o_orderkey * 7 + j * 11) % 25 + 1) AS item FROM orders, (SELECT unnest([0, 1]) AS j)),
+ us AS (SELECT DISTINCT a.contest, b.item FROM pk a JOIN pk b ON a.series = b.series AND b.seq < a.seq WHERE a.period >= {FEARLESS})"""
+
+
+@query("D3_series_taken", f"WITH {LEAGUE} SELECT contest, item FROM us")
+def series_taken(spark, d):
+    return used_up(league(spark, d))
 
 
 def shares_sql(entity: str) -> str:
@@ -71,19 +118,78 @@ def scored_sql(entity: str, alphas: str) -> str:
 
 
 def shares(spark, d, entity=None):
+    """Picks with their candidates from the role's top items and the entity's own."""
     p = ordered(spark, d)
     p = p.withColumn("entity", entity) if entity is not None else p
-    return q.candidate_shares(p, "role", "item", "entity", GAMMA, TOP)
+    return q.walk_forward(p, {"role": role_pool(p), "own": own_pool(p)})
+
+
+def at_alphas(walk, alphas):
+    return q.rank_settings(walk, [q.Setting(str(a), alpha=a) for a in alphas]).withColumn("alpha", F.col("setting").cast("double"))
 
 
 @query("D4_candidates", f"WITH {shares_sql('entity')} SELECT contest, slot, count(*) AS n, CAST(sum(is_true) AS BIGINT) AS has_true, round(max(role_share), 6) AS best_role, round(max(own_share), 6) AS best_own FROM cd GROUP BY 1, 2")
 def candidates(spark, d):
-    return shares(spark, d).groupBy("contest", "slot").agg(F.count("*").alias("n"), F.sum("is_true").alias("has_true"), F.round(F.max("role_share"), 6).alias("best_role"), F.round(F.max("own_share"), 6).alias("best_own"))
+    x = shares(spark, d).withColumn("a", q.allowed(F.col("cands"), q.Setting("")))
+    some = F.size("a") > 0
+    best = lambda name: F.round(F.coalesce(F.array_max(F.transform("a", lambda v: v[name])), F.lit(0.0)), 6)
+    has = F.when(some, F.exists("a", lambda v: v["is_true"]).cast("long")).otherwise(1)  # without candidates the true item is the only one
+    return x.select("contest", "slot", F.greatest(F.size("a"), F.lit(1)).cast("long").alias("n"), has.alias("has_true"), best("role").alias("best_role"), best("own").alias("best_own"))
 
 
 @query("D5_score_candidates", f"WITH {scored_sql('entity', '[0.0::DOUBLE, 0.5::DOUBLE]')} SELECT contest, slot, alpha, rank, n_candidates FROM rr")
 def score_candidates(spark, d):
-    return q.score_candidates(shares(spark, d), [0.0, 0.5]).select("contest", "slot", "alpha", "rank", "n_candidates")
+    return at_alphas(shares(spark, d), [0.0, 0.5]).select("contest", "slot", "alpha", "rank", "n_candidates")
+
+
+def pool_sql(name: str, keys: str, cells: str) -> str:
+    """The state of a pool: the last running sum before each (key, contest)."""
+    on = " AND ".join(f"p.{k} = r.{k}" for k in keys.split(", "))
+    of = ", ".join(f"p.{k}" for k in keys.split(", "))
+    return f"""{name}_c AS ({cells}), {name}_r AS (SELECT {keys}, item, seq, sum(g) OVER (PARTITION BY {keys}, item ORDER BY seq) AS w FROM {name}_c),
+ {name}_p AS (SELECT * FROM (SELECT DISTINCT {keys}, seq FROM pk) JOIN (SELECT DISTINCT {keys}, item FROM {name}_c) USING ({keys})),
+ {name}_w AS (SELECT {of}, p.seq, p.item, w / sum(w) OVER (PARTITION BY {of}, p.seq) AS share FROM {name}_p p ASOF JOIN {name}_r r ON {on} AND p.item = r.item AND p.seq > r.seq),
+ {name} AS (SELECT *, row_number() OVER (PARTITION BY {keys}, seq ORDER BY round(share, 9) DESC, item) AS rank FROM {name}_w)"""
+
+
+def decayed_sql(keys: str, source: str = "pk") -> str:
+    return f"SELECT {keys}, item, seq, sum(g) AS g FROM {source} GROUP BY ALL"
+
+
+ROLE_SQL, OWN_SQL = pool_sql("role_pool", "role", decayed_sql("role")), pool_sql("own_pool", "entity", decayed_sql("entity"))
+
+
+def walk_sql(pools: dict[str, tuple[str, int]], settings: str, score: str, keep: str, source: str = "pk") -> str:
+    """cn: every candidate of every pick and setting with its rank; rk: the rank of the true item, also where nothing is left."""
+    proposals = " UNION ".join(f"SELECT contest, slot, {n}.item FROM {source} pk JOIN {n} USING ({k}, seq) WHERE rank <= {top}" for n, (k, top) in pools.items() if top)
+    columns = ", ".join(f"coalesce({n}.share, 0) AS {n}_share, coalesce({n}.rank <= {top}, false) AS {n}_in" for n, (_, top) in pools.items())
+    joins = " ".join(f"LEFT JOIN {n} ON {' AND '.join(f'pk.{k} = {n}.{k}' for k in keys.split(', '))} AND pk.seq = {n}.seq AND pr.item = {n}.item" for n, (keys, _) in pools.items())
+    known = ", ".join(f"EXISTS (SELECT 1 FROM {n} WHERE {' AND '.join(f'pk.{k} = {n}.{k}' for k in keys.split(', '))} AND pk.seq = {n}.seq) AS {n}_known" for n, (keys, top) in pools.items() if not top) or "false AS none_known"
+    return f"""pr AS ({proposals}), gn AS (SELECT contest, item, min(slot) AS fs FROM (SELECT contest, item, slot FROM pk UNION ALL SELECT contest, item, 0 FROM bn) GROUP BY 1, 2),
+ sh AS (SELECT pk.contest, pk.slot, pr.item, pk.item AS true_item, coalesce(gn.fs < pk.slot, false) AS gone, us.item IS NOT NULL AS used, {columns}, {known} FROM pr JOIN {source} pk USING (contest, slot) {joins}
+  LEFT JOIN gn ON gn.contest = pk.contest AND gn.item = pr.item LEFT JOIN us ON us.contest = pk.contest AND us.item = pr.item),
+ st AS ({settings}), ck AS (SELECT *, round({score}, 9) AS score FROM sh, st WHERE {keep}), cn AS (SELECT *, row_number() OVER (PARTITION BY contest, slot, setting ORDER BY score DESC, item) AS rank FROM ck),
+ rr AS (SELECT contest, slot, setting, min(CASE WHEN item = true_item THEN rank END) AS rank, count(*) AS n_candidates FROM cn GROUP BY ALL),
+ rk AS (SELECT pk.*, st.setting, CASE WHEN rr.setting IS NULL THEN 1 ELSE rr.rank END AS rank, coalesce(n_candidates, 1) AS n_candidates FROM {source} pk CROSS JOIN st LEFT JOIN rr ON rr.contest = pk.contest AND rr.slot = pk.slot AND rr.setting = st.setting)"""
+
+
+HITS = "count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit5"
+MODELS = [q.Setting("M0", ("role",), taken=False), q.Setting("M1", ("role",)), q.Setting("M2"), q.Setting("M3", series=True)]
+MODELS_SQL = f"""{LEAGUE}, {ROLE_SQL}, {OWN_SQL}, """ + walk_sql(
+    {"role_pool": ("role", TOP), "own_pool": ("entity", 1000)}, "SELECT * FROM (VALUES ('M0', false, false, false), ('M1', false, true, false), ('M2', true, true, false), ('M3', true, true, true)) v(setting, pl, tk, sr)",
+    "CASE WHEN pl THEN 0.5::DOUBLE * own_pool_share + 0.5::DOUBLE * role_pool_share ELSE role_pool_share END", "(role_pool_in OR (pl AND own_pool_in)) AND NOT (tk AND gone) AND NOT (sr AND used)",
+)
+
+
+def models(spark, d, settings):
+    """The picks with bans and used-up items under settings."""
+    p = league(spark, d)
+    return q.rank_settings(q.walk_forward(p, {"role": role_pool(p), "own": own_pool(p)}, bans(spark, d), used_up(p)), settings)
+
+
+@query("D5_ablation", f"WITH {MODELS_SQL} SELECT setting, {HITS} FROM rk GROUP BY 1")
+def ablation(spark, d):
+    return hits(models(spark, d, MODELS), ["setting"])
 
 
 @query("D6_region_blend", f"""WITH {PICKS}, x AS (SELECT picks.role, picks.item, r_name AS region FROM picks JOIN customer ON entity = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
@@ -107,36 +213,133 @@ def counter_counts(spark, d):
     return q.counter_counts(p.join(q.contest_order(panel(spark, d), "contest", "t"), "contest"))
 
 
+REGION_SQL = pool_sql("region_pool", "region, role", decayed_sql("region, role"))
+
+
+@query("D6_region_walk", f"WITH {LEAGUE}, {ROLE_SQL}, {OWN_SQL}, {REGION_SQL}, " + walk_sql({"role_pool": ("role", TOP), "own_pool": ("entity", 1000), "region_pool": ("region, role", 15)}, "SELECT * FROM (VALUES ('base', false), ('region', true)) v(setting, rgn)",
+    "0.5::DOUBLE * own_pool_share + 0.5::DOUBLE * (CASE WHEN rgn THEN 0.6::DOUBLE * region_pool_share + 0.4::DOUBLE * role_pool_share ELSE role_pool_share END)", "(role_pool_in OR own_pool_in OR (rgn AND region_pool_in)) AND NOT gone AND NOT used") + f" SELECT setting, region, {HITS} FROM rk GROUP BY 1, 2")
+def region_walk(spark, d):
+    """Shares of the region's earlier contests, walk-forward, and its top 15 as more candidates."""
+    p = league(spark, d)
+    pools = {"role": role_pool(p), "own": own_pool(p), "region": q.Pool(["region", "role"], q.decayed_cells(p, ["region", "role"], GAMMA), 15)}
+    settings = [q.Setting("base", series=True), q.Setting("region", ("role", "own", "region"), series=True, region=0.6)]
+    return hits(q.rank_settings(q.walk_forward(p, pools, bans(spark, d), used_up(p)), settings), ["setting", "region"])
+
+
+COUNTER_SQL = f"""{LEAGUE.replace(" pk AS (", " p0 AS (").replace("FROM pk a JOIN pk b", "FROM p0 a JOIN p0 b")}, pk AS (SELECT p0.*, (SELECT arg_min(o.item, o.slot) FROM p0 o WHERE o.contest = p0.contest AND o.role = p0.role AND o.side <> p0.side AND o.slot < p0.slot) AS enemy FROM p0),
+ fp AS (SELECT contest, seq, role, side, arg_min(item, slot) AS item FROM pk GROUP BY ALL), {ROLE_SQL}, {OWN_SQL}, {pool_sql("counter_pool", "role, enemy", "SELECT a.role, b.item AS enemy, a.item, a.seq, CAST(count(*) AS DOUBLE) AS g FROM fp a JOIN fp b ON a.contest = b.contest AND a.role = b.role AND a.side <> b.side GROUP BY ALL")}, """
+BETAS = (0.0, 0.15, 0.3, 0.5)
+
+
+def counter_sql(betas) -> str:
+    return COUNTER_SQL + walk_sql(
+        {"role_pool": ("role", TOP), "own_pool": ("entity", 1000), "counter_pool": ("role, enemy", 0)}, "SELECT * FROM (VALUES " + ", ".join(f"('{b}', {b}::DOUBLE)" for b in betas) + ") v(setting, beta)",
+        "CASE WHEN counter_pool_known THEN (1 - beta) * (0.5::DOUBLE * own_pool_share + 0.5::DOUBLE * role_pool_share) + beta * counter_pool_share ELSE 0.5::DOUBLE * own_pool_share + 0.5::DOUBLE * role_pool_share END", "(role_pool_in OR own_pool_in) AND NOT gone AND NOT used",
+    )
+
+
+def counter_walk(spark, d):
+    """The picks with the enemy already shown in their role and what earlier contests answered to it."""
+    p = league(spark, d)
+    p = p.join(q.revealed_enemy(p), ["contest", "slot"], "left")
+    return q.walk_forward(p, {"role": role_pool(p), "own": own_pool(p), "counter": q.Pool(["role", "enemy"], q.response_cells(p), 0)}, bans(spark, d), used_up(p))
+
+
+@query("D7_counter_score", f"WITH {counter_sql((0.15,))}, cs AS (SELECT contest, slot, count(*) AS n_candidates, round(sum(counter_pool_share), 6) AS response, round(max(score), 6) AS best FROM cn GROUP BY 1, 2) SELECT contest, slot, enemy, rank, coalesce(cs.n_candidates, 0) AS n_free, coalesce(response, 0) AS response, coalesce(best, 0) AS best FROM rk LEFT JOIN cs USING (contest, slot)")
+def counter_score(spark, d):
+    """Per pick: the enemy shown, the share of answers to it that the free candidates hold, the best score and the true item's rank."""
+    s = q.Setting("0.15", series=True, beta=0.15)
+    x = q.rank_settings(counter_walk(spark, d).withColumn("a", q.allowed(F.col("cands"), s)), [s])
+    best = F.array_max(F.transform("a", lambda v: q.score(v, s, F.col("counter_known"))))
+    total = F.aggregate("a", F.lit(0.0), lambda sum_, v: sum_ + v["counter"])
+    return x.select("contest", "slot", "enemy", F.col("rank").cast("long"), F.size("a").cast("long").alias("n_free"), F.round(total, 6).alias("response"), F.round(F.coalesce(best, F.lit(0.0)), 6).alias("best"))
+
+
+@query("D8_beta_sweep", f"WITH {counter_sql(BETAS)}, ga AS (SELECT entity, seq, sum(count(*)) OVER (PARTITION BY entity ORDER BY seq) - count(*) AS games FROM (SELECT DISTINCT entity, contest, seq FROM pk) GROUP BY 1, 2), kn AS (SELECT DISTINCT contest, slot, enemy IS NOT NULL AND EXISTS (SELECT 1 FROM counter_pool c WHERE c.role = pk.role AND c.enemy = pk.enemy AND c.seq = pk.seq) AS covered FROM pk) SELECT CAST(setting AS DOUBLE) AS beta, games >= 20 AS warm, covered, {HITS} FROM rk JOIN ga USING (entity, seq) JOIN kn USING (contest, slot) GROUP BY 1, 2, 3")
+def beta_sweep(spark, d):
+    """All betas in one pass, warm and cold entities apart, and picks with and without an answer known."""
+    x = q.rank_settings(counter_walk(spark, d), [q.Setting(str(b), series=True, beta=b) for b in BETAS])
+    x = x.join(games_before(x), ["entity", "seq"]).withColumn("beta", F.col("setting").cast("double")).withColumn("warm", F.col("games") >= 20).withColumn("covered", F.coalesce("counter_known", F.lit(False)))
+    return hits(x, ["beta", "warm", "covered"])
+
+
+def games_before(p):
+    """(entity, seq, games): earlier contests of the entity."""
+    games = p.select("entity", "contest", "seq").distinct().groupBy("entity", "seq").agg(F.count("*").alias("_n"))
+    return games.withColumn("games", F.sum("_n").over(Window.partitionBy("entity").orderBy("seq")) - F.col("_n")).drop("_n")
+
+
 ALPHAS = "[0.0::DOUBLE, 0.3::DOUBLE, 0.6::DOUBLE, 1.0::DOUBLE]"
 WARM = ", gn AS (SELECT entity, seq, sum(count(*)) OVER (PARTITION BY entity ORDER BY seq) - count(*) AS games FROM (SELECT DISTINCT entity, contest, seq FROM pk) GROUP BY 1, 2)"
 
 
 @query("D8_alpha_sweep", f"WITH {scored_sql('entity', ALPHAS)}{WARM} SELECT alpha, games >= 20 AS warm, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit5 FROM rr JOIN gn USING (entity, seq) GROUP BY 1, 2")
 def alpha_sweep(spark, d):
-    games = ordered(spark, d).select("entity", "contest", "seq").distinct().groupBy("entity", "seq").agg(F.count("*").alias("_n"))
-    games = games.withColumn("games", F.sum("_n").over(Window.partitionBy("entity").orderBy("seq")) - F.col("_n")).drop("_n")
-    ranked = q.score_candidates(shares(spark, d), [0.0, 0.3, 0.6, 1.0]).join(games, ["entity", "seq"]).withColumn("warm", F.col("games") >= 20)
+    walk = shares(spark, d)
+    ranked = at_alphas(walk, [0.0, 0.3, 0.6, 1.0]).join(games_before(walk), ["entity", "seq"]).withColumn("warm", F.col("games") >= 20)
     return m.hit_at_k(ranked, "rank", [1, 5], ["alpha", "warm"]).select("alpha", "warm", "n", r("hit1"), r("hit5"))
 
 
 @query("D9_team_pool", f"WITH {scored_sql('(entity % 50) || chr(58) || role', '[0.5::DOUBLE]')} SELECT role, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit5 FROM rr GROUP BY 1")
 def team_pool(spark, d):
     team = F.concat((F.col("entity") % 50).cast("string"), F.lit(":"), F.col("role"))
-    return m.hit_at_k(q.score_candidates(shares(spark, d, team), [0.5]), "rank", [1, 5], ["role"]).select("role", "n", r("hit1"), r("hit5"))
+    return hits(at_alphas(shares(spark, d, team), [0.5]), ["role"])
+
+
+RESOLVED_SQL = "rs AS (SELECT * FROM pk WHERE role <> 'SMALL')"
+TEAM_SQL = f"""{LEAGUE}, {RESOLVED_SQL}, {pool_sql("role_pool", "role", decayed_sql("role", "rs"))}, {pool_sql("own_pool", "entity", decayed_sql("entity", "rs"))}, {pool_sql("team_pool", "team, role", decayed_sql("team, role", "rs"))}, """ + walk_sql(
+    {"role_pool": ("role", TOP), "own_pool": ("entity", 1000), "team_pool": ("team, role", 1000)}, "SELECT * FROM (VALUES ('meta', 0.0::DOUBLE, 0.0::DOUBLE), ('player', 0.5::DOUBLE, 0.0::DOUBLE), ('player and team', 0.5::DOUBLE, 0.5::DOUBLE)) v(setting, al, te)",
+    "al * ((1 - te) * own_pool_share + te * team_pool_share) + (1 - al) * role_pool_share", "NOT gone AND NOT used", "rs",
+)
+
+
+@query("D9_team_ablation", f"WITH {TEAM_SQL} SELECT setting, {HITS} FROM rk GROUP BY 1")
+def team_ablation(spark, d):
+    """Pools of teams beside those of entities; picks that resolve to no role are taken, but neither scored nor learned from."""
+    p = league(spark, d).withColumn("role", F.when(F.col("role") != "SMALL", F.col("role")))
+    known = p.filter("role is not null")
+    pools = {"role": role_pool(known), "own": own_pool(known), "team": q.Pool(["team", "role"], q.decayed_cells(known, ["team", "role"], GAMMA), None)}
+    used = tuple(pools)
+    settings = [q.Setting("meta", used, series=True, alpha=0.0), q.Setting("player", used, series=True), q.Setting("player and team", used, series=True, team=0.5)]
+    return hits(q.rank_settings(q.walk_forward(p, pools, bans(spark, d), used_up(p)), settings), ["setting"])
 
 
 @query("D10_recall", f"WITH {scored_sql('entity', '[0.5::DOUBLE]')} SELECT role, slot, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit5 FROM rr GROUP BY 1, 2")
 def recall(spark, d):
-    return m.hit_at_k(q.score_candidates(shares(spark, d), [0.5]), "rank", [1, 5], ["role", "slot"]).select("role", "slot", "n", r("hit1"), r("hit5"))
+    return hits(at_alphas(shares(spark, d), [0.5]), ["role", "slot"])
+
+
+@query("D10_recall_groups", f"WITH {MODELS_SQL}, gr AS (SELECT CASE WHEN grouping(role) = 0 THEN 'role' WHEN grouping(game) = 0 THEN 'game' ELSE 'all' END AS by, coalesce(role, CAST(game AS VARCHAR), 'all') AS \"group\", {HITS} FROM rk WHERE setting = 'M3' GROUP BY GROUPING SETS ((), (role), (game))) SELECT * FROM gr")
+def recall_groups(spark, d):
+    """Hit rates of the whole model overall, by role and by the game's number in its series."""
+    x = models(spark, d, MODELS[3:]).withColumn("_g", F.explode(F.array(*[F.struct(F.lit(n).alias("by"), v.cast("string").alias("group")) for n, v in (("all", F.lit("all")), ("role", F.col("role")), ("game", F.col("game")))])))
+    return hits(x.select("rank", "_g.*"), ["by", "group"])
 
 
 @query("D11_recall_dip", f"""WITH {scored_sql('entity', '[0.5::DOUBLE]')}, ph AS (SELECT period, contest, slot, row_number() OVER (PARTITION BY period ORDER BY t, contest, slot) / count(*) OVER (PARTITION BY period) AS phase FROM picks),
  h AS (SELECT period, phase, CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END AS hit FROM rr JOIN ph USING (contest, slot))
  SELECT period, count(CASE WHEN phase <= 0.15 THEN 1 END) AS n_early, count(CASE WHEN phase >= 0.5 THEN 1 END) AS n_settled, round(avg(CASE WHEN phase >= 0.5 THEN hit END) - avg(CASE WHEN phase <= 0.15 THEN hit END), 6) AS dip FROM h GROUP BY 1 HAVING count(CASE WHEN phase <= 0.15 THEN 1 END) >= 300 AND count(CASE WHEN phase >= 0.5 THEN 1 END) >= 300""")
 def recall_dip(spark, d):
-    phase = phase_in_group(picks(panel(spark, d)), ["period"], ["t", "contest", "slot"]).select("period", "contest", "slot", "phase")
-    ranked = q.score_candidates(shares(spark, d), [0.5]).join(phase, ["contest", "slot"]).withColumn("hit", F.when(F.col("rank") <= 5, 1.0).otherwise(0.0))
-    return shift.recall_dip(ranked, "period", "phase", "hit", 0.15, 0.5, 300).select("period", "n_early", "n_settled", r("dip"))
+    return dips(spark, d).select("period", "n_early", "n_settled", r("dip"))
+
+
+def dips(spark, d):
+    walk = shares(spark, d)
+    phase = phase_in_group(walk.select("period", "contest", "slot", "t"), ["period"], ["t", "contest", "slot"]).select("contest", "slot", "phase")
+    ranked = at_alphas(walk, [0.5]).join(phase, ["contest", "slot"]).withColumn("hit", F.when(F.col("rank") <= 5, 1.0).otherwise(0.0))
+    return shift.recall_dip(ranked, "period", "phase", "hit", 0.15, 0.5, 300)
+
+
+@query("D11_dip_vs_shift", f"""WITH {scored_sql('entity', '[0.5::DOUBLE]')}, ph AS (SELECT period, contest, slot, row_number() OVER (PARTITION BY period ORDER BY t, contest, slot) / count(*) OVER (PARTITION BY period) AS phase FROM picks),
+ h AS (SELECT period, phase, CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END AS hit FROM rr JOIN ph USING (contest, slot)), dp AS (SELECT period, avg(CASE WHEN phase >= 0.5 THEN hit END) - avg(CASE WHEN phase <= 0.15 THEN hit END) AS dip FROM h GROUP BY 1 HAVING count(CASE WHEN phase <= 0.15 THEN 1 END) >= 300 AND count(CASE WHEN phase >= 0.5 THEN 1 END) >= 300),
+ ct AS (SELECT period, item, count(*) / sum(count(*)) OVER (PARTITION BY period) AS share FROM picks GROUP BY 1, 2), ps AS (SELECT period, lag(period) OVER (ORDER BY period) AS prev FROM (SELECT period FROM picks GROUP BY 1 HAVING count(*) >= 600)),
+ tv AS (SELECT ps.period, 0.5 * sum(abs(coalesce(a.share, 0) - coalesce(b.share, 0))) AS tvd FROM ps JOIN (SELECT DISTINCT item FROM picks) i ON true LEFT JOIN ct a ON a.period = ps.period AND a.item = i.item LEFT JOIN ct b ON b.period = ps.prev AND b.item = i.item WHERE prev IS NOT NULL GROUP BY 1)
+ SELECT count(*) AS n, round(corr(tvd, dip), 5) AS r FROM dp JOIN tv USING (period)""")
+def dip_vs_shift(spark, d):
+    """How far the dip of a period's early hit rate follows its shift from the period before."""
+    x = dips(spark, d)
+    shifts = shift.tvd_pairs(panel(spark, d), "period", "item", 600, consecutive=True).select(F.col("period_b").alias("period"), "tvd")
+    return x.join(shifts, "period").agg(F.count("*").alias("n"), F.round(F.corr("tvd", "dip"), 5).alias("r"))
 
 
 def tops_sql(name: str, a: int, b: int) -> str:
