@@ -5,9 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, StandardScaler, StringIndexer, VectorAssembler, VectorIndexer
+from pyspark.ml.feature import CountVectorizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from tallyard.functions.scalars import hash_uniform
 
 from tallyard.sources.readers import stored
 
+from .fits import linear, logistic_fits, sigmoid, theta_table
 from .metrics import auc, binary_metrics, regression_metrics
 
 
@@ -72,29 +72,16 @@ def backfit(df: DataFrame, a: str, b: str, entity: str, opp_entity: str, y: str,
     return theta, effects
 
 
-def gbt_sweep(df: DataFrame, train, categories: list[str], numbers: list[str], y: str, grid: list[dict]) -> DataFrame:
-    """Held-out R2 and MAE of boosted trees for each setting; train: the condition of training rows."""
-    index = StringIndexer(inputCols=categories, outputCols=[f"{c}_i" for c in categories], handleInvalid="keep", stringOrderType="alphabetAsc")
-    gather = VectorAssembler(inputCols=[*[f"{c}_i" for c in categories], *numbers], outputCol="_f")
-    n = max(df.agg(*[F.countDistinct(c) for c in categories]).first()) + 2
-    ready = Pipeline(stages=[index, gather, VectorIndexer(inputCol="_f", outputCol="features", maxCategories=n, handleInvalid="keep")]).fit(df.filter(train)).transform(df)
-    ready = stored(ready.withColumn("_train", train).select("features", y, "_train"), "gbt-rows")
-    out = None
-    for k, setting in enumerate(grid):
-        model = GBTRegressor(labelCol=y, maxBins=max(32, n), seed=7, **setting).fit(ready.filter("_train"))
-        scored = regression_metrics(model.transform(ready.filter("not _train")), y, "prediction").withColumn("setting", F.lit(k)).withColumn("params", F.lit(str(setting)))
-        out = scored if out is None else out.unionByName(scored)
-    return out
-
-
 def lr_cv(df: DataFrame, key: str, xs: list[str], y: str, folds: int = 5, seed="cv") -> DataFrame:
-    """Out-of-fold accuracy, log-loss and AUC of a standardised logistic regression; folds by a hash of the key."""
-    rows = df.withColumn("fold", F.floor(hash_uniform(seed, key) * folds).cast("int"))
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=xs, outputCol="_f"), StandardScaler(inputCol="_f", outputCol="features", withMean=True), LogisticRegression(labelCol=y)])
-    scored = None
-    for k in range(folds):
-        part = pipe.fit(rows.filter(F.col("fold") != k)).transform(rows.filter(F.col("fold") == k)).select(y, F.element_at(vector_to_array("probability"), 2).alias("p"))
-        scored = part if scored is None else scored.unionByName(part)
+    """Out-of-fold accuracy, log-loss and AUC of a logistic regression; folds by a hash of the key.
+
+    All folds are fitted side by side, a pass over the stored columns for each Newton round.  Without a penalty the
+    probabilities do not depend on the columns' scales.
+    """
+    rows = stored(df.select(*xs, y, F.floor(hash_uniform(seed, key) * folds).cast("int").alias("fold")), "cv-rows")
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col("fold"))
+    theta = theta_table(df.sparkSession, logistic_fits(rows.withColumn("fits", others), "fits", folds, xs, y)).withColumnRenamed("fit", "fold")
+    scored = rows.join(F.broadcast(theta), "fold").select(y, sigmoid(linear(F.col("theta"), xs)).alias("p"))
     return binary_metrics(scored, y, "p").crossJoin(auc(scored, "p", y))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyard.operators import fits
 from tallyard.operators import metrics as mt
 from tallyard.operators import models as m
 from tallyard.operators import stats as s
+from tallyard.operators.boosting import Boosting, boost_sweep
 
 from .panel import PANEL, pairs, panel, picks
 from .registry import query
@@ -41,22 +43,18 @@ def accuracy_ladder(spark, d):
     return mt.regression_metrics(long, "y", "yhat", ["model"]).select("model", "n", r("r2"), r("mae", 4))
 
 
-#: Four settings from supple to stiff; trees are 20 each, as Spark's trainer takes a job for each level.
-TREES = [
-    {"maxIter": 20, "stepSize": 0.05, "maxDepth": 6, "minInstancesPerNode": 50},
-    {"maxIter": 20, "stepSize": 0.03, "maxDepth": 4, "minInstancesPerNode": 300},
-    {"maxIter": 20, "stepSize": 0.02, "maxDepth": 3, "minInstancesPerNode": 1000},
-    {"maxIter": 20, "stepSize": 0.05, "maxDepth": 3, "minInstancesPerNode": 500},
-]
+#: Four settings from supple to stiff: learning rate, leaves, rows of a leaf, penalty.
+TREES = [Boosting("supple", 0.05, 63, 50, 1.0), Boosting("stiff", 0.03, 15, 300, 10.0), Boosting("very stiff", 0.02, 7, 1000, 30.0), Boosting("heavy penalty", 0.05, 7, 500, 100.0)]
 
 
 @query("E8_gbt_sweep")
 def gbt_sweep(spark, d):
+    """Up to 600 trees a setting, stopped after 25 without a gain on a tenth of the training contests."""
     p = pairs(spark, d)
     skill = p.filter("period < 1997").groupBy("entity").agg((F.sum("diff") / (F.count("*") + 20)).alias("skill"))
     theirs = skill.select(F.col("entity").alias("opp_entity"), F.col("skill").alias("opp_skill"))
     rows = p.join(skill, "entity", "left").join(theirs, "opp_entity", "left").fillna(0.0, ["skill", "opp_skill"])
-    return m.gbt_sweep(rows, F.col("period") < 1997, ["item", "opp_item", "role"], ["period", "skill", "opp_skill"], "diff", TREES).select("params", "n", r("r2"), r("mae", 3))
+    return boost_sweep(rows, F.col("period") < 1997, "contest", ["item", "opp_item", "role", "period"], ["skill", "opp_skill"], "diff", TREES).select("setting", "trees", "n", r("r2"), r("mae", 3), r("auc"))
 
 
 def numeric(spark, d):
@@ -140,6 +138,15 @@ def forward_test(spark, d):
     return m.forward_test(probabilities(spark, d), "period", "t", ["p", "q", "s"], "win").select("period", "n", r("accuracy"), r("brier"))
 
 
+@query("E15_forward_fits")
+def forward_fits(spark, d):
+    """A logistic model for each year's past, its ensemble with the given probabilities, and a 90% interval over contests."""
+    rows = probabilities(spark, d).withColumn("size", F.col("y") / 1e4).withColumn("age", F.col("ln") / 7.0)
+    scores, coefficients = fits.forward_fits(rows, "period", "t", "contest", ["p", "q", "s"], ["size", "age"], "win")
+    b = coefficients.select("period", *[F.round(F.col("theta")[k], 5).alias(f"b{k}") for k in range(3)])
+    return scores.join(b, "period").select("period", "n", "n_contests", "n_train", r("accuracy"), r("fitted_accuracy"), r("log_loss"), r("brier"), r("low"), r("high"), "inside", "b0", "b1", "b2")
+
+
 @query("E16_marginal_rank", f"""WITH {PANEL}, tr AS (SELECT * FROM panel WHERE period <= 1996), fi AS (SELECT role, month(t) AS m, item, row_number() OVER (PARTITION BY role, month(t) ORDER BY count(*) DESC, item) AS k FROM tr WHERE month(t) <= 6 GROUP BY 1, 2, 3), co AS (SELECT role, item, row_number() OVER (PARTITION BY role ORDER BY count(*) DESC, item) AS k FROM tr WHERE month(t) <= 6 GROUP BY 1, 2), kn AS (SELECT DISTINCT role, m FROM fi),
  x AS (SELECT p.*, CASE WHEN kn.m IS NOT NULL THEN fi.k ELSE co.k END AS rank FROM panel p LEFT JOIN kn ON kn.role = p.role AND kn.m = month(p.t) LEFT JOIN fi ON fi.role = p.role AND fi.m = month(p.t) AND fi.item = p.item LEFT JOIN co ON co.role = p.role AND co.item = p.item WHERE period > 1996)
  SELECT role, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit5 FROM x GROUP BY 1""")

@@ -206,14 +206,6 @@ def test_multinomial_ranks_follow_the_context(spark):
     assert len(got) == 100 and sum(r["rank"] == 1 for r in got) > 90 and {r["true"] for r in got} == {"c0", "c1", "c2"}
 
 
-def test_trees_beat_the_mean_where_there_is_something_to_learn(spark):
-    rows = [(f"a{i % 4}", float(i % 7), float((i % 4) * 10 + (i % 7 > 3) * 5), i) for i in range(500)]
-    df = spark.createDataFrame(rows, "c string, x double, y double, k int")
-    got = models.gbt_sweep(df, F.col("k") < 400, ["c"], ["x"], "y", [{"maxIter": 10, "maxDepth": 4}, {"maxIter": 1, "maxDepth": 1}]).collect()
-    r2 = {r["setting"]: r["r2"] for r in got}
-    assert r2[0] > 0.9 > r2[1] and all(r["n"] == 100 for r in got)
-
-
 def test_segments_vote_for_their_class(spark):
     rng = np.random.default_rng(3)
     rows = [(k, f"l{k % 2}", float(k % 2 * 4 + rng.normal()), float(rng.normal())) for k in range(60) for _ in range(3)]
@@ -222,15 +214,6 @@ def test_segments_vote_for_their_class(spark):
     assert len(got) == 12 and sum(r["label"] == r["voted"] for r in got) >= 11
 
 
-def test_candidates_were_seen_before_and_fall_back(spark):
-    rows = [(1, 1, 1, 1, "e", "r", "a"), (2, 2, 1, 1, "e", "r", "b"), (2, 2, 2, 1, "f", "r", "a"), (3, 3, 1, 2, "g", "r", "a"), (3, 3, 2, 2, "e", "r", "c"), (4, 4, 1, 2, "g", "r", "c")]
-    df = spark.createDataFrame(rows, "contest int, seq int, slot int, week int, entity string, role string, item string")
-    got = {}
-    for r in sequence.candidate_shares(df, "role", "item", "entity", 0.8, 20).collect():
-        got.setdefault((r.contest, r.slot), {})[r.item] = r.is_true
-    assert got == {(1, 1): {"a": 1}, (2, 1): {"a": 0}, (2, 2): {"a": 1}, (3, 1): {"a": 1, "b": 0}, (3, 2): {"b": 0}, (4, 1): {"a": 0, "b": 0, "c": 1}}
-
-
 def test_materialised_tables_belong_to_their_input(spark, tmp_path):
     for name in "xy":
         spark.range(3 if name == "x" else 5).write.parquet(f"{tmp_path}/{name}")
@@ -321,12 +304,13 @@ def test_pairs_need_both_sides(spark):
 
 def test_candidates_leave_out_taken_items(spark):
     p = spark.createDataFrame([(1, 1, 1, 0, "e", "r", "a"), (2, 2, 1, 1, "e", "r", "b"), (2, 2, 2, 1, "f", "r", "a"), (3, 3, 1, 2, "e", "r", "a")], "contest int, seq long, slot int, week int, entity string, role string, item string")
-    c = sequence.candidate_shares(p, "role", "item", "entity", 0.5, 5)
-    assert rows(c.filter("contest = 2 and slot = 2").select("item")) == [("a",)]
-    third = {r.item: (round(r.role_share, 6), round(r.own_share, 6)) for r in c.filter("contest = 3").collect()}
-    assert third == {"a": (round(3 / 5, 6), round(1 / 3, 6)), "b": (round(2 / 5, 6), round(2 / 3, 6))}
-    ranks = sequence.score_candidates(c, [0.0, 1.0]).filter("contest = 3").collect()
-    assert {r.alpha: r["rank"] for r in ranks} == {0.0: 1, 1.0: 2}
+    pools = {"role": sequence.Pool(["role"], sequence.decayed_cells(p, ["role"], 0.5), 5), "own": sequence.Pool(["entity"], sequence.decayed_cells(p, ["entity"], 0.5), None)}
+    walk = sequence.walk_forward(p, pools)
+    of = {(r.contest, r.slot): {x["item"]: (round(x["role"], 6), round(x["own"], 6)) for x in r.cands if x["role_in"] or x["own_in"]} for r in walk.collect()}
+    assert of[2, 2] == {"a": (1.0, 0.0)}
+    assert of[3, 1] == {"a": (round(3 / 5, 6), round(1 / 3, 6)), "b": (round(2 / 5, 6), round(2 / 3, 6))}
+    ranks = sequence.rank_settings(walk, [sequence.Setting("0", alpha=0.0), sequence.Setting("1", alpha=1.0)]).filter("contest = 3").collect()
+    assert {r.setting: r["rank"] for r in ranks} == {"0": 1, "1": 2}
 
 
 def test_sources(spark, tmp_path):
