@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyard.sources import readers as r
+from tallyard.sources.keyed import KeyedTable
 
 from .panel import table
 from .registry import query
@@ -87,6 +88,16 @@ def upsert(spark, d):
     return r.upsert(o.filter("seq % 2 = 0"), o.filter("seq % 2 = 1"), ["o_custkey"], "seq")
 
 
+@query("S9_merge_into", "SELECT o_custkey, o_orderkey AS seq, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def merge_into(spark, d):
+    """Three batches into a stored table, the second of them twice: each rewrites the buckets that it touches."""
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("seq"), "o_totalprice")
+    t = KeyedTable(spark, folder(spark, "keyed"), o.schema, ["o_custkey"], "seq", 16)
+    for batch in (0, 1, 1, 2):
+        t.merge(o.filter(F.col("seq") % 3 == batch), batch)
+    return t.read()
+
+
 @query("S10_parse_log", "SELECT CAST(event_id AS INT) AS epoch, round(value, 3) AS loss, round(CAST(user_id % 100 AS DOUBLE), 3) AS train, round(CAST(user_id % 90 AS DOUBLE), 3) AS val FROM events WHERE event_id % 10 <> 0")
 def parse_log(spark, d):
     line = F.when(F.col("event_id") % 10 == 0, "warming up").otherwise(F.format_string("Epoch %03d | loss=%.3f | train=%d.0%% | val=%d.0%%", "event_id", "value", F.col("user_id") % 100, F.col("user_id") % 90))
