@@ -4,20 +4,22 @@ A tokeniser feeds a tree builder that opens and closes what HTML implies (paragr
 and cells, options, definition terms; head, whose end tag may be missing, needs no element, as all that may stand in
 it is unseen by itself), flattens what is nested deeper than DEPTH (what hides there stays hidden) and drops what is not shown: title,
 script, style, template and the like, the hidden attribute, display:none and visibility:hidden (but for visible parts inside), by the
-style attribute or by rules of style elements for a tag, class or id, hidden inputs, options that are
-not selected in a drop-down list, all of svg but its texts and foreign objects.  Scripts do not run, so noscript shows.  The renderer then writes all visible text: white space collapses outside pre,
+style attribute or by rules of style elements for tags, classes and ids and their descendants, closed details but for their
+summary, dialogs that are not open, hidden inputs, options that are not selected in a drop-down list, all of svg but its texts
+and foreign objects, and a comment or tag that the end of the page cuts off.  Scripts do not run, so noscript shows.  The renderer then writes all visible text: white space collapses outside pre,
 blocks stand on lines of their own, headings, paragraphs, lists and tables with a blank line around them, list
 items with a bullet or number and an indent per level, table cells padded to the width of their column, below cells
 that span rows too.
 
 Defined cases: a null or empty page gives an empty text; text without tags is rendered as it is; unclosed and
-misnested tags never fail; repeated rows give equal texts; an input column named text gives way to the result; an empty
+misnested tags and unknown declarations never fail; very long pages are rendered whole, in time that follows their length; repeated rows give equal texts; an input column named text gives way to the result; an empty
 table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -57,17 +59,21 @@ CLOSE_P = BLOCK - frozenset("html body td th tr thead tbody tfoot caption option
 STOP_P = frozenset("table td th caption li button object".split())
 #: The most columns and rows that a cell may span.
 COLSPAN, ROWSPAN = 1000, 65534
+#: The widest gap, in characters, that keeps a cell under its column.
+GAP = 1000
 NONE = re.compile(r"(?:^|[;\s])display\s*:\s*(\w+)", re.I)
 VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(\w+)", re.I)
 SIMPLE = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)", re.I)
+#: What is left of a page that ends inside a comment, a declaration or a tag.
+UNENDED = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "parent", "tag")
 
-    def __init__(self, tag: str, attrs: dict):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict, parent: Node | None = None):
+        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
 
 class TreeBuilder(HTMLParser):
@@ -79,6 +85,22 @@ class TreeBuilder(HTMLParser):
         self.styles: list[str] = []
         self.foreign = False  # whether the page has an svg or math
 
+    def parse_marked_section(self, i, report=1):
+        """Text inside svg and math, a comment up to the next > elsewhere."""
+        if self.foreign_at() and self.rawdata.startswith("<![CDATA[", i):
+            end = self.rawdata.find("]]>", i)
+            if end >= 0:
+                self.handle_data(self.rawdata[i + 9 : end])
+                return end + 3
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
+    def end(self) -> None:
+        """The end of the page: a comment, declaration or tag that it cuts off is dropped."""
+        if self.cdata_elem is None and UNENDED.match(self.rawdata):
+            self.rawdata = ""
+        self.close()
+
     def foreign_at(self) -> int:
         """Where the innermost open svg or math is whose content is not HTML again; 0 if there is none."""
         if self.foreign:
@@ -120,7 +142,7 @@ class TreeBuilder(HTMLParser):
             self.close_implied(tag)
         if not self.deep and tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self.handle_starttag("tr", [])
-        node = Node(tag, {k: v or "" for k, v in attrs if k in KEPT})
+        node = Node(tag, {k: v or "" for k, v in attrs if k in KEPT}, self.open[-1])
         if tag in VOID:
             if not (self.deep and self.deep[-1][1]):
                 self.open[-1].children.append(node)
@@ -161,11 +183,21 @@ class TreeBuilder(HTMLParser):
             self.open[-1].children.append(data)
 
 
-KEPT = frozenset("hidden style type start value colspan rowspan selected disabled multiple size label display visibility class id".split())
+KEPT = frozenset("hidden style type start value colspan rowspan selected disabled multiple size label display visibility class id open".split())
+
+
+def compound(text: str) -> tuple[str, frozenset] | None:
+    """(tag or "", classes and ids with their sign) of one compound selector; None for what is not understood."""
+    part = SIMPLE.fullmatch(text)
+    return ((part[1] or "").lower().replace("*", ""), frozenset(re.findall(r"[.#][\w-]+", part[2]))) if part and text else None
 
 
-def style_rules(styles: list[str]) -> list[tuple[str, frozenset, str, str]]:
-    """(tag or "", classes and ids with their sign, property, value) of the rules that hide or show; not those inside @ blocks."""
+def style_rules(styles: list[str]) -> list[tuple[list, str, str]]:
+    """(selector, property, value) of the rules that hide or show; not those inside @ blocks.
+
+    A selector is the list of its compounds from the last to the first, each with whether its parent must be the next (>)
+    or any ancestor may be.
+    """
     rules = []
     for sheet in styles:
         sheet, at, depth, head, start = re.sub(r"/\*.*?\*/", "", sheet, flags=re.S), 0, 0, "", 0
@@ -181,23 +213,40 @@ def style_rules(styles: list[str]) -> list[tuple[str, frozenset, str, str]]:
                     body = sheet[start : m.start()]
                     found = [("display", x.lower()) for x in NONE.findall(body)] + [("visibility", x.lower()) for x in VISIBILITY.findall(body)]
                     for selector in head.split(",") if found and not head.startswith("@") else ():
-                        part = SIMPLE.fullmatch(selector.strip())
-                        if part and selector.strip():
-                            tag = (part[1] or "").lower().replace("*", "")
-                            rules += [(tag, frozenset(re.findall(r"[.#][\w-]+", part[2])), k, v) for k, v in found]
+                        words = selector.replace(">", " > ").split()
+                        parts = [(compound(w), k > 0 and words[k - 1] == ">") for k, w in enumerate(words) if w != ">"]
+                        if parts and all(c for c, _ in parts):
+                            rules += [(parts[::-1], k, v) for k, v in found]
     return rules
 
 
+def chosen(node: Node | None, selector: list, k: int = 0) -> bool:
+    """Whether the node matches the selector from its compound k on, counted from the last."""
+    (tag, wanted), child = selector[k]
+    if node is None or tag and tag != node.tag:
+        return False
+    a = node.attrs
+    if wanted and not wanted <= {"." + x for x in a.get("class", "").split()} | ({"#" + a["id"]} if "id" in a else set()):
+        return False
+    if k + 1 == len(selector):
+        return True
+    above = node.parent
+    if child:
+        return chosen(above, selector, k + 1)
+    while above is not None:
+        if chosen(above, selector, k + 1):
+            return True
+        above = above.parent
+    return False
+
+
 def style_of(node: Node, rules: list) -> tuple[str, str]:
     """display and visibility as the rules, then the style attribute, give them; empty where nothing does."""
-    a = node.attrs
     found = {"display": "", "visibility": ""}
-    if rules:
-        names = {"." + x for x in a.get("class", "").split()} | ({"#" + a["id"]} if "id" in a else set())
-        for tag, wanted, key, value in rules:
-            if (not tag or tag == node.tag) and wanted <= names:
-                found[key] = value
-    style = a.get("style")
+    for selector, key, value in rules:
+        if chosen(node, selector):
+            found[key] = value
+    style = node.attrs.get("style")
     if style:
         found["display"] = (NONE.findall(style) or [found["display"]])[-1].lower()
         found["visibility"] = (VISIBILITY.findall(style) or [found["visibility"]])[-1].lower()
@@ -206,7 +255,7 @@ def style_of(node: Node, rules: list) -> tuple[str, str]:
 
 def hidden_here(node: Node, rules: list) -> bool:
     """Whether the node and all in it are taken out of the page."""
-    if node.tag in UNSEEN or "hidden" in node.attrs:
+    if node.tag in UNSEEN or "hidden" in node.attrs or (node.tag == "dialog" and "open" not in node.attrs):
         return True
     return bool(node.attrs or rules) and style_of(node, rules)[0] == "none"
 
@@ -281,7 +330,10 @@ class Renderer:
         if node.tag == "ol":
             start = node.attrs.get("start", "")
             number = int(start) - 1 if re.fullmatch(r"-?\d{1,9}", start) else 0
-        for child in node.children:
+        shown = node.children
+        if node.tag == "details" and "open" not in node.attrs:
+            shown = [c for c in shown if not isinstance(c, str) and c.tag == "summary"][:1]
+        for child in shown:
             if isinstance(child, str):
                 self.text(child, pre)
                 continue
@@ -391,6 +443,7 @@ def table_lines(table: Node, at: Renderer) -> list[str]:
     """Captions and what stands outside the cells, then the rows in document order with cells padded to their columns.
 
     A spanning cell fills its columns, and keeps them free in the further rows that it spans, up to the end of its section.
+    Spans are intervals, so the work follows the cells and not their spans.
     """
     visible = at.visible
 
@@ -420,11 +473,14 @@ def table_lines(table: Node, at: Renderer) -> list[str]:
                 gather(child)
 
     gather(table)
-    grid, section, taken = [], None, {}  # taken: rows that a column is still spanned for
+    grid: list[list[tuple[int, str]]] = []  # of each row, the columns that hold text
+    sections = Counter(id(of) for of, _ in rows)
+    section, row_at, taken = None, 0, []  # taken: (first column, column after the last, row of the section that frees them), in order
     for of, row in rows:
         if of is not section:
-            section, taken = of, {}
-        cells, held = [], {k: n - 1 for k, n in taken.items() if n > 1}
+            section, row_at, taken = of, 0, []
+        taken = [t for t in taken if t[2] > row_at]
+        cells, held, at_column, nth = [], [], 0, 0
         for cell in row.children:
             if isinstance(cell, str) or cell.tag not in ("td", "th"):
                 stray.children.append(cell)
@@ -433,17 +489,40 @@ def table_lines(table: Node, at: Renderer) -> list[str]:
                 wide = min(int(span), COLSPAN) if re.fullmatch(r"[1-9]\d{0,8}", span) else 1
                 span = cell.attrs.get("rowspan", "")
                 high = min(int(span) or ROWSPAN, ROWSPAN) if re.fullmatch(r"\d{1,9}", span) else 1
-                while len(cells) in taken:
-                    cells.append("")
+                while nth < len(taken) and taken[nth][0] <= at_column:
+                    at_column = max(at_column, taken[nth][1])
+                    nth += 1
                 if high > 1:
-                    held |= dict.fromkeys(range(len(cells), len(cells) + wide), high - 1)
-                cells += [" ".join(x.strip() for x in rendered(cell, of, row) if x.strip()), *[""] * (wide - 1)]
-        taken = held
-        if any(cells):
+                    held.append((at_column, at_column + wide, min(row_at + high, sections[id(of)])))
+                text = " ".join(x.strip() for x in rendered(cell, of, row) if x.strip())
+                if text:
+                    cells.append((at_column, text))
+                at_column += wide
+        row_at += 1
+        merged: list[tuple[int, int, int]] = []
+        for first, after, until in sorted(taken + held) if held else taken:
+            if merged and merged[-1][1] == first and merged[-1][2] == until:
+                merged[-1] = (merged[-1][0], after, until)
+            else:
+                merged.append((first, after, until))
+        taken = merged
+        if cells:
             grid.append(cells)
-    widths = [max((len(r[k]) for r in grid if k < len(r)), default=0) for k in range(max(map(len, grid), default=0))]
+    widths: dict[int, int] = {}
+    for row in grid:
+        for column, text in row:
+            widths[column] = max(widths.get(column, 0), len(text))
+    places, total = {}, 0
+    for column in sorted(widths):
+        places[column], total = total + 2 * column, total + widths[column]
     out = [x for c in captions for x in rendered(c)] + rendered(stray)
-    return out + ["  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in grid]
+    for row in grid:
+        parts, end = [], 0
+        for column, text in row:
+            parts += [" " * min(places[column] - end, GAP), text]
+            end = places[column] + len(text)
+        out.append("".join(parts).rstrip())
+    return out
 
 
 def html_to_text(html: str | None) -> str:
@@ -451,7 +530,7 @@ def html_to_text(html: str | None) -> str:
         return ""
     builder = TreeBuilder()
     builder.feed(html)
-    builder.close()
+    builder.end()
     lines: list[str] = []
     top = Renderer(style_rules(builder.styles))
     top.children(builder.root)

@@ -216,7 +216,10 @@ class Grammar:
             start = i
             while start and symbols[start - 1]:
                 start -= 1
-            done = symbols.index("", i) if "" in symbols[i:] else len(symbols)
+            try:
+                done = symbols.index("", i)
+            except ValueError:
+                done = len(symbols)
             for k, n in enumerate(self.path_of(tuple(symbols[start:done]))):
                 found[k] += n
             found[-1] += 1
