@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -166,7 +165,10 @@ def zscore(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def days_since_first(df: DataFrame, keys: list[str], date: str) -> DataFrame:
-    return df.withColumn("age_days", F.datediff(date, F.min(date).over(Window.partitionBy(*keys))))
+    """Adds age_days: days since the first date of the keys; first dates are aggregated, then joined."""
+    first = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(date).alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return df.join(first, same).withColumn("age_days", F.datediff(date, "_first")).drop("_first", *[f"_k{i}" for i in range(len(keys))])
 
 
 def signed_features(df: DataFrame, contest: str, item: str, side: str, own) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyard.functions.scalars import seed_pair, with_poisson_weight
 
+from .stats import quantiles
+
 
 def resampled(per: DataFrame, cluster: str, values: list[str], reps: int, seed, by: list[str] = ()) -> DataFrame:
     """(rep, by, values): the sums of each draw, in which every cluster weighs a Poisson number of mean 1.
@@ -143,7 +145,8 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
 def quantile_split(df: DataFrame, side, rarity: str, y: str, high: float, low: float) -> DataFrame:
     """Per side: mean outcome of rows above the high quantile of rarity and below the low one, and their difference."""
     rows = df.withColumn("_side", side)
-    q = rows.groupBy("_side").agg(F.percentile(rarity, F.lit(high)).alias("_h"), F.percentile(rarity, F.lit(low)).alias("_l"))
+    names = [f"q{round(100 * v):02d}" for v in (high, low)]
+    q = quantiles(rows, ["_side"], rarity, [high, low]).select("_side", F.col(names[0]).alias("_h"), F.col(names[1]).alias("_l"))
     j = rows.join(q, "_side")
     up, down = F.col(rarity) > F.col("_h"), F.col(rarity) < F.col("_l")
     return j.groupBy(F.col("_side").alias("side")).agg(F.count("*").alias("n"), F.count(F.when(up, 1)).alias("n_high"), F.count(F.when(down, 1)).alias("n_low"), F.avg(F.when(up, F.col(y))).alias("high"), F.avg(F.when(down, F.col(y))).alias("low")).withColumn("diff", F.col("high") - F.col("low"))

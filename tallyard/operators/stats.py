@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyard.sources.readers import stored
+
 
 def leaderboard(df: DataFrame, keys: list[str], measures: list[str], min_n: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(m).alias(f"avg_{m}") for m in measures]).filter(F.col("n") >= min_n)
@@ -86,10 +90,56 @@ def loo_mean(df: DataFrame, key: str, y: str) -> DataFrame:
     return df.join(sums, key).withColumn("loo", (F.col("_s") - F.col(y)) / F.greatest(F.col("_n") - 1, F.lit(1))).drop("_s", "_n")
 
 
+#: Ranges that a group's values are counted in at a time, and the most values that are sorted together.
+RANGES, SORTED = 4096, 4096
+
+
 def quantiles(df: DataFrame, keys: list[str], y: str, qs: list[float], approximate: bool = False) -> DataFrame:
-    """Linear-interpolated quantiles, or approximate ones for groups that a task should not hold."""
-    f = (lambda q: F.percentile_approx(y, q)) if approximate else (lambda q: F.percentile(y, F.lit(q)))
-    return df.groupBy(*keys).agg(*[f(q).alias(f"q{round(100 * q):02d}") for q in qs])
+    """Linear-interpolated quantiles of each group, nulls left out, or approximate ones.
+
+    The exact ones are selected without sorting a group: its values are counted in RANGES equal ranges between its
+    ends, the ranges that hold the wanted ranks are cut again until each holds SORTED values or one value, and only
+    these are sorted.  NaN values are not expected.
+    """
+    names = [f"q{round(100 * q):02d}" for q in qs]
+    if approximate:
+        return df.groupBy(*keys).agg(*[F.percentile_approx(y, q).alias(n) for q, n in zip(qs, names)])
+    rows = stored(df.filter(F.col(y).isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(y).cast("double").alias("_y"), F.lit("").alias("_at")), "quantile-rows")
+    own = [f"_k{i}" for i in range(len(keys))]
+    ends = stored(rows.groupBy(*own, "_at").agg(F.count("*").alias("_n"), F.min("_y").alias("_lo"), F.max("_y").alias("_hi")), "quantile-ends")
+    ranks = F.array_distinct(F.array(*[f((F.col("_n") - 1) * F.lit(float(q))) for q in qs for f in (F.floor, F.ceil)]))
+    # a segment: a range of one group with the wanted ranks in it and the number of values before it
+    segments = ends.select(*own, "_at", "_lo", "_hi", F.col("_n").alias("_c"), F.lit(0).cast("long").alias("_before"), ranks.alias("_ranks"))
+    known = None
+    while True:
+        done = segments.filter("_lo = _hi").select(*own, F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_v"))
+        small = segments.filter(f"_lo < _hi and _c <= {SORTED}")
+        gathered = rows.alias("r").join(small.alias("s"), same_of(own)).groupBy(*[F.col(f"s.{k}").alias(k) for k in own], F.col("s._at").alias("_at")).agg(F.sort_array(F.collect_list("r._y")).alias("_all"), F.first("s._before").alias("_before"), F.first("s._ranks").alias("_ranks"))
+        done = done.unionByName(gathered.select(*own, F.explode("_ranks").alias("_rank"), "_all", "_before").select(*own, "_rank", F.element_at("_all", (F.col("_rank") - F.col("_before") + 1).cast("int")).alias("_v")))
+        known = stored(done if known is None else known.unionByName(done), "quantile-values")
+        large = segments.filter(f"_lo < _hi and _c > {SORTED}")
+        if not large.take(1):
+            break
+        step = F.least(F.floor((F.col("r._y") - F.col("s._lo")) / (F.col("s._hi") - F.col("s._lo")) * RANGES), F.lit(RANGES - 1))
+        cut = rows.alias("r").join(large.alias("s"), same_of(own)).select(*[F.col(f"r.{k}").alias(k) for k in own], F.col("r._y").alias("_y"), F.col("s._at").alias("_of"), step.alias("_b"), F.col("s._before").alias("_start"), F.col("s._ranks").alias("_wanted"))
+        counts = cut.groupBy(*own, "_of", "_b").agg(F.count("*").alias("_c"), F.min("_y").alias("_lo"), F.max("_y").alias("_hi"), F.first("_start").alias("_start"), F.first("_wanted").alias("_wanted"))
+        before = F.sum("_c").over(Window.partitionBy(*own, "_of").orderBy("_b")) - F.col("_c") + F.col("_start")
+        counts = counts.withColumn("_before", before).withColumn("_ranks", F.filter("_wanted", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))).filter(F.size("_ranks") > 0)
+        segments = stored(counts.select(*own, F.concat_ws("/", "_of", F.col("_b").cast("string")).alias("_at"), "_lo", "_hi", "_c", "_before", "_ranks"), "quantile-segments")
+        inside = cut.withColumn("_at", F.concat_ws("/", "_of", F.col("_b").cast("string"))).select(*own, "_y", "_at")
+        rows = stored(inside.alias("r").join(segments.alias("s"), same_of(own), "left_semi"), "quantile-rows")
+    n = ends.select(*own, "_n")
+    pairs = n.alias("n").join(known.alias("v"), reduce(lambda p, q: p & q, [F.col(f"n.{k}").eqNullSafe(F.col(f"v.{k}")) for k in own], F.lit(True)))
+    at = lambda q, f: F.max(F.when(F.col("v._rank") == f((F.col("n._n") - 1) * q), F.col("v._v")))
+    share = lambda q: F.first((F.col("n._n") - 1) * q - F.floor((F.col("n._n") - 1) * q))
+    values = [(at(F.lit(float(q)), F.floor) + (at(F.lit(float(q)), F.ceil) - at(F.lit(float(q)), F.floor)) * share(F.lit(float(q)))).alias(name) for q, name in zip(qs, names)]
+    out = pairs.groupBy(*[F.col(f"n.{k}").alias(k) for k in own]).agg(*values)
+    return out.select(*[F.col(k).alias(name) for k, name in zip(own, keys)], *names)
+
+
+def same_of(own: list[str]):
+    """Rows r and segments s of one group and range."""
+    return reduce(lambda p, q: p & q, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in own], F.col("r._at") == F.col("s._at"))
 
 
 def complete_contests(df: DataFrame, contest: str, side: str, role: str, roles: list[str], n_sides: int = 2) -> DataFrame:

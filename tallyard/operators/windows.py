@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,19 @@ def date_split(df: DataFrame, contest: str, time: str, frac: float) -> DataFrame
 
 
 def phase_in_group(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Adds phase: row number over count in the group."""
+    """Adds phase: row number over count in the group.
+
+    Two levels: counts by the first order column place each of its values, and only rows that share one are numbered
+    together, so that a large group is no single window.
+    """
+    cells = df.groupBy(*group, order[0]).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*group)
-    return df.withColumn("phase", F.row_number().over(w.orderBy(*order)) / F.count("*").over(w))
+    cells = cells.withColumn("_before", F.sum("_c").over(w.orderBy(order[0])) - F.col("_c")).withColumn("_n", F.sum("_c").over(w))
+    keys = [*group, order[0]]
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys])
+    rows = df.alias("r").join(cells.alias("c"), same).select("r.*", "_before", "_n")
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order[1:] or [F.lit(0)]))
+    return rows.withColumn("phase", (F.col("_before") + inside) / F.col("_n")).drop("_before", "_n")
 
 
 def half_delta(df: DataFrame, keys: list[str], order: list[str], y: str, min_n: int = 4) -> DataFrame:

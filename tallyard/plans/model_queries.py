@@ -147,12 +147,12 @@ def forward_fits(spark, d):
     return scores.join(b, "period").select("period", "n", "n_contests", "n_train", r("accuracy"), r("fitted_accuracy"), r("log_loss"), r("brier"), r("low"), r("high"), "inside", "b0", "b1", "b2")
 
 
-@query("E16_marginal_rank", f"""WITH {PANEL}, tr AS (SELECT * FROM panel WHERE period <= 1996), fi AS (SELECT role, month(t) AS m, item, row_number() OVER (PARTITION BY role, month(t) ORDER BY count(*) DESC, item) AS k FROM tr WHERE month(t) <= 6 GROUP BY 1, 2, 3), co AS (SELECT role, item, row_number() OVER (PARTITION BY role ORDER BY count(*) DESC, item) AS k FROM tr WHERE month(t) <= 6 GROUP BY 1, 2), kn AS (SELECT DISTINCT role, m FROM fi),
- x AS (SELECT p.*, CASE WHEN kn.m IS NOT NULL THEN fi.k ELSE co.k END AS rank FROM panel p LEFT JOIN kn ON kn.role = p.role AND kn.m = month(p.t) LEFT JOIN fi ON fi.role = p.role AND fi.m = month(p.t) AND fi.item = p.item LEFT JOIN co ON co.role = p.role AND co.item = p.item WHERE period > 1996)
+@query("E16_marginal_rank", f"""WITH {PANEL}, tr AS (SELECT * FROM panel WHERE period <= 1996), fi AS (SELECT role, weekofyear(t) AS m, item, row_number() OVER (PARTITION BY role, weekofyear(t) ORDER BY count(*) DESC, item) AS k FROM tr GROUP BY 1, 2, 3), co AS (SELECT role, item, row_number() OVER (PARTITION BY role ORDER BY count(*) DESC, item) AS k FROM tr GROUP BY 1, 2), kn AS (SELECT DISTINCT role, m FROM fi),
+ x AS (SELECT p.*, CASE WHEN kn.m IS NOT NULL THEN fi.k ELSE co.k END AS rank FROM panel p LEFT JOIN kn ON kn.role = p.role AND kn.m = weekofyear(p.t) LEFT JOIN fi ON fi.role = p.role AND fi.m = weekofyear(p.t) AND fi.item = p.item LEFT JOIN co ON co.role = p.role AND co.item = p.item WHERE period > 1996)
  SELECT role, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit5 FROM x GROUP BY 1""")
 def marginal_rank(spark, d):
-    p = panel(spark, d).withColumn("month", F.month("t"))
-    ranked = m.marginal_rank(p.filter("period <= 1996 and month <= 6"), p.filter("period > 1996"), "role", "month", "item")
+    p = panel(spark, d).withColumn("week", F.weekofyear("t"))
+    ranked = m.marginal_rank(p.filter("period <= 1996"), p.filter("period > 1996"), "role", "week", "item")
     return mt.hit_at_k(ranked, "rank", [1, 5], ["role"]).select("role", "n", r("hit1"), r("hit5"))
 
 
