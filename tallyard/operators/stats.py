@@ -110,24 +110,21 @@ def quantiles(df: DataFrame, keys: list[str], y: str, qs: list[float], approxima
     ranks = F.array_distinct(F.array(*[f((F.col("_n") - 1) * F.lit(float(q))) for q in qs for f in (F.floor, F.ceil)]))
     # a segment: a range of one group with the wanted ranks in it and the number of values before it
     segments = ends.select(*own, "_at", "_lo", "_hi", F.col("_n").alias("_c"), F.lit(0).cast("long").alias("_before"), ranks.alias("_ranks"))
-    known = None
+    parts = []
     while True:
-        done = segments.filter("_lo = _hi").select(*own, F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_v"))
-        small = segments.filter(f"_lo < _hi and _c <= {SORTED}")
-        gathered = rows.alias("r").join(small.alias("s"), same_of(own)).groupBy(*[F.col(f"s.{k}").alias(k) for k in own], F.col("s._at").alias("_at")).agg(F.sort_array(F.collect_list("r._y")).alias("_all"), F.first("s._before").alias("_before"), F.first("s._ranks").alias("_ranks"))
-        done = done.unionByName(gathered.select(*own, F.explode("_ranks").alias("_rank"), "_all", "_before").select(*own, "_rank", F.element_at("_all", (F.col("_rank") - F.col("_before") + 1).cast("int")).alias("_v")))
-        known = stored(done if known is None else known.unionByName(done), "quantile-values")
+        parts.append(segment_values(rows, segments.filter(f"_lo = _hi or _c <= {SORTED}"), own))
         large = segments.filter(f"_lo < _hi and _c > {SORTED}")
         if not large.take(1):
             break
         step = F.least(F.floor((F.col("r._y") - F.col("s._lo")) / (F.col("s._hi") - F.col("s._lo")) * RANGES), F.lit(RANGES - 1))
-        cut = rows.alias("r").join(large.alias("s"), same_of(own)).select(*[F.col(f"r.{k}").alias(k) for k in own], F.col("r._y").alias("_y"), F.col("s._at").alias("_of"), step.alias("_b"), F.col("s._before").alias("_start"), F.col("s._ranks").alias("_wanted"))
-        counts = cut.groupBy(*own, "_of", "_b").agg(F.count("*").alias("_c"), F.min("_y").alias("_lo"), F.max("_y").alias("_hi"), F.first("_start").alias("_start"), F.first("_wanted").alias("_wanted"))
+        at = F.concat_ws("/", F.col("s._at"), step.cast("string"))
+        cut = rows.alias("r").join(large.alias("s"), same_of(own)).select(*[F.col(f"r.{k}").alias(k) for k in own], F.col("r._y").alias("_y"), at.alias("_at"), F.col("s._at").alias("_of"), step.alias("_b"), F.col("s._before").alias("_start"), F.col("s._ranks").alias("_wanted"))
+        counts = cut.groupBy(*own, "_of", "_b", "_at").agg(F.count("*").alias("_c"), F.min("_y").alias("_lo"), F.max("_y").alias("_hi"), F.first("_start").alias("_start"), F.first("_wanted").alias("_wanted"))
         before = F.sum("_c").over(Window.partitionBy(*own, "_of").orderBy("_b")) - F.col("_c") + F.col("_start")
         counts = counts.withColumn("_before", before).withColumn("_ranks", F.filter("_wanted", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))).filter(F.size("_ranks") > 0)
-        segments = stored(counts.select(*own, F.concat_ws("/", "_of", F.col("_b").cast("string")).alias("_at"), "_lo", "_hi", "_c", "_before", "_ranks"), "quantile-segments")
-        inside = cut.withColumn("_at", F.concat_ws("/", "_of", F.col("_b").cast("string"))).select(*own, "_y", "_at")
-        rows = stored(inside.alias("r").join(segments.alias("s"), same_of(own), "left_semi"), "quantile-rows")
+        segments = stored(counts.select(*own, "_at", "_lo", "_hi", "_c", "_before", "_ranks"), "quantile-segments")
+        rows = cut.select(*own, "_y", "_at").alias("r").join(segments.alias("s"), same_of(own), "left_semi")
+    known = reduce(DataFrame.unionByName, parts)
     n = ends.select(*own, "_n")
     pairs = n.alias("n").join(known.alias("v"), reduce(lambda p, q: p & q, [F.col(f"n.{k}").eqNullSafe(F.col(f"v.{k}")) for k in own], F.lit(True)))
     at = lambda q, f: F.max(F.when(F.col("v._rank") == f((F.col("n._n") - 1) * q), F.col("v._v")))
@@ -137,6 +134,16 @@ def quantiles(df: DataFrame, keys: list[str], y: str, qs: list[float], approxima
     return out.select(*[F.col(k).alias(name) for k, name in zip(own, keys)], *names)
 
 
+def segment_values(rows: DataFrame, segments: DataFrame, own: list[str]) -> DataFrame:
+    """(group, _rank, _v) of the wanted ranks of segments that hold one value or are small enough to sort."""
+    plain = segments.filter("_lo = _hi").select(*own, F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_v"))
+    groups = [F.col(f"s.{k}").alias(k) for k in own]
+    joined = rows.alias("r").join(segments.filter("_lo < _hi").alias("s"), same_of(own))
+    each = joined.groupBy(*groups, F.col("s._at").alias("_at")).agg(F.sort_array(F.collect_list("r._y")).alias("_all"), F.first("s._before").alias("_before"), F.first("s._ranks").alias("_ranks"))
+    picked = each.select(*own, "_all", "_before", F.explode("_ranks").alias("_rank"))
+    return plain.unionByName(picked.select(*own, "_rank", F.element_at("_all", (F.col("_rank") - F.col("_before") + 1).cast("int")).alias("_v")))
+
+
 def same_of(own: list[str]):
     """Rows r and segments s of one group and range."""
     return reduce(lambda p, q: p & q, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in own], F.col("r._at") == F.col("s._at"))
