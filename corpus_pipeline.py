@@ -1,7 +1,14 @@
 """From raw documents to token ids: quality rules, exact and near deduplication, mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet in the shared
-folder and reads it again as the next one's docs.  All stages but the last return the columns of documents.
+folder and reads it again as the next one's docs.  All stages but the last return the columns of documents, and
+other columns that the docs have, whatever their names, unchanged.
+
+Defined cases, by stage.  Null and empty texts: quality rejects them (under 50 words); exact takes them as equal and keeps
+one; near keeps each, as they are linked with nothing; mixing may draw them as it
+balances documents too, and they add no words; tokens gives no ids.  A null doc_id is a row like any other (near: all rows with a null id and one text are one).  Ties: exact keeps the
+longest original text, then the smallest doc_id; near the smallest doc_id.  Repeated rows: exact and near keep one; quality,
+mixing and tokens treat each row alike.  Very long texts are worked on whole.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
