@@ -112,9 +112,11 @@ def quantiles(df: DataFrame, keys: list[str], y: str, qs: list[float], approxima
     segments = ends.select(*own, "_at", "_lo", "_hi", F.col("_n").alias("_c"), F.lit(0).cast("long").alias("_before"), ranks.alias("_ranks"))
     parts = []
     while True:
-        parts.append(segment_values(rows, segments.filter(f"_lo = _hi or _c <= {SORTED}"), own))
-        large = segments.filter(f"_lo < _hi and _c > {SORTED}")
-        if not large.take(1):
+        is_large = (F.col("_lo") < F.col("_hi")) & (F.col("_c") > SORTED)
+        large, found = segments.filter(is_large), segments.agg(F.count_if(is_large).alias("large"), F.count_if(~is_large).alias("small")).first()
+        if found["small"] or not found["large"]:
+            parts.append(segment_values(rows, segments.filter(~is_large), own))
+        if not found["large"]:
             break
         step = F.least(F.floor((F.col("r._y") - F.col("s._lo")) / (F.col("s._hi") - F.col("s._lo")) * RANGES), F.lit(RANGES - 1))
         at = F.concat_ws("/", F.col("s._at"), step.cast("string"))
@@ -123,7 +125,7 @@ def quantiles(df: DataFrame, keys: list[str], y: str, qs: list[float], approxima
         before = F.sum("_c").over(Window.partitionBy(*own, "_of").orderBy("_b")) - F.col("_c") + F.col("_start")
         counts = counts.withColumn("_before", before).withColumn("_ranks", F.filter("_wanted", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))).filter(F.size("_ranks") > 0)
         segments = stored(counts.select(*own, "_at", "_lo", "_hi", "_c", "_before", "_ranks"), "quantile-segments")
-        rows = cut.select(*own, "_y", "_at").alias("r").join(segments.alias("s"), same_of(own), "left_semi")
+        rows = cut.select(*own, "_y", "_at")
     known = reduce(DataFrame.unionByName, parts)
     n = ends.select(*own, "_n")
     pairs = n.alias("n").join(known.alias("v"), reduce(lambda p, q: p & q, [F.col(f"n.{k}").eqNullSafe(F.col(f"v.{k}")) for k in own], F.lit(True)))
