@@ -119,13 +119,15 @@ def quantiles(df: DataFrame, keys: list[str], y: str, qs: list[float], approxima
         if not found["large"]:
             break
         step = F.least(F.floor((F.col("r._y") - F.col("s._lo")) / (F.col("s._hi") - F.col("s._lo")) * RANGES), F.lit(RANGES - 1))
-        at = F.concat_ws("/", F.col("s._at"), step.cast("string"))
-        cut = rows.alias("r").join(large.alias("s"), same_of(own)).select(*[F.col(f"r.{k}").alias(k) for k in own], F.col("r._y").alias("_y"), at.alias("_at"), F.col("s._at").alias("_of"), step.alias("_b"), F.col("s._before").alias("_start"), F.col("s._ranks").alias("_wanted"))
-        counts = cut.groupBy(*own, "_of", "_b", "_at").agg(F.count("*").alias("_c"), F.min("_y").alias("_lo"), F.max("_y").alias("_hi"), F.first("_start").alias("_start"), F.first("_wanted").alias("_wanted"))
-        before = F.sum("_c").over(Window.partitionBy(*own, "_of").orderBy("_b")) - F.col("_c") + F.col("_start")
+        cut = rows.alias("r").join(large.alias("s"), same_of(own)).select(*[F.col(f"r.{k}").alias(k) for k in own], F.col("r._y").alias("_y"), F.col("s._at").alias("_at"), step.alias("_b"))
+        counts = cut.groupBy(*own, "_at", "_b").agg(F.count("*").alias("_c"), F.min("_y").alias("_lo"), F.max("_y").alias("_hi"))
+        of = large.select(*own, "_at", F.col("_before").alias("_start"), F.col("_ranks").alias("_wanted"))
+        counts = counts.alias("r").join(of.alias("s"), same_of(own)).select("r.*", "_start", "_wanted")
+        before = F.sum("_c").over(Window.partitionBy(*own, "_at").orderBy("_b")) - F.col("_c") + F.col("_start")
         counts = counts.withColumn("_before", before).withColumn("_ranks", F.filter("_wanted", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))).filter(F.size("_ranks") > 0)
-        segments = stored(counts.select(*own, "_at", "_lo", "_hi", "_c", "_before", "_ranks"), "quantile-segments")
-        rows = cut.select(*own, "_y", "_at")
+        path = F.concat_ws("/", "_at", F.col("_b").cast("string")).alias("_at")
+        segments = stored(counts.select(*own, path, "_lo", "_hi", "_c", "_before", "_ranks"), "quantile-segments")
+        rows = cut.select(*own, "_y", path)
     known = reduce(DataFrame.unionByName, parts)
     n = ends.select(*own, "_n")
     pairs = n.alias("n").join(known.alias("v"), reduce(lambda p, q: p & q, [F.col(f"n.{k}").eqNullSafe(F.col(f"v.{k}")) for k in own], F.lit(True)))
