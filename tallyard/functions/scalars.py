@@ -140,6 +140,19 @@ def with_poisson_weight(df, a: str, b: str, rep: str, name: str):
     return step(rows, name, weight).drop("_draw", "_draw_square")
 
 
+def poisson_weights(a, b, reps: int):
+    """with_poisson_weight for arrays of pairs and draws 0 to reps - 1, weights of 0 included: (pairs, reps)."""
+    import numpy as np
+
+    def fifth(x):
+        square = x * x % PRIME
+        return square * square % PRIME * x % PRIME
+
+    x = fifth((a[:, None] + np.arange(reps, dtype=np.int64) * 1000003) % PRIME)
+    x = fifth((x + b[:, None]) % PRIME)
+    return np.searchsorted(np.array([int(c * PRIME) for c in POISSON]), x, "right").astype(float)
+
+
 def poisson_sql(a: str, b: str, rep: str) -> tuple[str, str, str]:
     """with_poisson_weight in three steps: y, x from y, and the weight from x."""
     fifth = lambda x: f"(({x} * {x} % {PRIME}) * ({x} * {x} % {PRIME}) % {PRIME} * {x} % {PRIME})"

@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyard.functions.scalars import seed_pair, with_poisson_weight
+from tallyard.functions.scalars import poisson_weights, seed_pair, with_poisson_weight
 
 from .stats import quantiles
 
@@ -50,15 +51,72 @@ def boot_r2(df: DataFrame, cluster: str, y: str, yhat: str, reps: int, seed="boo
     return interval(resampled(per, cluster, ["n", "s", "q", "e"], reps, seed), 1 - F.try_divide(F.col("e"), F.col("q") - F.col("s") * F.col("s") / F.col("n")))
 
 
-def boot_auc(df: DataFrame, cluster: str, score: str, label: str, reps: int, seed="boot") -> DataFrame:
-    """The AUC's percentile interval: the weighted rank form per draw, on sums by draw and score."""
-    cells = df.groupBy(cluster, score).agg(F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_q"))
-    w = resampled(cells, cluster, ["_p", "_q"], reps, seed, [score])
-    below = F.sum("_q").over(Window.partitionBy("rep").orderBy(score)) - F.col("_q") / 2
-    draws = w.withColumn("_w", F.col("_p") * below).groupBy("rep").agg(F.try_divide(F.sum("_w"), F.sum("_p") * F.sum("_q")).alias("auc"))
+def boot_auc(df: DataFrame, cluster: str, score: str, label: str, reps: int, seed="boot", ranges: int | None = None) -> DataFrame:
+    """The AUC's percentile interval over Poisson draws of clusters; tied scores are averaged, null scores rank lowest.
+
+    The cells (cluster, score) are sorted over tasks by score and cluster, so that a score that many clusters share spreads over tasks too.
+    A task walks its cells in blocks with a vector of all draws' running sums, and gives for each draw the sums of its first
+    score, of its last and of what lies between.  Pieces of one score that several tasks hold are added up, and a window of at most three
+    rows a task puts each draw together: the shuffle holds the cells and draws x tasks, not draws x cells.
+    ranges: tasks of the walk (spark.sql.shuffle.partitions).
+    """
+    cells = df.groupBy(cluster, score).agg(F.coalesce(F.sum(F.col(label).cast("double")), F.lit(0.0)).alias("_p"), F.coalesce(F.sum(1 - F.col(label).cast("double")), F.lit(0.0)).alias("_q"))
+    a, b = seed_pair(seed, cluster)
+    rows = cells.select(F.col(score).cast("double").alias("at"), a.alias("a"), b.alias("b"), "_p", "_q")
+    rows = rows.repartitionByRange(ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "at", "a", "b").sortWithinPartitions("at")
+
+    def walk(batches):
+        first = last = last_at = None
+        zero = np.zeros(reps)
+        p_open, q_open, w_in, p_in, q_in = (zero.copy() for _ in range(5))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                at = part.column("at")
+                code = score_codes(at)
+                a, b, p, q = (part.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "_p", "_q"))
+                weight = poisson_weights(a, b, reps)
+                starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                ps, qs = (np.add.reduceat(v[:, None] * weight, starts, axis=0) for v in (p, q))
+                if last is not None and code[0] == last:
+                    ps[0] += p_open
+                    qs[0] += q_open
+                elif last is not None:
+                    ps, qs, starts = np.vstack([p_open, ps]), np.vstack([q_open, qs]), np.concatenate([[-1], starts])
+                closed = slice(0, len(ps) - 1)
+                if len(ps) > 1 and first is None:
+                    first = (last_at if starts[0] < 0 or code[0] == last else at[0].as_py(), ps[0], qs[0])
+                    closed = slice(1, len(ps) - 1)
+                pc, qc = ps[closed], qs[closed]
+                w_in += (pc * (q_in + np.cumsum(qc, axis=0) - qc / 2)).sum(0)
+                p_in += pc.sum(0)
+                q_in += qc.sum(0)
+                p_open, q_open, last, last_at = ps[-1], qs[-1], code[-1], at[part.num_rows - 1].as_py()
+        if last is None:
+            return
+        pieces = [(last_at, 0, zero, p_open, q_open)]
+        if first is not None:
+            pieces += [(first[0], 0, zero, *first[1:]), (first[0], 1, w_in, p_in, q_in)]
+        for at, kind, w, p, q in pieces:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(reps)), pa.array([at] * reps, pa.float64()), pa.array(np.full(reps, kind, np.int32)), *map(pa.array, (w, p, q))], names=["rep", "at", "kind", "w", "p", "q"])
+
+    pieces = rows.mapInArrow(walk, "rep long, at double, kind int, w double, p double, q double")
+    pieces = pieces.groupBy("rep", "at", "kind").agg(*[F.sum(c).alias(c) for c in "wpq"])
+    own = F.when(F.col("kind") == 0, F.col("p") * F.col("q") / 2).otherwise(F.col("w"))
+    below = F.sum("q").over(Window.partitionBy("rep").orderBy(F.col("at").asc_nulls_first(), "kind")) - F.col("q")
+    draws = pieces.withColumn("w", own + F.col("p") * below).groupBy("rep").agg(F.try_divide(F.sum("w"), F.sum("p") * F.sum("q")).alias("auc"))
     return interval(draws, F.col("auc"))
 
 
+def score_codes(at: pa.Array) -> np.ndarray:
+    """Equal numbers for equal scores: the bits of a score, with one zero and one NaN; the bits of -0.0 stand for null."""
+    values = at.to_numpy(zero_copy_only=False).astype(float) + 0.0
+    values[np.isnan(values)] = np.nan
+    code = values.view(np.int64).copy()
+    code[at.is_null().to_numpy(zero_copy_only=False)] = np.iinfo(np.int64).min
+    return code
+
+
 def within_parts(df: DataFrame, entity: str, x: str, y: str, min_rows: int) -> DataFrame:
     """Per entity: the centred sums num (x with y) and den (x with x).
 

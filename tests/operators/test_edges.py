@@ -107,6 +107,24 @@ def test_bootstraps_against_brute_force(spark):
     assert np.allclose([got.low, got.high], ends(wins))
 
 
+def test_boot_auc_over_ranges_with_a_hot_score_and_nulls(spark):
+    rng = np.random.default_rng(11)
+    scores = [None, float("nan"), -0.0, 0.0, *rng.normal(size=300).tolist()]
+    data = [(int(k), scores[int(s)] if s >= 0 else 0.25, int(rng.integers(0, 2))) for k, s in zip(rng.integers(0, 900, 3000), np.where(rng.random(3000) < 0.4, -1, rng.integers(0, len(scores), 3000)))]
+    df = spark.createDataFrame([*data, (1, 0.5, None)], "k int, p double, hit int")
+    rank = np.array([-np.inf if p is None else np.inf if p != p else p for _, p, _ in data])
+    hit = np.array([h for *_, h in data])
+    keys = sorted({r[0] for r in data})
+    w = poisson("boot", keys, 40)[:, [keys.index(r[0]) for r in data]]
+    order = (rank[:, None] > rank[None]) + 0.5 * (rank[:, None] == rank[None])
+    wins = [((x * hit) @ order @ (x * (1 - hit))) / ((x * hit).sum() * (x * (1 - hit)).sum()) for x in w]
+    for ranges in (1, 3, 40):
+        got = causal.boot_auc(df, "k", "p", "hit", 40, ranges=ranges).first()
+        assert np.allclose([got.low, got.high], np.quantile(wins, [0.025, 0.975]))
+    assert causal.boot_auc(df.filter("hit = 1"), "k", "p", "hit", 40).first().low is None
+    assert causal.boot_auc(df.limit(0), "k", "p", "hit", 40).first().low is None
+
+
 def test_intervals_take_a_thousand_draws_of_whole_tables():
     from tallyard.plans import causal_queries as q
 
