@@ -3,17 +3,19 @@
 The gear hash of a position is the sum of GEAR[byte] << age over the last 32 bytes; its low 24 bits hang on the
 last 24 bytes alone.  Of every MOST neighbouring positions the one with the least such value is a cut, so cuts
 depend on content alone, find their places again after an insertion and are never more than MOST bytes apart.
-A chunk is the SPAN bytes after a cut (or after the start, or before the end of a text); chunks overlap.  Chunks
+The start and the end of a text are cuts too.  A chunk runs from a cut to the first cut that is LEAST bytes or more away (so it has
+LEAST to LEAST + MOST - 1 bytes); one chunk starts at each cut, so chunks overlap, and one more ends with the text.  Chunks
 are compared by 128-bit digests: of equal chunks the first one in the smallest doc_id stays; the others are repeats, but for those
 that overlap the one that stays.  Repeats that overlap or touch form a span, which is reported (and removed by ``without_spans``).
 
-A passage of 23 + MOST + SPAN = 191 bytes or more (51 words of 3 letters) holds a whole chunk wherever it stands, and
-every span stands byte for byte in earlier documents or further up in its own.  Up to 23 + MOST bytes at its start and MOST at its end may stay.
+A passage of 22 + 2 * MOST + LEAST = 191 bytes or more (51 words of 3 letters) holds a whole chunk wherever it stands: its first cut
+depends on its first 23 + MOST bytes alone, and which cut ends the chunk on the LEAST + MOST - 1 bytes that follow.  Every span stands
+byte for byte in earlier documents or further up in its own.  Up to 23 + MOST bytes at its start and MOST at its end may stay.
 
 Only aggregates and equi-joins by digest are used: a chunk that a third of all documents share is one partial
 sum per task and one hot key of a join that Spark splits.
 
-Defined cases: null and empty texts and those under SPAN bytes have no chunks; repeats inside one document are
+Defined cases: null and empty texts and those under LEAST bytes have no chunks; repeats inside one document are
 spans too; rows with a null doc_id are ignored (nothing to name); rows that repeat a doc_id are documents of their own, told
 apart by text_hash, in its order, and rows that repeat the text as well are one; where a text
 repeats with a period under SHORT, cuts stand one period or more apart but no more than MOST; an empty table gives no rows.
@@ -29,9 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored, texts
 
-LEAST, MOST = 1, 48
+LEAST, MOST = 89, 40
 SHORT = 8
-SPAN = 120
 BLOCK = 1 << 20
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=2024) for b in range(256)], np.uint32)
 
@@ -82,23 +83,31 @@ def chunk_ends(text: bytes, most: int = MOST) -> list[int]:
     return out
 
 
-def chunk_starts(text: bytes) -> list[int]:
-    """Where the chunks of a text start: at 0, at its cuts and SPAN before its end."""
-    n = len(text) - SPAN
-    return [] if n < 0 else sorted({0, n, *(x for x in chunk_ends(text) if x < n)})
+def chunk_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the chunks of a text start and end, in order."""
+    n = len(text)
+    if n < LEAST:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cuts = np.array([0, *chunk_ends(text)], np.int64)
+    end = np.searchsorted(cuts, cuts + LEAST)
+    starts, ends = cuts[end < len(cuts)], cuts[end[end < len(cuts)]]
+    if ends[-1] < n:
+        starts, ends = np.append(starts, starts[-1]), np.append(ends, n)
+    return starts, ends
 
 
 def chunked(batches):
     for batch in slices(batches):
-        doc_ids, hashes, starts, digests = [], [], [], []
+        doc_ids, hashes, starts, ends, digests = [], [], [], [], []
         for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), texts(batch)):
-            at = chunk_starts(text)
-            doc_ids += [doc_id] * len(at)
-            hashes += [text_hash] * len(at)
-            starts += at
-            digests += [xxhash.xxh3_128_digest(text[x : x + SPAN]) for x in at]
+            a, b = (x.tolist() for x in chunk_bounds(text))
+            doc_ids += [doc_id] * len(a)
+            hashes += [text_hash] * len(a)
+            starts += a
+            ends += b
+            digests += [xxhash.xxh3_128_digest(text[x:y]) for x, y in zip(a, b)]
         both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(starts, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "text_hash", "start", "d1", "d2"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "text_hash", "start", "end", "d1", "d2"])
 
 
 def text_hash():
@@ -106,12 +115,12 @@ def text_hash():
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """One row per chunk: doc_id, text_hash, start (byte), d1, d2 (digest)."""
+    """One row per chunk: doc_id, text_hash, start, end (bytes), d1, d2 (digest)."""
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(chunked, "doc_id long, text_hash long, start int, d1 long, d2 long")
+    return rows.mapInArrow(chunked, "doc_id long, text_hash long, start int, end int, d1 long, d2 long")
 
 
-def repeated_spans(docs: DataFrame, least_bytes: int = SPAN) -> DataFrame:
+def repeated_spans(docs: DataFrame, least_bytes: int = LEAST) -> DataFrame:
     """One row per repeated span: doc_id, text_hash, start, end (bytes of the UTF-8 text), n_chunks, first_doc_ids (who keeps its chunks)."""
     rows = chunks(docs)
     # As a table of its own, the owners meet the chunks in a join of two plain shuffles, which Spark can split.
@@ -120,14 +129,14 @@ def repeated_spans(docs: DataFrame, least_bytes: int = SPAN) -> DataFrame:
     shared = stored(rows.join(owners, ["d1", "d2"]), "chunk-shared")
     inside = shared.filter("doc_id = first_doc_id")
     # Which of the chunks in the first doc_id comes first; most are alone there.
-    first = inside.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("text_hash", "start")).alias("first")).filter("n > 1").drop("n")
-    later = (F.col("text_hash") > F.col("first.text_hash")) | ((F.col("text_hash") == F.col("first.text_hash")) & (F.col("start") >= F.col("first.start") + SPAN))
+    first = inside.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("text_hash", "start", "end")).alias("first")).filter("n > 1").drop("n")
+    later = (F.col("text_hash") > F.col("first.text_hash")) | ((F.col("text_hash") == F.col("first.text_hash")) & (F.col("start") >= F.col("first.end")))
     again = inside.join(stored(first, "chunk-first"), ["d1", "d2"]).filter(later).drop("first")
-    repeats = shared.filter("doc_id > first_doc_id").unionByName(again).select("doc_id", "text_hash", "start", "first_doc_id").dropDuplicates(["doc_id", "text_hash", "start"])
-    w = Window.partitionBy("doc_id", "text_hash").orderBy("start")
-    apart = F.when(F.col("start") > F.lag("start").over(w) + SPAN, 1).otherwise(0)
+    repeats = shared.filter("doc_id > first_doc_id").unionByName(again).select("doc_id", "text_hash", "start", "end", "first_doc_id").dropDuplicates(["doc_id", "text_hash", "start", "end"])
+    w = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end")
+    apart = F.when(F.col("start") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
     run = repeats.withColumn("apart", apart).withColumn("run", F.sum("apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = run.groupBy("doc_id", "text_hash", "run").agg(F.min("start").alias("start"), (F.max("start") + SPAN).alias("end"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
+    spans = run.groupBy("doc_id", "text_hash", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
     return spans.filter(F.col("end") - F.col("start") >= least_bytes).drop("run")
 
 

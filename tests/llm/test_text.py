@@ -188,7 +188,11 @@ def test_chunks_resist_insertions():
     b = {other[s:e] for s, e in zip([0, *c.chunk_ends(other)], c.chunk_ends(other))}
     assert len(a - b) <= 4 and len(a) > 200
     ends = c.chunk_ends(text)
-    assert ends[-1] == len(text) and all(c.LEAST <= y - x <= c.MOST for x, y in zip([0, *ends[:-2]], ends[:-1]))
+    assert ends[-1] == len(text) and all(1 <= y - x <= c.MOST for x, y in zip(ends[:-2], ends[1:-1]))
+    bound = lambda t: {t[x:y] for x, y in zip(*c.chunk_bounds(t))}
+    whole, moved = bound(text), bound(other)
+    assert len(whole - moved) <= 12 and len(whole) > 500 and len({len(x) for x in whole}) > 20
+    assert all(c.LEAST <= len(x) < c.LEAST + c.MOST for x in whole)
 
 
 def test_gear_window():
@@ -211,7 +215,7 @@ def test_repeats_in_one_document_and_repeated_ids(spark):
     assert not by_doc[1] and not by_doc[5] and len(by_doc[2]) == 1 and by_doc[2][0]["end"] > len(s) - 80
     covered = sum(r["end"] - r["start"] for r in by_doc[3])
     assert 3 * (len(p) - 130) < covered <= 3 * (len(p) + 2) and all(r["first_doc_ids"] == [3] for r in by_doc[3])
-    assert [(r["start"] >= c.SPAN, r["end"]) for r in by_doc[4]] == [(True, 1000)]
+    assert [(r["start"] >= c.LEAST, 1000 - c.MOST <= r["end"] <= 1000) for r in by_doc[4]] == [(True, True)]
     cut = c.without_spans(d, c.repeated_spans(d))
     assert cut.columns == d.columns
     texts = sorted((r["doc_id"], r["text"]) for r in cut.collect() if r["text"] is not None)
@@ -240,13 +244,42 @@ def test_passages_of_51_short_words_are_caught_at_every_offset(spark, letters):
     for k, passage in enumerate(passages):
         for _ in range(2):
             rows.append((len(rows), prose(30)[: int(rng.integers(150))] + "|" + passage + "|" + prose(40)))
-    rows += [(len(rows) + k, "twin " + "xyz"[k % 3] * 3 + "a" * 115) for k in range(6)]
+    rows += [(len(rows) + k, "twin " + "xyz"[k % 3] * 12 + "a" * 80) for k in range(6)]
     spans = c.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in spans} == {*range(1, 200, 2), 203, 204, 205}
     text = {k: t.encode() for k, t in rows}
     for r in spans:
         lot, owners = text[r["doc_id"]], [text[o] for o in r["first_doc_ids"]]
-        assert all(any(lot[a : a + c.SPAN] in o for o in owners) for a in range(r["start"], r["end"] - c.SPAN + 1))
+        assert all(any(lot[a : a + c.LEAST] in o for o in owners) for a in range(r["start"], r["end"] - c.LEAST + 1))
+
+
+def test_spans_against_all_substrings(spark):
+    rng = np.random.default_rng(21)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdéß"), rng.integers(1, 6))) for _ in range(n))
+    passages = [prose(n) for n in (20, 40, 55, 70, 120)]
+    rows = [(k * 7 % 60, prose(int(rng.integers(0, 40))).join(passages[i] for i in rng.integers(0, 5, rng.integers(1, 4)))) for k in range(60)]
+    spans = c.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = {k: t.encode() for k, t in rows}
+    size = 22 + 2 * c.MOST + c.LEAST
+    assert size == 191
+    first: dict[bytes, int] = {}
+    for k in sorted(text):
+        covered = np.zeros(len(text[k]) + 1, int)
+        for r in spans:
+            if r["doc_id"] == k:
+                covered[r["start"] + 1 : r["end"] + 1] = 1
+                # Each covered byte lies in LEAST bytes that stand in an owner too.
+                owned = np.zeros(len(text[k]), bool)
+                for a in range(len(text[k]) - c.LEAST + 1):
+                    part = text[k][a : a + c.LEAST]
+                    if any((part in text[o]) if o != k else (text[k].find(part) < a) for o in r["first_doc_ids"]):
+                        owned[a : a + c.LEAST] = True
+                assert owned[r["start"] : r["end"]].all()
+        total = np.cumsum(covered)
+        for a in range(len(text[k]) - size + 1):
+            if first.setdefault(text[k][a : a + size], k) < k:
+                assert total[a + size] - total[a] >= c.LEAST
+    assert sum(r["doc_id"] > 0 for r in spans) > 30
 
 
 def test_html_layout():
