@@ -14,14 +14,14 @@ from tallyard.llm import token_files as t
 RANKS, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
 
 
-@pytest.mark.parametrize("chunk, overlap", [(b.CHUNK, b.OVERLAP), (500, 40), (64, 16)])
-def test_bpe_against_the_library(docs, rows, chunk, overlap):
+@pytest.mark.parametrize("chunk, overlap, local", [(b.CHUNK, b.OVERLAP, b.LOCAL), (b.CHUNK, b.OVERLAP, 1), (500, 40, 4), (64, 16, 1), (64, 16, 1000)])
+def test_bpe_against_the_library(docs, rows, chunk, overlap, local):
     enc = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=b.read_ranks(RANKS), special_tokens={})
     want = []
     for r in rows:
         ids = enc.encode_ordinary(r[1] or "")
         want.append((r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()))
-    got = [tuple(r) for r in b.bpe_documents(docs, RANKS, P.PATTERN, chunk, overlap).collect()]
+    got = [tuple(r) for r in b.bpe_documents(docs, RANKS, P.PATTERN, chunk, overlap, local).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
@@ -34,9 +34,35 @@ def test_stitching_resynchronises():
             parts = b.cut(text, chunk, overlap)
             coded = [(at, x, *b.chunk_tokens(bpe, at, x, k == len(parts) - 1)) for k, (at, x) in enumerate(parts)]
             assert b.stitch(bpe, coded) == bpe.encode(text)
+            assert bpe.encode(text, 7, 2) == bpe.encode(text)
             assert bpe.decode(bpe.encode(text)) == text.encode()
 
 
+def test_merges_against_the_library():
+    bpe = b.ByteBpe(RANKS, P.PATTERN)
+    lib = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=b.read_ranks(RANKS), special_tokens={})
+    rng = random.Random(8)
+    for k in range(3000):
+        text = "".join(rng.choice(["a", "ing", "é", "日", "\U0001f600", "er", "xq", "\u0301", "the", "Z"]) for _ in range(rng.randint(1, 6 if k % 3 else 60)))
+        assert [i for p in bpe.pieces(text) for i in b.merged(bpe.ranks, p.encode())] == lib.encode_ordinary(text)
+
+
+def test_runs_without_a_boundary_take_linear_time():
+    bpe = b.ByteBpe(RANKS, P.PATTERN)
+    sizes = []
+
+    class Counted:
+        def findall(self, text):
+            sizes.append(len(text))
+            return pattern.findall(text)
+
+    pattern, bpe.pattern = bpe.pattern, Counted()
+    text = "ab " * 900 + "a" * 300_000 + " b c" * 900
+    ids = bpe.encode(text)
+    assert sum(sizes) < 5 * len(text) and bpe.decode(ids) == text.encode()
+    assert ids == bpe.encode(text, len(text))
+
+
 def test_token_files_against_the_library(docs, rows):
     lib = Tokenizer.from_file(WORDS)
     at, want = 0, []
