@@ -129,6 +129,15 @@ def best_method(df: DataFrame, group: str, method: str, score: str) -> DataFrame
     return r.filter("_r = 1").select(group, F.col(method).alias("best"), F.col("s").alias("score"), "spread")
 
 
+def group_extremes(df: DataFrame, group: str, method: str, score: str) -> DataFrame:
+    """Per method: its best and its worst group by mean score, both means and the spread; of groups with one mean the last by
+    name is the best and the first the worst.  Rows without a group, a method or a score are left out."""
+    rows = df.filter(F.col(group).isNotNull() & F.col(method).isNotNull() & F.col(score).isNotNull())
+    m = rows.groupBy(method, group).agg(F.avg(score).alias("_s")).withColumn("_m", F.struct(F.round("_s", 9), F.col(group).alias("g"), F.col("_s").alias("s")))
+    ends = m.groupBy(method).agg(F.max("_m").alias("_b"), F.min("_m").alias("_w"))
+    return ends.select(method, F.col("_b.g").alias("best"), F.col("_b.s").alias("best_score"), F.col("_w.g").alias("worst"), F.col("_w.s").alias("worst_score"), (F.col("_b.s") - F.col("_w.s")).alias("spread"))
+
+
 def best_row(df: DataFrame, order: str, value: str) -> DataFrame:
     """One row: where the value is highest (the first such), and the value."""
     return df.agg(F.max(F.struct(F.col(value), -F.col(order))).alias("b")).select((-F.col(f"b.col2")).cast("int").alias(order), F.col(f"b.{value}").alias(value))

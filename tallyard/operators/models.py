@@ -18,9 +18,24 @@ from .fits import linear, logistic_fits, sigmoid, theta_table
 from .metrics import auc, binary_metrics, regression_metrics
 
 
+#: Most rows (cells of item pairs, or items) that a fit takes to the driver; beyond it a fit stops with an error.
+MOST_CELLS = 1_000_000
+MOST_ITEMS = 10_000
+
+
+def bounded(df: DataFrame, most: int, what: str) -> list:
+    """The rows of a table that must be small; an error if there are more."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}: too many for a solve on the driver")
+    return rows
+
+
 def solve_pairs(cells: list, lam: float) -> dict[str, float]:
     """theta from cells (a, b, n, s): the counts and sums of y of each ordered pair of items."""
     items = sorted({c[0] for c in cells} | {c[1] for c in cells})
+    if len(items) > MOST_ITEMS:
+        raise ValueError(f"more than {MOST_ITEMS} items: too many for a solve on the driver")
     at = {x: i for i, x in enumerate(items)}
     m, v = lam * np.eye(len(items)), np.zeros(len(items))
     for a, b, n, s in cells:
@@ -39,14 +54,14 @@ def fit_pair_ridge(df: DataFrame, a: str, b: str, y: str, lam: float) -> dict[st
 
     Spark aggregates the normal equations to one row per pair of items; the driver solves items x items.
     """
-    cells = df.groupBy(a, b).agg(F.count(y).alias("n"), F.sum(y).alias("s")).collect()
+    cells = bounded(df.groupBy(a, b).agg(F.count(y).alias("n"), F.sum(y).alias("s")), MOST_CELLS, "pairs of items")
     return solve_pairs([tuple(c) for c in cells], lam)
 
 
 def pair_ridge(df: DataFrame, a: str, b: str, y: str, lam: float, by: str) -> DataFrame:
     """(by, item, theta): one fit per group of by; all groups come from one aggregate."""
     groups: dict = {}
-    for c in df.groupBy(by, a, b).agg(F.count(y).alias("n"), F.sum(y).alias("s")).collect():
+    for c in bounded(df.groupBy(by, a, b).agg(F.count(y).alias("n"), F.sum(y).alias("s")), MOST_CELLS, "pairs of items"):
         groups.setdefault(c[0], []).append(tuple(c)[1:])
     rows = [(g, item, theta) for g in sorted(groups, key=str) for item, theta in solve_pairs(groups[g], lam).items()]
     return df.sparkSession.createDataFrame(rows, f"{by} {dict(df.dtypes)[by]}, item string, theta double")
@@ -120,7 +135,7 @@ def identity_features(df: DataFrame, contest: str, item: str, side: str, own) ->
     """One row per contest with a column for each item (as many as the catalogue has): its count on the own side less the other."""
     from tallyard.functions.scalars import signed_features
 
-    items = [r[0] for r in df.select(item).filter(F.col(item).isNotNull()).distinct().orderBy(item).collect()]
+    items = [r[0] for r in bounded(df.select(item).filter(F.col(item).isNotNull()).distinct().orderBy(item), MOST_ITEMS, "items")]
     wide = signed_features(df, contest, item, side, own).groupBy(contest).pivot(item, items).agg(F.sum("sign"))
     names = [f"x{k}" for k in range(len(items))]
     return wide.select(contest, *[F.coalesce(F.col(f"`{i}`").cast("double"), F.lit(0.0)).alias(n) for i, n in zip(items, names)]), names

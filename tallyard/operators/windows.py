@@ -27,12 +27,49 @@ def rank_split(df: DataFrame, time: str, frac: float, ties: list[str]) -> DataFr
     return whole.unionByName(split).drop("_before", "_upto", "_cut")
 
 
-def date_split(df: DataFrame, contest: str, time: str, frac: float) -> DataFrame:
-    """Adds test: whether the contest is at or after the date of contest number floor(frac n) in time order."""
-    dates = df.groupBy(contest).agg(F.min(time).alias("_t")).groupBy("_t").agg(F.count("*").alias("_n"))
+def date_split(df: DataFrame, contest: str, time: str, frac: float, mode: str = "contest") -> DataFrame:
+    """Adds test: whether the contest comes after the first frac of the n contests; mode says where the cut is.
+
+    contest: the date of contest number floor(frac n) in time order; quantile: the date at rank (n - 1) frac, between two dates
+    in proportion; row: contest number floor(frac n) itself, those of one date in the order of their keys.  A contest counts once, at its
+    first date; without a time it is in neither part (test is null).  Dates are counted; for mode row the contests
+    of the one date that the cut divides are sorted over tasks and counted by task before any of them is numbered.
+    """
+    contests = df.groupBy(contest).agg(F.min(time).alias("_t")).filter("_t is not null")
+    dates = contests.groupBy("_t").agg(F.count("*").alias("_n"))
     run = dates.withColumn("_upto", F.sum("_n").over(Window.orderBy("_t"))).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-    cut = run.filter(F.col("_upto") > F.floor(F.col("_all") * frac)).agg(F.min("_t").alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("test", F.col(time) >= F.col("_cut")).drop("_cut")
+    if mode == "contest":
+        cut = run.filter(F.col("_upto") > F.floor(F.col("_all") * frac)).agg(F.min("_t").alias("_cut"))
+        return df.crossJoin(F.broadcast(cut)).withColumn("test", F.col(time) >= F.col("_cut")).drop("_cut")
+    if mode == "quantile":
+        at = (F.col("_all") - 1) * frac
+        number = lambda c: time_number(c, df.schema[time].dataType.typeName())
+        low, high = (F.min(F.when(F.col("_upto") > rank, number(F.col("_t")))) for rank in (F.floor(at), F.ceil(at)))
+        cut = run.agg(low.alias("_low"), high.alias("_high"), F.max(at - F.floor(at)).alias("_part"))
+        edge = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")
+        return df.crossJoin(F.broadcast(cut)).withColumn("test", number(F.col(time)) >= edge).drop("_low", "_high", "_part")
+    if mode != "row":
+        raise ValueError(f"unknown mode {mode!r}")
+    from tallyard.sources.readers import stored
+
+    before, number = F.col("_upto") - F.col("_n"), F.floor(F.col("_all") * frac)
+    cut = run.filter((before <= number) & (F.col("_upto") > number)).select(F.col("_t").alias("_cut"), (number - before).alias("_k"))
+    near = contests.join(F.broadcast(cut), F.col("_t") == F.col("_cut")).select(contest, "_k")
+    near = stored(near.repartitionByRange(contest).select(contest, "_k", F.spark_partition_id().alias("_task")), "split-date")
+    tasks = near.groupBy("_task", "_k").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(Window.orderBy("_task")) - F.col("_c"))
+    task = tasks.filter((F.col("_before") <= F.col("_k")) & (F.col("_before") + F.col("_c") > F.col("_k"))).select("_task", "_before")
+    inside = near.join(F.broadcast(task), "_task").withColumn("_r", F.row_number().over(Window.partitionBy("_task").orderBy(contest)) - 1 + F.col("_before"))
+    edge = cut.crossJoin(F.broadcast(inside.filter("_r = _k").agg(F.min(contest).alias("_key")))).agg(F.min("_cut").alias("_cut"), F.min("_key").alias("_key"))
+    first = contests.select(F.col(contest).alias("_contest"), "_t").crossJoin(F.broadcast(edge))
+    later = F.coalesce((F.col("_t") > F.col("_cut")) | ((F.col("_t") == F.col("_cut")) & (F.col("_contest") >= F.col("_key"))), F.lit(False))
+    return df.join(first.select("_contest", later.alias("test")), F.col(contest) == F.col("_contest"), "left").drop("_contest")
+
+
+def time_number(c, kind: str):
+    """A date as days, a time stamp as microseconds, a number as it is."""
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    return (F.unix_micros(c) if kind == "timestamp" else c).cast("double")
 
 
 def phase_in_group(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:

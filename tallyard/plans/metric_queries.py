@@ -105,6 +105,13 @@ def best_method(spark, d):
     return m.best_method(e, "genre", "event_type", "value").select("genre", "best", r("score"), r("spread"))
 
 
+@query("A39_group_extremes", """WITH a AS (SELECT user_id % 10 AS genre, event_type, avg(value) AS s FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY round(s, 9) DESC, genre DESC) AS hi, row_number() OVER (PARTITION BY event_type ORDER BY round(s, 9), genre) AS lo FROM a)
+ SELECT b.event_type AS method, b.genre AS best, round(b.s, 6) AS best_score, w.genre AS worst, round(w.s, 6) AS worst_score, round(b.s - w.s, 6) AS spread FROM k b JOIN k w ON w.event_type = b.event_type AND b.hi = 1 AND w.lo = 1""")
+def group_extremes(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("method"), (F.col("user_id") % 10).alias("genre"), "value")
+    return m.group_extremes(e, "genre", "method", "value").select("method", "best", r("best_score"), "worst", r("worst_score"), r("spread"))
+
+
 @query("A40_best_epoch", "SELECT epoch, val FROM (SELECT CAST(user_id AS INT) AS epoch, round(avg(value), 4) AS val FROM events GROUP BY 1) ORDER BY val DESC, epoch LIMIT 1")
 def best_epoch(spark, d):
     log = table(spark, d, "events").groupBy(F.col("user_id").cast("int").alias("epoch")).agg(F.round(F.avg("value"), 4).alias("val"))

@@ -30,6 +30,18 @@ def date_split(spark, d):
     return w.date_split(panel(spark, d), "contest", "t", 0.8).groupBy("period", "test").agg(F.count("*").alias("n"))
 
 
+@query("W2_quantile_split", f"""WITH {PANEL}, g AS (SELECT contest, min(t) AS t FROM panel GROUP BY 1), c AS (SELECT quantile_cont((t - DATE '1970-01-01')::DOUBLE, 0.8) AS cut FROM g)
+ SELECT period, (t - DATE '1970-01-01')::DOUBLE >= (SELECT cut FROM c) AS test, count(*) AS n FROM panel GROUP BY 1, 2""")
+def quantile_split(spark, d):
+    return w.date_split(panel(spark, d), "contest", "t", 0.8, "quantile").groupBy("period", "test").agg(F.count("*").alias("n"))
+
+
+@query("W2_row_split", f"""WITH {PANEL}, g AS (SELECT contest, min(t) AS t FROM panel GROUP BY 1), k AS (SELECT contest, row_number() OVER (ORDER BY t, contest) - 1 >= floor((SELECT count(*) FROM g) * 0.8::DOUBLE) AS test FROM g)
+ SELECT panel.contest, panel.period, test, count(*) AS n FROM panel JOIN k ON k.contest = panel.contest GROUP BY 1, 2, 3""")
+def row_split(spark, d):
+    return w.date_split(panel(spark, d), "contest", "t", 0.8, "row").groupBy("contest", "period", "test").agg(F.count("*").alias("n"))
+
+
 @query("W3_phase_in_group", f"WITH {PANEL} SELECT {LINE}, round(row_number() OVER (PARTITION BY role, period ORDER BY t, contest, panel.ln, pk, sk) / count(*) OVER (PARTITION BY role, period), 9) AS phase FROM panel")
 def phase_in_group(spark, d):
     return w.phase_in_group(panel(spark, d), ["role", "period"], ["t", "contest", "ln", "pk", "sk"]).withColumn("phase", F.round("phase", 9)).selectExpr(*KEY, "phase")

@@ -125,6 +125,35 @@ def test_boot_auc_over_ranges_with_a_hot_score_and_nulls(spark):
     assert causal.boot_auc(df.limit(0), "k", "p", "hit", 40).first().low is None
 
 
+def test_date_split_modes(spark):
+    rng = np.random.default_rng(4)
+    day = np.where(rng.random(200) < 0.5, 40, rng.integers(0, 90, 200))  # one date holds half of the contests
+    for frac in (0.0, 0.3, 0.55, 0.8, 1.0):
+        data = [(f"c{k:03d}", int(t)) for k, t in enumerate(day)] * 2
+        df = spark.createDataFrame([*data, ("none", None)], "c string, t int").repartition(5)
+        order = sorted(set(data), key=lambda r: (r[1], r[0]))
+        after = {c for c, _ in order[int(frac * len(order)) :]}
+        got = windows.date_split(df, "c", "t", frac, "row").collect()
+        assert len(got) == 401 and {r.c for r in got if r.test} == after and sum(r.test is None for r in got) == 1
+        cut = np.quantile(day, frac)
+        assert all(r.test == (r.t >= cut) for r in windows.date_split(df, "c", "t", frac, "quantile").collect() if r.t is not None)
+    assert windows.date_split(df.limit(0), "c", "t", 0.8, "row").count() == windows.date_split(df.limit(0), "c", "t", 0.8, "quantile").count() == 0
+    with pytest.raises(ValueError):
+        windows.date_split(df, "c", "t", 0.8, "other")
+
+
+def test_group_extremes_and_ties(spark):
+    df = spark.createDataFrame([("m", "a", 1.0), ("m", "b", 1.0), ("m", "c", 0.0), ("m", "d", 0.0), ("n", "a", None), ("n", "b", 2.0), ("n", None, 9.0), (None, "a", 9.0)], "m string, g string, s double")
+    assert sorted(map(tuple, metrics.group_extremes(df, "g", "m", "s").collect())) == [("m", "b", 1.0, "c", 0.0, 1.0), ("n", "b", 2.0, "b", 2.0, 0.0)]
+
+
+def test_driver_solves_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(models, "MOST_CELLS", 2)
+    df = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 2.0)], "a string, b string, y double")
+    with pytest.raises(ValueError):
+        models.fit_pair_ridge(df, "a", "b", "y", 1.0)
+
+
 def test_intervals_take_a_thousand_draws_of_whole_tables():
     from tallyard.plans import causal_queries as q
 
