@@ -160,12 +160,23 @@ def poisson_sql(a: str, b: str, rep: str) -> tuple[str, str, str]:
     return fifth(first), fifth(f"((y + {b}) % {PRIME})"), " + ".join(f"(x >= {int(c * PRIME)})::INT" for c in POISSON)
 
 
-def index_categories(df: DataFrame, col: str) -> DataFrame:
-    """(col, index): dense numbers from 0 in sorted order of the distinct values.
+def numbered(df: DataFrame, col: str, name: str) -> DataFrame:
+    """df with numbers from 0 in the order of a column, over all rows (no two rows may share a value).
 
-    The window runs over distinct values only.
+    Rows are sorted over tasks and stored with their task; counts by task say where each task's numbers start, and rows are numbered
+    within their task, so no task sees all of them.
     """
-    return df.select(col).filter(F.col(col).isNotNull()).distinct().withColumn("index", F.row_number().over(Window.orderBy(col)) - 1)
+    from tallyard.sources.readers import stored
+
+    rows = stored(df.repartitionByRange(col).withColumn("_task", F.spark_partition_id()), "numbered")
+    tasks = rows.groupBy("_task").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(Window.orderBy("_task")) - F.col("_c"))
+    inside = F.row_number().over(Window.partitionBy("_task").orderBy(col)) - 1
+    return rows.join(tasks.drop("_c"), "_task").withColumn(name, inside + F.col("_before")).drop("_task", "_before")
+
+
+def index_categories(df: DataFrame, col: str) -> DataFrame:
+    """(col, index): dense numbers from 0 in sorted order of the distinct values; nulls have none."""
+    return numbered(df.select(col).filter(F.col(col).isNotNull()).distinct(), col, "index")
 
 
 def zscore(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyard.functions.scalars import hash_uniform
+from tallyard.functions.scalars import hash_uniform, numbered
 
 
 def rank_split(df: DataFrame, time: str, frac: float, ties: list[str]) -> DataFrame:
@@ -50,15 +50,10 @@ def date_split(df: DataFrame, contest: str, time: str, frac: float, mode: str =
         return df.crossJoin(F.broadcast(cut)).withColumn("test", number(F.col(time)) >= edge).drop("_low", "_high", "_part")
     if mode != "row":
         raise ValueError(f"unknown mode {mode!r}")
-    from tallyard.sources.readers import stored
-
     before, number = F.col("_upto") - F.col("_n"), F.floor(F.col("_all") * frac)
     cut = run.filter((before <= number) & (F.col("_upto") > number)).select(F.col("_t").alias("_cut"), (number - before).alias("_k"))
     near = contests.join(F.broadcast(cut), F.col("_t") == F.col("_cut")).select(contest, "_k")
-    near = stored(near.repartitionByRange(contest).select(contest, "_k", F.spark_partition_id().alias("_task")), "split-date")
-    tasks = near.groupBy("_task", "_k").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(Window.orderBy("_task")) - F.col("_c"))
-    task = tasks.filter((F.col("_before") <= F.col("_k")) & (F.col("_before") + F.col("_c") > F.col("_k"))).select("_task", "_before")
-    inside = near.join(F.broadcast(task), "_task").withColumn("_r", F.row_number().over(Window.partitionBy("_task").orderBy(contest)) - 1 + F.col("_before"))
+    inside = numbered(near, contest, "_r")
     edge = cut.crossJoin(F.broadcast(inside.filter("_r = _k").agg(F.min(contest).alias("_key")))).agg(F.min("_cut").alias("_cut"), F.min("_key").alias("_key"))
     first = contests.select(F.col(contest).alias("_contest"), "_t").crossJoin(F.broadcast(edge))
     later = F.coalesce((F.col("_t") > F.col("_cut")) | ((F.col("_t") == F.col("_cut")) & (F.col("_contest") >= F.col("_key"))), F.lit(False))

@@ -142,6 +142,14 @@ def test_date_split_modes(spark):
         windows.date_split(df, "c", "t", 0.8, "other")
 
 
+def test_numbers_of_categories_over_many_tasks(spark):
+    values = [f"v{(k * 7919) % 3001:05d}" for k in range(3001)]
+    df = spark.createDataFrame([(v,) for v in [*values, *values[:50], None, ""]], "v string").repartition(7)
+    got = {r.v: r["index"] for r in s.index_categories(df, "v").collect()}
+    assert got == {v: k for k, v in enumerate(sorted({*values, ""}))}
+    assert s.index_categories(df.limit(0), "v").count() == 0
+
+
 def test_group_extremes_and_ties(spark):
     df = spark.createDataFrame([("m", "a", 1.0), ("m", "b", 1.0), ("m", "c", 0.0), ("m", "d", 0.0), ("n", "a", None), ("n", "b", 2.0), ("n", None, 9.0), (None, "a", 9.0)], "m string, g string, s double")
     assert sorted(map(tuple, metrics.group_extremes(df, "g", "m", "s").collect())) == [("m", "b", 1.0, "c", 0.0, 1.0), ("n", "b", 2.0, "b", 2.0, 0.0)]
