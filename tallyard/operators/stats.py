@@ -178,6 +178,8 @@ def pooled_slope(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def top_groups(df: DataFrame, group: str, y: str, k: int, min_n: int) -> DataFrame:
-    """The k groups with the highest median among those with min_n rows."""
-    med = df.groupBy(group).agg(F.count("*").alias("n"), F.percentile(y, F.lit(0.5)).alias("median")).filter(F.col("n") >= min_n)
+    """The k groups with the highest median among those with min_n rows; medians as in `quantiles`, so a large group is never one buffer."""
+    n = df.groupBy(group).agg(F.count("*").alias("n")).filter(F.col("n") >= min_n).alias("c")
+    median = quantiles(df, [group], y, [0.5]).alias("m")
+    med = n.join(median, F.col(f"c.{group}").eqNullSafe(F.col(f"m.{group}")), "left").select(f"c.{group}", "c.n", F.col("m.q50").alias("median"))
     return med.orderBy(F.desc("median"), group).limit(k)

@@ -23,6 +23,22 @@ def test_quantiles_against_numpy(spark, ranges, most, monkeypatch):
     assert stats.quantiles(df.filter("false"), ["g"], "y", [0.5]).count() == 0
 
 
+@pytest.mark.parametrize("most", [4096, 2])
+def test_top_groups_against_numpy(spark, most, monkeypatch):
+    """A hot group, a null one, ties (the smaller name first), one below min_n, and one without values, which comes last."""
+    monkeypatch.setattr(stats, "RANGES", 4)
+    monkeypatch.setattr(stats, "SORTED", most)
+    rng = random.Random(3)
+    groups = {"hot": [rng.gauss(0, 1) for _ in range(120)], None: [rng.gauss(5, 1) for _ in range(31)], "a": [2.0] * 5, "b": [1.0, 2.0, 2.0, 9.0], "few": [50.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("void", None)] * 4 + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, y double").repartition(3)
+    got = [(r["g"], r["n"], r["median"]) for r in stats.top_groups(df, "g", "y", 5, 4).collect()]
+    assert [(g, n) for g, n, _ in got] == [(None, 31), ("a", 6), ("b", 4), ("hot", 120), ("void", 4)]
+    assert np.allclose([m for *_, m in got[:-1]], [np.median(groups[g]) for g, *_ in got[:-1]], rtol=1e-12) and got[-1][2] is None
+    assert [r["g"] for r in stats.top_groups(df, "g", "y", 2, 4).collect()] == [None, "a"]
+    assert stats.top_groups(df.filter("false"), "g", "y", 3, 1).count() == 0
+
+
 def test_phases_against_one_window(spark):
     rng = random.Random(2)
     rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2, 3, None]), k) for k in range(80)]
