@@ -50,8 +50,8 @@ def match_json(spark, d):
 def flatten_contests(spark, d):
     matches, timelines = match_json(spark, d)
     root = folder(spark, "json")
-    matches.write.text(f"{root}/matches")
-    timelines.write.text(f"{root}/timelines")
+    r.write_lines(matches, f"{root}/matches")
+    r.write_lines(timelines, f"{root}/timelines")
     return r.read_contests(spark, f"{root}/matches", f"{root}/timelines").select("match_id", "puuid", "champion", "team_id", "win", "gold10", "cs14")
 
 

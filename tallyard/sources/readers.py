@@ -40,6 +40,11 @@ def read_csvs(spark: SparkSession, paths: list[str] | str, schema: str) -> DataF
     return spark.read.schema(schema).option("header", True).csv(paths)
 
 
+def write_lines(df: DataFrame, path: str) -> None:
+    """A column of text as lines, compressed; spark.read reads them by their names."""
+    df.write.option("compression", "gzip").text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
@@ -56,13 +61,13 @@ def flatten_contests(matches: DataFrame, timelines: DataFrame, minutes: tuple[in
     """One row per participant, with gold, experience and creeps at the given minutes (or the last frame before them)."""
     people = matches.select(F.col("metadata.matchId").alias("match_id"), F.col("info.queueId").alias("queue"), F.col("info.gameDuration").alias("duration"), F.col("info.gameVersion").alias("version"), F.col("info.gameCreation").alias("game_creation"), F.explode("info.participants").alias("p"))
     flat = people.select("match_id", "queue", "duration", "version", "game_creation", F.col("p.participantId").alias("pid"), F.col("p.puuid").alias("puuid"), F.col("p.championName").alias("champion"), F.col("p.teamId").alias("team_id"), F.col("p.teamPosition").alias("team_position"), F.col("p.win").cast("int").alias("win"), F.col("p.kills").alias("kills"), F.col("p.deaths").alias("deaths"), F.col("p.assists").alias("assists"))
-    frames = timelines.select(F.col("metadata.matchId").alias("match_id"), F.col("info.frames").alias("frames"))
-    joined = flat.join(frames, "match_id", "left")
+    # Only the wanted frames meet the participants.  get() gives null beyond the ends, so an empty timeline leaves nulls.
+    frames = [F.get("info.frames", F.least(F.lit(m), F.size("info.frames") - 1))["participantFrames"].alias(f"_frame{m}") for m in minutes]
+    joined = flat.join(timelines.select(F.col("metadata.matchId").alias("match_id"), *frames), "match_id", "left")
     for m in minutes:
-        # get() gives null beyond the ends, so an empty timeline leaves nulls.
-        at = F.get("frames", F.least(F.lit(m), F.size("frames") - 1))["participantFrames"][F.col("pid").cast("string")]
+        at = F.col(f"_frame{m}")[F.col("pid").cast("string")]
         joined = joined.withColumn(f"gold{m}", at["totalGold"]).withColumn(f"xp{m}", at["xp"]).withColumn(f"cs{m}", at["minionsKilled"] + at["jungleMinionsKilled"])
-    return joined.drop("frames", "pid")
+    return joined.drop("pid", *[f"_frame{m}" for m in minutes])
 
 
 def read_contests(spark: SparkSession, match_path: str, timeline_path: str, minutes: tuple[int, ...] = (10, 14)) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hand-made frames for edges, invariants of operators that SQL does not check."""
 
+import json
 import math
 
 import numpy as np
@@ -384,3 +385,18 @@ def test_sources(spark, tmp_path):
 def test_entropy_of_one_item(spark):
     r = stats.concentration(spark.createDataFrame([("g", "a")] * 3, "g string, i string"), ["g"], "i").first()
     assert (r.entropy, r.effective_pool, r.top_share) == (0.0, 1.0, 1.0) and math.isclose(r.n, 3)
+
+
+def test_contests_lie_compressed_and_move_only_wanted_frames(spark, tmp_path):
+    who = lambda k: {"participantId": k, "puuid": f"p{k}", "championName": "c", "teamId": 100, "teamPosition": "MID", "win": True, "kills": 1, "deaths": 2, "assists": 3}
+    frame = lambda m: {"participantFrames": {str(k): {"totalGold": 10 * k + m, "xp": m, "minionsKilled": m, "jungleMinionsKilled": 1} for k in (1, 2)}}
+    matches = [json.dumps({"metadata": {"matchId": i}, "info": {"participants": [who(1), who(2)]}}) for i in ("a", "b", "c", "d")]
+    timelines = [json.dumps({"metadata": {"matchId": i}, "info": {"frames": [frame(m) for m in range(n)]}}) for i, n in (("a", 20), ("b", 12), ("c", 0))]
+    for name, lines in (("m", matches), ("t", timelines)):
+        readers.write_lines(spark.createDataFrame([(x,) for x in lines], "value string"), f"file://{tmp_path}/{name}")
+    assert {p.suffix for n in "mt" for p in (tmp_path / n).glob("part-*")} == {".gz"}
+    got = readers.read_contests(spark, f"file://{tmp_path}/m", f"file://{tmp_path}/t")
+    want = {"a": (20, 24, 15), "b": (20, 21, 12), "c": (None, None, None), "d": (None, None, None)}  # of participant 1
+    assert rows(got.filter("puuid = 'p1'").select("match_id", "gold10", "gold14", "cs14")) == sorted([(i, *v) for i, v in want.items()], key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "info.frames" not in plan.split("Join")[0]  # above the join
