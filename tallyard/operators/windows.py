@@ -137,6 +137,13 @@ def blend(a: DataFrame, b: DataFrame, keys: list[str], value: str, alpha: float)
     return a.join(other, keys).select(*keys, (alpha * F.col(value) + (1 - alpha) * F.col("_b")).alias(value))
 
 
+def local_maxima(df: DataFrame, series: str, frame: str, value: str, least: float) -> DataFrame:
+    """Frames of at least `least` above both neighbours; a plateau has none (peaks counts its middle)."""
+    w = Window.partitionBy(series).orderBy(frame)
+    tops = df.withColumn("_l", F.lag(value).over(w)).withColumn("_r", F.lead(value).over(w)).filter((F.col(value) > F.col("_l")) & (F.col(value) > F.col("_r")) & (F.col(value) >= least))
+    return tops.select(F.col(series).alias("series"), F.col(frame).cast("long").alias("frame"), F.col(value).cast("double").alias("value"))
+
+
 def peaks(df: DataFrame, series: str, frame: str, value: str, least: float, gap: int) -> DataFrame:
     """Local maxima of at least `least`, `gap` frames apart, strongest first; a plateau counts at its middle."""
     import numpy as np

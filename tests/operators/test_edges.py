@@ -1,5 +1,6 @@
 """Hand-made frames for edges, invariants of operators that SQL does not check."""
 
+import datetime
 import json
 import math
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyard.functions import scalars as s
 from tallyard.operators import causal, events, metrics, models, pairing, sequence, shift, stats, windows
+from tallyard.plans import window_queries
 from tallyard.sources import readers
 
 
@@ -400,3 +402,11 @@ def test_contests_lie_compressed_and_move_only_wanted_frames(spark, tmp_path):
     assert rows(got.filter("puuid = 'p1'").select("match_id", "gold10", "gold14", "cs14")) == sorted([(i, *v) for i, v in want.items()], key=str)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "info.frames" not in plan.split("Join")[0]  # above the join
+
+
+def test_a_plateau_is_no_local_maximum(spark, tmp_path):
+    """Two hours of one level: the SQL's strict comparison leaves both out."""
+    at = lambda h: datetime.datetime(2024, 1, 1, h)
+    data = [(7, at(h), v) for h, v in enumerate([1.0, 40.5, 40.5, 1.0, 30.0, 2.0, 19.0, 3.0])]
+    spark.createDataFrame(data, "user_id long, ts timestamp, value double").write.parquet(f"file://{tmp_path}/events.parquet")
+    assert rows(window_queries.local_maxima(spark, f"file://{tmp_path}")) == [(7, 4, 30.0)]
