@@ -56,9 +56,9 @@ def near_pairs(a: DataFrame, b: DataFrame, key: str, at: str, d: float, names: l
     return left.join(right, hit).drop("_bucket", "_k", "_b")
 
 
-def at_offset(frames: DataFrame, keys: list[str], index: str, value: str, m: int) -> DataFrame:
-    """The value at index m, or at the last index before it."""
-    return frames.filter(F.col(index) <= m).groupBy(*keys).agg(F.max_by(value, index).alias(value))
+def at_offset(frames: DataFrame, keys: list[str], index: str, value: str, m: int, order: str | None = None) -> DataFrame:
+    """The value at index m, or at the last index before it; order: the column whose greatest value is last, if not index."""
+    return frames.filter(F.col(index) <= m).groupBy(*keys).agg(F.max_by(value, order or index).alias(value))
 
 
 def with_grid(df: DataFrame, grid: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def near(spark, d):
 @query("J11_at_offset", "SELECT l_orderkey, max_by(l_quantity, (l_linenumber * 1000000 + l_partkey) * 100 + l_quantity) AS qty FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1")
 def at_offset(spark, d):
     li = table(spark, d, "lineitem").withColumn("at", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 100 + F.col("l_quantity"))
-    return j.at_offset(li, ["l_orderkey"], "at", "l_quantity", 399999999).withColumnRenamed("l_quantity", "qty")
+    return j.at_offset(li, ["l_orderkey"], "l_linenumber", "l_quantity", 3, "at").withColumnRenamed("l_quantity", "qty")
 
 
 @query("J12_with_grid", f"WITH {PANEL}, g AS (SELECT unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE]) AS cut) SELECT cut, count(*) AS n, round(avg(CASE WHEN p > cut THEN 1.0 ELSE 0.0 END), 6) AS above FROM panel, g GROUP BY 1")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyard.functions import scalars as s
 from tallyard.operators import causal, events, metrics, models, pairing, sequence, shift, stats, windows
-from tallyard.plans import window_queries
+from tallyard.plans import join_queries, window_queries
 from tallyard.sources import readers
 
 
@@ -404,6 +404,13 @@ def test_contests_lie_compressed_and_move_only_wanted_frames(spark, tmp_path):
     assert "info.frames" not in plan.split("Join")[0]  # above the join
 
 
+def test_at_offset_with_an_order_of_its_own(spark, tmp_path):
+    """Part keys of a million and more spill into the line number's place in the order, and cut no line off."""
+    lines = [(1, 1, 5, 7.0), (1, 3, 1_200_000, 8.0), (1, 4, 9, 9.0), (2, 2, 1_500_000, 1.0), (2, 3, 100, 2.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    assert rows(join_queries.at_offset(spark, f"file://{tmp_path}")) == [(1, 8.0), (2, 1.0)]
+
+
 def test_a_plateau_is_no_local_maximum(spark, tmp_path):
     """Two hours of one level: the SQL's strict comparison leaves both out."""
     at = lambda h: datetime.datetime(2024, 1, 1, h)
