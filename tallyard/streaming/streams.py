@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +46,7 @@ class TrailingLevel(StatefulProcessor):
         found = pd.concat(list(rows)).sort_values("start", ignore_index=True)
         level = []
         for rate in found["rate"]:
-            level.append(sum(held) / len(held) if held else None)
+            level.append(reduce(add, held) / len(held) if held else None)  # one after the other, as a window's mean: sum() would compensate
             held = [*held, rate][-self.back :]
         self.rates.put([(float(v),) for v in held])
         found["level"] = pd.Series(level, dtype="float64")

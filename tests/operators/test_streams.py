@@ -1,8 +1,10 @@
 """Streams that are cut off, resumed and fed out of order; merges that are repeated and interrupted."""
 
 import datetime
+import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,25 @@ def test_alarms_equal_their_batch_twin(spark, tmp_path):
         want = [(r["start"], round(r["level"], 9) if r["level"] is not None else None, r["alarm"]) for r in st.alarms(own, 4, 0.2).orderBy("start").collect()]
         mine = [(r["start"], round(r["level"], 9) if r["level"] is not None else None, r["alarm"]) for r in got.filter(F.col("monitor") == m).orderBy("start").collect()]
         assert len(want) - 2 <= len(mine) < len(want) + 1 and mine == want[: len(mine)] and any(a for _, _, a in mine)
+
+
+def test_levels_are_plain_means(spark):
+    """Rates are added one after the other, as the SQL's window does: a compensated sum rounds otherwise at the sixth digit."""
+
+    class Held:
+        def get(self):
+            return [(v,) for v in RATES]
+
+        def put(self, held):
+            self.held = held
+
+    level = st.TrailingLevel(8, 0.05)
+    level.rates = Held()
+    out = next(level.handleInputRows(("m",), [pd.DataFrame({"monitor": ["m"], "start": [0], "end": [1], "n": [1], "rate": [0.5]})], None))
+    plain = 0.0
+    for v in RATES:
+        plain = plain + v
+    assert out["level"][0] == plain / len(RATES) != math.fsum(RATES) / len(RATES)
+
+
+RATES = [0.1] * 8
