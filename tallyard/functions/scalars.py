@@ -120,41 +120,66 @@ def seed_pair(seed, key) -> tuple[Column, Column]:
     return tuple(F.conv(F.substring(text, at, 8), 16, 10).cast("long") % PRIME for at in (1, 9))
 
 
-def with_poisson_weight(df, a: str, b: str, rep: str, name: str):
-    """df with how often draw rep takes what the pair (a, b) stands for: a Poisson number of mean 1, by integer arithmetic alone;
-    rows of weight 0 are left out.
-
-    Each step stands in a generator of one element: merged into one expression, the steps would be worked out again for
-    every place that names them.
-    """
-    def step(rows, column: str, value):
-        return rows.withColumn(column, F.explode(F.array(value)))
-
-    x, square = F.col("_draw"), F.col("_draw_square")
-    rows = step(df, "_draw", (F.col(a) + F.col(rep) * 1000003) % PRIME)
-    rows = step(rows, "_draw_square", x * x % PRIME)
-    rows = step(rows, "_draw", (square * square % PRIME * x % PRIME + F.col(b)) % PRIME)
-    rows = step(rows, "_draw_square", x * x % PRIME)
-    rows = step(rows, "_draw", square * square % PRIME * x % PRIME).filter(x >= int(POISSON[0] * PRIME))
-    weight = sum((F.when(x >= int(c * PRIME), 1.0).otherwise(0.0) for c in POISSON[1:]), F.lit(1.0))
-    return step(rows, name, weight).drop("_draw", "_draw_square")
+#: Weights that are worked out at once: some arrays of so many numbers stay in a core's cache.
+WEIGHTS = 32_000
 
 
 def poisson_weights(a, b, reps: int):
-    """with_poisson_weight for arrays of pairs and draws 0 to reps - 1, weights of 0 included: (pairs, reps)."""
-    import numpy as np
+    """How often draws 0 to reps - 1 take what the pairs (a, b) stand for: Poisson numbers of mean 1, by integer arithmetic alone; (pairs, reps), bytes.
 
-    def fifth(x):
-        square = x * x % PRIME
-        return square * square % PRIME * x % PRIME
+    A draw's number is ((a + draw * 1000003)^5 + b)^5 modulo PRIME, which is 2^31 - 1: what lies above the 31st bit is added to what
+    lies below, and only the last number must be the remainder itself.
+    """
+    import numpy as np
 
-    x = fifth((a[:, None] + np.arange(reps, dtype=np.int64) * 1000003) % PRIME)
-    x = fifth((x + b[:, None]) % PRIME)
-    return np.searchsorted(np.array([int(c * PRIME) for c in POISSON]), x, "right").astype(float)
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+    cuts = [int(c * PRIME) for c in POISSON]
+
+    def fold(x, other):  # below 2^62: to 2^32 - 2 at most; below 2^64: to less than 5 * 2^31
+        np.right_shift(x, bits, out=other)
+        np.bitwise_and(x, prime, out=x)
+        np.add(x, other, out=x)
+
+    def less(x, other):  # one prime less where there is one; without one the difference wraps round to a large number
+        np.subtract(x, prime, out=other)
+        np.minimum(x, other, out=x)
+
+    def fifth(x, square, other):  # x a little above 2^31 at most
+        np.multiply(x, x, out=square)
+        fold(square, other)
+        less(square, other)
+        np.multiply(square, square, out=square)
+        fold(square, other)
+        np.multiply(x, square, out=x)
+        fold(x, other)
+
+    steps = np.arange(reps, dtype=np.uint64) * np.uint64(1000003) % prime
+    a, b = (np.asarray(v).astype(np.uint64)[:, None] for v in (a, b))
+    weights = np.zeros((len(a), reps), np.uint8)
+    rows = max(1, WEIGHTS // max(1, reps))
+    whole = [np.empty((rows, reps), t) for t in (np.uint64, np.uint64, np.uint64, np.int32, bool)]
+    for lo in range(0, len(a), rows):
+        own = weights[lo : lo + rows]
+        x, square, other, draw, hit = (w[: len(own)] for w in whole)
+        np.add(a[lo : lo + rows], steps, out=x)
+        less(x, other)
+        fifth(x, square, other)
+        np.add(x, b[lo : lo + rows], out=x)
+        fold(x, other)
+        fifth(x, square, other)
+        fold(x, other)
+        less(x, other)
+        draw[...] = x
+        for c in cuts:
+            np.greater_equal(draw, c, out=hit)
+            if not hit.any():
+                break
+            np.add(own, hit.view(np.uint8), out=own)
+    return weights
 
 
 def poisson_sql(a: str, b: str, rep: str) -> tuple[str, str, str]:
-    """with_poisson_weight in three steps: y, x from y, and the weight from x."""
+    """poisson_weights in three steps: y, x from y, and the weight from x."""
     fifth = lambda x: f"(({x} * {x} % {PRIME}) * ({x} * {x} % {PRIME}) % {PRIME} * {x} % {PRIME})"
     first = f"(({a} + CAST({rep} AS BIGINT) * 1000003) % {PRIME})"
     return fifth(first), fifth(f"((y + {b}) % {PRIME})"), " + ".join(f"(x >= {int(c * PRIME)})::INT" for c in POISSON)

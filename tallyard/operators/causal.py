@@ -9,22 +9,81 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyard.functions.scalars import poisson_weights, seed_pair, with_poisson_weight
+from tallyard.functions.scalars import poisson_weights, seed_pair
 
 from .stats import quantiles
 
 
-def resampled(per: DataFrame, cluster: str, values: list[str], reps: int, seed, by: list[str] = ()) -> DataFrame:
-    """(rep, by, values): the sums of each draw, in which every cluster weighs a Poisson number of mean 1.
+#: Rows that are weighed at once, and groups whose sums a task holds before it hands them on.
+WEIGHED = 128
+OPEN_GROUPS = 64
 
-    per: rows summed beforehand (a row or a few for each cluster).  A row meets its draws in a generator and its weights
-    come from a hash, so there is no join and no numbering of clusters; tasks fold their rows into one row per draw before
-    the shuffle.
+
+class Sums:
+    """The sums of one group for each draw; seen: whether a draw has taken a value at all."""
+
+    def __init__(self, key: list[pa.Array], values: int, draws: int):
+        self.key, self.rows = key, 0
+        self.sums, self.seen = np.zeros((values, draws)), np.zeros((values, draws), bool)
+
+    def add(self, v: np.ndarray, known: np.ndarray, weight: np.ndarray) -> None:
+        """v, known: (rows, values); weight: (rows, draws)."""
+        finite = np.isfinite(v)
+        self.rows += len(v)
+        self.sums += np.where(known & finite, v, 0.0).T @ weight
+        for row, k in np.argwhere(known & ~finite):  # these count in the draws that take them alone
+            taken = weight[row] > 0
+            self.sums[k, taken] += weight[row, taken] * v[row, k]
+        if not self.seen.all():
+            self.seen |= known.T.astype(float) @ weight > 0
+
+
+def resampled(per: DataFrame, cluster: str, values: list[str], reps: int, seed, by: list[str] = (), whole: bool = False) -> DataFrame:
+    """(rep, by, values): the sums of each draw, in which every cluster weighs a Poisson number of mean 1; null where a draw takes no value.
+
+    per: rows summed beforehand (a row or a few for each cluster).  Weights come from a hash, so there is no join and no numbering of
+    clusters; a task multiplies blocks of rows with the weights of all draws and hands on one row for each draw and group.
+    whole: a row more, rep -1, in which every row weighs 1, and a column rows, how many rows of per it has (null in the draws).
     """
     a, b = seed_pair(seed, cluster)
     rows = per.select(*by, a.alias("_a"), b.alias("_b"), *[F.col(v).cast("double").alias(v) for v in values])
-    rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
-    return with_poisson_weight(rows, "_a", "_b", "rep", "_w").groupBy("rep", *by).agg(*[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values])
+    first = -1 if whole else 0
+    draws = np.arange(first, reps, dtype=np.int64)
+
+    def walk(batches):
+        held: dict[tuple, Sums] = {}
+        buffer = np.ones((WEIGHED, len(draws)))
+
+        def out():
+            for own in held.values():
+                cells = [pa.array(x, mask=~k) for x, k in zip(own.sums, own.seen)]
+                counts = pa.array(np.where(draws < 0, own.rows, 0), mask=draws >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(draws), *[pa.concat_arrays([k] * len(draws)) for k in own.key], *cells, counts], names=["rep", *by, *values, "rows"])
+            held.clear()
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, WEIGHED):
+                part = batch.slice(lo, WEIGHED)
+                v = np.column_stack([part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in values])
+                known = np.column_stack([~part.column(c).is_null().to_numpy(zero_copy_only=False) for c in values])
+                weight = buffer[: len(v)]
+                weight[:, -first:] = poisson_weights(*(part.column(c).to_numpy(zero_copy_only=False) for c in ("_a", "_b")), reps)
+                codes = np.column_stack([np.zeros(len(v), int), *[part.column(c).dictionary_encode().indices.fill_null(-1).to_numpy() for c in by]])
+                _, firsts, of = np.unique(codes, axis=0, return_index=True, return_inverse=True)
+                for k, at in enumerate(map(int, firsts)):
+                    own = np.flatnonzero(of.ravel() == k) if len(firsts) > 1 else slice(None)
+                    name = tuple(part.column(c)[at].as_py() for c in by)
+                    if name not in held:
+                        if len(held) >= OPEN_GROUPS:
+                            yield from out()
+                        held[name] = Sums([part.column(c).slice(at, 1) for c in by], len(values), len(draws))
+                    held[name].add(v[own], known[own], weight[own])
+        yield from out()
+
+    kinds = dict(per.dtypes)
+    schema = ", ".join(["rep long", *[f"`{c}` {kinds[c]}" for c in by], *[f"`{c}` double" for c in values], "rows long"])
+    out = rows.mapInArrow(walk, schema).groupBy("rep", *by).agg(*[F.sum(v).alias(v) for v in values], F.sum("rows").alias("rows"))
+    return out if whole else out.drop("rows")
 
 
 def interval(draws: DataFrame, value, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -32,11 +91,17 @@ def interval(draws: DataFrame, value, low: float = 0.025, high: float = 0.975) -
     return draws.select(value.alias("_v")).agg(F.percentile("_v", F.lit(low)).alias("low"), F.percentile("_v", F.lit(high)).alias("high"))
 
 
+def boot_parts(parts: DataFrame, cluster, a: str, b: str, reps: int, seed, low: float, high: float) -> DataFrame:
+    """boot_ratio of rows that hold the sums a and b of a cluster each: the estimate and the draws come from one pass."""
+    ratio, drawn = F.try_divide(a, b), F.col("rep") >= 0
+    percentile = lambda q: F.percentile(F.when(drawn, ratio), F.lit(q))
+    found = resampled(parts, cluster, [a, b], reps, seed, whole=True)
+    return found.agg(F.max(F.when(~drawn, ratio)).alias("estimate"), F.coalesce(F.max("rows"), F.lit(0)).alias("n_clusters"), percentile(low).alias("low"), percentile(high).alias("high"))
+
+
 def boot_ratio(df: DataFrame, cluster: str, a: str, b: str, reps: int = 1000, seed="boot", low: float = 0.025, high: float = 0.975) -> DataFrame:
     """One row: estimate sum(a) / sum(b), and its percentile interval over Poisson draws of clusters."""
-    parts = df.groupBy(cluster).agg(F.sum(a).alias("_x"), F.sum(b).alias("_y"))
-    est = parts.agg(F.try_divide(F.sum("_x"), F.sum("_y")).alias("estimate"), F.count("*").alias("n_clusters"))
-    return est.crossJoin(F.broadcast(interval(resampled(parts, cluster, ["_x", "_y"], reps, seed), F.try_divide("_x", "_y"), low, high)))
+    return boot_parts(df.groupBy(cluster).agg(F.sum(a).alias("_x"), F.sum(b).alias("_y")), cluster, "_x", "_y", reps, seed, low, high)
 
 
 def boot_mean(df: DataFrame, cluster: str, v: str, reps: int = 1000, seed="boot", low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -77,7 +142,11 @@ def boot_auc(df: DataFrame, cluster: str, score: str, label: str, reps: int, see
                 a, b, p, q = (part.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "_p", "_q"))
                 weight = poisson_weights(a, b, reps)
                 starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                ps, qs = (np.add.reduceat(v[:, None] * weight, starts, axis=0) for v in (p, q))
+                if len(starts) <= 64:  # few scores: a product each
+                    sums = [np.stack([p[i:j], q[i:j]]) @ weight[i:j].astype(float) for i, j in zip(starts, [*starts[1:], len(code)])]
+                    ps, qs = (np.array([s[k] for s in sums]) for k in (0, 1))
+                else:
+                    ps, qs = (np.add.reduceat(v[:, None] * weight, starts, axis=0) for v in (p, q))
                 if last is not None and code[0] == last:
                     ps[0] += p_open
                     qs[0] += q_open

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyard.functions.scalars import hash_uniform
 
-from .causal import boot_mean
+from .causal import boot_mean, boot_parts
 
 
 def split_half(df: DataFrame, key: list[str], unit: str, y: str, min_n: int, seed) -> DataFrame:
@@ -23,6 +23,8 @@ def metric_interval(df: DataFrame, cluster: str, value: str, reps: int, seed, ar
     return boot_mean(per, cluster, "_v", reps, seed, 0.05, 0.95).withColumn("inside", (F.col("low") <= around) & (F.col("high") >= around))
 
 
-def row_interval(df: DataFrame, row: str, hit: str, reps: int, seed) -> DataFrame:
-    """The interval of a hit rate over draws of rows."""
-    return boot_mean(df, row, hit, reps, seed)
+def row_interval(df: DataFrame, row: list[str], hit: str, reps: int, seed) -> DataFrame:
+    """The interval of a hit rate over draws of rows; row: the columns that name a row, which are grouped as they are and written out for the hash alone."""
+    parts = df.filter(F.col(hit).isNotNull()).groupBy(*row).agg(F.sum(hit).alias("_x"), F.count("*").cast("double").alias("_y"))
+    named = parts.select(F.concat_ws("|", *[F.col(k).cast("string") for k in row]).alias("_row"), "_x", "_y")
+    return boot_parts(named, "_row", "_x", "_y", reps, seed, 0.025, 0.975)

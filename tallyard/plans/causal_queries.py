@@ -76,8 +76,7 @@ def metric_interval(spark, d):
 
 @query("R6_row_interval", f"WITH {PANEL}, pa AS (SELECT contest || '|' || panel.ln || '|' || pk || '|' || sk AS id, sum(win) AS v, sum(1.0::DOUBLE) AS n FROM panel GROUP BY 1), {boot_sql('pa', 'id', 'v', 'n', 'r6', 0.025, 0.975)} SELECT round((SELECT sum(v) / sum(n) FROM pa), 6) AS estimate, (SELECT count(*) FROM pa) AS n_clusters, round(low, 6) AS low, round(high, 6) AS high FROM ci")
 def row_interval(spark, d):
-    p = panel(spark, d).withColumn("row", F.concat_ws("|", *[F.col(k).cast("string") for k in ("contest", "ln", "pk", "sk")]))
-    return rs.row_interval(p, "row", "win", REPS, "r6").select(r("estimate"), "n_clusters", r("low"), r("high"))
+    return rs.row_interval(panel(spark, d), ["contest", "ln", "pk", "sk"], "win", REPS, "r6").select(r("estimate"), "n_clusters", r("low"), r("high"))
 
 
 WITHIN = PANEL + """, ps AS (SELECT entity, count(*) AS rows, count(p) AS n, sum(p) AS sx, sum(y) AS sy, sum(p * y) AS sxy, sum(p * p) AS sxx FROM panel GROUP BY 1), pt AS (SELECT n, sxy - sx * sy / n AS num, sxx - sx * sx / n AS den FROM ps WHERE rows >= 10 AND n >= 2)"""

@@ -110,6 +110,36 @@ def test_bootstraps_against_brute_force(spark):
     assert np.allclose([got.low, got.high], ends(wins))
 
 
+def test_weights_are_the_numbers_of_the_formula():
+    """Bytes, worked out in blocks, at the ends of the range too; draws whose step passes the prime."""
+    ends = [0, 1, s.PRIME - 1, s.PRIME - 2, 12345]
+    pairs = [(a, b) for a in ends for b in ends]
+    a, b = (np.array(v) for v in zip(*pairs))
+    got = s.poisson_weights(a, b, 2200)
+    cuts = [int(c * s.PRIME) for c in s.POISSON]
+    for row, (x, y) in zip(got, pairs):
+        for rep in (0, 1, 999, 2147, 2148, 2199):
+            n = pow((pow((x + rep * 1000003) % s.PRIME, 5, s.PRIME) + y) % s.PRIME, 5, s.PRIME)
+            assert row[rep] == sum(n >= c for c in cuts)
+    assert got.dtype == np.uint8
+
+
+def test_resampled_groups_nulls_and_non_finite_values(spark, monkeypatch):
+    """A group of nulls, more groups than a task holds open, values that are null or infinite, and the row of weight 1."""
+    monkeypatch.setattr(causal, "OPEN_GROUPS", 2)
+    data = [(k, (None, "a", "b", "c")[k % 4], None if k % 5 == 0 else float("inf") if k == 7 else float(k)) for k in range(60)] + [(99, "void", None)]
+    df = spark.createDataFrame(data, "k int, g string, v double").repartition(3)
+    w = poisson("x", [r[0] for r in data], 20)
+    got = {(r.rep, r.g): (r.v, r.rows) for r in causal.resampled(df, "k", ["v"], 20, "x", ["g"], whole=True).collect()}
+    assert len(got) == 21 * 5
+    for g in (None, "a", "b", "c", "void"):
+        own = [(i, r[2]) for i, r in enumerate(data) if r[1] == g]
+        for rep in range(-1, 20):
+            taken = [(w[rep, i] if rep >= 0 else 1, v) for i, v in own if v is not None and (rep < 0 or w[rep, i])]
+            want = sum(n * v for n, v in taken) if taken else None
+            assert got[rep, g][0] == want and got[rep, g][1] == (len(own) if rep < 0 else None)
+
+
 def test_boot_auc_over_ranges_with_a_hot_score_and_nulls(spark):
     rng = np.random.default_rng(11)
     scores = [None, float("nan"), -0.0, 0.0, *rng.normal(size=300).tolist()]
