@@ -1,12 +1,14 @@
 """Many logistic fits side by side, and forward tests that fit each event's past.
 
-A row names the fits that it trains.  Every Newton round is one pass: rows meet their fits in a generator and fold into
-one row of gradient and curvature sums for each fit before the shuffle; the driver solves systems as wide as the columns.
+A row names the fits that it trains.  Every Newton round is one pass: a task adds up loss, gradient and curvature of each fit
+by products of matrices and hands on one row for each fit; the driver solves systems as wide as the columns.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,30 @@ def theta_table(spark, theta: dict[int, np.ndarray]) -> DataFrame:
     return spark.createDataFrame([(int(k), [float(c) for c in v]) for k, v in theta.items()], "fit int, theta array<double>")
 
 
+def newton_sums(batches, xs: list[str], y: str, theta: dict[int, np.ndarray], names: list[str]):
+    """For each fit of theta that the rows train: loss, gradient, and the upper half of the curvature, at its coefficients."""
+    held: dict[int, np.ndarray] = {}
+    upper = np.triu_indices(len(xs) + 1)
+    for batch in batches:
+        x = np.column_stack([np.ones(batch.num_rows), *[batch.column(c).to_numpy(zero_copy_only=False) for c in xs]])
+        label, lists = batch.column(y).to_numpy(zero_copy_only=False), batch.column("fits")
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+        for k in np.unique(flat).tolist():
+            if k not in theta:
+                continue
+            own = row[flat == k]
+            mine, z = x[own], x[own] @ theta[k]
+            with np.errstate(over="ignore"):
+                p = 1 / (1 + np.exp(-z))
+            loss = (np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))) - label[own] * z).sum()
+            found = np.concatenate([[loss], mine.T @ (label[own] - p), (mine.T @ (mine * (p * (1 - p))[:, None]))[upper]])
+            held[k] = held[k] + found if k in held else found
+    if held:
+        table = np.array(list(held.values()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), *map(pa.array, table.T)], names=["fit", *names])
+
+
 def logistic_fits(rows: DataFrame, fits: str, n_fits: int, xs: list[str], y: str, lam: float = 0.0, rounds: int = 30, tol: float = 1e-9) -> dict[int, np.ndarray]:
     """Intercept and coefficients of each fit 0 .. n_fits - 1 that has rows; lam: the ridge on the coefficients, half of its square.
 
@@ -43,22 +69,19 @@ def logistic_fits(rows: DataFrame, fits: str, n_fits: int, xs: list[str], y: str
     """
     if n_fits > MOST_FITS:
         raise ValueError(f"{n_fits} fits: more than {MOST_FITS} side by side")
-    spark, width = rows.sparkSession, len(xs) + 1
-    long = rows.dropna(subset=[*xs, y]).select(F.explode(fits).alias("fit"), *[F.col(c).cast("double").alias(c) for c in (*xs, y)])
+    width = len(xs) + 1
+    ready = rows.dropna(subset=[*xs, y]).select(F.col(fits).cast("array<int>").alias("fits"), *[F.col(c).cast("double").alias(c) for c in (*xs, y)])
+    cells = [(i, j) for i in range(width) for j in range(i, width)]
+    sums = ["loss", *[f"g{i}" for i in range(width)], *[f"h{i}_{j}" for i, j in cells]]
     theta = {k: np.zeros(width) for k in range(n_fits)}
     before = dict(theta)
     best = {k: np.inf for k in theta}
     open_ = set(theta)
-    one = [F.lit(1.0), *map(F.col, xs)]
     ridge = np.diag([0.0] + [lam] * len(xs))
     for _ in range(rounds):
-        live = theta_table(spark, {k: theta[k] for k in open_})
-        z = linear(F.col("theta"), xs)
-        at = long.join(F.broadcast(live), "fit").select("fit", *xs, y, z.alias("_z"), sigmoid(z).alias("_p"))
-        loss = F.sum(F.greatest("_z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("_z"))) - F.col(y) * F.col("_z")).alias("loss")
-        grad = [F.sum((F.col(y) - F.col("_p")) * x).alias(f"g{i}") for i, x in enumerate(one)]
-        curve = [F.sum(F.col("_p") * (1 - F.col("_p")) * one[i] * one[j]).alias(f"h{i}_{j}") for i in range(width) for j in range(i, width)]
-        found = {r["fit"]: r for r in at.groupBy("fit").agg(loss, *grad, *curve).collect()}
+        live = {k: theta[k] for k in open_}
+        passed = ready.mapInArrow(lambda batches, live=live: newton_sums(batches, xs, y, live, sums), ", ".join(["fit int", *[f"{c} double" for c in sums]]))
+        found = {r["fit"]: r for r in passed.groupBy("fit").agg(*[F.sum(c).alias(c) for c in sums]).collect()}
         for k in [k for k in open_ if k not in found]:
             open_.discard(k)
             del theta[k]

@@ -100,19 +100,27 @@ def lr_cv(df: DataFrame, key: str, xs: list[str], y: str, folds: int = 5, seed="
     return binary_metrics(scored, y, "p").crossJoin(auc(scored, "p", y))
 
 
+def one_fit(rows: DataFrame, xs: list[str], y: str) -> np.ndarray | None:
+    """Intercept and coefficients of one logistic model without a penalty; None without rows.  rows: stored, as each Newton round reads them."""
+    return logistic_fits(rows.withColumn("fits", F.array(F.lit(0))), "fits", 1, xs, y).get(0)
+
+
 def lr_coefficients(df: DataFrame, xs: list[str], y: str) -> DataFrame:
-    """(term, coefficient) on standardised columns."""
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=xs, outputCol="_f"), StandardScaler(inputCol="_f", outputCol="features", withMean=True), LogisticRegression(labelCol=y)])
-    model = pipe.fit(df).stages[-1]
-    return df.sparkSession.createDataFrame([("intercept", float(model.intercept)), *[(x, float(c)) for x, c in zip(xs, model.coefficients)]], "term string, coefficient double")
+    """(term, coefficient) on standardised columns: the coefficients of the plain ones times their deviations."""
+    rows = stored(df.select(*[F.col(x).cast("double").alias(x) for x in xs], y).dropna(), "lr-rows")
+    theta = one_fit(rows, xs, y)
+    if theta is None:
+        return df.sparkSession.createDataFrame([], "term string, coefficient double")
+    at = rows.agg(*[F.avg(x).alias(f"m{k}") for k, x in enumerate(xs)], *[F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"s{k}") for k, x in enumerate(xs)]).first()
+    start = theta[0] + sum(theta[k + 1] * at[f"m{k}"] for k in range(len(xs)))
+    return df.sparkSession.createDataFrame([("intercept", float(start)), *[(x, float(theta[k + 1] * at[f"s{k}"])) for k, x in enumerate(xs)]], "term string, coefficient double")
 
 
 def lr_response(df: DataFrame, x: str, y: str, points: list[float]) -> DataFrame:
     """The modelled probability at chosen points."""
-    gather = VectorAssembler(inputCols=[x], outputCol="features")
-    model = LogisticRegression(labelCol=y).fit(gather.transform(df))
+    theta = one_fit(stored(df.select(F.col(x).cast("double").alias(x), y), "lr-rows"), [x], y)
     grid = df.sparkSession.createDataFrame([(float(p),) for p in points], f"{x} double")
-    return model.transform(gather.transform(grid)).select(x, F.element_at(vector_to_array("probability"), 2).alias("p"))
+    return grid.select(x, (F.lit(None).cast("double") if theta is None else sigmoid(linear([float(t) for t in theta], [x]))).alias("p"))
 
 
 def multinomial_ranks(df: DataFrame, train, tokens: str, label: str, C: float = 1.0) -> DataFrame:
@@ -160,10 +168,13 @@ def lr_select(df: DataFrame, train, valid, test, xs: list[str], y: str, grid: li
 
 def nested_lr(df: DataFrame, train, models: dict[str, list[str]], y: str) -> DataFrame:
     """(model, held-out n, accuracy, log_loss, brier) of logistic models on nested column sets."""
+    columns = list(dict.fromkeys(x for xs in models.values() for x in xs))
+    rows = stored(df.select(*[F.col(x).cast("double").alias(x) for x in columns], y, F.coalesce(train, F.lit(False)).alias("_train"), F.coalesce(~train, F.lit(False)).alias("_held")), "lr-rows")
     out = None
     for name, xs in models.items():
-        pipe = Pipeline(stages=[VectorAssembler(inputCols=xs, outputCol="features"), LogisticRegression(labelCol=y)])
-        m = binary_metrics(pipe.fit(df.filter(train)).transform(df.filter(~train)).withColumn("_p", F.element_at(vector_to_array("probability"), 2)), y, "_p").withColumn("model", F.lit(name))
+        theta = one_fit(rows.filter("_train"), xs, y)
+        p = F.lit(None).cast("double") if theta is None else sigmoid(linear([float(t) for t in theta], xs))
+        m = binary_metrics(rows.filter("_held").withColumn("_p", p), y, "_p").withColumn("model", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out
 

@@ -124,3 +124,30 @@ def test_boosting_without_rows(spark):
     some = spark.createDataFrame([(1, "a", 1.0, 2.0)], "k int, c string, x double, y double")
     out, _ = bo.boost(some, F.lit(False), "k", ["c"], ["x"], "y", [bo.Boosting("s", 0.1, 4, 1, 1.0)])
     assert [r["f"] for r in out.collect()] == [[None]]
+
+
+def test_logistic_models_read_their_input_once(spark):
+    """However many models and rounds there are; rows with a null column or label train nothing."""
+    from tallyard.operators import models
+
+    rng = np.random.default_rng(8)
+    rows = [(k, float(rng.normal()), float(rng.normal()), int(rng.integers(0, 2))) for k in range(400)] + [(1, None, 1.0, 1), (2, 1.0, 1.0, None)]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        read.add(1)
+        return v
+
+    df = spark.createDataFrame(rows, "k int, x double, z double, y int").withColumn("x", counted("x"))
+    ok = [r for r in rows if None not in r]
+    x, y = np.array([r[1:3] for r in ok]), np.array([r[3] for r in ok])
+    theta = newton(x, y, 0.0)
+    got = {r.term: r.coefficient for r in models.lr_coefficients(df, ["x", "z"], "y").collect()}
+    assert np.allclose([got["x"], got["z"]], theta[1:] * x.std(axis=0, ddof=1), atol=1e-8) and abs(got["intercept"] - theta[0] - theta[1:] @ x.mean(axis=0)) < 1e-8
+    assert read.value <= 2 * len(rows)  # as a filter and as a column
+    own = newton(x[:, :1], y, 0.0)
+    assert abs(models.lr_response(df, "x", "y", [0.5]).first().p - 1 / (1 + np.exp(-own[0] - own[1] / 2))) < 1e-8
+    read.value = 0
+    out = models.nested_lr(df, F.col("k") < 300, {"one": ["x"], "two": ["x", "z"]}, "y").collect()
+    assert {r.model: r.n for r in out} == {"one": 100, "two": 100} and read.value <= len(rows)
