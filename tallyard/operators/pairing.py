@@ -75,9 +75,13 @@ def later_pairs(df: DataFrame, order: str, cols: list[str]) -> DataFrame:
 
 
 def prior_in_series(df: DataFrame, series: list[str], order: list[str], contest: str, item: str) -> DataFrame:
-    """(contest, item) for the items that earlier contests of the same series used."""
-    games = df.select(*series, *order, contest).distinct().withColumn("game", F.row_number().over(Window.partitionBy(*series).orderBy(*order, contest)))
-    used = df.select(*series, contest, item).distinct().join(games.select(contest, "game"), contest)
-    first = used.groupBy(*series, item).agg(F.min("game").alias("_first"))
+    """(contest, item) for the items that earlier contests of the same series used.
+
+    Contests are numbered where their rows lie, so all steps group by the series and rows move once.
+    """
+    rows = df.select(*series, *order, contest, item).distinct()
+    rows = rows.withColumn("game", F.dense_rank().over(Window.partitionBy(*series).orderBy(*order, contest)))
+    games = rows.select(*series, contest, "game").distinct()
+    first = rows.filter(F.col(contest).isNotNull()).groupBy(*series, item).agg(F.min("game").alias("_first"))
     later = games.join(first, [*series], "inner").filter(F.col("game") > F.col("_first"))
     return later.select(contest, item)

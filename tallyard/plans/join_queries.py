@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyard.operators import pairing as j
 from tallyard.operators import windows as w
 
-from .panel import PAIRS, PANEL, SEATS, event_times, pairs, panel, seats, table, times_sql
+from .panel import PAIRS, PANEL, SEATS, dealt, event_times, pairs, panel, seats, table, tasks_of, times_sql
 from .registry import query
 
 
@@ -20,6 +20,7 @@ def contest_join(spark, d):
 @query("J2_composite_join", "SELECT a.l_orderkey, a.l_linenumber, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY 1, 2")
 def composite_join(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    li = dealt(li, tasks_of(li), "l_orderkey", "l_linenumber")
     return li.join(li.withColumn("_", F.lit(1)), ["l_orderkey", "l_linenumber"]).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
 
 
@@ -89,7 +90,8 @@ def later_pairs(spark, d):
  u AS (SELECT DISTINCT entity, period, contest, item FROM panel), h AS (SELECT u.*, game FROM u JOIN g USING (entity, period, contest))
  SELECT DISTINCT b.contest, a.item FROM h a JOIN g b ON a.entity = b.entity AND a.period = b.period AND a.game < b.game""")
 def prior_in_series(spark, d):
-    return j.prior_in_series(panel(spark, d), ["entity", "period"], ["t"], "contest", "item")
+    n = tasks_of(table(spark, d, "lineitem"))
+    return j.prior_in_series(dealt(panel(spark, d).select("entity", "period", "t", "contest", "item"), n, "entity", "period"), ["entity", "period"], ["t"], "contest", "item")
 
 
 @query("U1_union_all", "SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier")

@@ -10,10 +10,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task, where a table is so large that tasks of Spark's own choice, which go by compressed bytes, would hold many more.
+TASK_ROWS = 250_000
+#: A table of up to so many rows is left to Spark's choice.
+SMALL_ROWS = 4_000_000
+
+
+def tasks_of(df: DataFrame) -> int | None:
+    """How many tasks a stored table is dealt to, None if that is left to Spark; its rows are counted from the files' footers."""
+    rows = df.count()
+    return -(-rows // TASK_ROWS) if rows > SMALL_ROWS else None
+
+
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """df by hash of its keys in so many tasks: joins and groups by these keys then stay there, and a task's memory does not grow with the table."""
+    return df.repartition(tasks, *keys) if tasks else df
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per entity, item and contest."""
+    """One row per entity, item and contest; those of a contest lie together where the table is large."""
     lines, orders, parts = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
-    joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(parts, lines["l_partkey"] == parts["p_partkey"])
+    n = tasks_of(lines)
+    if n:  # parts first: then the rows of a contest are where their order is
+        of = dealt(lines, n if tasks_of(parts) else None, "l_partkey").join(dealt(parts, n if tasks_of(parts) else None, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+        joined = dealt(of, n, "l_orderkey").join(dealt(orders, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    else:
+        joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(parts, lines["l_partkey"] == parts["p_partkey"])
     return joined.select(
         F.col("o_custkey").alias("entity"), F.col("p_brand").alias("item"), F.col("p_type").alias("role"), F.year("o_orderdate").alias("period"),
         F.col("o_orderkey").alias("contest"), F.col("l_linestatus").alias("side"), F.to_date("o_orderdate").alias("t"), F.col("l_linenumber").alias("ln"),
