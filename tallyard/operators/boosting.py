@@ -1,7 +1,7 @@
 """Boosted regression trees from histograms, several settings side by side, with early stopping.
 
-Columns become bins once (quantiles of numbers, one bin for each frequent category), and rows are stored with the
-scores so far.  Growing all trees by one level is one job: each task finds the node of its rows, adds gradients
+The input is read once and stored.  Columns become bins (quantiles of numbers, one bin for each frequent category), and training rows are stored by the
+block, as arrays with the scores so far; the other rows meet the trees once, at the end.  Growing all trees by one level is one job: each task finds the node of its rows, adds gradients
 and counts up by (setting, node, column, bin), and Spark sums these cells, whose number depends on the trees and not on
 the rows.  Splits are chosen from the cells: ranges of bins for numbers, and for categories sets of bins in order of their
 mean gradient.  Leaf weights carry an L2 penalty.  After each tree the loss on a validation slice decides whether a setting goes on.
@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,10 @@ from .metrics import auc, regression_metrics
 #: Bins of a column; bin 0 holds nulls, categories past the most frequent share the last one.
 BINS = 256
 #: Finished trees of a setting that tasks apply on the fly, before scores are stored anew.
-PENDING = 24
+PENDING = 12
+#: Rows of a block, whose arrays fit a cache.
+BLOCK = 8192
+BLOCKS = "held boolean, b binary, y binary, part binary, f binary"
 
 
 @dataclass(frozen=True)
@@ -48,14 +52,17 @@ class Tree:
     value: list[float] = field(default_factory=lambda: [0.0])
 
     def nodes(self, bins: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(bins), np.int32)
-        column, left, right = np.array(self.column), np.array(self.left), np.array(self.right)
-        while len(live := np.flatnonzero(column[at] >= 0)):
-            inside = np.zeros(len(live), bool)
-            for k in np.unique(at[live]):
-                own = at[live] == k
-                inside[own] = self.goes[k][bins[live[own], column[k]]]
-            at[live] = np.where(inside, left[at[live]], right[at[live]])
+        """The node that each row of bins ends in: all rows go down a level at once, by look-ups."""
+        at, live = np.zeros(len(bins), np.int32), np.arange(len(bins) if self.column[0] >= 0 else 0)
+        column, left, right = np.array(self.column), np.array(self.left, np.int32), np.array(self.right, np.int32)
+        goes = np.stack([np.zeros(BINS, bool) if g is None else g for g in self.goes]).ravel()
+        flat, width = bins.ravel(), bins.shape[1]
+        while len(live):
+            node = at[live]
+            inside = goes[node * BINS + flat[live * width + column[node]]]
+            node = np.where(inside, left[node], right[node])
+            at[live] = node
+            live = live[column[node] >= 0]
         return at
 
     def split(self, k: int, column: int, goes: np.ndarray, values: tuple[float, float]) -> tuple[int, int]:
@@ -137,29 +144,50 @@ class Grower:
             self.tree, self.frontier = Tree(), [0]
 
 
-def binned(df: DataFrame, categories: list[str], numbers: list[str], fit) -> DataFrame:
-    """Adds b, the bins of the columns; cut points and frequent categories come from the rows of the condition `fit`."""
-    known = df.filter(fit)
-    cells = []
-    for c in categories:
-        top = known.groupBy(c).count().filter(F.col(c).isNotNull()).orderBy(F.desc("count"), c).limit(BINS - 2).collect()
-        place = F.array_position(F.array(*[F.lit(r[0]) for r in top]), F.col(c)) if top else F.lit(0)
-        cells.append(F.when(F.col(c).isNull(), 0).when(place > 0, place).otherwise(BINS - 1))
-    cuts = known.agg(*[F.percentile_approx(F.col(c).cast("double"), [k / (BINS - 2) for k in range(1, BINS - 2)], F.lit(100_000)).alias(f"c{k}") for k, c in enumerate(numbers)]).first() if numbers else ()
-    for c, edges in zip(numbers, cuts):
-        array = F.array(*[F.lit(float(e)) for e in sorted(set(edges or ()))]) if edges else F.array().cast("array<double>")
-        cells.append(F.when(F.col(c).isNull(), 0).otherwise(1 + F.size(F.filter(array, lambda e: e < F.col(c)))))
-    return df.withColumn("b", F.array(*[x.cast("short") for x in cells]))
+def edges(rows: DataFrame, categories: list[str], numbers: list[str]) -> list[list]:
+    """Of each column its frequent categories, or its cut points."""
+    found = [[r[0] for r in rows.groupBy(c).count().filter(F.col(c).isNotNull()).orderBy(F.desc("count"), c).limit(BINS - 2).collect()] for c in categories]
+    cuts = rows.agg(*[F.percentile_approx(c, [k / (BINS - 2) for k in range(1, BINS - 2)], F.lit(100_000)).alias(f"c{k}") for k, c in enumerate(numbers)]).first() if numbers else ()
+    return found + [sorted(set(e or ())) for e in cuts]
 
 
-def arrays(batch: pa.RecordBatch, columns: int, settings: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    bins = batch.column("b").flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
-    scores = batch.column("f").flatten().to_numpy(zero_copy_only=False).reshape(-1, settings).copy()
-    return bins, scores, batch.column("y").to_numpy(zero_copy_only=False), batch.column("part").to_numpy(zero_copy_only=False)
+def binned(column: pa.Array, known: list, categorical: bool) -> np.ndarray:
+    """Bins of a column: 0 null, then the categories by frequency or the ranges between cut points."""
+    if categorical:
+        place = pc.index_in(column, value_set=pa.array(known, column.type)).fill_null(BINS - 2).to_numpy(zero_copy_only=False)
+    else:
+        place = np.searchsorted(np.array(known, float), column.fill_null(0.0).to_numpy(zero_copy_only=False))
+    return np.where(column.is_null().to_numpy(zero_copy_only=False), 0, place + 1).astype(np.int16)
+
+
+def block_task(batches: Iterator[pa.RecordBatch], names: list[str], known: list[list], categories: int, start: float | None, settings: int) -> Iterator[pa.RecordBatch]:
+    """Rows by the block, as arrays: held (outside training), bins, y, part, and the scores so far of a block of training rows."""
+    for batch in batches:
+        bins = np.stack([binned(batch.column(c), k, i < categories) for i, (c, k) in enumerate(zip(names, known))], 1) if names else np.zeros((batch.num_rows, 0), np.int16)
+        y, part = batch.column("_y").to_numpy(zero_copy_only=False), batch.column("_part").to_numpy(zero_copy_only=False).astype(np.int8)
+        for held in (False, True):
+            own = np.flatnonzero((part == 2) == held)
+            for at in range(0, len(own), BLOCK):
+                rows = own[at : at + BLOCK]
+                f = b"" if held else np.full((len(rows), settings), start, float).tobytes()
+                yield block(held, bins[rows].tobytes(), y[rows].tobytes(), part[rows].tobytes(), f)
+
+
+def block(held: bool, *arrays: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([held]), *[pa.array([a], pa.binary()) for a in arrays]], ["held", "b", "y", "part", "f"])
+
+
+def blocks(batches: Iterator[pa.RecordBatch], columns: int, settings: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bins, scores, y, part) of each block."""
+    for batch in batches:
+        for b, y, part, f in zip(*[batch.column(c) for c in ("b", "y", "part", "f")]):
+            y = np.frombuffer(y.as_buffer(), float)
+            yield np.frombuffer(b.as_buffer(), np.int16).reshape(len(y), columns), np.frombuffer(f.as_buffer(), float).reshape(-1, settings).copy(), y, np.frombuffer(part.as_buffer(), np.int8)
 
 
 def pending(growers: list[Grower]) -> list[list[Tree]]:
-    return [g.trees[g.stored :] for g in growers]
+    """Trees that the stored scores lack; a setting that is done needs none, as its scores are worked out at the end."""
+    return [[] if g.done else g.trees[g.stored :] for g in growers]
 
 
 def applied(bins: np.ndarray, scores: np.ndarray, trees: list[list[Tree]]) -> np.ndarray:
@@ -174,8 +202,7 @@ def histogram_task(batches: Iterator[pa.RecordBatch], columns: int, trees: list[
     shapes = [(len(f), columns, BINS) for _, f in growing]
     n, g = [np.zeros(int(np.prod(s)), np.int64) for s in shapes], [np.zeros(int(np.prod(s))) for s in shapes]
     loss, count = np.zeros(len(trees)), 0
-    for batch in batches:
-        bins, scores, y, part = arrays(batch, columns, len(trees))
+    for bins, scores, y, part in blocks(batches, columns, len(trees)):
         scores = applied(bins, scores, trees)
         valid, fit = part == 1, part == 0
         loss += ((scores[valid] - y[valid, None]) ** 2).sum(axis=0)
@@ -198,34 +225,38 @@ def histogram_task(batches: Iterator[pa.RecordBatch], columns: int, trees: list[
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used) + 1, s), pa.int32()), *[pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64()))]], ["s", "node", "c", "bin", "n", "g"])
 
 
-def score_task(batches: Iterator[pa.RecordBatch], columns: int, trees: list[list[Tree]]) -> Iterator[pa.RecordBatch]:
-    """The rows with the trees added to their scores."""
-    for batch in batches:
-        bins, scores, _, _ = arrays(batch, columns, len(trees))
-        scores = applied(bins, scores, trees)
-        f = pa.ListArray.from_arrays(np.arange(0, scores.size + 1, len(trees), dtype=np.int32), pa.array(scores.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("b"), batch.column("y"), batch.column("part"), f], ["b", "y", "part", "f"])
+def add_task(batches: Iterator[pa.RecordBatch], columns: int, trees: list[list[Tree]]) -> Iterator[pa.RecordBatch]:
+    """The blocks of training rows with the trees added to their scores."""
+    for bins, scores, y, part in blocks(batches, columns, len(trees)):
+        yield block(False, bins.tobytes(), y.tobytes(), part.tobytes(), applied(bins, scores, trees).tobytes())
 
 
-def boost(df: DataFrame, train, key: str, categories: list[str], numbers: list[str], y: str, settings: list[Boosting], rounds: int = 600, patience: int = 25, validation: float = 0.1, seed="boost") -> tuple[DataFrame, list[Grower]]:
-    """(rows, growers): y, part (0 fitted, 1 validation, 2 the rest) and f, the prediction of each setting.
+def score_task(batches: Iterator[pa.RecordBatch], columns: int, start: float | None, trees: list[list[Tree]]) -> Iterator[pa.RecordBatch]:
+    """Rows again: y, part and the scores by all trees."""
+    for bins, _, y, part in blocks(batches, columns, len(trees)):
+        scores = applied(bins, np.full((len(y), len(trees)), np.nan if start is None else start), trees)
+        f = pa.ListArray.from_arrays(np.arange(0, scores.size + 1, len(trees), dtype=np.int32), pa.array(scores.ravel(), mask=np.full(scores.size, start is None)))
+        yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(part, pa.int32()), f], ["y", "part", "f"])
 
-    train: the condition of training rows, of which a hash of the key sets the share `validation` aside.  Rows with a
-    null y are left out.  Without training rows predictions are null.
-    """
+
+def grown(df: DataFrame, train, key: str, categories: list[str], numbers: list[str], y: str, settings: list[Boosting], rounds: int, patience: int, validation: float, seed) -> tuple[DataFrame, float | None, list[Grower]]:
+    """(blocks, mean of the fitted rows, growers with their trees)."""
     part = F.when(~F.coalesce(train, F.lit(False)), 2).when(hash_uniform(seed, key) < validation, 1).otherwise(0)
-    rows = df.filter(F.col(y).isNotNull()).withColumn("part", part.cast("int"))
-    start = rows.filter("part = 0").agg(F.avg(y)).first()[0]
-    columns, categorical = len(categories) + len(numbers), [True] * len(categories) + [False] * len(numbers)
-    schema = "b array<short>, y double, part int, f array<double>"
-    base = F.lit(start).cast("double")
-    rows = stored(binned(rows, categories, numbers, F.col("part") == 0).select("b", F.col(y).cast("double").alias("y"), "part", F.array(*[base] * len(settings)).alias("f")), "boost-rows")
+    names = [f"_{k}" for k in range(len(categories) + len(numbers))]
+    columns, categorical = len(names), [True] * len(categories) + [False] * len(numbers)
+    chosen = [*map(F.col, categories), *[F.col(c).cast("double") for c in numbers]]
+    rows = stored(df.filter(F.col(y).isNotNull()).select(*[c.alias(n) for c, n in zip(chosen, names)], F.col(y).cast("double").alias("_y"), part.cast("int").alias("_part")), "boost-rows")
+    fitted = rows.filter("_part = 0")
+    start = fitted.agg(F.avg("_y")).first()[0]
+    known = edges(fitted, names[: len(categories)], names[len(categories) :])
+    whole = stored(rows.mapInArrow(lambda batches: block_task(batches, names, known, len(categories), start, len(settings)), BLOCKS), "boost-blocks")
     growers = [Grower(s, rounds, patience) for s in settings]
     if start is None:
-        return rows, growers
+        return whole, start, growers
+    now = whole.filter("not held")
     while not all(g.done for g in growers):
         trees, growing = pending(growers), [(g.tree, g.frontier) for g in growers]
-        cells = rows.mapInArrow(lambda batches: histogram_task(batches, columns, trees, growing), "s int, node int, c int, bin int, n long, g double")
+        cells = now.mapInArrow(lambda batches: histogram_task(batches, columns, trees, growing), "s int, node int, c int, bin int, n long, g double")
         found = cells.groupBy("s", "node", "c", "bin").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).toArrow()
         s, node, c, b, n, total = (found.column(k).to_numpy() for k in range(6))
         for k, grower in enumerate(growers):
@@ -244,20 +275,35 @@ def boost(df: DataFrame, train, key: str, categories: list[str], numbers: list[s
             if not n[held].sum() and len(grower.trees) >= rounds:  # nothing to validate on
                 grower.best_at = len(grower.trees)
                 grower.stop()
-        if max(len(g.trees) - g.stored for g in growers) >= PENDING + patience:
-            settled = [g.trees[g.stored : max(g.stored, g.best_at)] for g in growers]  # these stay whatever follows
-            rows = stored(rows.mapInArrow(lambda batches: score_task(batches, columns, settled), schema), "boost-rows")
-            for g, own in zip(growers, settled):
+        behind = pending(growers)
+        if max(map(len, behind)) > PENDING:
+            now = stored(now.mapInArrow(lambda batches: add_task(batches, columns, behind), BLOCKS), "boost-blocks")
+            for g, own in zip(growers, behind):
                 g.stored += len(own)
-    trees = pending(growers)
-    return rows.mapInArrow(lambda batches: score_task(batches, columns, trees), schema), growers
+    return whole, start, growers
+
+
+def scored(whole: DataFrame, start: float | None, growers: list[Grower], columns: int) -> DataFrame:
+    trees = [g.trees for g in growers]
+    return whole.mapInArrow(lambda batches: score_task(batches, columns, start, trees), "y double, part int, f array<double>")
+
+
+def boost(df: DataFrame, train, key: str, categories: list[str], numbers: list[str], y: str, settings: list[Boosting], rounds: int = 600, patience: int = 25, validation: float = 0.1, seed="boost") -> tuple[DataFrame, list[Grower]]:
+    """(rows, growers): y, part (0 fitted, 1 validation, 2 the rest) and f, the prediction of each setting.
+
+    train: the condition of training rows, of which a hash of the key sets the share `validation` aside.  Rows with a
+    null y are left out.  Without training rows predictions are null.
+    """
+    whole, start, growers = grown(df, train, key, categories, numbers, y, settings, rounds, patience, validation, seed)
+    return scored(whole, start, growers, len(categories) + len(numbers)), growers
 
 
-def boost_sweep(df: DataFrame, train, key: str, categories: list[str], numbers: list[str], y: str, settings: list[Boosting], **options) -> DataFrame:
+def boost_sweep(df: DataFrame, train, key: str, categories: list[str], numbers: list[str], y: str, settings: list[Boosting], rounds: int = 600, patience: int = 25, validation: float = 0.1, seed="boost") -> DataFrame:
     """setting, trees (kept), n, r2, mae, and auc of y > 0, on the rows outside training."""
-    rows, growers = boost(df, train, key, categories, numbers, y, settings, **options)
+    whole, start, growers = grown(df, train, key, categories, numbers, y, settings, rounds, patience, validation, seed)
+    rows = scored(whole.filter("held"), start, growers, len(categories) + len(numbers))
     names = F.array(*[F.lit(s.name) for s in settings])
-    long = rows.filter("part = 2").select("y", F.posexplode("f").alias("k", "yhat")).select("y", "yhat", names[F.col("k")].alias("setting"), (F.col("y") > 0).cast("int").alias("up"))
+    long = rows.select("y", F.posexplode("f").alias("k", "yhat")).select("y", "yhat", names[F.col("k")].alias("setting"), (F.col("y") > 0).cast("int").alias("up"))
     long = stored(long, "boost-scores")
     trees = df.sparkSession.createDataFrame([(g.setting.name, len(g.trees)) for g in growers], "setting string, trees int")
     return regression_metrics(long, "y", "yhat", ["setting"]).join(auc(long, "yhat", "up", ["setting"]), "setting").join(trees, "setting")

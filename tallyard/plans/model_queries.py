@@ -9,6 +9,7 @@ from tallyard.operators import metrics as mt
 from tallyard.operators import models as m
 from tallyard.operators import stats as s
 from tallyard.operators.boosting import Boosting, boost_sweep
+from tallyard.sources.readers import stored
 
 from .panel import PANEL, pairs, panel, picks
 from .registry import query
@@ -50,7 +51,7 @@ TREES = [Boosting("supple", 0.05, 63, 50, 1.0), Boosting("stiff", 0.03, 15, 300,
 @query("E8_gbt_sweep")
 def gbt_sweep(spark, d):
     """Up to 600 trees a setting, stopped after 25 without a gain on a tenth of the training contests."""
-    p = pairs(spark, d)
+    p = stored(pairs(spark, d).select("contest", "entity", "opp_entity", "item", "opp_item", "role", "period", "diff"), "boost-pairs")  # skill and rows both read it
     skill = p.filter("period < 1997").groupBy("entity").agg((F.sum("diff") / (F.count("*") + 20)).alias("skill"))
     theirs = skill.select(F.col("entity").alias("opp_entity"), F.col("skill").alias("opp_skill"))
     rows = p.join(skill, "entity", "left").join(theirs, "opp_entity", "left").fillna(0.0, ["skill", "opp_skill"])

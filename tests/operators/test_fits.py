@@ -151,3 +151,27 @@ def test_logistic_models_read_their_input_once(spark):
     read.value = 0
     out = models.nested_lr(df, F.col("k") < 300, {"one": ["x"], "two": ["x", "z"]}, "y").collect()
     assert {r.model: r.n for r in out} == {"one": 100, "two": 100} and read.value <= len(rows)
+
+
+def test_boosting_reads_its_input_once(spark):
+    """However many columns, trees and levels there are; trees give the same nodes as a walk of each row."""
+    rng = np.random.default_rng(4)
+    rows = [(k, f"c{k % 5}" if k % 9 else None, float(rng.normal()) if k % 7 else None, float(k % 5 + rng.normal())) for k in range(500)]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        read.add(1)
+        return v
+
+    df = spark.createDataFrame(rows, "k int, c string, x double, y double").withColumn("x", counted("x"))
+    settings = [bo.Boosting("s", 0.3, 8, 5, 1.0), bo.Boosting("t", 0.3, 2, 5, 1.0)]
+    out, growers = bo.boost(df, F.col("k") < 400, "k", ["c"], ["x"], "y", settings, rounds=5, patience=5)
+    assert len(out.collect()) == 500 == read.value
+    bins = rng.integers(0, bo.BINS, (300, 2)).astype(np.int16)
+    for tree in [t for g in growers for t in g.trees]:
+        for row, node in zip(bins, tree.nodes(bins)):
+            at = 0
+            while tree.column[at] >= 0:
+                at = tree.left[at] if tree.goes[at][row[tree.column[at]]] else tree.right[at]
+            assert at == node
