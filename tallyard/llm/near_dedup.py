@@ -7,7 +7,7 @@ Two documents are linked when 100 |A and B| >= 75 |A or B|.
    node is its smallest doc_id, however many copies there are.
 2. BANDS bands of ROWS hashes propose candidates: classes that agree on a band share a bucket.
    A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
-3. In each bucket signatures are compared batch by batch: after n hashes with m agreements the posterior
+3. In each bucket signatures (8 bits of each minimum; step 4 has 16) are compared batch by batch: after n hashes with m agreements the posterior
    probability of a similarity of 0.75 or more (uniform prior: a binomial tail) is compared with MISS, and the pair is
    dropped below it.  The surviving pairs join the classes into families.
 4. The families' documents are read once more; pairs in a family that pass the Bayesian bound are verified exactly on the
@@ -34,7 +34,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, slices, stored, texts, worker_cache
@@ -230,11 +230,18 @@ def band_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), BANDS)), pa.array(keys.reshape(-1).view(np.int64))], names=["rep", "grp"])
 
 
+def low_bytes(batches):
+    """The signatures with 8 bits of each minimum: equal minima stay equal, and half as many bytes go to each bucket."""
+    for batch in slices(batches, 2048):
+        sig = [x.tobytes() for x in fixed([batch], "sig", np.uint16).astype(np.uint8)] if batch.num_rows else []
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sig, pa.binary())], names=["rep", "sig"])
+
+
 def bucket_forest(batches):
     """The trees of the surviving pairs of each task group, as stars."""
     bounds, out = least_agreements(), []
     for _, parts in grouped(batches, KEYS):
-        reps, sig = numbers(parts, "rep"), fixed(parts, "sig", np.uint16)
+        reps, sig = numbers(parts, "rep"), fixed(parts, "sig", np.uint8)
         a, b = pairs(parts)
         forest = Forest(len(reps))
         for at in range(0, len(a), 8192):
@@ -253,7 +260,7 @@ def family_sets(batches):
         sets = [shingles(t, known) for t in texts(batch)]
         raw = [s.tobytes() for s in sets]
         digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw)), "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("rep"), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array(raw, pa.large_binary()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], names=["grp", "rep", "sig", "shingles", "d1", "d2"])
+        yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("rep"), batch.column("members"), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array(raw, pa.large_binary()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], names=["grp", "rep", "members", "sig", "shingles", "d1", "d2"])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -295,19 +302,19 @@ def placed(rows: DataFrame, role, i=0, j=0, comp=None) -> DataFrame:
     return rows.withColumn("comp", F.lit(0).cast("long") if comp is None else comp)
 
 
-def settle(members: DataFrame, sizes: DataFrame, block: int, compare, name: str) -> DataFrame:
-    """Components (node, component) of the pairs that compare joins in the groups of members (grp, rep and more).
+def settle(members: DataFrame, largest: int, block: int, compare, name: str) -> DataFrame:
+    """Components (node, component) of the pairs that compare joins in the groups of members (grp, rep, members and more).
 
-    sizes: grp and members (their number) of the groups with two members or more.
+    members (the column): how many a row's group has, so that no join has to move the signatures or sets to learn it; largest: the most of any group.
     """
-    columns = [*members.columns, "i", "j", "role", "known", "comp"]
+    columns = [*members.drop("members").columns, "i", "j", "role", "known", "comp"]
     run = lambda rows: rows.select(*columns).repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(compare, EDGES)
-    in_one = placed(members.join(sizes.filter(f"members <= {block}").select("grp"), "grp"), WHOLE)
-    large = stored(sizes.filter(f"members > {block}").select("grp", F.ceil(F.col("members") / block).cast("long").alias("blocks")), name + "-large")
-    if large.isEmpty():
+    in_one = placed(members.filter(f"members <= {block}").drop("members"), WHOLE)
+    if largest <= block:
         return components(run(in_one), name)
 
-    held = stored(members.join(large, "grp"), name + "-held")
+    held = members.filter(f"members > {block}").withColumn("blocks", F.ceil(F.col("members") / block).cast("long"))
+    held = stored(held.drop("members"), name + "-held")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     draws = F.array(*(F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(HUBS)))
     hubs = stored(held.groupBy("grp").agg(F.array_distinct(draws).alias("rep")).select("grp", F.explode("rep").alias("rep")), name + "-hubs")
@@ -356,15 +363,18 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     reps = stored(reps.select(F.col("doc_id").alias("rep"), "sig"), "near-reps")
 
     bands = reps.mapInArrow(band_keys, "rep long, grp long")
-    shared = stored(bands.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1"), "near-buckets")
-    members = bands.join(shared, "grp", "left_semi").join(reps, "rep").select("grp", "rep", "sig")
-    families = stored(settle(members, shared, BLOCK, bucket_forest, "near-families").select(F.col("node").alias("rep"), F.col("component").alias("grp")), "near-families")
-
-    sizes = stored(families.groupBy("grp").agg(F.count("*").alias("members")), "near-sizes")
-    held = rows.join(families, rows["doc_id"] == families["rep"]).select("grp", "rep", "text")
-    held = held.mapInArrow(family_sets, "grp long, rep long, sig binary, shingles binary, d1 long, d2 long")
+    count = F.count("*").over(Window.partitionBy("grp"))
+    largest = lambda groups: groups.agg(F.coalesce(F.max("members"), F.lit(0))).first()[0]
+    buckets = stored(bands.withColumn("members", count).filter("members > 1"), "near-buckets")
+    short = reps.mapInArrow(low_bytes, "rep long, sig binary")
+    members = buckets.join(short, "rep").select("grp", "rep", "members", "sig")
+    families = settle(members, largest(buckets), BLOCK, bucket_forest, "near-families").select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    families = stored(families.withColumn("members", count), "near-families")
+
+    held = rows.join(families, rows["doc_id"] == families["rep"]).select("grp", "rep", "members", "text")
+    held = held.mapInArrow(family_sets, "grp long, rep long, members long, sig binary, shingles binary, d1 long, d2 long")
     held = stored(held.dropDuplicates(["rep", "d1", "d2"]).drop("d1", "d2"), "near-held")
-    links = settle(held, sizes, FAMILY_BLOCK, family_links, "near-links")
+    links = settle(held, largest(families), FAMILY_BLOCK, family_links, "near-links")
 
     # A document in several classes (a repeated doc_id) is one node: the smallest ids of its classes are linked with it.
     many = real.groupBy("doc_id").agg(F.min(F.xxhash64("d1", "d2")).alias("a"), F.max(F.xxhash64("d1", "d2")).alias("b")).filter("a <> b").select("doc_id")

@@ -144,3 +144,17 @@ def test_components_of_a_path(spark, n):
     edges = spark.createDataFrame([(k + 1, k) for k in range(10, 10 + n)] + [(5, 3)], "u long, v long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {k: 10 for k in range(10, 11 + n)} | {3: 3, 5: 3}
+
+
+def test_bucket_signatures_keep_every_agreement():
+    """8 bits of each minimum go to the buckets: whatever agreed still agrees."""
+    rng = random.Random(3)
+    sets = [nd.np.array(sorted(rng.sample(range(1 << 60), 80)), nd.np.uint64) for _ in range(40)]
+    whole = [nd.signature(s) for s in sets + [s[:70] for s in sets]]
+    batch = nd.pa.RecordBatch.from_pydict({"rep": list(range(80)), "sig": [w.tobytes() for w in whole]})
+    [out] = nd.low_bytes([batch])
+    short = [nd.np.frombuffer(x, nd.np.uint8) for x in out.column("sig").to_pylist()]
+    assert all(len(s) == nd.PERMUTATIONS and (s == w % 256).all() for s, w in zip(short, whole))
+    bounds = nd.least_agreements()
+    alive = lambda sig: set(nd.survivors(nd.np.stack(sig[:40]), nd.np.stack(sig[40:]), bounds).tolist())
+    assert alive(whole) <= alive(short) and len(alive(whole)) == 40
