@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,15 +222,18 @@ def one_way_slope(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
 def fe_slope(df: DataFrame, groups: list[str], x: str, y: str, rounds: int = 50, tol: float = 1e-6) -> DataFrame:
     """The slope after the means of several groupings are taken out in turn (alternating projection).
 
-    Rows are summed once to cells of the groupings, which hold all that the means and the slope need.  Each
-    round gives every grouping new effects from the cells and the others' effects; each is written as a table in the
-    shared folder, so plans stay short.
+    Rows are summed once to cells of the groupings, which hold all that the means and the slope need.  The cells are
+    dealt by the first grouping, the one with most values, and kept that way: its means and its joins then move effects, never cells.
+    Each round gives every grouping new effects from the cells and the others' effects; each is written as a table in
+    the shared folder, so plans stay short.
     """
     from tallyard.sources.readers import stored
 
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     rows = df.filter(a.isNotNull() & b.isNotNull())
     cells = stored(rows.groupBy(*groups).agg(F.count("*").alias("_n"), F.sum(a).alias("_sx"), F.sum(b).alias("_sy"), F.sum(a * a).alias("_sxx"), F.sum(a * b).alias("_sxy")), "fe-cells")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(tasks, groups[0]).sortWithinPartitions(groups[0]).persist(StorageLevel.DISK_ONLY)
     effects: dict[str, DataFrame] = {}
 
     def shifted(without: str | None = None) -> DataFrame:
@@ -249,11 +253,13 @@ def fe_slope(df: DataFrame, groups: list[str], x: str, y: str, rounds: int = 50,
         num = F.sum(F.col("_sxy") - c * F.col("_sy") - d * F.col("_sx") + n * c * d)
         den = F.sum(F.col("_sxx") - 2 * c * F.col("_sx") + n * c * c)
         out = shifted().agg(F.sum("_n").alias("n_rows"), F.try_divide(num, den).alias("slope"))
-        now = out.first()["slope"]
+        found = out.first()
+        now = found["slope"]
         if now is None or (slope is not None and abs(now - slope) <= tol * max(1.0, abs(now))):
             break
         slope = now
-    return out
+    cells.unpersist()
+    return df.sparkSession.createDataFrame([found], out.schema)
 
 
 def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:

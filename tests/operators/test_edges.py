@@ -447,3 +447,22 @@ def test_a_plateau_is_no_local_maximum(spark, tmp_path):
     data = [(7, at(h), v) for h, v in enumerate([1.0, 40.5, 40.5, 1.0, 30.0, 2.0, 19.0, 3.0])]
     spark.createDataFrame(data, "user_id long, ts timestamp, value double").write.parquet(f"file://{tmp_path}/events.parquet")
     assert rows(window_queries.local_maxima(spark, f"file://{tmp_path}")) == [(7, 4, 30.0)]
+
+
+def test_two_way_slope_joins_move_no_cells(spark):
+    """The cells are dealt once by the first grouping: with joins by sorting, each round shuffles effects and not cells."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(6000).select((F.col("id") % 500).alias("a"), (F.col("id") * 7 % 11).alias("b"), F.rand(1).alias("x")).withColumn("y", 3 * F.col("x") + F.col("a") - 2 * F.col("b"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    taken, real = [], type(df).persist
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    type(df).persist = lambda self, level: taken.append(real(self, level)) or taken[-1]
+    try:
+        got = causal.fe_slope(df, ["a", "b"], "x", "y", tol=1e-12).first()
+    finally:
+        type(df).persist = real
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got["n_rows"] == 6000 and abs(got["slope"] - 3) < 1e-6
+    assert len(taken) == 1 and "hashpartitioning(a" in taken[0]._jdf.queryExecution().executedPlan().toString()
+    assert not taken[0].storageLevel.useDisk  # given back
