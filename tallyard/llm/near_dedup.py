@@ -320,8 +320,8 @@ def settle(members: DataFrame, largest: int, block: int, compare, name: str) ->
     hubs = stored(held.groupBy("grp").agg(F.array_distinct(draws).alias("rep")).select("grp", F.explode("rep").alias("rep")), name + "-hubs")
     of_hub = held.join(hubs, ["grp", "rep"]).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     star = placed(of_hub, HUB, F.col("at")).select(*columns).unionByName(placed(held.join(hubs, ["grp", "rep"], "left_anti"), MEMBER, own).select(*columns))
-    edges = stored(run(in_one.select(*columns).unionByName(star)).distinct(), name + "-stars")
-    found = components(edges, name).select(F.col("node").alias("rep"), "component")
+    hubbed = components(run(in_one.select(*columns).unionByName(star)), name)
+    found = hubbed.select(F.col("node").alias("rep"), "component")
 
     # What is left: pairs of different components.  A component of more than a block has blocks of its own (big is its name),
     # the other members of a group share blocks by hash (big is null).
@@ -344,11 +344,12 @@ def settle(members: DataFrame, largest: int, block: int, compare, name: str) ->
     )
     meeting = stored(meeting, name + "-meeting")
     if meeting.isEmpty():
-        return components(edges, name)
+        return hubbed
     places = parts.withColumn("big_key", F.xxhash64("grp", F.coalesce(big.cast("string"), F.lit("-")))).join(lots.select("big_key", "blocks"), "big_key").select("grp", "component", "big_key", "blocks")
     left = marked.join(stored(places, name + "-places"), ["grp", "component"]).withColumn("k", own)
     left = left.join(meeting, ["grp", "big_key", "k"])
     more = run(placed(left, F.col("as"), F.col("one"), F.col("two"), F.col("component")))
+    edges = hubbed.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     return components(edges.unionByName(more), name)
 
 

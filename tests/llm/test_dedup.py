@@ -146,6 +146,49 @@ def test_components_of_a_path(spark, n):
     assert got == {k: 10 for k in range(10, 11 + n)} | {3: 3, 5: 3}
 
 
+def test_components_of_small_tables_take_few_jobs(spark):
+    """A table that fits one task needs no rounds, each of which shuffles and writes the edges several times."""
+    edges = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(90, 7), (90, 80), (80, 90)], "u long, v long")
+    spark.sparkContext.setJobGroup("few-jobs", "components")
+    got = {r["node"]: r["component"] for r in components(edges).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == dict.fromkeys([*range(41), 80, 90], 0)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) <= 6
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_several_tasks(spark, monkeypatch, seed):
+    """Forests that are flushed, tables of several tasks and the rounds after them."""
+    import tallyard.llm.components as module
+
+    monkeypatch.setattr(module, "contracted", with_little_memory(module.contracted))
+    monkeypatch.setattr(module, "HELD", 12)
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(150), rng.randrange(150)) for _ in range(110)] + [(300 + k, 301 + k) for k in range(40)]
+    up = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in range(len(up)):
+        for a, b in pairs:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    got = components(spark.createDataFrame(pairs, "u long, v long").repartition(4)).collect()
+    assert len(got) == len(up) and {r["node"]: r["component"] for r in got} == up
+
+
+def with_little_memory(contracted):
+    """contracted in workers, which do not see the test's settings: a forest of few nodes, fed edge by edge."""
+
+    def run(batches):
+        import tallyard.llm.components as module
+
+        before, module.HELD = module.HELD, 3
+        try:
+            yield from contracted(batch.slice(k, 1) for batch in batches for k in range(batch.num_rows))
+        finally:
+            module.HELD = before
+
+    return run
+
+
 def test_bucket_signatures_keep_every_agreement():
     """8 bits of each minimum go to the buckets: whatever agreed still agrees."""
     rng = random.Random(3)
