@@ -165,20 +165,29 @@ def unpack(data: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """1 / (1 + exp(-x)), in place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def advance(w: dict, x: np.ndarray, h: np.ndarray):
-    """One step of the unit: the new state, and what backpropagation needs."""
-    a = h @ w["turn"]
-    zr = sigmoid(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-    return n + z * (h - n), (z, r, n, a[:, 2 * HIDDEN :])
-
-
-def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax of the rows, in place, and the logarithm of each row's sum of exponentials."""
+    """One step of the unit: the new state, and what backpropagation needs.  A column for each document, so that every part of a gate is one block of memory."""
+    a = w["turn"].T @ h
+    with np.errstate(over="ignore"):  # exp may reach infinity: a gate of 0
+        zr = sigmoid(x[: 2 * HIDDEN] + a[: 2 * HIDDEN])
+        z, r = zr[:HIDDEN], zr[HIDDEN:]
+        n = x[2 * HIDDEN :] + r * a[2 * HIDDEN :]
+        n *= 2
+        n = sigmoid(n)  # tanh(x) is 2 sigmoid(2 x) - 1
+    n *= 2
+    n -= 1
+    return n + z * (h - n), (z, r, n, a[2 * HIDDEN :])
+
+
+def powers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The exponentials of the rows up to a factor for each row, in place, their sums, and the logarithm of each row's sum of exponentials."""
     top = x.max(initial=-np.inf)
     x -= top
     far = None
@@ -187,8 +196,14 @@ def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x -= far
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], x.dtype)
+    return x, total, np.log(total) + (top if far is None else top + far[:, 0])
+
+
+def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax of the rows, in place, and the logarithm of each row's sum of exponentials."""
+    x, total, norm = powers(x)
     x /= total[:, None]
-    return x, np.log(total) + (top if far is None else top + far[:, 0])
+    return x, norm
 
 
 def gradients(part: np.ndarray, state: np.ndarray, vocabulary: Vocabulary, w: dict[str, np.ndarray]):
@@ -198,15 +213,17 @@ def gradients(part: np.ndarray, state: np.ndarray, vocabulary: Vocabulary, w: di
     ends = vocabulary.rank.get(END, -1)
     flat = part.reshape(-1)
     inputs, target = vocabulary.inputs[flat], vocabulary.classes[flat]
-    x = w["gates"][inputs]
-    before, kept = [], []
+    x = np.take(w["gates"], inputs, axis=0, mode="clip").reshape(wide, streams, 3 * H)
+    state, kept = np.ascontiguousarray(state.T), []
+    hs = np.empty((H, n), np.result_type(x, state))
+    goes_on = (part != ends).astype(hs.dtype)
     for t in range(wide):
-        before.append(state)
-        state, more = advance(w, x[t * streams : (t + 1) * streams], state)
-        goes_on = (part[t] != ends)[:, None]
-        state = state * goes_on
-        kept.append((*more, goes_on))
-    hs = np.concatenate(before)
+        hs[:, t * streams : (t + 1) * streams] = state
+        after, more = advance(w, np.ascontiguousarray(x[t].T), state)
+        kept.append((state, *more))
+        after *= goes_on[t]
+        state = after
+    hs = np.ascontiguousarray(hs.T)
     g = {}
     d = hs @ w["class_w"] + w["class_b"]
     rows = np.arange(n)
@@ -214,7 +231,7 @@ def gradients(part: np.ndarray, state: np.ndarray, vocabulary: Vocabulary, w: di
     d, norm = softmax(d)
     loss += float(norm.sum(dtype=np.float64))
     d[rows, target] -= 1
-    g["class_w"], g["class_b"] = hs.T @ d, d.sum(0)
+    g["class_w"], g["class_b"] = hs.T @ d, np.ones(n, d.dtype) @ d
     dh = d @ w["class_w"].T
     inner = np.flatnonzero(flat < vocabulary.neural)
     inner = inner[np.argsort(target[inner], kind="stable")]
@@ -230,29 +247,35 @@ def gradients(part: np.ndarray, state: np.ndarray, vocabulary: Vocabulary, w: di
             d, norm = softmax(d)
             loss += float(norm.sum(dtype=np.float64))
             d[rows, member[a:b]] -= 1
-            g["member_w"][c], g["member_b"][c] = of_class[a:b].T @ d, d.sum(0)
+            g["member_w"][c], g["member_b"][c] = of_class[a:b].T @ d, np.ones(b - a, d.dtype) @ d
             back[a:b] = d @ w["member_w"][c].T
     dh[inner] += back
     carry = np.zeros_like(state)
-    into, turned = np.empty((n, 3 * H), dh.dtype), np.empty((n, 3 * H), dh.dtype)
-    turn = w["turn"].T.copy()
+    turned, last = np.empty((3 * H, n), dh.dtype), np.empty((H, n), dh.dtype)
     for t in range(wide - 1, -1, -1):
-        z, r, m, am, goes_on = kept[t]
+        before, z, r, m, am = kept[t]
         at = slice(t * streams, (t + 1) * streams)
-        carry = carry * goes_on
+        da = turned[:, at]
+        carry *= goes_on[t]
         keep = carry * z
-        dm = (carry - keep) * (1 - m * m)
-        dz = (before[t] - m) * keep * (1 - z)
-        dmr = dm * r
-        dr = dmr * am * (1 - r)
-        into[at, :H], into[at, H : 2 * H], into[at, 2 * H :] = dz, dr, dm
-        da = turned[at]
-        da[:, :H], da[:, H : 2 * H], da[:, 2 * H :] = dz, dr, dmr
-        carry = keep + da @ turn + dh[at]
-    g["turn"] = hs.T @ turned
-    columns = np.ascontiguousarray(into.T)
-    g["gates"] = np.stack([np.bincount(inputs, column, len(w["gates"])) for column in columns], 1).astype(dh.dtype)
-    return loss, g, state
+        carry -= keep
+        m2 = m * m
+        dm = np.multiply(carry, np.subtract(1, m2, out=m2), out=last[:, at])
+        dz = np.subtract(before, m, out=m2)
+        dz *= keep
+        np.multiply(dz, 1 - z, out=da[:H])
+        dmr = np.multiply(dm, r, out=da[2 * H :])
+        dr = dmr * am
+        np.multiply(dr, 1 - r, out=da[H : 2 * H])
+        carry = w["turn"] @ da
+        carry += keep
+        carry += dh[at].T
+    g["turn"] = (turned @ hs).T
+    gates = np.empty((3 * H, len(w["gates"])), dh.dtype)
+    for k, column in enumerate([*turned[: 2 * H], *last]):
+        gates[k] = np.bincount(inputs, column, len(w["gates"]))
+    g["gates"] = np.ascontiguousarray(gates.T)
+    return loss, g, state.T
 
 
 def train(docs: list[np.ndarray], vocabulary: Vocabulary, w: dict[str, np.ndarray], seed: int) -> dict[str, np.ndarray]:
@@ -273,10 +296,20 @@ def train(docs: list[np.ndarray], vocabulary: Vocabulary, w: dict[str, np.ndarra
         part = ids[at : at + WINDOW]
         _, g, state = gradients(part, state, vocabulary, w)
         for key in w:
-            grad = np.clip(g[key] / part.size * 16, -1, 1)
-            first[key] += 0.1 * (grad - first[key])
-            second[key] += 0.01 * (grad * grad - second[key])
-            w[key] -= RATE / (1 + k / 400) * (first[key] / (1 - 0.9**k)) / (np.sqrt(second[key] / (1 - 0.99**k)) + 1e-6)
+            grad, one, two = g[key], first[key], second[key]
+            grad *= 16 / part.size
+            np.clip(grad, -1, 1, out=grad)
+            one *= 0.9
+            one += 0.1 * grad
+            grad *= grad
+            grad *= 0.01
+            two *= 0.99
+            two += grad
+            step = np.sqrt(two / (1 - 0.99**k), out=grad)
+            step += 1e-6
+            np.divide(one, step, out=step)
+            step *= RATE / (1 + k / 400) / (1 - 0.9**k)
+            w[key] -= step
     return w
 
 
@@ -294,16 +327,17 @@ def likelihoods(docs: list[np.ndarray], vocabulary: Vocabulary, w: dict[str, np.
             piece = docs[order[row]][at : at + window]
             part[row, : len(piece)] = piece
         here = np.minimum(lengths[:active] - at, window)
-        h, states, owners, tokens = state[:active].copy(), [], [], []
+        h, states, owners, tokens = state[:active].T.copy(), [], [], []
         for t in range(int(here[0])):
             n = int(np.searchsorted(-here, -t, "left"))
-            h = h[:n]
-            states.append(h)
+            h = h[:, :n]
+            states.append(h.T)
             tokens.append(part[:n, t])
             owners.append(n)
-            h, _ = advance(w, w["gates"][vocabulary.inputs[part[:n, t]]], h)
+            x = np.take(w["gates"], vocabulary.inputs[part[:n, t]], axis=0, mode="clip")
+            h, _ = advance(w, np.ascontiguousarray(x.T), h)
             if n:
-                state[:n] = h
+                state[:n] = h.T
         hs, flat = np.concatenate(states), np.concatenate(tokens)
         rows = np.concatenate([np.arange(n) for n in owners])
         classes = vocabulary.classes[flat]
@@ -311,7 +345,7 @@ def likelihoods(docs: list[np.ndarray], vocabulary: Vocabulary, w: dict[str, np.
         for a in range(0, len(flat), 16384):
             s = hs[a : a + 16384] @ w["class_w"] + w["class_b"]
             own = s[np.arange(len(s)), classes[a : a + 16384]]
-            found[a : a + 16384] = own - softmax(s)[1]
+            found[a : a + 16384] = own - powers(s)[2]
         found += vocabulary.share[flat]
         inner = np.flatnonzero(flat < vocabulary.neural)
         if len(inner):
@@ -322,7 +356,7 @@ def likelihoods(docs: list[np.ndarray], vocabulary: Vocabulary, w: dict[str, np.
                     some = inner[a : min(a + 16384, bounds[c + 1])]
                     s = hs[some] @ w["member_w"][c] + w["member_b"][c]
                     own = s[np.arange(len(s)), flat[some] % PER_CLASS]
-                    found[some] += own - softmax(s)[1]
+                    found[some] += own - powers(s)[2]
         total[:active] += np.bincount(rows, found, active)
         at += window
     out = np.empty(len(docs))
