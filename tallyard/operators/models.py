@@ -125,11 +125,13 @@ def lr_response(df: DataFrame, x: str, y: str, points: list[float]) -> DataFrame
 
 def multinomial_ranks(df: DataFrame, train, tokens: str, label: str, C: float = 1.0) -> DataFrame:
     """(true, rank) of held-out rows under a multinomial model of token sets; train: the condition of training rows."""
+    rows = stored(df.select(tokens, label, train.alias("_train")), "rank-rows")  # counted, indexed and fitted in several passes
+    learn, held = rows.filter("_train"), rows.filter("not _train")
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip")
     count = CountVectorizer(inputCol=tokens, outputCol="features", binary=True, minDF=2)
-    n = df.filter(train).count()
-    model = Pipeline(stages=[index, count, LogisticRegression(labelCol="_y", family="multinomial", regParam=1 / (C * max(n, 1)), maxIter=30)]).fit(df.filter(train))
-    out = model.transform(df.filter(~train)).withColumn("_p", vector_to_array("probability"))
+    n = learn.count()
+    model = Pipeline(stages=[index, count, LogisticRegression(labelCol="_y", family="multinomial", regParam=1 / (C * max(n, 1)), maxIter=30)]).fit(learn)
+    out = model.transform(held).withColumn("_p", vector_to_array("probability"))
     own = F.element_at("_p", F.col("_y").cast("int") + 1)
     return out.select(F.col(label).alias("true"), (F.size(F.filter("_p", lambda x: x > own)) + 1).alias("rank"))
 

@@ -294,6 +294,19 @@ def test_multinomial_ranks_follow_the_context(spark):
     assert len(got) == 100 and sum(r["rank"] == 1 for r in got) > 90 and {r["true"] for r in got} == {"c0", "c1", "c2"}
 
 
+def test_multinomial_ranks_work_out_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(i, [f"t{i % 3}", "common"], f"c{i % 3}") for i in range(60)], "k int, tokens array<string>, label string").mapInArrow(counted, "k int, tokens array<string>, label string")
+    got = models.multinomial_ranks(df, F.col("k") < 40, "tokens", "label").collect()
+    assert len(got) == 20 and seen.value == 60
+
+
 def test_segments_vote_for_their_class(spark):
     rng = np.random.default_rng(3)
     rows = [(k, f"l{k % 2}", float(k % 2 * 4 + rng.normal()), float(rng.normal())) for k in range(60) for _ in range(3)]
