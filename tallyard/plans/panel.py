@@ -27,9 +27,10 @@ def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys) if tasks else df
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per entity, item and contest; those of a contest lie together where the table is large."""
-    lines, orders, parts = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
+def panel(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per entity, item and contest; those of a contest lie together where the table is large.  orders: with more columns, to be kept."""
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    orders = table(spark, sf_dir, "orders") if orders is None else orders
     n = tasks_of(lines)
     if n:  # parts first: then the rows of a contest are where their order is
         of = dealt(lines, n if tasks_of(parts) else None, "l_partkey").join(dealt(parts, n if tasks_of(parts) else None, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
@@ -40,7 +41,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("entity"), F.col("p_brand").alias("item"), F.col("p_type").alias("role"), F.year("o_orderdate").alias("period"),
         F.col("o_orderkey").alias("contest"), F.col("l_linestatus").alias("side"), F.to_date("o_orderdate").alias("t"), F.col("l_linenumber").alias("ln"),
         F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), F.col("l_extendedprice").alias("y"), F.when(F.col("l_quantity") > 25, 1).otherwise(0).alias("win"),
-        F.least(F.greatest(F.col("l_discount") * 10, F.lit(0.01)), F.lit(0.99)).alias("p"),
+        F.least(F.greatest(F.col("l_discount") * 10, F.lit(0.01)), F.lit(0.99)).alias("p"), *more,
     )
 
 

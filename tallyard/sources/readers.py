@@ -35,6 +35,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """As stored(); executors are then told that the shuffles which led to the table are no longer needed, so that their files go before the next ones come."""
+    spark, table = df.sparkSession, stored(df, name)
+    del df
+    spark.sparkContext._jvm.System.gc()  # Spark drops a shuffle's files once the driver's JVM has let go of it
+    return table
+
+
 def read_csvs(spark: SparkSession, paths: list[str] | str, schema: str) -> DataFrame:
     """Several CSV files with a header and one schema."""
     return spark.read.schema(schema).option("header", True).csv(paths)
